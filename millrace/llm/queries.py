@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import packing, sharding, token_files
+from millrace.llm import language, packing, quality, rules, sharding, token_files
 from millrace.llm.shared import table
 
 SHARD_BYTES = 64 << 20
@@ -22,6 +23,27 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def _remainder(of: int) -> Column:
+    """crc32 of doc_id as text, modulo of."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = language.learn(docs.where(_remainder(4) != 2))
+    return language.predict(docs, dictionaries).withColumn("held_out", _remainder(4) == 2).select("doc_id", "held_out", "lang_pred", "score", "lang_margin", "rejected")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ranking = quality.learn(docs, labels.where(_remainder(3) != 1))
+    return quality.score(docs, ranking).withColumn("held_out", _remainder(3) == 1).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -31,7 +53,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op7_token_files, op8_sharding)}
+    return {f.__name__: f for f in (op1_packing, op3_language, op6_quality, op7_token_files, op8_sharding, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
