@@ -218,8 +218,13 @@ def measure(docs: DataFrame, grams_of: DataFrame, broadcast_grams: int = BROADCA
     names = [x.split()[0] for x in BASE.split(", ")]
     spark = docs.sparkSession
     if grams_of.count() <= broadcast_grams:
-        rows = grams_of.toPandas()
-        shared = spark.sparkContext.broadcast({lang: tuple(x[c].to_numpy() for c in ("size", "gram", "p", "gamma")) for lang, x in rows.groupby("lang")})
+        # columns of numbers alone, as Arrow: a few tens of MB at the bound, in the driver too
+        langs_of = [r[0] for r in grams_of.select("lang").distinct().orderBy("lang").collect()]
+        parts = {}
+        for lang in langs_of:
+            rows = grams_of.where(F.col("lang") == lang).select(F.col("size").cast("byte"), "gram", "p", "gamma").toArrow()
+            parts[lang] = tuple(c.to_numpy() for c in rows.columns)
+        shared = spark.sparkContext.broadcast(parts)
 
         def scored(batches: Iterator) -> Iterator:
             import pyarrow as pa
