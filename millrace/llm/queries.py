@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, packing, quality, rules, sharding, token_files
+from millrace.llm import bpe, language, packing, quality, rules, sharding, token_files
 from millrace.llm.shared import table
 
 SHARD_BYTES = 64 << 20
@@ -52,8 +52,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encoding_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_language, op6_quality, op7_token_files, op8_sharding, op10_rules)}
+    return {f.__name__: f for f in (op1_packing, op3_language, op6_quality, op7_token_files, op8_sharding, op9_bpe, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

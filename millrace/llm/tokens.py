@@ -17,6 +17,12 @@ _ODD = re.compile(r"\s\s|^\s|\s$")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def spaced_pieces(text: str) -> list[str]:
+    """text cut before every single space between two other characters; the space goes with what follows."""
+    parts = _SAFE.split(text) if _ODD.search(text) else text.split(" ")
+    return [parts[0], *(" " + p for p in parts[1:])]
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
@@ -34,10 +40,7 @@ class PieceEncoder:
         self.old: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
-        if self.drops_space:
-            return text.split(" ")
-        parts = _SAFE.split(text) if _ODD.search(text) else text.split(" ")
-        return [parts[0], *(" " + p for p in parts[1:])]
+        return text.split(" ") if self.drops_space else spaced_pieces(text)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         import numpy as np
