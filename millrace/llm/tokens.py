@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 
 #: Pieces in each of the cache's two generations.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
+#: Characters of texts whose pieces are held at once.
+CHARS_AT_ONCE = 1 << 20
 
 _ODD = re.compile(r"\s\s|^\s|\s$")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -43,6 +45,16 @@ class PieceEncoder:
         return text.split(" ") if self.drops_space else spaced_pieces(text)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; texts are split some at a time, so few pieces are held at once."""
+        out, first, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= CHARS_AT_ONCE or i + 1 == len(texts):
+                out += self._encoded(texts[first : i + 1])
+                first, size = i + 1, 0
+        return out
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         split = [self.pieces(t) for t in texts]
