@@ -77,6 +77,14 @@ class Words:
         total = np.concatenate([[0], np.cumsum(flags)])
         return total[self.at + self.size] - total[self.at]
 
+    def spans(self, k: int) -> np.ndarray:
+        """Hashes of the k words from each word on, over all texts (shorter by k - 1)."""
+        n = len(self.hashes)
+        if n < k:
+            return np.zeros(0, np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * _powers(_BASE, n)[:n], dtype=np.uint64)])
+        return mix((total[k:] - total[: n - k + 1]) * _powers(_INVERSE, n)[: n - k + 1])
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the k words from each word on, and the words that have k in their text."""
         n = len(self.hashes)
