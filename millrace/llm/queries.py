@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, language, packing, quality, repeats, rules, sharding, token_files, topk
+from millrace.llm import bpe, language, neardup, packing, quality, repeats, rules, sharding, token_files, topk
 from millrace.llm.shared import table
 
 SHARD_BYTES = 64 << 20
@@ -34,6 +34,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, dictionaries).withColumn("held_out", _remainder(4) == 2).select("doc_id", "held_out", "lang_pred", "score", "lang_margin", "rejected")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_language, op4_repeats, op5_topk, op6_quality, op7_token_files, op8_sharding, op9_bpe, op10_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_minhash, op3_language, op4_repeats, op5_topk, op6_quality, op7_token_files, op8_sharding, op9_bpe, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
