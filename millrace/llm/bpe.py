@@ -1,12 +1,10 @@
 """Operator 9, byte-level BPE encoding and decoding by a file of ranks.
 
-Encoding. A text's words are the matches of a pattern, and no match crosses a single space
-between two other characters, so texts are first cut there. Tasks write blocks of texts: a
-block has its distinct pieces, and each text as numbers of those. The distinct pieces of
-all blocks are encoded once each by Spark's higher-order functions: a fold over the byte
-array of each of the piece's words merges, in each step, the leftmost pair of lowest rank,
-looked up in a literal rank map. The ids then go back to the blocks by a join on the piece,
-and each block puts its texts' ids together. A block's size is bounded, so is its dictionary.
+Encoding. Each different piece of text is worked on once (see pieces.py): a bucket's pieces
+are cut into words, the matches of a pattern, and the distinct words are encoded by Spark's
+higher-order functions: a fold over a word's byte array merges, in each step, the leftmost
+pair of lowest rank, looked up in a literal rank map. Pieces get their words' ids, and
+blocks put their texts' ids together.
 
 The literal rank map has two arrays: the vocabulary (in hexadecimal) in the order of ranks,
 and a table of ranks with two places for each entry by its 64-bit hash.
@@ -26,16 +24,10 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import stash
+from millrace.llm import pieces
 
-#: Bytes of text in a block (one text may be longer).
-BLOCK_BYTES = 24 << 20
-#: Pieces whose ids are put together at once.
-PIECES_AT_ONCE = 400_000
 TABLE_BITS = 17
 
-BLOCKS = "block long, number long, doc_id long, pieces binary, piece string"
-
 
 @lru_cache(2)
 def read_ranks(path: str) -> list[bytes]:
@@ -129,113 +121,35 @@ def word_ids(words: Column, path: str) -> Column:
     return _let(literal, encode_all)
 
 
-def _packed(numbers) -> bytes:
-    """Numbers as planes of their bytes, compressed."""
-    import numpy as np
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
-
-
-def _unpacked(data: bytes):
-    import numpy as np
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
-
-
-def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """BLOCKS: rows of texts (doc_id, pieces: numbers of its pieces), and of pieces (number, piece)."""
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit integers) for each row of docs (doc_id, text)."""
+    matches = pattern.replace(r"\s", r"\p{White_Space}").replace(r"[^\S", r"[^\P{White_Space}").replace(r"\S", r"\P{White_Space}")
+    found = pieces.blocks(docs, pieces.byte_level)
+    shares = pieces.shares_of(found)
 
-    def cut(batches: Iterator) -> Iterator:
-        import numpy as np
+    def distinct_words(t):
         import pyarrow as pa
+        import regex
 
-        from millrace.llm.tokens import spaced_pieces
-
-        known: dict[str, int] = {}
-        size, n, block = 0, 0, None
-
-        def rows(block, number, doc_id, pieces, piece):
-            n = max(len(doc_id), len(piece))
-            nothing = lambda kind: pa.nulls(n, kind)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block, np.int64)), pa.array(number, pa.int64()) if number is not None else nothing(pa.int64()), pa.array(doc_id, pa.int64()) if len(doc_id) else nothing(pa.int64()), pa.array(pieces, pa.binary()) if len(pieces) else nothing(pa.binary()), pa.array(piece, pa.string()) if len(piece) else nothing(pa.string())],
-                ["block", "number", "doc_id", "pieces", "piece"],
-            )
+        words_of = regex.compile(matches).findall
+        words = {w for e in t["entries"].to_pylist() for p in pieces._unpack_texts(e) for w in words_of(p)}
+        return pa.table({"of": pa.array(t["bucket"].to_pylist()[:1] * len(words), pa.int32()), "word": pa.array(sorted(words), pa.string())})
 
-        def dictionary() -> Iterator:
-            listed = list(known)
-            for i in range(0, len(listed), 50_000):
-                part = listed[i : i + 50_000]
-                yield rows(block, np.arange(i, i + len(part)), [], [], part)
+    words = shares.groupBy("bucket").applyInArrow(distinct_words, "of int, word string")
+    known = words.select("of", "word", word_ids(F.array(F.hex("word")), path).alias("ids"))
 
-        for batch in batches:
-            ids, texts, part = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)[0].as_py() if len(batch) else 0
-            held_ids, held = [], []
-            for doc_id, text in zip(ids, texts, strict=True):
-                if block is None:
-                    block = (part << 24) + n
-                pieces = spaced_pieces(text or "")
-                held_ids.append(doc_id)
-                held.append(_packed(np.fromiter((known.setdefault(p, len(known)) for p in pieces), np.uint32, len(pieces))))
-                size += len(text or "")
-                if size >= block_bytes:
-                    yield rows(block, None, held_ids, held, [])
-                    yield from dictionary()
-                    held_ids, held, size, n, block = [], [], 0, n + 1, None
-                    known.clear()
-            if held:
-                yield rows(block, None, held_ids, held, [])
-        if known:
-            yield from dictionary()
-
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.spark_partition_id().cast("long"))
-    return stash(plain.mapInArrow(cut, BLOCKS), "bpe-blocks")
-
-
-def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers) for each row of docs (doc_id, text)."""
-    blocks = _blocks(docs, block_bytes)
-    pieces = blocks.where("piece is not null").select("block", "number", "piece")
-    words = F.regexp_extract_all("piece", F.lit(f"(?U){pattern}"), F.lit(0))  # (?U): \s is Unicode's white space
-    known = pieces.select("piece").distinct().select("piece", word_ids(F.transform(words, F.hex), path).alias("ids"))
-    dealt = pieces.join(known, "piece").select("block", "number", "ids")
+    def resolve(t, known):
+        from array import array
 
-    def put_together(texts, found):
-        import numpy as np
         import pyarrow as pa
+        import regex
+
+        own = {w: array("I", i).tobytes() for w, i in zip(known["word"].to_pylist(), known["ids"].to_pylist(), strict=True)}
+        entries = pieces._resolved(t["entries"].to_pylist(), lambda missing: map(own.__getitem__, missing), regex.compile(matches).findall)
+        return pa.table({"entry_block": t["entry_block"], "bucket": t["bucket"], "numbers": t["numbers"], "entries": pa.array(entries, pa.binary())})
 
-        order = np.argsort(found["number"].to_numpy())
-        lists = found["ids"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        sizes = np.asarray(lists.value_lengths(), np.int64)
-        starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
-        doc_ids, out, held, held_size = texts["doc_id"], [], [], 0
-
-        def flush() -> None:
-            numbers = np.concatenate(held)
-            n = sizes[numbers]
-            ends = np.cumsum(n)
-            ids = flat[np.repeat(starts[numbers] - (ends - n), n) + np.arange(ends[-1])] if len(ends) else flat[:0]
-            bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in held])])]
-            out.extend(ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True))
-            held.clear()
-
-        for x in texts["pieces"].to_pylist():
-            held.append(_unpacked(x))
-            held_size += len(held[-1])
-            if held_size >= PIECES_AT_ONCE:
-                flush()
-                held_size = 0
-        if held:
-            flush()
-        return pa.table({"doc_id": doc_ids, "ids": pa.array(out, pa.binary())})
-
-    texts = blocks.where("pieces is not null").select(F.col("block").alias("of"), "doc_id", "pieces")
-    return texts.groupBy("of").cogroup(dealt.groupBy("block")).applyInArrow(put_together, "doc_id long, ids binary")
+    encoded = shares.groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(resolve, pieces.ENTRIES)
+    return pieces.put_together(found, encoded, pieces.ids_only, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

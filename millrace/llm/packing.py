@@ -12,15 +12,14 @@ rows; other columns of the input aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import pieces
 from millrace.llm.shared import stash
-from millrace.llm.tokens import encoder
 
-PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 #: Rows of one numbering group.
 GROUP_ROWS = 50_000
 
@@ -31,41 +30,39 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def decompose(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: int = 4096, drops_space: bool = True) -> DataFrame:
-    """A row for each piece, with its ids as little-endian unsigned 32-bit integers."""
+def decompose(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: int = 4096, drops_space: bool = True, digest: bool = False) -> DataFrame:
+    """A row for each piece, with its ids as little-endian unsigned 32-bit integers, or ids_crc32 for digest."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest is a power of two")
     end = int(end_id).to_bytes(4, "little")
 
-    def cut(batches: Iterator) -> Iterator:
+    def cut(doc_ids: list, ids: list[bytes]):
         import pyarrow as pa
 
-        encode = encoder(tokenizer_file, drops_space)
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: list[tuple] = []
-            for doc_id, ids in zip(doc_ids, encode([t or "" for t in texts]), strict=True):
-                ids += end
-                start, n = 0, len(ids) // 4
-                for length in binary_lengths(n, longest):
-                    rows.append((doc_id, start, length, ids[4 * start : 4 * (start + length)], n))
-                    start += length
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens"])
+        rows: list[tuple] = []
+        for doc_id, own in zip(doc_ids, ids, strict=True):
+            own += end
+            start, n = 0, len(own) // 4
+            for length in binary_lengths(n, longest):
+                rows.append((doc_id, start, length, finish(own[4 * start : 4 * (start + length)]), n))
+                start += length
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary(), pa.int64())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", name, "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    name, finish = ("ids_crc32", zlib.crc32) if digest else ("ids", bytes)
+    return pieces.encode(docs, tokenizer_file, drops_space, cut, f"doc_id long, start long, length long, {name} {'long' if digest else 'binary'}, doc_tokens long")
 
 
-def number_sequences(pieces: DataFrame) -> DataFrame:
+def number_sequences(cut: DataFrame) -> DataFrame:
     """Adds sequence_id, dense over all pieces by falling length, and offset (0).
 
     Rows of a length are dealt to salted groups, so no length is numbered in one task; the
     groups' sizes give each group's first number.
     """
-    pieces = stash(pieces, "pieces")
-    salts = max(16, -(-pieces.count() // GROUP_ROWS))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    cut = stash(cut, "pieces")
+    salts = max(16, -(-cut.count() // GROUP_ROWS))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
     sizes = salted.groupBy(F.col("length").alias("_length"), F.col("_salt").alias("_group")).agg(F.count("*").alias("_n"))
     before = Window.orderBy(F.col("_length").desc(), "_group").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("_length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
@@ -86,5 +83,4 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: int = 4
 
 def packing_digest(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: int = 4096) -> DataFrame:
     """pack() with ids_crc32 in place of the ids, which don't move to be numbered."""
-    pieces = decompose(docs, tokenizer_file, end_id, longest)
-    return number_sequences(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+    return number_sequences(decompose(docs, tokenizer_file, end_id, longest, digest=True))

@@ -1,7 +1,7 @@
 """Operator 7, token-id output: ORC files of documents' ids.
 
-Files hold (doc_id, ids) in ascending doc_id order over all files: a range shuffle deals
-the texts, each task sorts its range and encodes as it writes. ORC keeps ids and doc_ids
+Files hold (doc_id, ids) in ascending doc_id order over all files: the encoded rows are dealt
+to ranges between quantiles of doc_id, and each task sorts its range and writes a file. ORC keeps ids and doc_ids
 in integer run-length encoding, in stripes that are read in parallel, with row indexes and
 Bloom filters on doc_id by which a search for documents skips stripes and row groups.
 
@@ -16,8 +16,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import pieces
 from millrace.llm.shared import shared_path, stash
-from millrace.llm.tokens import encoder
 
 SCHEMA = "doc_id long, ids array<int>"
 STRIPE_BYTES, ROWS_PER_INDEX = 16 << 20, 1000
@@ -25,22 +25,39 @@ STRIPE_BYTES, ROWS_PER_INDEX = 16 << 20, 1000
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, drops_space: bool = False, stripe_bytes: int = STRIPE_BYTES) -> None:
     """Encodes docs (doc_id, text) and writes them to path in ascending doc_id order."""
+    spark = docs.sparkSession
     end = int(end_id).to_bytes(4, "little")
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(docs.select(F.col("doc_id").cast("long")).approxQuantile("doc_id", [i / files for i in range(1, files)], 0.2 / files))) if files > 1 else []
+
+    def ranged(doc_ids: list, ids: list[bytes]):
+        import bisect
+
+        import pyarrow as pa
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        places = [0 if x is None else bisect.bisect_right(bounds, x) for x in doc_ids]
+        return pa.table({"place": pa.array(places, pa.int32()), "doc_id": pa.array(doc_ids, pa.int64()), "packed": pa.array([squeeze(x + end) for x in ids], pa.binary())})
 
     def ids_of(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
-        encode = encoder(tokenizer_file, drops_space)
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            ids = [x + end for x in encode([t or "" for t in batch.column(1).to_pylist()])]
+            ids = [expand(x) for x in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
 
-    ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    encoded = pieces.encode(docs, tokenizer_file, drops_space, ranged, "place int, doc_id long, packed binary")
     (
-        ranged.mapInArrow(ids_of, SCHEMA)
+        encoded.repartitionById(len(bounds) + 1, F.col("place"))
+        .sortWithinPartitions("doc_id")
+        .select("doc_id", "packed")
+        .mapInArrow(ids_of, SCHEMA)
         .write.option("compression", "zstd")
         .option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", ROWS_PER_INDEX)
