@@ -28,10 +28,19 @@ def _remainder(of: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
 
 
+def learned_languages(docs: DataFrame) -> dict[str, bytes]:
+    """Dictionaries of the rows of docs that aren't held out."""
+    return language.learn(docs.where(_remainder(4) != 2))
+
+
+def learned_quality(docs: DataFrame, labels: DataFrame) -> quality.Ranking:
+    """The ranking by the labels that aren't held out."""
+    return quality.learn(docs, labels.where(_remainder(3) != 1))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    dictionaries = language.learn(docs.where(_remainder(4) != 2))
-    return language.predict(docs, dictionaries).withColumn("held_out", _remainder(4) == 2).select("doc_id", "held_out", "lang_pred", "score", "lang_margin", "rejected")
+    return language.predict(docs, learned_languages(docs)).withColumn("held_out", _remainder(4) == 2).select("doc_id", "held_out", "lang_pred", "score", "lang_margin", "rejected")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +57,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    ranking = quality.learn(docs, labels.where(_remainder(3) != 1))
-    return quality.score(docs, ranking).withColumn("held_out", _remainder(3) == 1).select("doc_id", "held_out", "score", "predicted")
+    return quality.score(docs, learned_quality(docs, labels)).withColumn("held_out", _remainder(3) == 1).select("doc_id", "held_out", "score", "predicted")
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
