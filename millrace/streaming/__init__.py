@@ -1 +1,165 @@
+"""Operators over streaming DataFrames.
 
+A stream has no total order, so positional operators work on each key, in the order of its
+event time: a step sorts what a micro-batch brings for a key, and keeps state between
+batches. Rows that come in a later batch with an earlier time go after what was emitted.
+Operators on single elements are the DataFrame's own; rates are set at sources
+(rowsPerSecond, maxFilesPerTrigger, maxOffsetsPerTrigger).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from typing import Any
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+#: The state store that transformWithState needs.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Stepper(StatefulProcessor):
+    """Steps each key's rows in order through step(state, row) -> (state, rows), with the state kept as bytes."""
+
+    def __init__(self, keys: list[str], order: list[str], columns: list[str], names: list[str], initial: Any, step: Callable):
+        self.keys, self.order, self.columns, self.names, self.initial, self.step = keys, order, columns, names, initial, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", StructType([StructField("bytes", BinaryType())]))
+
+    def handleInputRows(self, key: Any, rows: Iterator, timers: Any) -> Iterator:
+        import pickle
+
+        import pandas as pd
+
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.initial
+        out = []
+        for r in batch[self.columns].itertuples(index=False, name=None):
+            state, emitted = self.step(state, r)
+            out += [(*key, *e) for e in emitted]
+        self.state.update((pickle.dumps(state),))
+        yield pd.DataFrame(out, columns=[*self.keys, *self.names])
+
+    def close(self) -> None:
+        pass
+
+
+def stepped(df: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: str, initial: Any, step: Callable[[Any, tuple], tuple[Any, list[tuple]]]) -> DataFrame:
+    """The keys and what step(state, row) -> (state, rows of schema) emits for each row (a tuple of columns), key by key in order."""
+    from millrace.operators.folds import _split_schema
+
+    kinds = dict(df.dtypes)
+    names = [x.strip().split()[0].strip("`") for x in _split_schema(schema)]
+    whole = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [schema])
+    needed = list(dict.fromkeys([*keys, *order, *columns]))
+    return df.select(*needed).groupBy(*keys).transformWithStateInPandas(_Stepper(keys, order, columns, names, initial, step), whole, "Append", "None")
+
+
+def _with(df: DataFrame, columns: list[str], extra: str = "") -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join([f"`{c}` {kinds[c]}" for c in columns] + ([extra] if extra else []))
+
+
+def deduplicate(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Without rows whose values equal those of the key's row before."""
+    columns = list(dict.fromkeys([*order, *values]))
+    at = [columns.index(v) for v in values]
+
+    def step(before, row):
+        own = [row[i] for i in at]
+        return own, [] if own == before else [row]
+
+    return stepped(df, keys, order, columns, _with(df, columns), None, step)
+
+
+def scan(df: DataFrame, keys: list[str], order: list[str], value: str, zero: Any, function: Callable[[Any, Any], Any], kind: str, name: str = "scanned") -> DataFrame:
+    """function(so far, value) after each row of the key."""
+    columns = list(dict.fromkeys([*order, value]))
+    at = columns.index(value)
+
+    def step(acc, row):
+        acc = function(acc, row[at])
+        return acc, [(*row, acc)]
+
+    return stepped(df, keys, order, columns, _with(df, columns, f"`{name}` {kind}"), zero, step)
+
+
+def grouped(df: DataFrame, keys: list[str], order: list[str], value: str, size: int, name: str = "group") -> DataFrame:
+    """Arrays of size values of the key; what is left stays in the state."""
+    kind = dict(df.dtypes)[value]
+
+    def step(state, row):
+        number, held = state
+        held = [*held, row[0]]
+        return ((number + 1, []), [(number, held)]) if len(held) == size else ((number, held), [])
+
+    return stepped(df, keys, order, [value], f"group_id long, `{name}` array<{kind}>", (0, []), step)
+
+
+def sliding(df: DataFrame, keys: list[str], order: list[str], value: str, size: int, name: str = "window") -> DataFrame:
+    """Arrays of the key's last size values, once there are so many."""
+    kind = dict(df.dtypes)[value]
+
+    def step(state, row):
+        number, held = state
+        held = [*held, row[0]][-size:]
+        return (number + 1, held), [(number - size + 1, held)] if len(held) == size else []
+
+    return stepped(df, keys, order, [value], f"pos long, `{name}` array<{kind}>", (0, []), step)
+
+
+def take(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    columns = [c for c in df.columns if c not in keys]
+    return stepped(df, keys, order, columns, _with(df, columns), 0, lambda seen, row: (seen + 1, [row] if seen < n else []))
+
+
+def split_when(df: DataFrame, keys: list[str], order: list[str], starts: str) -> DataFrame:
+    """group_id: the number of the key's sub-stream; a row with a true starts begins a new one."""
+    columns = [c for c in df.columns if c not in keys]
+    at = columns.index(starts)
+
+    def step(group, row):
+        group = 0 if group is None else group + bool(row[at])
+        return group, [(*row, group)]
+
+    return stepped(df, keys, order, columns, _with(df, columns, "group_id long"), None, step)
+
+
+def conflate(df: DataFrame, ts: str, window: str, late: str, keys: list[str], **aggregates: Column) -> DataFrame:
+    """A row for each window of event time and key with its aggregates, once the watermark (late behind) has passed it."""
+    return df.withWatermark(ts, late).groupBy(F.window(ts, window), *keys).agg(*(a.alias(n) for n, a in aggregates.items())).select(F.col("window.start").alias("started"), *keys, *aggregates)
+
+
+def sample(df: DataFrame, ts: str, window: str, late: str, keys: list[str]) -> DataFrame:
+    """The last row of each window."""
+    return conflate(df, ts, window, late, keys, row=F.max_by(F.struct(*df.columns), ts)).select("row.*")
+
+
+def sessions(df: DataFrame, ts: str, gap: str, late: str, keys: list[str], **aggregates: Column) -> DataFrame:
+    """A row for each session: rows of a key that are less than gap apart."""
+    return df.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *keys).agg(*(a.alias(n) for n, a in aggregates.items())).select(F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), *keys, *aggregates)
+
+
+def tee(df: DataFrame, checkpoint: str, *drains: Callable[[DataFrame, int], Any]) -> StreamingQuery:
+    """Each micro-batch to each drain, computed once."""
+
+    def all_of(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for drain in drains:
+                drain(batch, number)
+        finally:
+            batch.unpersist()
+
+    return df.writeStream.foreachBatch(all_of).option("checkpointLocation", checkpoint).start()
+
+
+def finished(query: StreamingQuery, timeout_s: int) -> None:
+    """Waits for all that is there to be processed; an error if that takes longer (a completion timeout)."""
+    if not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"not complete after {timeout_s} s")
