@@ -123,7 +123,7 @@ def word_ids(words: Column, path: str) -> Column:
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) for each row of docs (doc_id, text)."""
-    matches = pattern.replace(r"\s", r"\p{White_Space}").replace(r"[^\S", r"[^\P{White_Space}").replace(r"\S", r"\P{White_Space}")
+    matches = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
     found = pieces.blocks(docs, pieces.byte_level)
     shares = pieces.shares_of(found)
 

@@ -25,27 +25,65 @@ BLOCK_BYTES, BUCKET_BYTES = 32 << 20, 24 << 20
 #: Ids that are put together at once.
 AT_ONCE = 1 << 20
 
+#: Two characters of white space, or one at an end; for Python's re, and for Arrow's (RE2).
 _ODD = re.compile(r"\s\s|^\s|\s$")
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+_ODD_RE2 = f"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 ENTRIES = "entry_block long, bucket int, numbers binary, entries binary"
 
 
-def byte_level(text: str) -> list[str]:
-    """Pieces for a tokenizer that puts a space before a word in the word's token."""
-    parts = _SAFE.split(text) if _ODD.search(text) else text.split(" ")
-    return [parts[0], *(" " + p for p in parts[1:])]
+def _numbered(lists):
+    """Numbers of the lists' strings, the strings by number, and the bounds of the lists."""
+    import numpy as np
 
+    flat = lists.flatten().dictionary_encode()
+    bounds = lists.offsets.to_numpy()
+    return flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist(), bounds - bounds[0]
 
-def spaceless(text: str) -> list[str]:
-    """Pieces for a tokenizer that drops white space."""
-    return text.replace("\n", " ").split(" ")
+
+def byte_level(texts) -> tuple[list, list[str]]:
+    """For a tokenizer that puts a space before a word in the word's token: each text's numbers of pieces, and the pieces."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    odd = pc.match_substring_regex(texts, _ODD_RE2)
+    plain, rest = np.flatnonzero(~odd.to_numpy(zero_copy_only=False)), np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    out: list = [None] * len(texts)
+    numbers, known, bounds = _numbered(pc.split_pattern(texts.take(pa.array(plain)), " "))
+    pieces = [" " + p for p in known]
+    # the first piece of a text has no space before it
+    firsts = pa.array(known, pa.string()).take(pa.array(numbers[bounds[:-1]])).dictionary_encode()
+    numbers[bounds[:-1]] = firsts.indices.to_numpy() + len(pieces)
+    pieces += firsts.dictionary.to_pylist()
+    for n, i in enumerate(plain):
+        out[i] = numbers[bounds[n] : bounds[n + 1]]
+    lists = []
+    for t in texts.take(pa.array(rest)).to_pylist():
+        parts = _SAFE.split(t)
+        lists.append([parts[0], *(" " + p for p in parts[1:])])
+    if lists:
+        numbers, known, bounds = _numbered(pa.array(lists, pa.list_(pa.string())))
+        for n, i in enumerate(rest):
+            out[i] = numbers[bounds[n] : bounds[n + 1]] + len(pieces)
+        pieces += known
+    return out, pieces
+
+
+def spaceless(texts) -> tuple[list, list[str]]:
+    """The same for a tokenizer that drops white space."""
+    import pyarrow.compute as pc
+
+    numbers, pieces, bounds = _numbered(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "))
+    return [numbers[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pieces
 
 
 def cores(piece: str) -> list[str]:
     """A piece cut further at line ends and before a last comma or stop; its ids are those of the parts."""
     body = piece[1:] if piece[:1] == " " else piece
-    if not body or _ODD.search(body):
+    if not body or body.isalpha() or _ODD.search(body):
         return [piece]
     lines = piece.split("\n")
     out = []
@@ -68,7 +106,7 @@ def _pack(arrays: list) -> bytes:
     for a in arrays:
         a = np.ascontiguousarray(a, "<u4")
         out += [struct.pack("<I", len(a)), np.ascontiguousarray(a.view(np.uint8).reshape(-1, 4).T).tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def _unpack(data: bytes) -> list:
@@ -102,56 +140,57 @@ def _unpack_texts(data: bytes) -> list[str]:
     return [raw[a:b].decode() for a, b in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)] if n else []
 
 
-def blocks(docs: DataFrame, cut: Callable[[str], list[str]], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of texts (block, number, doc_id, pieces), and of blocks' shares of buckets (ENTRIES)."""
+def blocks(docs: DataFrame, cut: Callable, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of texts (block, number, doc_id, pieces), and of blocks' shares of buckets (ENTRIES); cut: byte_level or spaceless."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(8, size // BUCKET_BYTES)
 
     def split(batches: Iterator) -> Iterator:
+        import zlib
+
         import numpy as np
         import pyarrow as pa
-        import zlib
+        import pyarrow.compute as pc
 
-        known: dict[str, int] = {}
-        n_blocks, size, part, number = 0, 0, 0, 0
+        n_blocks, size, part, held = 0, 0, 0, []
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         names = ["block", "number", "doc_id", "pieces", "entry_block", "bucket", "numbers", "entries"]
 
-        def texts(doc_ids, held):
-            own = [pa.array([(part << 24) + n_blocks] * len(held), pa.int64()), pa.array(range(number - len(held), number), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(held, pa.binary())]
-            return pa.RecordBatch.from_arrays(own + [pa.nulls(len(held), k) for k in kinds[4:]], names)
-
-        def shares() -> Iterator:
-            listed = list(known)
-            place = np.fromiter((zlib.crc32(cores(p)[0].encode()) % buckets for p in listed), np.int64, len(listed))
+        def whole() -> Iterator:
+            block = (part << 24) + n_blocks
+            t = pa.Table.from_batches(held).combine_chunks()
+            if not len(t):
+                return
+            numbers, listed = cut(t["text"].chunk(0).fill_null(""))
+            own = [pa.array([block] * len(numbers), pa.int64()), pa.array(range(len(numbers)), pa.int64()), t["doc_id"].chunk(0), pa.array([_pack([x]) for x in numbers], pa.binary())]
+            yield pa.RecordBatch.from_arrays(own + [pa.nulls(len(numbers), k) for k in kinds[4:]], names)
+            # pieces with the same first part (see cores) have the same bucket
+            place = np.fromiter((zlib.crc32(p.partition("\n")[0].rstrip(",.").encode()) for p in listed), np.int64, len(listed)) % buckets
             order = np.argsort(place, kind="stable")
             cuts = np.flatnonzero(np.diff(place[order])) + 1
             for some in np.split(order, cuts):
                 if len(some):
-                    own = [pa.array([(part << 24) + n_blocks]), pa.array([int(place[some[0]])], pa.int32()), pa.array([_pack([some])], pa.binary()), pa.array([_pack_texts([listed[i] for i in some])], pa.binary())]
+                    own = [pa.array([block]), pa.array([int(place[some[0]])], pa.int32()), pa.array([_pack([some])], pa.binary()), pa.array([_pack_texts([listed[i] for i in some])], pa.binary())]
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:4]] + own, names)
-            known.clear()
 
         for batch in batches:
-            ids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            part = batch.column(2)[0].as_py() if len(raw) else part
-            doc_ids, held = [], []
-            for doc_id, text in zip(ids, raw, strict=True):
-                own = cut(text or "")
-                held.append(_pack([np.fromiter((known.setdefault(p, len(known)) for p in own), np.uint32, len(own))]))
-                doc_ids.append(doc_id)
-                number += 1
-                size += len(text or "")
+            part = batch.column(2)[0].as_py() if len(batch) else part
+            first = 0
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+            while first < len(batch):
+                done = sizes[first - 1] if first else 0
+                last = int(np.searchsorted(sizes, done + block_bytes - size)) + 1
+                some = batch.slice(first, last - first)
+                held.append(some)
+                first += len(some)
+                size += int(sizes[first - 1] - done)
                 if size >= block_bytes:
-                    yield texts(doc_ids, held)
-                    yield from shares()
-                    doc_ids, held, size, number, n_blocks = [], [], 0, 0, n_blocks + 1
-            if held:
-                yield texts(doc_ids, held)
-        if known:
-            yield from shares()
-
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.spark_partition_id().cast("long"))
+                    yield from whole()
+                    held, size, n_blocks = [], 0, n_blocks + 1
+        if held:
+            yield from whole()
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().cast("long"))
     return stash(plain.mapInArrow(split, f"block long, number long, doc_id long, pieces binary, {ENTRIES}"), "piece-blocks")
 
 

@@ -33,23 +33,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     def ranged(doc_ids: list, ids: list[bytes]):
         import bisect
 
+        import numpy as np
         import pyarrow as pa
-        import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         places = [0 if x is None else bisect.bisect_right(bounds, x) for x in doc_ids]
-        return pa.table({"place": pa.array(places, pa.int32()), "doc_id": pa.array(doc_ids, pa.int64()), "packed": pa.array([squeeze(x + end) for x in ids], pa.binary())})
+        return pa.table({"place": pa.array(places, pa.int32()), "doc_id": pa.array(doc_ids, pa.int64()), "packed": pa.array([pieces._pack([np.frombuffer(x + end, "<u4")]) for x in ids], pa.binary())})
 
     def ids_of(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import zstandard
 
-        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            ids = [expand(x) for x in batch.column(1).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            ids = [pieces._unpack(x)[0] for x in batch.column(1).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
+            values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
 
     encoded = pieces.encode(docs, tokenizer_file, drops_space, ranged, "place int, doc_id long, packed binary")
