@@ -8,12 +8,18 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 
 def _col(x: int | Column) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def _signed(value: Column) -> Column:
+    """0 to 255 as the byte of that pattern."""
+    return F.when(value > 127, value - 256).otherwise(value).cast("tinyint")
+
+
 def empty() -> Column:
     return F.lit(b"")
 
@@ -56,13 +62,12 @@ def byte_at(b: Column, i: int | Column) -> Column:
 def lift(b: Column, i: int | Column) -> Column:
     """byte_at(), null out of range."""
     value = F.conv(F.hex(F.substring(b, _col(i) + 1, F.lit(1))), 16, 10).cast("int")
-    return F.when((_col(i) >= 0) & (_col(i) < size(b)), F.when(value > 127, value - 256).otherwise(value)).cast("tinyint")
+    return F.when((_col(i) >= 0) & (_col(i) < size(b)), _signed(value))
 
 
 def index_of_slice(b: Column, part: Column, start: int | Column = 0) -> Column:
     """Where part first lies in b from start on, or -1."""
-    # in hexadecimal a match may begin in the middle of a byte: those are looked past
-    @pandas_udf("long")
+    @pandas_udf(LongType())
     def find(x: pd.Series, y: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series([None if i is None or j is None else bytes(i).find(bytes(j), max(0, int(k))) for i, j, k in zip(x, y, s, strict=True)], dtype="object")
 
@@ -178,7 +183,7 @@ def pad_right(b: Column, n: int) -> Column:
 
 def to_array(b: Column) -> Column:
     """The bytes as an array of tinyint."""
-    return F.transform(F.regexp_extract_all(F.hex(b), F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int").cast("tinyint"))
+    return F.transform(F.regexp_extract_all(F.hex(b), F.lit(".."), F.lit(0)), lambda h: _signed(F.conv(h, 16, 10).cast("int")))
 
 
 def reverse(b: Column) -> Column:

@@ -66,8 +66,14 @@ class Folds:
             return self.df.select(*needed).groupBy(*keys).applyInPandas(fold, whole)
 
         def serial(batches):
+            import itertools
+
+            rows = (r for b in batches for r in b[columns].itertuples(index=False, name=None))
+            first = next(rows, None)
+            if first is None:
+                return
             held = []
-            for r in step(r for b in batches for r in b[columns].itertuples(index=False, name=None)):
+            for r in step(itertools.chain([first], rows)):
                 held.append(r)
                 if len(held) == 10_000:
                     yield pd.DataFrame(held, columns=names)
@@ -75,7 +81,12 @@ class Folds:
             yield pd.DataFrame(held, columns=names)
 
         needed = list(dict.fromkeys([*self.order, *columns]))
-        return self.df.select(*needed).repartition(1).sortWithinPartitions(*self.order).mapInPandas(serial, schema)
+        done = self.df.select(*needed).repartition(1).sortWithinPartitions(*self.order).mapInPandas(serial, schema)
+        # no task may run for an empty stream, so what it gives is added here
+        none = list(step(iter(())))
+        if not none:
+            return done
+        return done.unionByName(self.spark.createDataFrame(none, schema).where(~self.df.limit(1).select(F.lit(1)).exists()))
 
     def fold_with(self, function: Callable[[Any, tuple], Any], zero: Any, columns: list[str], kind: str, name: str = "folded") -> DataFrame:
         """One row: function(folded so far, row) over rows (tuples of columns) in order, for folds that aren't associative."""
