@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,23 +98,36 @@ def cores(piece: str) -> list[str]:
     return out
 
 
+@lru_cache
+def _squeezer(level: int):
+    """This process's compressor; a new one for each row would cost more than its work."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=level)
+
+
+@lru_cache
+def _expander():
+    import zstandard
+
+    return zstandard.ZstdDecompressor()
+
+
 def _pack(arrays: list) -> bytes:
     """Integers as planes of their bytes, compressed; each array with its length."""
     import numpy as np
-    import zstandard
 
     out = [struct.pack("<I", len(arrays))]
     for a in arrays:
         a = np.ascontiguousarray(a, "<u4")
         out += [struct.pack("<I", len(a)), np.ascontiguousarray(a.view(np.uint8).reshape(-1, 4).T).tobytes()]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+    return _squeezer(3).compress(b"".join(out))
 
 
 def _unpack(data: bytes) -> list:
     import numpy as np
-    import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(data)
+    raw = _expander().decompress(data)
     at, out = 4, []
     for _ in range(struct.unpack_from("<I", raw)[0]):
         n = struct.unpack_from("<I", raw, at)[0]
@@ -122,24 +136,78 @@ def _unpack(data: bytes) -> list:
     return out
 
 
+def lowered_cores(piece: str) -> list[str]:
+    """cores(), in lower case where that is the same for all: for a tokenizer that does so itself."""
+    return cores(piece.lower() if piece and max(piece) < "\u0130" else piece)
+
+
 def _pack_texts(texts: list[str]) -> bytes:
     import numpy as np
-    import zstandard
 
     raw = [t.encode() for t in texts]
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(raw)) + np.array([len(r) for r in raw], "<u4").tobytes() + b"".join(raw))
+    return _squeezer(1).compress(struct.pack("<I", len(raw)) + np.array([len(r) for r in raw], "<u4").tobytes() + b"".join(raw))
 
 
 def _unpack_texts(data: bytes) -> list[str]:
     import numpy as np
-    import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(data)
+    raw = _expander().decompress(data)
     n = struct.unpack_from("<I", raw)[0]
     ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n).tolist()
     return [raw[a:b].decode() for a, b in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)] if n else []
 
 
+class Encoder:
+    """Encodes pieces one by one, and keeps the ids of a bounded number of parts: two generations of most."""
+
+    def __init__(self, tokenizer_file: str, parts_of: Callable[[str], list[str]] = cores, most: int = 250_000):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer.encode_special_tokens = True
+        self.parts_of, self.most = parts_of, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        from array import array
+
+        parts = [self.parts_of(p) for p in pieces]
+        young, old, missing = self.young, self.old, []
+        for x in {x for own in parts for x in own}.difference(young):
+            known = old.get(x)
+            if known is None:
+                missing.append(x)
+            else:
+                young[x] = known
+        for i in range(0, len(missing), 20_000):
+            some = missing[i : i + 20_000]
+            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                young[x] = array("I", e.ids).tobytes()
+        out = [young[own[0]] if len(own) == 1 else b"".join(map(young.__getitem__, own)) for own in parts]
+        if len(young) > self.most:
+            self.young, self.old = {}, young
+        return out
+
+
+@lru_cache(1)
+def encoder(tokenizer_file: str) -> Encoder:
+    """This process's encoder, over all its tasks."""
+    return Encoder(tokenizer_file)
+
+
+def gathered(numbers, starts, sizes, flat):
+    """The ids of pieces by number, one after the other, and where each piece's end."""
+    import numpy as np
+
+    n = sizes[numbers]
+    ends = np.cumsum(n)
+    return (flat[np.repeat(starts[numbers] - (ends - n), n) + np.arange(ends[-1])] if len(ends) else flat[:0]), ends
+
+
 def blocks(docs: DataFrame, cut: Callable, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of texts (block, number, doc_id, pieces), and of blocks' shares of buckets (ENTRIES); cut: byte_level or spaceless."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -165,7 +233,7 @@ def blocks(docs: DataFrame, cut: Callable, block_bytes: int = BLOCK_BYTES) -> Da
             own = [pa.array([block] * len(numbers), pa.int64()), pa.array(range(len(numbers)), pa.int64()), t["doc_id"].chunk(0), pa.array([_pack([x]) for x in numbers], pa.binary())]
             yield pa.RecordBatch.from_arrays(own + [pa.nulls(len(numbers), k) for k in kinds[4:]], names)
             # pieces with the same first part (see cores) have the same bucket
-            place = np.fromiter((zlib.crc32(p.partition("\n")[0].rstrip(",.").encode()) for p in listed), np.int64, len(listed)) % buckets
+            place = np.fromiter((zlib.crc32(p.partition("\n")[0].rstrip(",.").lower().encode()) for p in listed), np.int64, len(listed)) % buckets
             order = np.argsort(place, kind="stable")
             cuts = np.flatnonzero(np.diff(place[order])) + 1
             for some in np.split(order, cuts):
@@ -198,7 +266,7 @@ def shares_of(found: DataFrame) -> DataFrame:
     return found.where("entry_block is not null").select("entry_block", "bucket", "numbers", "entries")
 
 
-def with_tokenizer(shares: DataFrame, tokenizer_file: str) -> DataFrame:
+def with_tokenizer(shares: DataFrame, tokenizer_file: str, parts_of: Callable[[str], list[str]] = cores) -> DataFrame:
     """shares (ENTRIES), with the ids of their pieces as entries."""
 
     def encode(t):
@@ -218,7 +286,7 @@ def with_tokenizer(shares: DataFrame, tokenizer_file: str) -> DataFrame:
                 for e in tokenizer.encode_batch_fast(missing[i : i + 20_000], add_special_tokens=False):
                     yield array("I", e.ids).tobytes()
 
-        return pa.table({"entry_block": t["entry_block"], "bucket": t["bucket"], "numbers": t["numbers"], "entries": pa.array(_resolved(t["entries"].to_pylist(), ids_of, cores), pa.binary())})
+        return pa.table({"entry_block": t["entry_block"], "bucket": t["bucket"], "numbers": t["numbers"], "entries": pa.array(_resolved(t["entries"].to_pylist(), ids_of, parts_of), pa.binary())})
 
     return shares.groupBy("bucket").applyInArrow(encode, ENTRIES)
 
@@ -271,9 +339,7 @@ def put_together(found: DataFrame, shares: DataFrame, finish: Callable, schema:
 
         def flush() -> None:
             own = np.concatenate(held)
-            n = by_number[own]
-            ends = np.cumsum(n)
-            ids = flat[np.repeat(starts[own] - (ends - n), n) + np.arange(ends[-1])] if len(ends) else flat[:0]
+            ids, ends = gathered(own, starts, by_number, flat)
             bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, held)])].tolist()
             raw = memoryview(ids.tobytes())
             tables.append(finish(doc_ids, [bytes(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]))
@@ -302,4 +368,4 @@ def ids_only(doc_ids: list, ids: list[bytes]):
 def encode(docs: DataFrame, tokenizer_file: str, drops_space: bool, finish: Callable = ids_only, schema: str = "doc_id long, ids binary") -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) of each row of docs, or what finish makes of them."""
     found = blocks(docs, spaceless if drops_space else byte_level)
-    return put_together(found, with_tokenizer(shares_of(found), tokenizer_file), finish, schema)
+    return put_together(found, with_tokenizer(shares_of(found), tokenizer_file, lowered_cores if drops_space else cores), finish, schema)

@@ -1,7 +1,7 @@
 """Operator 7, token-id output: ORC files of documents' ids.
 
-Files hold (doc_id, ids) in ascending doc_id order over all files: the encoded rows are dealt
-to ranges between quantiles of doc_id, and each task sorts its range and writes a file. ORC keeps ids and doc_ids
+Files hold (doc_id, ids) in ascending doc_id order over all files: a range shuffle deals
+the texts, each task sorts its range and encodes as it writes, some texts at a time. ORC keeps ids and doc_ids
 in integer run-length encoding, in stripes that are read in parallel, with row indexes and
 Bloom filters on doc_id by which a search for documents skips stripes and row groups.
 
@@ -21,40 +21,41 @@ from millrace.llm.shared import shared_path, stash
 
 SCHEMA = "doc_id long, ids array<int>"
 STRIPE_BYTES, ROWS_PER_INDEX = 16 << 20, 1000
+#: Bytes of texts that are encoded at once (one text may be longer).
+AT_ONCE_BYTES = 8 << 20
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, drops_space: bool = False, stripe_bytes: int = STRIPE_BYTES) -> None:
-    """Encodes docs (doc_id, text) and writes them to path in ascending doc_id order."""
-    spark = docs.sparkSession
-    end = int(end_id).to_bytes(4, "little")
-    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(docs.select(F.col("doc_id").cast("long")).approxQuantile("doc_id", [i / files for i in range(1, files)], 0.2 / files))) if files > 1 else []
-
-    def ranged(doc_ids: list, ids: list[bytes]):
-        import bisect
-
-        import numpy as np
-        import pyarrow as pa
-
-        places = [0 if x is None else bisect.bisect_right(bounds, x) for x in doc_ids]
-        return pa.table({"place": pa.array(places, pa.int32()), "doc_id": pa.array(doc_ids, pa.int64()), "packed": pa.array([pieces._pack([np.frombuffer(x + end, "<u4")]) for x in ids], pa.binary())})
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, stripe_bytes: int = STRIPE_BYTES) -> None:
+    """Encodes docs (doc_id, text) by a byte-level tokenizer and writes them to path in ascending doc_id order."""
 
     def ids_of(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
+        encode = pieces.encoder(tokenizer_file)
         for batch in batches:
-            ids = [pieces._unpack(x)[0] for x in batch.column(1).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
-            values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+            first = 0
+            while first < len(batch):
+                done = sizes[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(sizes, done + AT_ONCE_BYTES, side="right")))
+                doc_ids, texts = (batch.column(i).slice(first, last - first) for i in (0, 1))
+                first = last
+                numbers, listed = pieces.byte_level(texts.fill_null(""))
+                found = [*encode(listed), end]
+                n_ids = np.array([len(x) // 4 for x in found], np.int64)
+                flat = np.frombuffer(b"".join(found), "<i4")
+                stop = np.array([len(listed)])  # each text ends with the piece of the end id
+                whole = np.concatenate([x for own in numbers for x in (own, stop)])
+                ids, ends = pieces.gathered(whole, np.cumsum(n_ids) - n_ids, n_ids, flat)
+                offsets = np.concatenate([[0], ends[np.cumsum([len(own) + 1 for own in numbers]) - 1]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(offsets, pa.array(ids))], ["doc_id", "ids"])
 
-    encoded = pieces.encode(docs, tokenizer_file, drops_space, ranged, "place int, doc_id long, packed binary")
+    end = int(end_id).to_bytes(4, "little")
+    ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     (
-        encoded.repartitionById(len(bounds) + 1, F.col("place"))
-        .sortWithinPartitions("doc_id")
-        .select("doc_id", "packed")
-        .mapInArrow(ids_of, SCHEMA)
+        ranged.mapInArrow(ids_of, SCHEMA)
         .write.option("compression", "zstd")
         .option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", ROWS_PER_INDEX)
