@@ -1,13 +1,10 @@
 """Operator 9, byte-level BPE encoding and decoding by a file of ranks.
 
 Encoding. Each different piece of text is worked on once (see pieces.py): a bucket's pieces
-are cut into words, the matches of a pattern, and the distinct words are encoded by Spark's
-higher-order functions: a fold over a word's byte array merges, in each step, the leftmost
-pair of lowest rank, looked up in a literal rank map. Pieces get their words' ids, and
-blocks put their texts' ids together.
-
-The literal rank map has two arrays: the vocabulary (in hexadecimal) in the order of ranks,
-and a table of ranks with two places for each entry by its 64-bit hash.
+are cut into words, the matches of a pattern. A word in the vocabulary is a token; all
+other distinct words are encoded by Spark's higher-order functions: a fold over a word's
+byte array merges, in each step, the leftmost pair of lowest rank, looked up in a literal
+rank map. Pieces get their words' ids, and blocks put their texts' ids together.
 
 Decoding concatenates the vocabulary's binary pieces.
 
@@ -26,7 +23,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm import pieces
 
-TABLE_BITS = 17
+#: Bits of a rank in the rank map's entries.
+RANK_BITS = 18
+#: Factors of the places that a pair may have in the rank map.
+FIRST, SECOND = (7919, 104729), (15485863, 32452843)
 
 
 @lru_cache(2)
@@ -40,32 +40,47 @@ def read_ranks(path: str) -> list[bytes]:
     return [found[i] for i in range(len(found))]
 
 
-def _places(key: str, bits: int) -> tuple[int, int]:
-    import xxhash
+@lru_cache(2)
+def _ranks(path: str) -> dict[bytes, int]:
+    return {t: i for i, t in enumerate(read_ranks(path))}
+
 
-    h = xxhash.xxh64_intdigest(key.encode(), seed=42)  # the same as the SQL function xxhash64
-    return h & ((1 << bits) - 1), h >> bits & ((1 << bits) - 1)
+def _prime(n: int) -> int:
+    """The first prime from n on."""
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
 
 
 @lru_cache(2)
-def rank_table(path: str) -> tuple[str, str, int]:
-    """The literal's arrays as comma-separated text: hexadecimal vocabulary, table, and the table's bits."""
-    keys = [t.hex().upper() for t in read_ranks(path)]
-    bits = max(TABLE_BITS, (len(keys) * 2).bit_length())
+def rank_map(path: str) -> tuple[list[int], list[int]]:
+    """The ranks of the 256 bytes, and the rank map.
+
+    The map has an entry for each pair of ranks that merges: the two ranks and the merged
+    one, RANK_BITS each. An entry is at one of its two places; free places have -1.
+    """
+    of = _ranks(path)
+    if len(of) >> RANK_BITS:
+        raise ValueError("too many ranks")
+    pairs = [(of[t[:i]], of[t[i:]], r) for t, r in of.items() for i in range(1, len(t)) if t[:i] in of and t[i:] in of]
+    size = _prime(max(1000, int(len(pairs) * 2.5)))
     while True:
-        table, stuck = [-1] * (1 << bits), False
-        for rank, key in enumerate(keys):
-            place = _places(key, bits)[0]
-            for _ in range(500):
-                rank, table[place] = table[place], rank
-                if rank < 0:
+        table: list[tuple | None] = [None] * size
+        stuck = False
+        for own in pairs:
+            entry: tuple | None = own
+            place = (own[0] * FIRST[0] + own[1] * FIRST[1]) % size
+            for _ in range(500):  # who is in the place moves to its other one
+                entry, table[place] = table[place], entry
+                if entry is None:
                     break
-                a, b = _places(keys[rank], bits)
-                place = b if place == a else a
-            stuck |= rank >= 0
+                first, second = ((entry[0] * m + entry[1] * n) % size for m, n in (FIRST, SECOND))
+                place = second if place == first else first
+            stuck |= entry is not None
         if not stuck:
-            return ",".join(keys), ",".join(map(str, table)), bits
-        bits += 1
+            break
+        size = _prime(size + 1000)
+    return [of[bytes([i])] for i in range(256)], [-1 if e is None else (e[0] << RANK_BITS | e[1]) << RANK_BITS | e[2] for e in table]
 
 
 def _let(value: Column, body) -> Column:
@@ -73,52 +88,57 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def word_ids(words: Column, path: str) -> Column:
-    """Ids (array of int) of words, an array of byte arrays in hexadecimal, in turn."""
-    vocabulary, table, bits = rank_table(path)
-    mask = (1 << bits) - 1
-    literal = F.struct(F.split(F.lit(vocabulary), ",").alias("keys"), F.split(F.lit(table), ",").cast("array<int>").alias("table"))
-    none = F.lit(2**31 - 1)
+def _joined(*arrays: Column) -> Column:
+    """The arrays' elements, by an expression that costs less a row than concat."""
+    return F.flatten(F.array(*arrays))
+
+
+def _literal(numbers: list[int], kind: str) -> Column:
+    """An array of numbers, by way of one string: the optimizer makes it one literal."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
 
-    def encode_all(ranks: Column) -> Column:
-        keys, places = ranks["keys"], ranks["table"]
 
-        def rank(of: Column) -> Column:
-            def at(place: Column, otherwise: Column) -> Column:
-                return _let(F.get(places, place.cast("int")), lambda r: F.when((r >= 0) & (F.get(keys, r) == of), r).otherwise(otherwise))
+def merged_ids(word: Column, path: str) -> Column:
+    """Ids (array of int) of a word, given as an array of its bytes (0 to 255)."""
+    of_bytes, table = rank_map(path)
+    none, mask, size = 2**31 - 1, (1 << RANK_BITS) - 1, len(table)
 
-            return _let(F.xxhash64(of), lambda h: at(h.bitwiseAND(mask), at(F.shiftrightunsigned(h, bits).bitwiseAND(mask), none)))
+    def fold(literal: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            """The rank of a pair of ranks, none if it doesn't merge."""
+            x, y = a.cast("long"), b.cast("long")
+
+            def at(factors: tuple[int, int], otherwise: Column) -> Column:
+                place = ((x * factors[0] + y * factors[1]) % size).cast("int")
+                same = lambda e: F.shiftright(e, RANK_BITS) == x * (1 << RANK_BITS) + y
+                return _let(F.get(literal["table"], place), lambda e: F.when(same(e), e.bitwiseAND(mask).cast("int")).otherwise(otherwise))
+
+            return at(FIRST, at(SECOND, F.lit(none)))
 
         def merge(state: Column, _: Column) -> Column:
-            parts, found = state["parts"], state["ranks"]
-
-            def merged_at(i: Column) -> Column:  # i: from 1, of the pair's left part
-                def put(new: Column) -> Column:
-                    left = F.when(i > 1, F.concat(F.slice(found, F.lit(1), i - 2), F.array(rank(F.concat(F.get(parts, i - 2), new))))).otherwise(F.slice(found, 1, 0))
-                    right = F.when(i + 1 < F.size(parts), F.concat(F.array(rank(F.concat(new, F.get(parts, i + 1)))), F.slice(found, i + 2, F.size(found)))).otherwise(F.slice(found, 1, 0))
-                    return F.struct(
-                        F.concat(F.slice(parts, F.lit(1), i - 1), F.array(new), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
-                        F.concat(left, right).alias("ranks"),
-                    )
-
-                return _let(F.concat(F.get(parts, i - 1), F.get(parts, i)), put)
-
-            return _let(
-                F.coalesce(F.array_min(found), none),
-                lambda least: F.when(least == none, state).otherwise(_let(F.array_position(found, least).cast("int"), merged_at)),
+            parts, ranks = state["parts"], state["ranks"]
+
+            def put(least: Column, i: Column) -> Column:  # i: from 1, of the pair's left part
+                nothing = F.slice(ranks, 1, 0)
+                before = F.when(i > 1, _joined(F.slice(ranks, F.lit(1), i - 2), F.array(rank(F.get(parts, i - 2), least)))).otherwise(nothing)
+                after = F.when(i + 1 < F.size(parts), _joined(F.array(rank(least, F.get(parts, i + 1))), F.slice(ranks, i + 2, F.size(ranks)))).otherwise(nothing)
+                return F.struct(
+                    _joined(F.slice(parts, F.lit(1), i - 1), F.array(least), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
+                    _joined(before, after).alias("ranks"),
+                )
+
+            return F.when(F.coalesce(F.array_min(ranks), F.lit(none)) == none, state).otherwise(
+                _let(F.array_min(ranks), lambda least: _let(F.array_position(ranks, least).cast("int"), lambda i: put(least, i)))
             )
 
-        def ids_of(word: Column) -> Column:
-            def folded(parts: Column) -> Column:
-                pairs = F.when(F.size(parts) > 1, F.sequence(F.lit(0), F.size(parts) - 2)).otherwise(F.array().cast("array<int>"))
-                start = F.struct(parts.alias("parts"), F.transform(pairs, lambda i: rank(F.concat(F.get(parts, i), F.get(parts, i + 1)))).alias("ranks"))
-                return F.transform(F.aggregate(pairs, start, merge, lambda s: s["parts"]), rank)
-
-            return _let(rank(word), lambda whole: F.when(whole != none, F.array(whole)).otherwise(_let(F.regexp_extract_all(word, F.lit(".."), F.lit(0)), folded)))
+        def folded(parts: Column) -> Column:
+            pairs = F.when(F.size(parts) > 1, F.sequence(F.lit(0), F.size(parts) - 2)).otherwise(F.array().cast("array<int>"))
+            start = F.struct(parts.alias("parts"), F.transform(pairs, lambda i: rank(F.get(parts, i), F.get(parts, i + 1))).alias("ranks"))
+            return F.aggregate(pairs, start, merge, lambda s: s["parts"])
 
-        return F.flatten(F.transform(words, ids_of))
+        return _let(F.transform(word, lambda x: F.get(literal["bytes"], x)), folded)
 
-    return _let(literal, encode_all)
+    return _let(F.struct(_literal(table, "bigint").alias("table"), _literal(of_bytes, "int").alias("bytes")), fold)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -128,15 +148,17 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     shares = pieces.shares_of(found)
 
     def distinct_words(t):
+        """The bucket's words that aren't tokens themselves."""
         import pyarrow as pa
         import regex
 
-        words_of = regex.compile(matches).findall
-        words = {w for e in t["entries"].to_pylist() for p in pieces._unpack_texts(e) for w in words_of(p)}
-        return pa.table({"of": pa.array(t["bucket"].to_pylist()[:1] * len(words), pa.int32()), "word": pa.array(sorted(words), pa.string())})
+        words_of, tokens = regex.compile(matches).findall, _ranks(path)
+        words = sorted({w for e in t["entries"].to_pylist() for p in pieces._unpack_texts(e) for w in words_of(p)})
+        raw = [b for b in (w.encode() for w in words) if b not in tokens]
+        return pa.table({"of": pa.array(t["bucket"].to_pylist()[:1] * len(raw), pa.int32()), "bytes": pa.array([list(b) for b in raw], pa.list_(pa.int32()))})
 
-    words = shares.groupBy("bucket").applyInArrow(distinct_words, "of int, word string")
-    known = words.select("of", "word", word_ids(F.array(F.hex("word")), path).alias("ids"))
+    words = shares.groupBy("bucket").applyInArrow(distinct_words, "of int, bytes array<int>")
+    known = words.select("of", "bytes", merged_ids(F.col("bytes"), path).alias("ids"))
 
     def resolve(t, known):
         from array import array
@@ -144,8 +166,15 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         import pyarrow as pa
         import regex
 
-        own = {w: array("I", i).tobytes() for w, i in zip(known["word"].to_pylist(), known["ids"].to_pylist(), strict=True)}
-        entries = pieces._resolved(t["entries"].to_pylist(), lambda missing: map(own.__getitem__, missing), regex.compile(matches).findall)
+        tokens = _ranks(path)
+        own = {bytes(b): array("I", i).tobytes() for b, i in zip(known["bytes"].to_pylist(), known["ids"].to_pylist(), strict=True)}
+
+        def ids_of(missing: list[str]) -> Iterator:
+            for w in missing:
+                b = w.encode()
+                yield array("I", [tokens[b]]).tobytes() if b in tokens else own[b]
+
+        entries = pieces._resolved(t["entries"].to_pylist(), ids_of, regex.compile(matches).findall)
         return pa.table({"entry_block": t["entry_block"], "bucket": t["bucket"], "numbers": t["numbers"], "entries": pa.array(entries, pa.binary())})
 
     encoded = shares.groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(resolve, pieces.ENTRIES)
