@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from millrace.operators.cycles import settled
 from millrace.operators.elements import Elements
 from millrace.operators.fanin import FanIn
 from millrace.operators.fanout import FanOut
@@ -57,6 +58,10 @@ class OrderedFrame(Elements, Slicing, Groups, Folds, FanIn, FanOut, Timed, Recov
         """The same rows as a stream for each value of by."""
         return replace(self, by=by)
 
+    def settled(self) -> OrderedFrame:
+        """The frame with its rows computed once. For long chains: positions look at a frame's rows before its plan is made."""
+        return self.with_df(settled(self.df))
+
     def window(self, descending: bool = False) -> WindowSpec:
         """All rows of a stream in order. Only for keyed frames: a frame without keys has one task's worth of it."""
         return Window.partitionBy(*self.by).orderBy(*(F.col(c).desc() if descending else F.col(c) for c in self.order))

@@ -100,3 +100,28 @@ def write_file(path: str, data: bytes | Iterable[int]) -> None:
 def lazy_drain(make: Callable[[], Callable]) -> Callable:
     """A drain that is made when it gets its frame."""
     return lambda frame: make()(frame)
+
+
+def map_result(drain: Callable, function: Callable[[Any], Any]) -> Callable:
+    """A drain whose result is function of drain's."""
+    return lambda frame: function(drain(frame))
+
+
+def drop_result(drain: Callable) -> Callable:
+    return map_result(drain, lambda _: None)
+
+
+def capture_result(drain: Callable, keep: Callable[[Any], Any]) -> Callable:
+    """A drain that also gives its result to keep."""
+
+    def run(frame):
+        result = drain(frame)
+        keep(result)
+        return result
+
+    return run
+
+
+def contramap(drain: Callable, pipe: Callable) -> Callable:
+    """A drain of frames that pipe makes fit for drain."""
+    return lambda frame: drain(pipe(frame))

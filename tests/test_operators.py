@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.frame import OrderedFrame
 from millrace.operators import groups
+from millrace.operators.cycles import feedback
 
 LENGTHS = [0, 1, 19]
 
@@ -287,3 +288,18 @@ def test_bad_arguments(spark):
     for call in (lambda: f.take(-1), lambda: f.drop(-1), lambda: f.grouped(0, F.col("x")), lambda: f.sliding(0, F.col("x")), lambda: f.take_every_nth(0), lambda: f.first_rows(0), lambda: OrderedFrame.of(f.df, "nothing"), lambda: OrderedFrame.of(f.df, ())):
         with pytest.raises(ValueError):
             call()
+
+
+def test_feedback(spark):
+    """Halving until 1: what a cycle in a graph would do."""
+    start = frame(spark, [5, 8])
+    halved = feedback(start, lambda f: f.filter(F.col("x") > 1).with_columns(x=F.floor(F.col("x") / 2)), 10)
+    assert [(r["round"], r["x"]) for r in halved.sorted().collect()] == [(0, 5), (0, 8), (1, 2), (1, 4), (2, 1), (2, 2), (3, 1)]
+    assert out(feedback(frame(spark, []), lambda f: f, 3)) == []
+    with pytest.raises(RuntimeError):
+        feedback(start, lambda f: f, 3)
+
+
+def test_settled(spark):
+    f = frame(spark, [3, 1, 2]).settled()
+    assert out(f.drop(1)) == [1, 2]

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from millrace.frame import OrderedFrame
-from millrace.sinks import NoSuchElement, StreamLimitExceeded, lazy_drain, write_file
+from millrace.sinks import NoSuchElement, StreamLimitExceeded, capture_result, contramap, drop_result, lazy_drain, map_result, write_file
 from millrace.sources import files, values
 
 
@@ -124,3 +124,11 @@ def test_sinks(spark, tmp_path):
     assert lazy_drain(lambda: lambda g: g.df.count())(f) == 10
     f.map(value=F.col("k").cast("string")).to_files(str(tmp_path / "out"), "value")
     assert sorted(int(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()) == list(range(10))
+
+
+def test_results_of_drains(spark):
+    f, kept = values.of(spark, "int", 1, 2, 3), []
+    count = lambda g: g.df.count()
+    assert map_result(count, lambda n: n + 1)(f) == 4 and drop_result(count)(f) is None
+    assert capture_result(count, kept.append)(f) == 3 and kept == [3]
+    assert contramap(count, lambda g: g.take(2))(f) == 2
