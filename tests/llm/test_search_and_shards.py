@@ -34,6 +34,18 @@ def test_top_k(spark, block_vectors, block_queries):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_force(rows, 100, 10)
 
 
+def test_top_k_agrees_with_sql(spark):
+    import duckdb
+
+    from millrace.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    want = db.execute(queries.oracle_sql()["op5_topk"]).fetchall()
+    assert sorted(map(tuple, queries.op5_topk(spark, sf).select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (100, [-1.0, 2.0])], "vec_id long, embedding array<float>")
     got = topk.top_k(df, F.col("vec_id") % 100 == 0).collect()
