@@ -84,7 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: Vectors of one length without duplicate ids, as in the test tables.
 TOP_K_SQL = """
-with v as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)) as e from embeddings where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 100 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10"""
