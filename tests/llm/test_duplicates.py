@@ -173,3 +173,16 @@ def test_repeats_of_nothing(empty, documents):
     assert out.count() == 0 and out.dtypes == documents.dtypes
     with pytest.raises(ValueError):
         repeats.repeated_spans(empty, 5, 6)
+
+
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from millrace.llm import shared
+
+    folder = Path(shared.shared_path(spark, "x").removeprefix("file:")).parent
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    before = set(folder.iterdir())
+    found = neardup.near_duplicates(df)
+    assert [p.name.rpartition("-")[0] for p in set(folder.iterdir()) - before] == ["near-duplicates"]
+    assert len({r.class_id for r in found.collect()}) == 1
