@@ -141,21 +141,36 @@ def merged_ids(word: Column, path: str) -> Column:
     return _let(F.struct(_literal(table, "bigint").alias("table"), _literal(of_bytes, "int").alias("bytes")), fold)
 
 
+def _bytes_of(lists, kind: str) -> Iterator[bytes]:
+    """Each list of numbers as bytes of kind."""
+    import numpy as np
+
+    for chunk in lists.chunks:
+        raw = chunk.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()
+        ends = np.cumsum(np.asarray(chunk.value_lengths(), np.int64)) * np.dtype(kind).itemsize
+        start = 0
+        for end in ends.tolist():
+            yield raw[start:end]
+            start = end
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) for each row of docs (doc_id, text)."""
     matches = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-    found = pieces.blocks(docs, pieces.byte_level)
-    shares = pieces.shares_of(found)
+    texts, shares = pieces.unstashed_blocks(docs, pieces.byte_level)
 
     def distinct_words(t):
         """The bucket's words that aren't tokens themselves."""
+        import numpy as np
         import pyarrow as pa
         import regex
 
         words_of, tokens = regex.compile(matches).findall, _ranks(path)
-        words = sorted({w for e in t["entries"].to_pylist() for p in pieces._unpack_texts(e) for w in words_of(p)})
-        raw = [b for b in (w.encode() for w in words) if b not in tokens]
-        return pa.table({"of": pa.array(t["bucket"].to_pylist()[:1] * len(raw), pa.int32()), "bytes": pa.array([list(b) for b in raw], pa.list_(pa.int32()))})
+        different = set().union(*(pieces._unpack_texts(e) for e in t["entries"].to_pylist()))
+        words = {w for p in different for w in words_of(p)}
+        raw = sorted(b for b in (w.encode() for w in words) if b not in tokens)
+        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, raw)]).astype(np.int32), pa.array(np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)))
+        return pa.table({"of": pa.array(t["bucket"].to_pylist()[:1] * len(raw), pa.int32()), "bytes": lists})
 
     words = shares.groupBy("bucket").applyInArrow(distinct_words, "of int, bytes array<int>")
     known = words.select("of", "bytes", merged_ids(F.col("bytes"), path).alias("ids"))
@@ -167,7 +182,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         import regex
 
         tokens = _ranks(path)
-        own = {bytes(b): array("I", i).tobytes() for b, i in zip(known["bytes"].to_pylist(), known["ids"].to_pylist(), strict=True)}
+        own = dict(zip(_bytes_of(known["bytes"], "u1"), _bytes_of(known["ids"], "<u4"), strict=True))
 
         def ids_of(missing: list[str]) -> Iterator:
             for w in missing:
@@ -178,7 +193,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         return pa.table({"entry_block": t["entry_block"], "bucket": t["bucket"], "numbers": t["numbers"], "entries": pa.array(entries, pa.binary())})
 
     encoded = shares.groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(resolve, pieces.ENTRIES)
-    return pieces.put_together(found, encoded, pieces.ids_only, "doc_id long, ids binary")
+    return pieces.put_together(texts, encoded, pieces.ids_only, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -188,9 +203,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        piece = read_ranks(path).__getitem__
+        tokens = read_ranks(path)
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(tokens), np.uint8)
         for batch in batches:
-            found = [b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]
+            found = []
+            for x in batch.column("ids").to_pylist():
+                found.append(pieces.gathered(np.frombuffer(x, "<u4"), starts, sizes, flat)[0].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(put_together, "doc_id long, ids binary, decoded binary")

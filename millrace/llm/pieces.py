@@ -208,8 +208,33 @@ def gathered(numbers, starts, sizes, flat):
     return (flat[np.repeat(starts[numbers] - (ends - n), n) + np.arange(ends[-1])] if len(ends) else flat[:0]), ends
 
 
-def blocks(docs: DataFrame, cut: Callable, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def blocks(docs: DataFrame, cut: Callable, block_bytes: int | None = None) -> DataFrame:
     """Rows of texts (block, number, doc_id, pieces), and of blocks' shares of buckets (ENTRIES); cut: byte_level or spaceless."""
+    return stash(_cut(docs, cut, block_bytes or BLOCK_BYTES, True, True), "piece-blocks")
+
+
+def unstashed_blocks(docs: DataFrame, cut: Callable, block_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """blocks() as two frames, texts and shares, that each cut docs anew: less disk, more work.
+
+    docs must give the same rows in the same order each time, as a scan of files does; the
+    job fails if it doesn't.
+    """
+    return _cut(docs, cut, block_bytes or BLOCK_BYTES, True, False), shares_of(_cut(docs, cut, block_bytes or BLOCK_BYTES, False, True))
+
+
+def _content(doc_ids, texts) -> int:
+    """A hash of a block's rows, which is its number: shares meet texts only if they are of the same rows."""
+    import numpy as np
+    import xxhash
+
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    h = xxhash.xxh3_64(doc_ids.fill_null(-1).to_numpy().tobytes() + (ends - ends[0]).tobytes())
+    if texts.buffers()[2] is not None:
+        h.update(memoryview(texts.buffers()[2])[int(ends[0]) : int(ends[-1])])
+    return h.intdigest() >> 1
+
+
+def _cut(docs: DataFrame, cut: Callable, block_bytes: int, with_texts: bool, with_shares: bool) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(8, size // BUCKET_BYTES)
 
@@ -220,18 +245,22 @@ def blocks(docs: DataFrame, cut: Callable, block_bytes: int = BLOCK_BYTES) -> Da
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        n_blocks, size, part, held = 0, 0, 0, []
+        size, held = 0, []
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         names = ["block", "number", "doc_id", "pieces", "entry_block", "bucket", "numbers", "entries"]
 
         def whole() -> Iterator:
-            block = (part << 24) + n_blocks
             t = pa.Table.from_batches(held).combine_chunks()
             if not len(t):
                 return
-            numbers, listed = cut(t["text"].chunk(0).fill_null(""))
-            own = [pa.array([block] * len(numbers), pa.int64()), pa.array(range(len(numbers)), pa.int64()), t["doc_id"].chunk(0), pa.array([_pack([x]) for x in numbers], pa.binary())]
-            yield pa.RecordBatch.from_arrays(own + [pa.nulls(len(numbers), k) for k in kinds[4:]], names)
+            texts = t["text"].chunk(0).fill_null("")
+            block = _content(t["doc_id"].chunk(0), texts)
+            numbers, listed = cut(texts)
+            if with_texts:
+                own = [pa.array([block] * len(numbers), pa.int64()), pa.array(range(len(numbers)), pa.int64()), t["doc_id"].chunk(0), pa.array([_pack([x]) for x in numbers], pa.binary())]
+                yield pa.RecordBatch.from_arrays(own + [pa.nulls(len(numbers), k) for k in kinds[4:]], names)
+            if not with_shares:
+                return
             # pieces with the same first part (see cores) have the same bucket
             place = np.fromiter((zlib.crc32(p.partition("\n")[0].rstrip(",.").lower().encode()) for p in listed), np.int64, len(listed)) % buckets
             order = np.argsort(place, kind="stable")
@@ -242,7 +271,6 @@ def blocks(docs: DataFrame, cut: Callable, block_bytes: int = BLOCK_BYTES) -> Da
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:4]] + own, names)
 
         for batch in batches:
-            part = batch.column(2)[0].as_py() if len(batch) else part
             first = 0
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
             while first < len(batch):
@@ -254,12 +282,12 @@ def blocks(docs: DataFrame, cut: Callable, block_bytes: int = BLOCK_BYTES) -> Da
                 size += int(sizes[first - 1] - done)
                 if size >= block_bytes:
                     yield from whole()
-                    held, size, n_blocks = [], 0, n_blocks + 1
+                    held, size = [], 0
         if held:
             yield from whole()
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().cast("long"))
-    return stash(plain.mapInArrow(split, f"block long, number long, doc_id long, pieces binary, {ENTRIES}"), "piece-blocks")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(split, f"block long, number long, doc_id long, pieces binary, {ENTRIES}")
 
 
 def shares_of(found: DataFrame) -> DataFrame:
@@ -322,6 +350,8 @@ def put_together(found: DataFrame, shares: DataFrame, finish: Callable, schema:
 
         if not texts.num_rows:
             return finish([], [])
+        if not entries.num_rows:
+            raise RuntimeError("the texts differ between two readings")
         texts = texts.take(pa.array(np.argsort(texts["number"].to_numpy(), kind="stable")))
         numbers, sizes, flat = [], [], []
         for n, e in zip(entries["numbers"].to_pylist(), entries["entries"].to_pylist(), strict=True):

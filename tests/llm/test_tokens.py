@@ -105,3 +105,17 @@ def test_empty_tables(empty):
     assert packing.packing_digest(empty, P.path("word_bpe_49k.json")).count() == 0
     assert token_files.write_and_digest(empty, P.path("byte_bpe_50k.json")).count() == 0
     assert bpe.encoding_digest(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_texts_that_change_between_readings_fail(spark):
+    from pyspark.errors import PySparkException
+
+    def anew(batches):
+        import os
+
+        for b in batches:
+            yield b.assign(doc_id=b["id"], text=[os.urandom(5).hex() for _ in range(len(b))])[["doc_id", "text"]]
+
+    df = spark.range(100).mapInPandas(anew, "doc_id long, text string")
+    with pytest.raises(PySparkException, match="two readings"):
+        bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
