@@ -158,36 +158,32 @@ def _unpack_texts(data: bytes) -> list[str]:
 
 
 class Encoder:
-    """Encodes pieces one by one, and keeps the ids of a bounded number of parts: two generations of most."""
+    """Encodes pieces, and keeps the ids of a bounded number of pieces and parts: two generations of most."""
 
-    def __init__(self, tokenizer_file: str, parts_of: Callable[[str], list[str]] = cores, most: int = 250_000):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
-        self.parts_of, self.most = parts_of, most
+    def __init__(self, tokenizer_file: str, parts_of: Callable[[str], list[str]] = cores, most: int = 300_000):
+        self.tokens, self.parts_of, self.most = tokens(tokenizer_file), parts_of, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __call__(self, pieces: list[str]) -> list[bytes]:
-        from array import array
+    def _kept(self, keys) -> list[str]:
+        """The keys that aren't known; what was known before the last turn is known again."""
+        missing = []
+        for k in keys:
+            if k not in self.young:
+                known = self.old.get(k)
+                if known is None:
+                    missing.append(k)
+                else:
+                    self.young[k] = known
+        return missing
 
-        parts = [self.parts_of(p) for p in pieces]
-        young, old, missing = self.young, self.old, []
-        for x in {x for own in parts for x in own}.difference(young):
-            known = old.get(x)
-            if known is None:
-                missing.append(x)
-            else:
-                young[x] = known
-        for i in range(0, len(missing), 20_000):
-            some = missing[i : i + 20_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                young[x] = array("I", e.ids).tobytes()
-        out = [young[own[0]] if len(own) == 1 else b"".join(map(young.__getitem__, own)) for own in parts]
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        young = self.young
+        parts = {p: self.parts_of(p) for p in self._kept(pieces)}
+        missing = self._kept({x for own in parts.values() for x in own})
+        young.update(zip(missing, self.tokens(missing), strict=True))
+        young.update((p, b"".join(map(young.__getitem__, own))) for p, own in parts.items() if len(own) > 1)
+        out = list(map(young.__getitem__, pieces))
         if len(young) > self.most:
             self.young, self.old = {}, young
         return out
@@ -294,32 +290,80 @@ def shares_of(found: DataFrame) -> DataFrame:
     return found.where("entry_block is not null").select("entry_block", "bucket", "numbers", "entries")
 
 
-def with_tokenizer(shares: DataFrame, tokenizer_file: str, parts_of: Callable[[str], list[str]] = cores) -> DataFrame:
-    """shares (ENTRIES), with the ids of their pieces as entries."""
+def _byte_letters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: those that print stand for themselves, others follow from 256 on."""
+    printed = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def encode(t):
+
+class Tokens:
+    """The ids of parts of text by a tokenizers file.
+
+    A part that is one word of letters needs no search for words: it goes to the tokenizer's
+    model as it is written in the vocabulary. That the ids are the same is tried on the
+    first parts; if they aren't, all parts take the whole way.
+    """
+
+    TRIED = 2000
+
+    def __init__(self, tokenizer_file: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer.encode_special_tokens = True
+        self.letters, self.trials, self.direct = _byte_letters(), 0, True
+
+    def _whole(self, parts: list[str]) -> list[bytes]:
         from array import array
 
-        import pyarrow as pa
-        from tokenizers import Tokenizer
+        return [array("I", e.ids).tobytes() for i in range(0, len(parts), 20_000) for e in self.tokenizer.encode_batch_fast(parts[i : i + 20_000], add_special_tokens=False)]
+
+    def _word(self, part: str) -> bytes:
+        from array import array
 
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.encode_special_tokens = True
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def __call__(self, parts: list[str]) -> list[bytes]:
+        from unicodedata import is_normalized
+
+        normal = self.tokenizer.normalizer is not None
+        words = [i for i, p in enumerate(parts) if (p.isalpha() or (not normal and p[:1] == " " and p[1:].isalpha())) and not (normal and (p != p.lower() or not is_normalized("NFC", p)))] if self.direct else []
+        out: list = [None] * len(parts)
+        for i in words:
+            out[i] = self._word(parts[i])
+        if self.trials < self.TRIED and words:
+            tried = words[: self.TRIED]
+            self.trials += len(tried)
+            if self._whole([parts[i] for i in tried]) != [out[i] for i in tried]:
+                self.direct, out = False, [None] * len(parts)
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self._whole([parts[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
+
+@lru_cache(2)
+def tokens(tokenizer_file: str) -> Tokens:
+    """This process's tokenizer."""
+    return Tokens(tokenizer_file)
 
-        def ids_of(missing: list[str]) -> Iterator:
-            for i in range(0, len(missing), 20_000):
-                for e in tokenizer.encode_batch_fast(missing[i : i + 20_000], add_special_tokens=False):
-                    yield array("I", e.ids).tobytes()
 
-        return pa.table({"entry_block": t["entry_block"], "bucket": t["bucket"], "numbers": t["numbers"], "entries": pa.array(_resolved(t["entries"].to_pylist(), ids_of, parts_of), pa.binary())})
+def with_tokenizer(shares: DataFrame, tokenizer_file: str, parts_of: Callable[[str], list[str]] = cores) -> DataFrame:
+    """shares (ENTRIES), with the ids of their pieces as entries."""
+
+    def encode(t):
+        import pyarrow as pa
+
+        return pa.table({"entry_block": t["entry_block"], "bucket": t["bucket"], "numbers": t["numbers"], "entries": pa.array(_resolved(t["entries"].to_pylist(), tokens(tokenizer_file), parts_of), pa.binary())})
 
     return shares.groupBy("bucket").applyInArrow(encode, ENTRIES)
 
 
-def _resolved(rows: list[bytes], ids_of: Callable[[list[str]], Iterator], parts_of: Callable[[str], list[str]]) -> list[bytes]:
+def _resolved(rows: list[bytes], ids_of: Callable, parts_of: Callable[[str], list[str]]) -> list[bytes]:
     """For each row of packed pieces: sizes and ids of its pieces, packed. ids_of encodes parts that weren't met before."""
     import numpy as np
 

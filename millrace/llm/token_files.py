@@ -22,7 +22,7 @@ from millrace.llm.shared import shared_path, stash
 SCHEMA = "doc_id long, ids array<int>"
 STRIPE_BYTES, ROWS_PER_INDEX = 16 << 20, 1000
 #: Bytes of texts that are encoded at once (one text may be longer).
-AT_ONCE_BYTES = 8 << 20
+AT_ONCE_BYTES = 12 << 20
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, stripe_bytes: int = STRIPE_BYTES) -> None:

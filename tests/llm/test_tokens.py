@@ -101,6 +101,22 @@ def test_cores_are_safe_cuts():
             assert [i for x in parts for i in t.encode(x, add_special_tokens=False).ids] == t.encode(p, add_special_tokens=False).ids
 
 
+def test_words_go_the_direct_way(rows):
+    from tokenizers import Tokenizer
+
+    words = sorted({w for r in rows for w in (r.text or "").split()} | {"Σίσυφος", "e\u0301te", "İx", "straße", "ﬁn", "ALLCAPS"})
+    for file, space in (("byte_bpe_50k.json", " "), ("word_bpe_49k.json", "")):
+        t = Tokenizer.from_file(P.path(file))
+        parts = [space + w for w in words] + words
+        want = [numpy.array(e.ids, "<u4").tobytes() for e in t.encode_batch(parts, add_special_tokens=False)]
+        ids = pieces.Tokens(P.path(file))
+        assert ids(parts) == want and ids.direct
+        assert pieces.Encoder(P.path(file), most=50)(parts) == want
+    wrong = pieces.Tokens(P.path("byte_bpe_50k.json"))
+    wrong.letters = {**wrong.letters, ord("e"): "a"}
+    assert wrong(["there", " once"]) == pieces.Tokens(P.path("byte_bpe_50k.json"))._whole(["there", " once"]) and not wrong.direct
+
+
 def test_empty_tables(empty):
     assert packing.packing_digest(empty, P.path("word_bpe_49k.json")).count() == 0
     assert token_files.write_and_digest(empty, P.path("byte_bpe_50k.json")).count() == 0
