@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import operator
 from collections.abc import Callable
 from typing import TYPE_CHECKING
 
@@ -124,7 +123,3 @@ class Elements:
     def render(self, mode: str = "formatted") -> str:
         """The plan as text."""
         return self.spark._jvm.PythonSQLUtils.explainString(self.df._jdf.queryExecution(), mode)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return functools.reduce(operator.or_, conditions)
