@@ -166,9 +166,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         import regex
 
         words_of, tokens = regex.compile(matches).findall, _ranks(path)
-        different = set().union(*(pieces._unpack_texts(e) for e in t["entries"].to_pylist()))
-        words = {w for p in different for w in words_of(p)}
-        raw = sorted(b for b in (w.encode() for w in words) if b not in tokens)
+        different: set[str] = set()
+        for e in t["entries"]:
+            different.update(pieces._unpack_texts(e.as_py()))
+        raw = sorted({b for p in different for w in words_of(p) if (b := w.encode()) not in tokens})
+        del different
         lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, raw)]).astype(np.int32), pa.array(np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)))
         return pa.table({"of": pa.array(t["bucket"].to_pylist()[:1] * len(raw), pa.int32()), "bytes": lists})
 

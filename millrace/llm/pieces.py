@@ -279,8 +279,11 @@ def _cut(docs: DataFrame, cut: Callable, block_bytes: int, with_texts: bool, wit
                 if size >= block_bytes:
                     yield from whole()
                     held, size = [], 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from whole()
+        held.clear()
+        pa.default_memory_pool().release_unused()  # the worker lives on, and its memory counts
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(split, f"block long, number long, doc_id long, pieces binary, {ENTRIES}")
