@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,32 +160,32 @@ def _unpack_texts(data: bytes) -> list[str]:
 
 
 class Encoder:
-    """Encodes pieces, and keeps the ids of a bounded number of pieces and parts: two generations of most."""
+    """Encodes pieces, and keeps the ids of those that come more than once: two generations of most."""
 
     def __init__(self, tokenizer_file: str, parts_of: Callable[[str], list[str]] = cores, most: int = 300_000):
         self.tokens, self.parts_of, self.most = tokens(tokenizer_file), parts_of, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _kept(self, keys) -> list[str]:
-        """The keys that aren't known; what was known before the last turn is known again."""
-        missing = []
-        for k in keys:
-            if k not in self.young:
-                known = self.old.get(k)
+    def __call__(self, pieces: list[str], counts: list[int]) -> list[bytes]:
+        """The ids of different pieces, which come counts times."""
+        young, old = self.young, self.old
+        out, new = list(map(young.get, pieces)), []
+        for i, x in enumerate(out):
+            if x is None:
+                known = out[i] = old.get(pieces[i])
                 if known is None:
-                    missing.append(k)
+                    new.append(i)
                 else:
-                    self.young[k] = known
-        return missing
-
-    def __call__(self, pieces: list[str]) -> list[bytes]:
-        young = self.young
-        parts = {p: self.parts_of(p) for p in self._kept(pieces)}
-        missing = self._kept({x for own in parts.values() for x in own})
-        young.update(zip(missing, self.tokens(missing), strict=True))
-        young.update((p, b"".join(map(young.__getitem__, own))) for p, own in parts.items() if len(own) > 1)
-        out = list(map(young.__getitem__, pieces))
+                    young[pieces[i]] = known
+        parts = [self.parts_of(pieces[i]) for i in new]
+        local = {x: young.get(x) for own in parts for x in own}
+        missing = [x for x, known in local.items() if known is None]
+        local.update(zip(missing, self.tokens(missing), strict=True))
+        for i, own in zip(new, parts, strict=True):
+            out[i] = found = local[own[0]] if len(own) == 1 else b"".join(map(local.__getitem__, own))
+            if counts[i] > 1:
+                young[pieces[i]] = found
         if len(young) > self.most:
             self.young, self.old = {}, young
         return out
@@ -318,35 +320,33 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
+        #: Whether text is changed (lower case, normal form) before it is cut into words.
+        self.tokenizer_changes = self.tokenizer.normalizer is not None
         self.letters, self.trials, self.direct = _byte_letters(), 0, True
 
     def _whole(self, parts: list[str]) -> list[bytes]:
-        from array import array
-
         return [array("I", e.ids).tobytes() for i in range(0, len(parts), 20_000) for e in self.tokenizer.encode_batch_fast(parts[i : i + 20_000], add_special_tokens=False)]
 
-    def _word(self, part: str) -> bytes:
-        from array import array
+    def _words(self, parts: list[str]) -> list[bytes]:
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        return [array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes() for p in parts]
 
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+    def _is_word(self, part: str) -> bool:
+        if self.tokenizer_changes:
+            return part.isalpha() and part == part.lower() and is_normalized("NFC", part)
+        return part.isalpha() or (part[:1] == " " and part[1:].isalpha())
 
     def __call__(self, parts: list[str]) -> list[bytes]:
-        from unicodedata import is_normalized
-
-        normal = self.tokenizer.normalizer is not None
-        words = [i for i, p in enumerate(parts) if (p.isalpha() or (not normal and p[:1] == " " and p[1:].isalpha())) and not (normal and (p != p.lower() or not is_normalized("NFC", p)))] if self.direct else []
-        out: list = [None] * len(parts)
-        for i in words:
-            out[i] = self._word(parts[i])
+        words = [p for p in parts if self._is_word(p)] if self.direct else []
+        found = dict(zip(words, self._words(words), strict=True))
         if self.trials < self.TRIED and words:
             tried = words[: self.TRIED]
             self.trials += len(tried)
-            if self._whole([parts[i] for i in tried]) != [out[i] for i in tried]:
-                self.direct, out = False, [None] * len(parts)
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self._whole([parts[i] for i in rest]), strict=True):
-            out[i] = x
-        return out
+            if self._whole(tried) != [found[p] for p in tried]:
+                self.direct, found = False, {}
+        rest = [p for p in parts if p not in found]
+        found.update(zip(rest, self._whole(rest), strict=True))
+        return [found[p] for p in parts]
 
 
 @lru_cache(2)

@@ -43,7 +43,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
                 doc_ids, texts = (batch.column(i).slice(first, last - first) for i in (0, 1))
                 first = last
                 numbers, listed = pieces.byte_level(texts.fill_null(""))
-                found = [*encode(listed), end]
+                counts = np.bincount(np.concatenate(numbers), minlength=len(listed)).tolist()
+                found = [*encode(listed, counts), end]
                 n_ids = np.array([len(x) // 4 for x in found], np.int64)
                 flat = np.frombuffer(b"".join(found), "<i4")
                 stop = np.array([len(listed)])  # each text ends with the piece of the end id
