@@ -15,7 +15,7 @@ itself; a null doc_id is carried; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -154,8 +154,8 @@ def _bytes_of(lists, kind: str) -> Iterator[bytes]:
             start = end
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers) for each row of docs (doc_id, text)."""
+def encode(docs: DataFrame, path: str, pattern: str, finish: Callable = pieces.ids_only, schema: str = "doc_id long, ids binary") -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit integers) for each row of docs (doc_id, text), or what finish makes of them."""
     matches = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
     texts, shares = pieces.unstashed_blocks(docs, pieces.byte_level)
 
@@ -195,36 +195,49 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         return pa.table({"entry_block": t["entry_block"], "bucket": t["bucket"], "numbers": t["numbers"], "entries": pa.array(entries, pa.binary())})
 
     encoded = shares.groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(resolve, pieces.ENTRIES)
-    return pieces.put_together(texts, encoded, pieces.ids_only, "doc_id long, ids binary")
+    return pieces.put_together(texts, encoded, finish, schema)
+
+
+def decoded(ids: list[bytes], path: str) -> Iterator[bytes]:
+    """The vocabulary's pieces for each of the ids, put together."""
+    import numpy as np
+
+    tokens = read_ranks(path)
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(tokens), np.uint8)
+    for x in ids:
+        yield pieces.gathered(np.frombuffer(x, "<u4"), starts, sizes, flat)[0].tobytes()
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (doc_id, ids) with decoded: the bytes its ids stand for."""
 
     def put_together(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        tokens = read_ranks(path)
-        sizes = np.array([len(t) for t in tokens], np.int64)
-        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(tokens), np.uint8)
         for batch in batches:
-            found = []
-            for x in batch.column("ids").to_pylist():
-                found.append(pieces.gathered(np.frombuffer(x, "<u4"), starts, sizes, flat)[0].tobytes())
+            found = list(decoded(batch.column("ids").to_pylist(), path))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(put_together, "doc_id long, ids binary, decoded binary")
 
 
 def encoding_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs."""
-    return decode(encode(docs, path, pattern), path).select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs: digests of encode()'s ids and of what they decode to."""
+
+    def digest(doc_ids: list, ids: list[bytes]):
+        from hashlib import sha256
+
+        import pyarrow as pa
+
+        return pa.table({
+            "doc_id": pa.array(doc_ids, pa.int64()),
+            "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+            "ids_sha256": pa.array([sha256(x).hexdigest() for x in ids], pa.string()),
+            "decoded_sha256": pa.array([sha256(x).hexdigest() for x in decoded(ids, path)], pa.string()),
+        })
+
+    return encode(docs, path, pattern, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:

@@ -90,6 +90,12 @@ def test_bpe(documents, rows):
     assert sorted((g.doc_id or -1, g.n_tokens, g.ids_sha256, g.decoded_sha256) for g in got) == sorted(want)
 
 
+def test_decoding_gives_the_texts(documents, rows):
+    path = P.path("byte_bpe_50k.tiktoken")
+    got = bpe.decode(bpe.encode(documents, path, P.PATTERN), path).collect()
+    assert sorted((g.doc_id or -1, bytes(g.decoded)) for g in got) == sorted((r.doc_id or -1, (r.text or "").encode()) for r in rows)
+
+
 def test_cores_are_safe_cuts():
     from tokenizers import Tokenizer
 
