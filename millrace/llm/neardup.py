@@ -15,6 +15,9 @@ ROWS: at a similarity of 0.8 two texts share no band with a probability of 0.000
 a band are compared, by their sets of shingles, with the first and the last of it, not all
 with all. Where a band's texts are in several classes after that, those of different classes
 are compared: all of them in bands of up to SMALL texts, with CENTERS more in larger ones.
+Larger bands that still hold several classes go to an exact join: a pair of THRESHOLD or more
+has the rarest shingle it shares among the first ones of both (prefix, length and position
+filters), so every such pair of different classes is compared.
 
 Classes are the connected components of links of THRESHOLD or more, by the alternation of
 large and small stars.
@@ -37,6 +40,9 @@ from millrace.llm.shared import scratch, stash
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 SMALL, CENTERS = 32, 3
+#: Slots in which shingles' holders are counted (they only set the order from rare to common),
+#: and holders of a shingle that one task pairs with all others.
+SLOTS, HOT = 1 << 20, 2000
 
 #: Bounds of the first cells of rank; each further one is 1 wide.
 _FIRST_CELLS = (0.0, 0.25, 0.5, 1.0)
@@ -245,6 +251,64 @@ def _similar(pairs: DataFrame, sketched: DataFrame, threshold: float) -> DataFra
     return joined.mapInArrow(verify, "a long, b long")
 
 
+def _sharing(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of rows (row, class) of different classes; all pairs of threshold or more are among them.
+
+    With each text's shingles from rare to common, the first that two texts share is at places
+    i and j, and they share at most what is left of either from there on. Any order that is the
+    same for all texts gives right results; the counts make few texts meet.
+    """
+    sets = stash(rows.join(sketched.select("row", "shingles"), "row"), "open-texts")
+
+    def count(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(n, np.frombuffer(x, "<u4") % SLOTS, 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "n"])
+
+    import numpy as np
+
+    counted = sets.select("shingles").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator) -> Iterator:
+        import math
+
+        import numpy as np
+        import pyarrow as pa
+
+        n = shared.value
+        for batch in batches:
+            found, sizes, lengths = [np.zeros(0, np.uint32)], [], []
+            for x in batch.column("shingles").to_pylist():
+                x = np.frombuffer(x, "<u4")
+                found.append(x[np.lexsort((x, n[x % SLOTS]))][: len(x) - math.ceil(threshold * len(x) - 1e-6) + 1])
+                sizes.append(len(x))
+                lengths.append(len(found[-1]))
+            of = np.repeat(np.arange(len(sizes)), lengths)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            take = pa.array(of)
+            columns = [pa.array(np.concatenate(found).view(np.int32)), batch.column("row").take(take), batch.column("class").take(take)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(sizes, np.int32)[of]), pa.array(place.astype(np.int32))], ["shingle", "row", "class", "n", "at"])
+
+    first = stash(sets.mapInArrow(prefixes, "shingle int, row long, class long, n int, at int"), "prefixes")
+    held = first.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("class").alias("c1"), F.max("class").alias("c2")).where("c1 != c2")
+    met = first.join(held.select("shingle", F.ceil(F.col("holders") / HOT).cast("int").alias("salts")), "shingle")
+    one = met.withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
+    all_of = met.select("shingle", F.col("row").alias("row2"), F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    least = (F.col("n") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-6
+    near = (F.col("class") < F.col("class2")) & (F.col("n") - F.col("at") >= least) & (F.col("n2") - F.col("at2") >= least)
+    near &= (F.col("n") >= threshold * F.col("n2") - 1e-6) & (F.col("n2") >= threshold * F.col("n") - 1e-6)
+    return one.join(all_of, ["shingle", "salt"]).where(near).select(F.greatest("row", "row2").alias("a"), F.least("row", "row2").alias("b")).distinct()
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, class (its component's least node) for the nodes of links (a, b)."""
     links = stash(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -290,6 +354,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGL
         if not more.isEmpty():
             found = stash(components(found.select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(more)), "classes")
 
+        large = mixed.where(F.col("size") > SMALL).select("band", "row").join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("class", F.coalesce("class", "row"))
+        several = large.groupBy("band").agg(F.min("class").alias("c1"), F.max("class").alias("c2")).where("c1 != c2")
+        rest = stash(large.join(several, "band", "left_semi").select("row", "class").distinct(), "open")
+        if not rest.isEmpty():
+            more = stash(_similar(_sharing(rest, texts, threshold), texts, threshold), "last-similar")
+            if not more.isEmpty():
+                found = stash(components(found.select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(more)), "classes")
+
     of_content = firsts.select("content", "first").join(found.withColumnRenamed("node", "first"), "first", "left").select("content", F.coalesce("class", "first").alias("of_content"))
     return sketched.select("row", "doc_id", "content").join(of_content, "content", "left").select("row", "doc_id", F.coalesce("of_content", "row").alias("class_id"))
 

@@ -97,6 +97,30 @@ def test_large_groups(spark):
     assert found_classes(df) == near_classes(texts)
 
 
+def test_pairs_hidden_in_families(spark, monkeypatch):
+    """Families of texts at 0.6 to each other, and in each a few at 0.84 that nothing sets apart."""
+    rng = random.Random(11)
+    texts = []
+    for f in range(5):
+        template = [f"f{f}w{rng.randint(0, 10**6)}" for _ in range(120)]
+
+        def edited(n, template=template):
+            w = template[:]
+            for i in rng.sample(range(6, 114), n):
+                w[i] = f"e{rng.randint(0, 10**9)}"
+            return " ".join(w)
+
+        own = [edited(3) for _ in range(200)]
+        for _ in range(3):
+            own.insert(rng.randint(40, 160), edited(1))
+        texts += own
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = near_classes(texts)
+    assert found_classes(df) == want
+    monkeypatch.setattr(neardup, "HOT", 10)
+    assert found_classes(df) == want
+
+
 def test_deduplicate(documents, empty):
     out = neardup.deduplicate(documents)
     assert out.dtypes == documents.dtypes
