@@ -1,16 +1,17 @@
 """Operator 10, quality rules: counts of a text and n-gram perplexity bands.
 
 The language model is a modified Kneser-Ney model of byte n-grams, one for each language.
-Spark counts the n-grams of the highest order over all texts; the tables of lower orders
+Spark counts the n-grams of the highest order over all distinct texts; the tables of lower orders
 (continuation counts), the discounts, context sums and interpolated probabilities are
 aggregations and joins of that table. The model is kept as arrays sorted by the n-grams'
 hashes and searched by bisection. A text's perplexity is per byte of its whole text; the
 bands of a language are its median of log-perplexity plus and minus multiples of the spread
-between quartiles, over all its texts that pass the base rules.
+between quartiles, over all its distinct texts that pass the base rules.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null lang is a
-language of its own; rows that repeat are judged each for itself; a text is kept where its
-language has no spread; an empty table gives no rows; other columns aren't read.
+language of its own; rows that repeat are judged each for itself, and count once for the
+bands; bands are at least LEAST_SPREAD times their multiple wide; an empty table gives no rows;
+other columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,9 +32,13 @@ HELD_GRAMS = 1 << 21
 #: language's model goes to the groups of its texts.
 BROADCAST_GRAMS = 4_000_000
 GROUP_DOCS = 20_000
-BELOW, ABOVE = 8.0, 8.0
+#: Multiples of the spread between the median and a quartile; 5 is 3.4 standard deviations of a
+#: normal spread.
+BELOW, ABOVE = 5.0, 5.0
 #: Bins of log-perplexity in a bit.
 BINS = 1000
+#: The least spread, in bits.
+LEAST_SPREAD = 0.01
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double"
 
@@ -211,10 +216,10 @@ def _measured(texts: list[str | None], langs: list[str], models: dict[str, Model
 
 
 def measure(docs: DataFrame, grams_of: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """doc_id, lang and BASE for each row of docs, by the model of its lang."""
+    """doc_id, lang, content (hash of the text) and BASE for each row of docs, by the model of its lang."""
     import pandas as pd
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _language().alias("lang"), F.col("text").cast("string").alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _language().alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("content"))
     names = [x.split()[0] for x in BASE.split(", ")]
     spark = docs.sparkSession
     if grams_of.count() <= broadcast_grams:
@@ -234,42 +239,48 @@ def measure(docs: DataFrame, grams_of: DataFrame, broadcast_grams: int = BROADCA
                 langs = batch.column(1).to_pylist()
                 columns = _measured(batch.column(2).to_pylist(), langs, models)
                 kinds = [pa.int64()] * 5 + [pa.float64()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "lang", *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "lang", "content", *names])
 
-        return plain.mapInArrow(scored, f"doc_id long, lang string, {BASE}")
+        return plain.mapInArrow(scored, f"doc_id long, lang string, content long, {BASE}")
 
     groups = -(-docs.count() // GROUP_DOCS)
     salted = plain.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     dealt = grams_of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def grouped(texts: pd.DataFrame, grams_in: pd.DataFrame) -> pd.DataFrame:
-        out = texts[["doc_id", "lang"]].copy()
+        out = texts[["doc_id", "lang", "content"]].copy()
         models = {lang: Model(*(x[c].to_numpy() for c in ("size", "gram", "p", "gamma"))) for lang, x in grams_in.groupby("lang")}
         for name, values in zip(names, _measured(texts["text"].tolist(), texts["lang"].tolist(), models), strict=True):
             out[name] = values
         return out
 
-    return salted.groupBy("lang", "salt").cogroup(dealt.groupBy("lang", "salt")).applyInPandas(grouped, f"doc_id long, lang string, {BASE}")
+    return salted.groupBy("lang", "salt").cogroup(dealt.groupBy("lang", "salt")).applyInPandas(grouped, f"doc_id long, lang string, content long, {BASE}")
 
 
 def bands(measured: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """lang, low and high: limits of bits, from the quartiles of all rows that pass the base rules."""
-    bins = measured.where(~F.col("base_failed")).groupBy("lang", F.round(F.col("bits") * BINS).alias("bin")).agg(F.count("*").alias("n"))
+    """lang, low and high: limits of bits, from the quartiles of all distinct texts that pass the base rules."""
+    distinct = measured.where(~F.col("base_failed")).groupBy("lang", "content").agg(F.min("bits").alias("bits"))
+    bins = distinct.groupBy("lang", F.round(F.col("bits") * BINS).alias("bin")).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("lang").orderBy("bin"))
     whole = F.sum("n").over(Window.partitionBy("lang"))
     ranked = bins.withColumn("upto", upto).withColumn("whole", whole)
     at = {q: F.min(F.when(F.col("upto") >= q * F.col("whole"), F.col("bin"))) / BINS for q in (0.25, 0.5, 0.75)}
     found = ranked.groupBy("lang").agg(at[0.25].alias("q1"), at[0.5].alias("q2"), at[0.75].alias("q3"))
-    return found.select(F.col("lang").alias("_lang"), (F.col("q2") - below * (F.col("q2") - F.col("q1"))).alias("low"), (F.col("q2") + above * (F.col("q3") - F.col("q2"))).alias("high"))
+    low = F.col("q2") - below * F.greatest(F.col("q2") - F.col("q1"), F.lit(LEAST_SPREAD))
+    high = F.col("q2") + above * F.greatest(F.col("q3") - F.col("q2"), F.lit(LEAST_SPREAD))
+    return found.select(F.col("lang").alias("_lang"), *((F.round(x * BINS) / BINS).alias(name) for name, x in (("low", low), ("high", high))))
 
 
 def judge(docs: DataFrame, below: float = BELOW, above: float = ABOVE, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """The counts, perplexity and verdict of each row of docs (doc_id, text, lang)."""
-    found = measure(docs, model(docs), broadcast_grams)
+    # copies of a text count once, in the model as in the bands: else they'd make themselves likely
+    texts = docs.select(_language().alias("lang"), F.col("text").cast("string").alias("text"))
+    distinct = texts.groupBy("lang", F.xxhash64("text").alias("content")).agg(F.first("text").alias("text"))
+    found = measure(docs, model(distinct), broadcast_grams)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = stash(found.withColumn("base_failed", failed), "measured")
     limits = bands(found, below, above)
-    inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")) | (F.col("low") == F.col("high")), F.lit(True))
+    inside = F.coalesce((F.round(F.col("bits") * BINS) / BINS).between(F.col("low"), F.col("high")), F.lit(True))
     return (
         found.join(limits, F.col("lang") == F.col("_lang"), "left")
         .withColumn("kept", ~F.col("base_failed") & inside)

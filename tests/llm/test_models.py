@@ -1,6 +1,7 @@
 """Operators 3, 6 and 10."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -152,3 +153,29 @@ def test_rules_ways_agree_and_bands_reject(spark, documents, empty):
     tight = rules.judge(documents, 0.5, 0.5).collect()
     assert 0 < sum(r.kept for r in tight) < sum(r.kept for r in whole)
     assert rules.judge(empty).count() == 0
+
+
+def test_bands_reject_junk_and_keep_clean_beside_copies(spark):
+    rng = random.Random(4)
+    stems = ["water", "house", "green", "letter", "morning", "river", "table", "winter", "garden", "open", "the", "and", "with", "over"]
+    clean = [" ".join(w + rng.choice(["", "s", "ing", "ed"]) + rng.choice(["", ",", str(i)]) for w in rng.choices(stems, k=150)) for i in range(200)]
+    clean[0] += " ~"  # a byte with one context: the discounts need some n-grams that are rare
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = [" ".join("".join(rng.choices(letters, k=6)) for _ in range(150)) for _ in range(3)]
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' as lang")
+    ranked = [r.doc_id for r in rules.judge(frame(clean)).orderBy("perplexity").collect()]
+    copies = [clean[ranked[110]]] * 100
+    kept = {r.doc_id: r.kept for r in rules.judge(frame(clean + junk + copies)).collect()}
+    assert sum(kept[i] for i in range(200)) >= 190
+    assert not any(kept[i] for i in range(200, 203))
+    assert all(kept[i] for i in range(203, 303))
+
+
+def test_bands_of_distinct_texts(spark):
+    clean = [(i, 2 + i / 1000) for i in range(200)]
+    measured = lambda rows: spark.createDataFrame([("en", c, float(b), False) for c, b in rows], "lang string, content long, bits double, base_failed boolean")
+    want = rules.bands(measured(clean)).first()
+    assert rules.bands(measured(clean + [clean[135]] * 100)).first() == want
+    assert want.low < 2 and 2.2 < want.high < 2.1 + 6 * 0.05
+    alike = rules.bands(measured([(1, 2.0004)])).first()
+    assert alike.low < 2.0 < alike.high
