@@ -139,8 +139,12 @@ def _unpack(data: bytes) -> list:
 
 
 def lowered_cores(piece: str) -> list[str]:
-    """cores(), in lower case where that is the same for all: for a tokenizer that does so itself."""
-    return cores(piece.lower() if piece and max(piece) < "\u0130" else piece)
+    """cores() in lower case, for a tokenizer that lowers and normalises text itself.
+
+    Further letters may become a letter and a mark (U+0130 is the first), which may belong to
+    what stands after it in the tokenizer's eyes: pieces with such stay whole.
+    """
+    return cores(piece.lower()) if piece and max(piece) < "\u0130" else [piece]
 
 
 def _pack_texts(texts: list[str]) -> bytes:

@@ -143,3 +143,24 @@ def test_texts_that_change_between_readings_fail(spark):
     df = spark.range(100).mapInPandas(anew, "doc_id long, text string")
     with pytest.raises(PySparkException, match="two readings"):
         bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+
+
+#: Letters that change when lowered or normalised, marks, ligatures, odd spaces, and what stands beside words.
+ODD = [*"aeioutnshlZQMÉéèüßİıſKÅﬁﬂªº½٣पकि中文字か한ςЖж,.;:!?'\"()-_&$#@%019 ", "  ", "\n", "\t", " ", " ", "　", "\u0085", "​", "﻿", "́", "̇", "̨", "‍", "😀", "'s", "<|endoftext|>", "\x1c", "\x00", "\r\n", "İ.", "İ,", "é.", "a,\nb."]
+
+
+@pytest.mark.parametrize("file,cut,parts", [("word_bpe_49k.json", pieces.spaceless, pieces.lowered_cores), ("byte_bpe_50k.json", pieces.byte_level, pieces.cores)])
+def test_pieces_of_odd_texts_have_the_texts_ids(file, cut, parts):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 50))) for _ in range(10_000)]
+    t = Tokenizer.from_file(P.path(file))
+    t.encode_special_tokens = True
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    numbers, listed = cut(pa.array(texts))
+    ids = pieces.Encoder(P.path(file), parts)(listed, [2] * len(listed))
+    assert [numpy.frombuffer(b"".join(ids[j] for j in own), "<u4").tolist() for own in numbers] == want
