@@ -1,4 +1,12 @@
-"""The corpus pipeline: its stages in order, each over all that the one before kept."""
+"""The corpus pipeline: its stages in order, each over all that the one before kept.
+
+Defined cases. Every stage takes documents with any further columns, whatever their names,
+and all but the last return the same columns. Null and empty texts have no language and go
+in the first stage, as do texts without a letter; a null doc_id is carried; rows that repeat
+are judged alike, and near-dedup keeps one of them (of equal ids, any one); ties of languages
+go, ties at the quality threshold stay; very long texts are worked on whole, some at a time;
+an empty table passes through all stages and gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +17,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import language, neardup, packing, quality, repeats
 from millrace.llm.queries import learned_languages, learned_quality, vocabulary
-from millrace.llm.shared import stash, table
+from millrace.llm.shared import scratch, stash, table
 
 
 def _where(docs: DataFrame, judge: Callable[[DataFrame, tuple[Column, ...]], DataFrame], kept: str) -> DataFrame:
@@ -60,5 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):  # a stage's own tables go when its result is written
+            docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"), outlives=True)
     return STAGES[-1][1](spark, docs, sf_dir)
