@@ -5,11 +5,14 @@ A text, reduced to its words of letters in lower case, is encoded block by block
 with each language's dictionary; the language whose encoding is smallest is predicted, and
 rejected where the next is within a margin.
 
-Learning takes a bounded sample: DICTIONARY_DOCS texts of a language, PIECE_CHARS of each.
+Learning takes a bounded sample: DICTIONARY_DOCS different texts of a language, PIECE_CHARS of
+each from a hashed place on, so what many texts begin with doesn't fill the dictionary.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; ties
 go to the first language in alphabetical order (and are rejected); with no learned language
-all are `und`; rows that repeat are predicted each for itself; an empty table gives no rows.
+all are `und`; rows that repeat are predicted each for itself, and learnt from once; a text of
+any length is encoded whole, a block at a time; an empty table gives no rows; other columns
+are carried if they are named, else not read.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ MARGIN = 0.01
 #: Scores are exp(-SHARPNESS * relative excess), normalised over the languages.
 SHARPNESS = 60.0
 UNKNOWN = "und"
+#: Languages whose sizes (a few bytes each) may go to every task; beyond it they are joined.
+MOST_BROADCAST = 10_000
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -34,19 +39,23 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 def learn(labelled: DataFrame, docs_per_lang: int = DICTIONARY_DOCS, piece_chars: int = PIECE_CHARS) -> dict[str, bytes]:
     """Dictionaries by language, of a sample of labelled (doc_id, text, lang).
 
-    The sample is that of the lowest hashes of doc_id; a threshold by each language's number
-    of rows leaves a few times the rows that are needed before any are ranked.
+    The sample is that of the lowest hashes of texts; a threshold by each language's number
+    of rows leaves a few times the rows that are needed before any move.
     """
-    rows = labelled.where("text is not null and lang is not null").select("doc_id", "lang", F.substring("text", 1, piece_chars).alias("piece"))
-    rows = rows.withColumn("_at", F.xxhash64("doc_id", "piece") / F.lit(2.0**64) + 0.5)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    few = rows.join(sizes, "lang").where(F.col("_at") * F.col("_n") <= 4 * docs_per_lang)
-    ranked = few.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_at", "doc_id", "piece"))).where(F.col("_rank") <= docs_per_lang)
+    rows = labelled.where("text is not null and lang is not null")
+    counts = rows.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n")).limit(MOST_BROADCAST + 1).toArrow()
+    sizes = labelled.sparkSession.createDataFrame(counts) if counts.num_rows <= MOST_BROADCAST else rows.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
+    hashed = rows.select("lang", "text", F.xxhash64("text").alias("_hash"))
+    few = hashed.join(F.broadcast(sizes) if counts.num_rows <= MOST_BROADCAST else sizes, F.col("lang") == F.col("_lang"))
+    few = few.where((F.col("_hash") / F.lit(2.0**64) + 0.5) * F.col("_n") <= 4 * docs_per_lang)
+    start = F.pmod(F.xxhash64("_hash"), F.greatest(F.lit(1), F.length("text") - piece_chars + 1)) + 1
+    pieces_of = few.groupBy("lang", F.col("text").substr(start.cast("int"), F.lit(piece_chars)).alias("piece")).agg(F.min("_hash").alias("_hash"))
+    ranked = pieces_of.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "piece"))).where(F.col("_rank") <= docs_per_lang)
     pieces: dict[str, list[str]] = {}
     for lang, piece in ranked.orderBy("lang", "_rank").select("lang", "piece").collect():
         pieces.setdefault(lang, []).append(piece)
-    found = {lang: b"\n".join(dict.fromkeys(map(_reduced, p))) for lang, p in pieces.items()}
-    return {lang: x for lang, x in found.items() if len(x) >= 8}
+    # zstandard takes dictionaries of 8 bytes or more
+    return {lang: b"\n".join(dict.fromkeys(map(_reduced, p))).ljust(8) for lang, p in pieces.items()}
 
 
 def _reduced(text: str) -> bytes:
