@@ -1,12 +1,17 @@
 """Operator 7, token-id output: ORC files of documents' ids.
 
 Files hold (doc_id, ids) in ascending doc_id order over all files: a range shuffle deals
-the texts, each task sorts its range and encodes as it writes, some texts at a time. ORC keeps ids and doc_ids
-in integer run-length encoding, in stripes that are read in parallel, with row indexes and
-Bloom filters on doc_id by which a search for documents skips stripes and row groups.
+the texts, each task sorts its range and encodes as it writes, some texts at a time. Ranges
+are cut within a doc_id too, so one that many rows have isn't one task's. ORC keeps ids and
+doc_ids in integer run-length encoding, in stripes that are read in parallel, with row indexes
+and Bloom filters on doc_id by which a search for documents skips stripes and row groups.
 
-Defined cases: a null or empty text has the end id alone; rows that repeat follow each
-other; null doc_ids come first; an empty table writes no rows; other columns aren't read.
+What is read back keeps each row's place: file, stripe's part of the file, and row of it.
+
+Defined cases: a null or empty text has the end id alone; rows of one doc_id follow each
+other by a hash of their texts, and equal rows in the order of the table; null doc_ids come
+first; a text of any length is one row; an empty table writes no rows; other columns aren't
+read.
 """
 
 from __future__ import annotations
@@ -54,9 +59,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(offsets, pa.array(ids))], ["doc_id", "ids"])
 
     end = int(end_id).to_bytes(4, "little")
-    ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = ("doc_id", "_hash", "_row")
+    ranged = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     (
-        ranged.mapInArrow(ids_of, SCHEMA)
+        ranged.select("doc_id", "text").mapInArrow(ids_of, SCHEMA)
         .write.option("compression", "zstd")
         .option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", ROWS_PER_INDEX)
@@ -89,14 +96,16 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
             starts = np.concatenate([[0], ends[:-1]])
             raw = memoryview(values.tobytes())
             sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - starts, pa.int64()), pa.array(sums, pa.int64()), batch.column(2)], ["doc_id", "n_tokens", "ids_crc32", "_file"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - starts, pa.int64()), pa.array(sums, pa.int64()), *batch.columns[2:]], ["doc_id", "n_tokens", "ids_crc32", "_file", "_part", "_row"])
 
-    file_number = F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("long")
-    counted = read_tokens(spark, path).withColumn("_file", file_number).mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, _file long")
-    counted = stash(counted, "token-digest")
+    number = lambda mark: F.regexp_extract("_metadata.file_name", rf"{mark}(\d+)", 1).cast("long")
+    file_number = number("part-") * 1_000_000 + number("-c")
+    # the rows of a part of a file are read by one task, in their order
+    placed = read_tokens(spark, path).select("doc_id", "ids", file_number.alias("_file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_row"))
+    counted = stash(placed.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, _file long, _part long, _row long"), "token-digest")
     earlier_files = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counted.groupBy("_file").agg(F.sum("n_tokens").alias("_n")).select("_file", F.coalesce(F.sum("_n").over(earlier_files), F.lit(0)).alias("_first"))
-    earlier_rows = Window.partitionBy("_file").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_rows = Window.partitionBy("_file").orderBy("_part", "_row").rowsBetween(Window.unboundedPreceding, -1)
     return (
         counted.withColumn("_before", F.coalesce(F.sum("n_tokens").over(earlier_rows), F.lit(0)))
         .join(firsts, "_file")

@@ -66,6 +66,25 @@ def test_token_files(spark, documents, rows):
     assert sorted((g.start, g.doc_id, g.n_tokens, g.ids_crc32) for g in got) == sorted((s, d, n, c) for d, s, n, c in want)
 
 
+def test_places_are_those_in_the_files(spark):
+    """Repeated ids with different texts, read straight from the files."""
+    from glob import glob
+
+    from pyarrow import orc
+
+    texts = ["a b c d e f g h", "x y", "one two three four five six", "z", "k k k", "m n o p q r s t u v"] * 3
+    df = spark.createDataFrame([*((5, t) for t in texts), (3, "q"), (None, "w w"), (9, None), (5, "x" * 300_000)], "doc_id long, text string").repartition(4)
+    path = shared_path(spark, "token-places")
+    token_files.write_tokens(df, path, P.path("byte_bpe_50k.json"))
+    want, at = [], 0
+    for f in sorted(glob(path.removeprefix("file:") + "/part*.orc")):
+        t = orc.read_table(f)
+        for d, i in zip(t["doc_id"].to_pylist(), t["ids"].to_pylist(), strict=True):
+            want.append((d, at, len(i), zlib.crc32(numpy.array(i, "<u4").tobytes())))
+            at += len(i)
+    assert sorted(map(tuple, token_files.token_digest(spark, path).collect()), key=str) == sorted(want, key=str)
+
+
 def test_token_files_are_searched_by_metadata(spark, documents):
     path = shared_path(spark, "token-files")
     token_files.write_tokens(documents, path, P.path("byte_bpe_50k.json"))
