@@ -96,7 +96,7 @@ def buckets(hashes, limit):
 @pytest.mark.parametrize("limit", [20_000, 3_000, 10**9])
 def test_shards(documents, limit):
     got = sharding.shard(documents, limit).collect()
-    rows = documents.select(F.xxhash64("doc_id").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("b")).collect()
+    rows = documents.select(sharding.key(F.col("doc_id")).alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("b")).collect()
     want = buckets([(r.h % 2**64, r.b) for r in rows], limit)
     assert len(got) == len(rows)
     sizes, declared = Counter(), {}
@@ -131,3 +131,25 @@ def test_shards_of_nothing(empty):
 def test_shards_run_no_python(documents):
     plan = documents.sparkSession._jvm.PythonSQLUtils.explainString(sharding.shard(documents, 20_000)._jdf.queryExecution(), "simple")
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_shards_agree_with_sql(spark, sf):
+    import duckdb
+
+    from millrace.llm import queries
+
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '/root/testdata/{sf}/documents.parquet'")
+    want = db.execute(queries.oracle_sql()["op8_sharding"]).fetchall()
+    got = queries.op8_sharding(spark, f"/root/testdata/{sf}").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert len({r.shard for r in got}) > 16
+
+
+def test_many_small_shards(spark):
+    """Some 10**5 prefixes: all of them in the first pass, and each row in one shard."""
+    df = spark.range(200_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 40).cast("int")).alias("text"))
+    got = sharding.shard(df, 100).groupBy("shard").agg(F.sum("n_bytes").alias("n"), F.first("shard_bytes").alias("declared"), F.count("*").alias("rows")).collect()
+    assert sum(r.rows for r in got) == 200_000 and all(r.n == r.declared <= 100 for r in got)
+    assert 39_000 < len(got) < 150_000
