@@ -6,10 +6,19 @@ other distinct words are encoded by Spark's higher-order functions: a fold over
 byte array merges, in each step, the leftmost pair of lowest rank, looked up in a literal
 rank map. Pieces get their words' ids, and blocks put their texts' ids together.
 
+A fold takes time with the square of a word's length, so words of more than WIDTH bytes are
+folded in windows that overlap. A row of tokens is a word's encoding if each two neighbours
+are that of their bytes, as they are in any encoding that has them side by side; so two
+windows that have a token of their overlap in common are the word's encoding on either side
+of it. Where two windows share none (hardly ever outside of runs of one character), the word
+is merged by a heap instead.
+
 Decoding concatenates the vocabulary's binary pieces.
 
 Defined cases: a null or empty text has no ids; rows that repeat are encoded each for
-itself; a null doc_id is carried; an empty table gives no rows; other columns aren't read.
+itself; a null doc_id is carried; texts and words may be of any length, at a cost in
+proportion to it; ties of rank go to the leftmost pair; an empty table gives no rows; other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,6 +34,8 @@ from millrace.llm import pieces
 
 #: Bits of a rank in the rank map's entries.
 RANK_BITS = 18
+#: Bytes of a window of a long word, and from one window's start to the next's.
+WIDTH, STEP = 192, 128
 #: Factors of the places that a pair may have in the rank map.
 FIRST, SECOND = (7919, 104729), (15485863, 32452843)
 
@@ -141,6 +152,55 @@ def merged_ids(word: Column, path: str) -> Column:
     return _let(F.struct(_literal(table, "bigint").alias("table"), _literal(of_bytes, "int").alias("bytes")), fold)
 
 
+def windows(word: bytes) -> list[bytes]:
+    """The overlapping parts in which a word is folded: itself, unless it is long."""
+    return [word[i : i + WIDTH] for i in range(0, max(1, len(word) - (WIDTH - STEP)), STEP)] if len(word) > WIDTH else [word]
+
+
+def stitched(folded: list[bytes], sizes) -> bytes | None:
+    """A word's ids, by those of its windows and all ids' lengths; None where two windows share no token."""
+    import numpy as np
+
+    out: list = []
+    last_ends = None
+    for k, raw in enumerate(folded):
+        ids = np.frombuffer(raw, "<u4")
+        ends = np.cumsum(sizes[ids]) + k * STEP
+        if k:
+            # the last token that both have: the same id with the same end
+            _, left, right = np.intersect1d(last_ends << 20 | out[-1], ends << 20 | ids, assume_unique=True, return_indices=True)
+            if not len(left):
+                return None
+            i = int(np.argmax(left))
+            out[-1] = out[-1][: left[i] + 1]
+            ids, ends = ids[right[i] + 1 :], ends[right[i] + 1 :]
+        out.append(ids)
+        last_ends = ends
+    return np.concatenate(out).tobytes()
+
+
+def merged(word: bytes, of: dict[bytes, int]) -> bytes:
+    """A word's ids: its pairs in the order of rank and place, from a heap."""
+    from array import array
+    from heapq import heapify, heappop, heappush
+
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that begins there; 0: none does
+    heap = [(of[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in of]
+    heapify(heap)
+    while heap:
+        _, start, stop = heappop(heap)
+        middle = end[start]
+        if not middle or middle >= n or end[middle] != stop:
+            continue  # one of its parts has merged with another since
+        end[start], end[middle] = stop, 0
+        before[stop] = start
+        for a, b in ((before[start], stop), (start, end[stop] if stop < n else 0)):
+            if a >= 0 and b and (rank := of.get(word[a:b])) is not None:
+                heappush(heap, (rank, a, b))
+    return array("I", [of[word[i : end[i]]] for i in range(n) if end[i]]).tobytes()
+
+
 def _bytes_of(lists, kind: str) -> Iterator[bytes]:
     """Each list of numbers as bytes of kind."""
     import numpy as np
@@ -169,7 +229,7 @@ def encode(docs: DataFrame, path: str, pattern: str, finish: Callable = pieces.i
         different: set[str] = set()
         for e in t["entries"]:
             different.update(pieces._unpack_texts(e.as_py()))
-        raw = sorted({b for p in different for w in words_of(p) if (b := w.encode()) not in tokens})
+        raw = sorted({x for p in different for w in words_of(p) if (b := w.encode()) not in tokens for x in windows(b)})
         del different
         lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, raw)]).astype(np.int32), pa.array(np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)))
         return pa.table({"of": pa.array(t["bucket"].to_pylist()[:1] * len(raw), pa.int32()), "bytes": lists})
@@ -180,16 +240,24 @@ def encode(docs: DataFrame, path: str, pattern: str, finish: Callable = pieces.i
     def resolve(t, known):
         from array import array
 
+        import numpy as np
         import pyarrow as pa
         import regex
 
         tokens = _ranks(path)
+        sizes = np.array([len(x) for x in read_ranks(path)], np.int64)
         own = dict(zip(_bytes_of(known["bytes"], "u1"), _bytes_of(known["ids"], "<u4"), strict=True))
 
         def ids_of(missing: list[str]) -> Iterator:
             for w in missing:
                 b = w.encode()
-                yield array("I", [tokens[b]]).tobytes() if b in tokens else own[b]
+                if b in tokens:
+                    yield array("I", [tokens[b]]).tobytes()
+                elif len(b) <= WIDTH:
+                    yield own[b]
+                else:
+                    ids = stitched([own[x] for x in windows(b)], sizes)
+                    yield merged(b, tokens) if ids is None else ids
 
         entries = pieces._resolved(t["entries"].to_pylist(), ids_of, regex.compile(matches).findall)
         return pa.table({"entry_block": t["entry_block"], "bucket": t["bucket"], "numbers": t["numbers"], "entries": pa.array(entries, pa.binary())})
