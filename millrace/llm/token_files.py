@@ -9,8 +9,7 @@ and Bloom filters on doc_id by which a search for documents skips stripes and ro
 What is read back keeps each row's place: file, stripe's part of the file, and row of it.
 
 Defined cases: a null or empty text has the end id alone; rows of one doc_id follow each
-other by a hash of their texts, and equal rows in the order of the table; null doc_ids come
-first; a text of any length is one row; an empty table writes no rows; other columns aren't
+other in the order of the table; null doc_ids come first; a text of any length is one row; an empty table writes no rows; other columns aren't
 read.
 """
 
@@ -60,8 +59,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
 
     end = int(end_id).to_bytes(4, "little")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = ("doc_id", "_hash", "_row")
-    ranged = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ("doc_id", "_row")  # the ranges are found without reading texts
+    ranged = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     (
         ranged.select("doc_id", "text").mapInArrow(ids_of, SCHEMA)
         .write.option("compression", "zstd")
