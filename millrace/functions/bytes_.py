@@ -194,6 +194,11 @@ def map_(b: Column, function: Callable[[Column], Column]) -> Column:
     return of_array(F.transform(to_array(b), function))
 
 
+def map_i(b: Column, function: Callable[[Column], Column]) -> Column:
+    """The array of function of each byte, as integers."""
+    return F.transform(to_array(b), lambda x: function(x).cast("int"))
+
+
 def fold_left(b: Column, zero: Column, function: Callable[[Column, Column], Column]) -> Column:
     return F.aggregate(to_array(b), zero, function)
 
@@ -209,3 +214,10 @@ def decode_utf8(b: Column) -> Column:
 
 def decode_ascii(b: Column) -> Column:
     return F.decode(b, "US-ASCII")
+
+
+def decode_string(b: Column, charset: str) -> Column:
+    """Text of bytes in charset; the job fails for bytes that aren't."""
+    from millrace.functions.text import decode
+
+    return decode(b, charset)

@@ -90,16 +90,50 @@ def hasher(algorithm: str):
     return MD2() if algorithm == "md2" else hashlib.new(algorithm)
 
 
+def md2_of(values: list[bytes]) -> list[str]:
+    """Digests of many values: a block of each at a time, all values side by side."""
+    import numpy as np
+
+    MD2.table = MD2.table or _md2_table()
+    table = np.array(MD2.table, np.uint8)
+    padded = [v + bytes([16 - len(v) % 16]) * (16 - len(v) % 16) for v in values]
+    order = sorted(range(len(values)), key=lambda i: -len(padded[i]))
+    n_blocks = np.array([len(padded[i]) // 16 for i in order], np.int64)
+    flat = np.frombuffer(b"".join(padded[i] for i in order), np.uint8).reshape(-1, 16)
+    first = np.cumsum(n_blocks) - n_blocks
+    state, sums = np.zeros((16, len(values)), np.uint8), np.zeros((16, len(values)), np.uint8)
+
+    def take_in(block, n: int) -> None:
+        x = np.concatenate([state[:, :n], block, state[:, :n] ^ block])
+        t = np.zeros(n, np.uint8)
+        for j in range(18):
+            for i in range(48):
+                x[i] ^= table[t]
+                t = x[i]
+            t = t + np.uint8(j)
+        state[:, :n] = x[:16]
+
+    for b in range(int(n_blocks.max(initial=0))):
+        n = int(np.searchsorted(-n_blocks, -b, side="left"))  # values with more than b blocks
+        block = np.ascontiguousarray(flat[first[:n] + b].T)
+        last = sums[15, :n].copy()
+        for i in range(16):
+            sums[i, :n] ^= table[block[i] ^ last]
+            last = sums[i, :n]
+        take_in(block, n)
+    take_in(sums, len(values))
+    out = [""] * len(values)
+    for place, i in enumerate(order):
+        out[i] = state[:, place].tobytes().hex()
+    return out
+
+
 @pandas_udf(StringType())
 def _md2(values: pd.Series) -> pd.Series:
-    def one(x):
-        if x is None:
-            return None
-        h = MD2()
-        h.update(bytes(x))
-        return h.hexdigest()
-
-    return values.map(one, na_action="ignore")
+    known = values.notna()
+    out = pd.Series([None] * len(values), index=values.index, dtype="object")
+    out[known] = md2_of([bytes(x) for x in values[known]])
+    return out
 
 
 def digest(value: Column, algorithm: str) -> Column:

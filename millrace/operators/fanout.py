@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from millrace import positions
+from millrace.operators.cycles import settled
 from millrace.positions import POS
 
 if TYPE_CHECKING:
@@ -34,12 +35,12 @@ class FanOut:
         return [self.with_df(checked.where(index == i)) for i in range(n)]
 
     def fan_out_round_robin(self, n: int) -> list[OrderedFrame]:
-        df = positions.with_positions(self)
+        df = settled(positions.with_positions(self))  # once for all branches
         return [self.with_df(df.where(F.col(POS) % n == i).drop(POS)) for i in range(n)]
 
     def fan_out_sequential(self, lengths: list[int]) -> list[OrderedFrame]:
         """Frames of the given lengths in turn, as branches that take so many would get, and one of what is left."""
-        df, at, out = positions.with_positions(self), 0, []
+        df, at, out = settled(positions.with_positions(self)), 0, []
         for n in lengths:
             out.append(self.with_df(df.where((F.col(POS) >= at) & (F.col(POS) < at + n)).drop(POS)))
             at += n

@@ -47,43 +47,44 @@ class Folds:
     def _in_order(self, step: Callable[[Iterator], Iterator], columns: list[str], schema: str) -> DataFrame:
         """step over each stream's rows (tuples of columns) in order; yields result tuples.
 
-        One task for each key, or one for a stream without keys: what needs the element
-        before can't be dealt out. Rows go through it batch by batch.
+        What needs the element before can't be dealt out, so a key's rows pass through one
+        task; they do so a batch at a time, and only step's own state is held.
         """
-        import pandas as pd
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
 
-        names = [x.strip().split()[0].strip("`") for x in _split_schema(schema)]
-        if self.by:
-            keys, order = list(self.by), list(self.order)
-            whole = ", ".join([f"`{c}` {dict(self.df.dtypes)[c]}" for c in keys] + [schema])
-
-            def fold(rows):
-                rows = rows.sort_values(order, kind="stable")
-                key = [rows[c].iloc[0] for c in keys]
-                return pd.DataFrame([(*key, *r) for r in step(rows[columns].itertuples(index=False, name=None))], columns=[*keys, *names])
-
-            needed = list(dict.fromkeys([*keys, *order, *columns]))
-            return self.df.select(*needed).groupBy(*keys).applyInPandas(fold, whole)
+        kinds, keys = dict(self.df.dtypes), list(self.by)
+        whole = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + [schema])
+        made = to_arrow_schema(StructType.fromDDL(whole))
 
         def serial(batches):
             import itertools
 
-            rows = (r for b in batches for r in b[columns].itertuples(index=False, name=None))
-            first = next(rows, None)
-            if first is None:
-                return
+            import pyarrow as pa
+
+            def batch_of(rows):
+                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), made, strict=True)], schema=made)
+
+            def same(row):  # a key of which NaN is one, as for Spark
+                return [(x != x, None if x != x else x) for x in row[: len(keys)]]
+
+            rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in (*keys, *columns)), strict=True))
             held = []
-            for r in step(itertools.chain([first], rows)):
-                held.append(r)
-                if len(held) == 10_000:
-                    yield pd.DataFrame(held, columns=names)
-                    held = []
-            yield pd.DataFrame(held, columns=names)
-
-        needed = list(dict.fromkeys([*self.order, *columns]))
-        done = self.df.select(*needed).repartition(1).sortWithinPartitions(*self.order).mapInPandas(serial, schema)
-        # no task may run for an empty stream, so what it gives is added here
-        none = list(step(iter(())))
+            for _, own in itertools.groupby(rows, same):
+                first = next(own)
+                for r in step(x[len(keys) :] for x in itertools.chain([first], own)):
+                    held.append((*first[: len(keys)], *r))
+                    if len(held) == 10_000:
+                        yield batch_of(held)
+                        held = []
+            if held:
+                yield batch_of(held)
+
+        rows = self.df.select(*dict.fromkeys([*keys, *self.order, *columns]))
+        dealt = rows.repartition(*(F.col(c) for c in keys)) if keys else rows.repartition(1)
+        done = dealt.sortWithinPartitions(*keys, *self.order).mapInArrow(serial, whole)
+        # an empty stream has no row to begin with, so what it gives is added here
+        none = [] if keys else list(step(iter(())))
         if not none:
             return done
         return done.unionByName(self.spark.createDataFrame(none, schema).where(~self.df.limit(1).select(F.lit(1)).exists()))
@@ -131,15 +132,3 @@ class Folds:
             yield (h.hexdigest(),)
 
         return self.with_df(self.df.withColumn("_bytes", value.cast("binary")))._in_order(step, ["_bytes"], f"`{name}` string")
-
-
-def _split_schema(schema: str) -> list[str]:
-    """The fields of a schema's text."""
-    out, depth = [""], 0
-    for c in schema:
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return out

@@ -52,31 +52,24 @@ class Groups:
     def grouped_within(self, most: int, micros: int, ts: str, value: str, name: str = "group") -> OrderedFrame:
         """Arrays of values: a group ends with most values, or before the first ts that is micros or more after its own first.
 
-        A fold whose step isn't associative: one ordered task for each key.
+        A fold whose step isn't associative: a key's rows pass through one task, group by group.
         """
         at_least("most", most, 1)
-        keys, order = list(self.by), list(self.order)
         kind = self.df.schema[value].dataType.simpleString()
-        timed = self.df.select(*keys, *(c for c in order if c not in keys), F.col(value).alias("_v"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
-        schema = ", ".join([f"`{c}` {dict(self.df.dtypes)[c]}" for c in keys] + [f"{GROUP} long, started long, `{name}` array<{kind}>"])
 
-        def fold(rows):
-            import pandas as pd
-
-            rows = rows.sort_values(order, kind="stable")
-            out, held, began = [], [], 0
-            for t, v in zip(rows["_t"], rows["_v"], strict=True):
+        def step(rows):
+            n, held, began = 0, [], 0
+            for t, v in rows:
                 if held and (len(held) >= most or t - began >= micros):
-                    out.append((began, held))
-                    held = []
+                    yield n, began, held
+                    n, held = n + 1, []
                 began = began if held else t
                 held.append(v)
             if held:
-                out.append((began, held))
-            key = [rows[c].iloc[0] for c in keys]
-            return pd.DataFrame([(*key, i, b, v) for i, (b, v) in enumerate(out)], columns=[*keys, GROUP, "started", name])
+                yield n, began, held
 
-        done = (timed.groupBy(*keys) if keys else timed.groupBy(F.lit(0).alias("_all"))).applyInPandas(fold, schema)
+        timed = self.with_df(self.df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))))
+        done = timed._in_order(step, ["_t", value], f"{GROUP} long, started long, `{name}` array<{kind}>")
         return type(self)(done, (GROUP,), self.by)
 
     def group_by(self, most: int, *keys: str) -> OrderedFrame:
@@ -106,11 +99,15 @@ class Groups:
 
     def split_when(self, where: Column) -> OrderedFrame:
         """A new sub-stream begins with each row for which where is true."""
-        return self.split(F.when(where, COMPLETE_EMIT).otherwise(EMIT))
+        start = F.coalesce(where & (F.col(POS) > 0), F.lit(False)).cast("long")
+        return self._counted(positions.running(self, **{GROUP: ("sum", start)}))
 
     def split_after(self, where: Column) -> OrderedFrame:
         """A sub-stream ends with each row for which where is true."""
-        return self.split(F.when(where, EMIT_COMPLETE).otherwise(EMIT))
+        return self._counted(positions.running(self, inclusive=False, **{GROUP: ("sum", F.coalesce(where, F.lit(False)).cast("long"))}))
+
+    def _counted(self, df: DataFrame) -> OrderedFrame:
+        return type(self)(df.drop(POS), self.order, (*self.by, GROUP))
 
     def inject_sequential(self, length: int) -> OrderedFrame:
         """Sub-streams of length elements each, as consumers that take so many would get."""

@@ -8,7 +8,7 @@ first ts.
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import TYPE_CHECKING, Any
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -55,32 +55,20 @@ class Timed:
     def throttle(self, elements: int, per: int, ts: str, burst: int = 1, cost: Column | None = None, name: str = "emitted") -> OrderedFrame:
         """name: when each row leaves a token bucket (microseconds) that gets elements tokens in per and holds burst.
 
-        A row leaves when it has come, the row before has left, and there are tokens for its
-        cost (1). A step needs the state before it: one ordered task for each key.
+        A row leaves in the first microsecond in which it has come, the row before has left,
+        and there are tokens for its cost (1). With times in tokens' time, the bucket is empty
+        of all that was promised at x(i) = max(x(i-1), a(i)) + c(i), so with S the running sum
+        of costs x(i) - S(i) is the greatest a(j) - S(j-1) so far, and a row leaves a bucket's
+        worth before x(i).
         """
         at_least("elements", elements, 1)
         at_least("burst", burst)
-        costed = self.with_df(self.df.withColumns({"_t": micros(ts), "_cost": (F.lit(1) if cost is None else cost).cast("long")}))
-        columns = [c for c in costed.df.columns if c not in costed.by]
-        t_at, cost_at = columns.index("_t"), columns.index("_cost")
-        kinds = dict(costed.df.dtypes)
-        schema = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"`{name}` long"])
-
-        def step(rows):
-            # tokens are counted in units of 1 / per, so all is in whole numbers
-            full, tokens, now = burst * per, burst * per, None
-            for r in rows:
-                t, need = int(r[t_at]), int(r[cost_at]) * per
-                began = now if now is not None and now > t else t
-                if now is not None:
-                    tokens = min(full, tokens + (began - now) * elements)
-                wait = max(0, -(-(need - tokens) // elements))
-                tokens += wait * elements - need
-                now = began + wait
-                yield (*r, now)
-
-        out = costed._in_order(step, columns, schema)
-        return self.with_df(out.drop("_t", "_cost"))
+        need = ((F.lit(1) if cost is None else cost).cast("long") * per).cast("long")
+        summed = self.with_df(positions.running(self.with_columns(_need=need), _whole=("sum", F.col("_need"))).drop(POS))
+        df = positions.running(summed, _most=("max", micros(ts) * elements - (F.col("_whole") - F.col("_need"))), _came=("max", micros(ts)))
+        df = df.withColumn("_ahead", F.col("_whole") + F.col("_most") - burst * per)
+        due = F.expr(f"(_ahead + pmod(-_ahead, {elements})) div {elements}")  # rounded up, in whole numbers
+        return self.with_df(df.withColumn(name, F.greatest("_came", due)).drop(POS, "_need", "_whole", "_most", "_came", "_ahead"))
 
     def _fails(self, where: Column, why: str) -> Column:
         return F.when(where, F.raise_error(F.lit(f"StreamTimeout: {why}")).cast("boolean")).otherwise(F.lit(True))
@@ -137,42 +125,23 @@ class Timed:
         return out.with_df(out.df.withColumn("extrapolated", extrapolate(F.floor((F.col(name) - micros(ts)) / step))))
 
     def buffer_dropping(self, size: int, ts: str, demand_micros: int, strategy: str = DROP_HEAD) -> OrderedFrame:
-        """What a consumer that takes one element each demand_micros gets by way of a buffer of size elements.
+        """The rows that a buffer of size elements has left for a consumer that empties it once in each demand_micros.
 
-        A simulation over ts: rows that the full buffer drops are missing. One ordered task
-        for each key.
+        Of what comes between two such times DropHead leaves the last, DropNew the first,
+        DropTail the first and the last one, and DropBuffer what came since the buffer was
+        last full and thrown away; with Fail the job fails if anything must go.
         """
         at_least("size", size, 1)
         if strategy not in OVERFLOWS:
             raise ValueError(f"one of {OVERFLOWS}")
-        timed = self.with_df(self.df.withColumn("_t", micros(ts)))
-        columns = [c for c in timed.df.columns if c not in timed.by]
-        kinds, t_at = dict(timed.df.dtypes), columns.index("_t")
-
-        def step(rows):
-            from collections import deque
-
-            held: deque[Any] = deque()
-            due = None
-            for r in rows:
-                t = r[t_at]
-                due = t if due is None else due
-                while held and due <= t:
-                    yield held.popleft()
-                    due += demand_micros
-                due = max(due, t) if not held else due
-                if len(held) == size:
-                    if strategy == FAIL:
-                        raise RuntimeError("BufferOverflow")
-                    if strategy == DROP_NEW:
-                        continue
-                    if strategy == DROP_HEAD:
-                        held.popleft()
-                    elif strategy == DROP_TAIL:
-                        held.pop()
-                    else:
-                        held.clear()
-                held.append(r)
-            yield from held
-
-        return self.with_df(timed._in_order(step, columns, ", ".join(f"`{c}` {kinds[c]}" for c in columns)).drop("_t"))
+        span = Window.partitionBy(*self.by, "_asked")
+        df = self.df.withColumn("_asked", self._windowed(demand_micros, ts)).withColumns({"_nth": F.row_number().over(span.orderBy(*self.order)), "_n": F.count("*").over(span)})
+        nth, n = F.col("_nth"), F.col("_n")
+        left = {
+            DROP_HEAD: nth > n - size,
+            DROP_NEW: nth <= size,
+            DROP_TAIL: (nth < size) | (nth == n),
+            DROP_BUFFER: nth > F.floor((n - 1) / size) * size,
+            FAIL: F.when(n > size, F.raise_error(F.lit("BufferOverflow")).cast("boolean")).otherwise(F.lit(True)),
+        }[strategy]
+        return self.with_df(df.where(left).drop("_asked", "_nth", "_n"))

@@ -36,10 +36,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from millrace.plans import further  # noqa: F401  (it adds its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from millrace.plans import further  # noqa: F401
+
     return dict(SQL)
 
 
@@ -381,7 +385,7 @@ def doc_sha384_sha512(spark, sf):
 
 @query()
 def turn_md2(spark, sf):
-    return table(spark, sf, "conversations", ("conv_id", "turn")).map(md2=digest(F.col("role"), "md2")).df
+    return table(spark, sf, "conversations", ("conv_id", "turn")).map(md2=digest(F.col("text"), "md2")).df
 
 
 @query("select conv_id, md5(string_agg(text, '' order by turn)) as digest from conversations group by 1")
@@ -407,7 +411,14 @@ def delay_values(spark, sf):
     return events(spark, sf).delay(cents("value") * 10_000, "ts").map(emitted=F.col("emitted")).df
 
 
-@query()
+@query(f"""
+with recursive e as (select user_id, event_id, epoch_us(ts) as t, row_number() over (partition by user_id order by event_id) as r from events),
+s as (select user_id, event_id, r, t::hugeint as sent, ({HOUR} * 2 - {HOUR})::hugeint as tokens from e where r = 1
+union all select user_id, event_id, r, began + wait, have + 2 * wait - {HOUR}
+from (select *, greatest(0, ({HOUR} - have + 1) // 2) as wait
+from (select *, least({HOUR}::hugeint * 2, tokens + (began - sent) * 2) as have
+from (select e.user_id, e.event_id, e.r, s.sent, s.tokens, greatest(s.sent, e.t) as began from s join e on e.user_id = s.user_id and e.r = s.r + 1))))
+select user_id, event_id, sent::bigint as emitted from s""")
 def throttle_emit(spark, sf):
     return events(spark, sf, ("user_id",)).map(ts=F.col("ts")).throttle(2, HOUR, "ts", burst=2).df.select("user_id", "event_id", "emitted")
 
@@ -454,12 +465,11 @@ def recover_to_try(spark, sf):
 @query(f"""
 with bad as (select min(event_id) as b from events where not value < 300)
 select 0::bigint as src, event_id as k, {CENTS} as amount from events, bad where b is null or event_id < b
-union all select 1, o_orderkey, {O_CENTS} from orders, bad where b is not null and o_orderkey <= 10""")
-def recover_with(spark, sf):
-    a = events(spark, sf).map(k=F.col("event_id"), amount=cents("value"))
-    a = OrderedFrame.of(a.df.select("k", "amount"), "k")
-    b = OrderedFrame.of(orders(spark, sf).df.where("o_orderkey <= 10").select(F.col("o_orderkey").alias("k"), cents("o_totalprice").alias("amount")), "k")
-    return a.recover(F.col("amount") < 30000, b).df.select(big("src").alias("src"), "k", "amount")
+union all select 1, o_orderkey, {O_CENTS} from orders, bad where b is not null""")
+def recover(spark, sf):
+    """Events until one fails, then all orders."""
+    second, a = _two(spark, sf)
+    return a.recover(F.col("amount") < 30000, second).df.select(big("src").alias("src"), "k", "amount")
 
 
 @query("with recursive f(pos, a, b) as (select 0::bigint, 0::bigint, 1::bigint union all select pos + 1, b, a + b from f where pos < 49) select pos, a as value from f")

@@ -50,10 +50,8 @@ class _Stepper(StatefulProcessor):
 
 def stepped(df: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: str, initial: Any, step: Callable[[Any, tuple], tuple[Any, list[tuple]]]) -> DataFrame:
     """The keys and what step(state, row) -> (state, rows of schema) emits for each row (a tuple of columns), key by key in order."""
-    from millrace.operators.folds import _split_schema
-
     kinds = dict(df.dtypes)
-    names = [x.strip().split()[0].strip("`") for x in _split_schema(schema)]
+    names = StructType.fromDDL(schema).names
     whole = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [schema])
     needed = list(dict.fromkeys([*keys, *order, *columns]))
     return df.select(*needed).groupBy(*keys).transformWithStateInPandas(_Stepper(keys, order, columns, names, initial, step), whole, "Append", "None")

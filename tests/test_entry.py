@@ -26,7 +26,7 @@ def test_catalogue_agrees_with_sql(spark):
     from millrace.plans import catalogue
 
     db = duckdb.connect()
-    for table in ("events", "orders", "lineitem", "documents", "conversations"):
+    for table in ("customer", "events", "orders", "lineitem", "documents", "conversations"):
         db.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     sql = catalogue.oracle_sql()
     for name, query in catalogue.queries().items():

@@ -97,11 +97,14 @@ def test_grouped_within(spark):
 
 
 def test_buffer_dropping(spark):
-    ts = [0, 1, 2, 3, 4]
-    kept = lambda strategy: out(timed(spark, ts).buffer_dropping(2, "ts", 100, strategy), "t")
-    assert kept("DropHead") == [0, 3, 4]
-    assert kept("DropTail") == [0, 1, 4]
-    assert kept("DropNew") == [0, 1, 2]
-    assert kept("DropBuffer") == [0, 3, 4]
-    with pytest.raises(PySparkException):
+    ts = [0, 1, 2, 3, 4, 150]  # two times at which the buffer is emptied
+    kept = lambda strategy, size=2: out(timed(spark, ts).buffer_dropping(size, "ts", 100, strategy), "t")
+    assert kept("DropHead") == [3, 4, 150]
+    assert kept("DropNew") == [0, 1, 150]
+    assert kept("DropTail") == [0, 4, 150]
+    assert kept("DropBuffer") == [4, 150]
+    assert kept("DropBuffer", 5) == kept("Fail", 5) == ts
+    with pytest.raises(PySparkException, match="BufferOverflow"):
         kept("Fail")
+    with pytest.raises(ValueError):
+        kept("DropAll")
