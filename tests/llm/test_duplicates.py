@@ -121,6 +121,53 @@ def test_pairs_hidden_in_families(spark, monkeypatch):
     assert found_classes(df) == want
 
 
+def test_pairs_of_one_template(spark):
+    """500 texts of one template at some 0.76 to each other, and 250 pairs at 0.82 among them: none is lost."""
+    rng = random.Random(21)
+    template = [f"w{rng.randint(0, 10**7)}" for _ in range(2000)]
+    texts = []
+    for _ in range(250):
+        places = rng.sample(range(8, 1990, 6), 48)
+        own = template[:]
+        for at in places[:8]:
+            own[at] = f"p{rng.randint(0, 10**9)}"
+        for some in (places[8:28], places[28:]):
+            w = own[:]
+            for at in some:
+                w[at] = f"e{rng.randint(0, 10**9)}"
+            texts.append(" ".join(w))
+    number, sets = {}, []
+    for t in texts:
+        w = t.split(" ")
+        sets.append([number.setdefault(tuple(w[i : i + 5]), len(number)) for i in range(len(w) - 4)])
+    holds = numpy.zeros((500, len(number)), numpy.float32)
+    for i, own in enumerate(sets):
+        holds[i, own] = 1
+    common, n = holds @ holds.T, holds.sum(1)
+    links = {(int(a), int(b)) for a, b in numpy.argwhere(common >= 0.8 * (n[:, None] + n[None, :] - common)) if a < b}
+    assert links == {(i, i + 1) for i in range(0, 500, 2)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert found_classes(df) == sorted(map(list, links))
+
+
+def test_recall_of_mixed_texts(spark):
+    """5,000 texts in pairs of all similarities around the threshold: every pair of it or more is linked."""
+    rng = random.Random(22)
+    texts = []
+    for i in range(2500):
+        n = rng.choice([30, 80, 200, 400])
+        w = [f"m{rng.randint(0, 10**6)}" for _ in range(n)]
+        v = w[:]
+        for at in rng.sample(range(n), max(1, rng.randint(0, max(1, n // 25)))):
+            v[at] = f"x{rng.randint(0, 10**9)}"
+        texts += [" ".join(w), " ".join(v)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want, have = near_classes(texts), found_classes(df)
+    links = lambda classes: {tuple(c) for c in classes if len(c) > 1}
+    assert links(have) <= links(want)
+    assert len(links(have)) >= 0.999 * len(links(want)) > 800
+
+
 def test_deduplicate(documents, empty):
     out = neardup.deduplicate(documents)
     assert out.dtypes == documents.dtypes
