@@ -11,13 +11,17 @@ Reading stops only where that proves that all but a few vectors are below the k-
 or at the last segment. What may still be a member is scored anew from the whole vectors,
 so results are exact, ties included.
 
-Queries are rows of the same table, in blocks; each block of queries meets each block of
-vectors once, and returns k rows a query at most.
+Queries are rows of the same table, in blocks. Blocks of vectors lie in slabs, a few blocks
+each: a task builds the indexes of a slab's blocks once and holds them, and all blocks of
+queries stream past it, in turn. Vectors move once and queries once a slab, whatever the
+number of either; a slab returns k rows a query at most.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part;
 missing components of shorter vectors count 0, as do all of an empty one; rows that repeat
 take part each for itself; a row without vec_id is a candidate but no query; with fewer
-candidates than k all are returned; an empty table gives no rows; other columns aren't read.
+candidates than k all are returned; components beyond a long count as its bounds, as do
+scores; ties of scores go to the smaller vec_id; an empty table gives no rows; other columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -31,11 +35,16 @@ from millrace.llm.shared import stash
 
 K = 10
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 512
+#: Vectors of a slab at most (some 2 KB each in its task), and slabs of fewer vectors.
+SLAB_VECTORS, SLABS = 1 << 16, 64
 #: Quanta of the largest component, above 0.
 LEVELS = 12
 #: Possible members a query at which reading may stop.
 FEW = 64
 
+#: The bounds of a long; its own least would have no positive.
+MOST = 2**63 - 1
+
 PACKED = "block long, n int, width int, ids binary, row_ids binary, data binary"
 
 
@@ -62,7 +71,7 @@ def _packed(rows: DataFrame, block_rows: int) -> DataFrame:
             sizes = np.asarray(lists.value_lengths(), np.int64)
             width = max(1, int(sizes.max()))
             data = np.zeros((len(sizes), width), np.int64)
-            data[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy(zero_copy_only=False)
+            data[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.maximum(lists.flatten().to_numpy(zero_copy_only=False), -MOST)
             ids = t["vec_id"].fill_null(-(2**63)).to_numpy()
             n_blocks += 1
             return pa.RecordBatch.from_pylist([{"block": (part << 24) + n_blocks, "n": len(sizes), "width": width, "ids": ids.astype("<i8").tobytes(), "row_ids": t["row_id"].to_numpy().astype("<i8").tobytes(), "data": data.astype("<i8").tobytes()}], schema=schema)
@@ -106,13 +115,15 @@ class Index:
 
 
 def _exactly(queries, data):
-    """Inner products, exact: by doubles where they hold all the sums, else by integers."""
+    """Inner products, exact: by doubles where they hold all the sums, else by integers; within the bounds of a long."""
     import numpy as np
 
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * queries.shape[-1]
     if most < 2.0**53:
         return (queries.astype(float) @ data.astype(float).T).astype(np.int64)
-    return queries @ data.T
+    if most < 2.0**62:
+        return queries @ data.T
+    return np.clip(queries.astype(object) @ data.astype(object).T, -MOST, MOST).astype(np.int64)
 
 
 def search(queries, query_rows, index: Index, ids, rows, k: int, few: int = FEW) -> Iterator:
@@ -162,29 +173,42 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = 1024, b
     n_asked = asked.count()
     parts = max(1, n_asked // (4 * block_queries))
     asked = stash(_packed(asked.repartition(parts), block_queries), "queries")
-    query_blocks = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("block", "n", "width", "ids", "row_ids", "data")))
-    numbers = [r[0] for r in asked.select("block").orderBy("block").collect()]
-    if not numbers:
-        return rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
-    # every block of vectors goes once to every block of queries
-    met = blocks.withColumn("q_block", F.explode(F.array(*map(F.lit, numbers)).cast("array<long>"))).repartition(max(8, 2 * parts), "block", "q_block").join(query_blocks, "q_block")
+    n_rows = rows.count()
+    slabs = -(-n_rows // min(SLAB_VECTORS, max(block_vectors, n_rows // SLABS))) or 1
+    columns = [c.split()[0] for c in PACKED.split(", ")]
+    held = blocks.select(F.pmod(F.xxhash64("block"), F.lit(slabs)).cast("int").alias("slab"), F.lit(0).alias("asks"), *columns)
+    asking = asked.select(F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"), F.lit(1).alias("asks"), *columns)
+    # a slab's vectors come before the queries
+    met = held.unionByName(asking).repartition(slabs, "slab").sortWithinPartitions("slab", "asks", "block")
 
     def look(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known: tuple = (None, None)
+        indexes: list = []
+        at = None
         for batch in batches:
-            for r in batch.to_pylist():
-                data, queries = (np.frombuffer(r[p + "data"], "<i8").reshape(r[p + "n"], r[p + "width"]) for p in ("", "q_"))
-                width = max(data.shape[1], queries.shape[1])
-                data, queries = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (data, queries))
-                if known[0] != (r["block"], width):
-                    known = ((r["block"], width), Index(data))
-                ids, own, asking, asking_rows = (np.frombuffer(r[c], "<i8") for c in ("ids", "row_ids", "q_ids", "q_row_ids"))
-                out = [(np.full(len(v), asking[i]), np.full(len(v), asking_rows[i]), v, s) for i, v, s in search(queries, asking_rows, known[1], ids, own, k)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["query_id", "query_row", "vec_id", "score"])
-
-    found = met.select("block", "n", "width", "ids", "row_ids", "data", "q_n", "q_width", "q_ids", "q_row_ids", "q_data").mapInArrow(look, "query_id long, query_row long, vec_id long, score long")
+            for i in range(len(batch)):
+                r = batch.slice(i, 1).to_pylist()[0]
+                if r["slab"] != at:
+                    at, indexes = r["slab"], []
+                data = np.frombuffer(r["data"], "<i8").reshape(r["n"], r["width"])
+                ids, own = (np.frombuffer(r[c], "<i8") for c in ("ids", "row_ids"))
+                if not r["asks"]:
+                    indexes.append((Index(data), ids, own))
+                    continue
+                found = []
+                for index, vec_ids, vec_rows in indexes:
+                    width = index.data.shape[1]  # what a block lacks counts 0
+                    queries = np.pad(data[:, :width], ((0, 0), (0, max(0, width - data.shape[1]))))
+                    found += [(np.full(len(v), q), v, s) for q, v, s in search(queries, own, index, vec_ids, vec_rows, k)]
+                if found:
+                    asker, vecs, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+                    order = np.lexsort((vecs, -scores, asker))
+                    asker, vecs, scores = asker[order], vecs[order], scores[order]
+                    best = np.arange(len(asker)) - np.searchsorted(asker, asker) < k
+                    columns = [c[best].astype(np.int64) for c in (ids[asker], own[asker], vecs, scores)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "query_row", "vec_id", "score"])
+
+    found = met.mapInArrow(look, "query_id long, query_row long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.when(F.col("vec_id") != -(2**63), F.col("vec_id")).alias("vec_id"), "score")

@@ -24,8 +24,9 @@ def brute_force(rows, every, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_vectors,block_queries", [(4096, 512), (37, 3)])
-def test_top_k(spark, block_vectors, block_queries):
+@pytest.mark.parametrize("block_vectors,block_queries,slab", [(4096, 512, 1 << 16), (37, 3, 80), (37, 3, 37)])
+def test_top_k(spark, monkeypatch, block_vectors, block_queries, slab):
+    monkeypatch.setattr(topk, "SLAB_VECTORS", slab)
     base = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     odd = spark.createDataFrame([(100, [float("nan")] * 64, 1), (200, [0.5] * 64, 1), (200, [0.5] * 64, 1), (10**6, None, 1), (10**6 + 100, [1.0, None], 1), (10**7, [0.25] * 3, 1), (10**7 + 1, [], 1), (10**7 + 2, [float("inf")], 1)], base.schema)
     df = base.unionByName(odd).withColumn("row_id", F.lit("x")).repartition(3)
@@ -46,6 +47,14 @@ def test_top_k_agrees_with_sql(spark):
     assert sorted(map(tuple, queries.op5_topk(spark, sf).select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
 
 
+def test_scores_beyond_a_long(spark):
+    df = spark.createDataFrame([(0, [3e38, 1.0]), (1, [3e38, -1.0]), (2, [-3e38, 1.0]), (3, [1e10, 2.0]), (4, [1e9, 0.0])], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.score for r in topk.top_k(df, F.col("vec_id") == 0).collect()}
+    first = lambda x: min(2**63 - 1, max(-(2**63) + 1, int(numpy.floor(float(numpy.float32(x)) * 1024))))
+    want = {i: min(2**63 - 1, max(1 - 2**63, first(3e38) * first(x) + 1024 * first(y))) for i, x, y in ((1, 3e38, -1.0), (2, -3e38, 1.0), (3, 1e10, 2.0), (4, 1e9, 0.0))}
+    assert got == want
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (100, [-1.0, 2.0])], "vec_id long, embedding array<float>")
     got = topk.top_k(df, F.col("vec_id") % 100 == 0).collect()
