@@ -202,9 +202,10 @@ def repeated_words(texts, n):
     return words, dict(out)
 
 
-@pytest.mark.parametrize("block_bytes,n,seed", [(20_000, 50, 8), (1 << 20, 20, 20), (5_000, 12, 1)])
-def test_repeats(spark, documents, monkeypatch, block_bytes, n, seed):
+@pytest.mark.parametrize("block_bytes,n,seed,hot", [(20_000, 50, 8, 20_000), (1 << 20, 20, 20, 20_000), (5_000, 12, 1, 20_000), (20_000, 50, 8, 3), (5_000, 12, 1, 20)])
+def test_repeats(spark, documents, monkeypatch, block_bytes, n, seed, hot):
     monkeypatch.setattr(repeats, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(repeats, "HOT", hot)
     rows = [(i, r.text, "x") for i, r in enumerate(documents.select("text").collect()) if r.text is None or len(r.text) < 100_000]
     df = spark.createDataFrame(rows, "doc_id long, text string, block string").repartition(3).cache()
     words, want = repeated_words([t for _, t, _ in rows], n)
@@ -225,6 +226,31 @@ def test_repeats(spark, documents, monkeypatch, block_bytes, n, seed):
             assert cuts[i] or out[doc_id] == text
 
 
+def test_reach_of_suffixes():
+    """The most words in common with any other suffix of the seed, against all pairs."""
+    rng = numpy.random.default_rng(4)
+    seeds = rng.integers(0, 6, 300).astype(numpy.uint64)
+    words = rng.integers(0, 2, (300, 9)).astype(numpy.uint32)
+    got = repeats._reach(seeds, words)
+    for i in range(300):
+        others = [j for j in range(300) if j != i and seeds[j] == seeds[i]]
+        assert got[i] == max((int(numpy.cumprod(words[i] == words[j]).sum()) for j in others), default=0)
+
+
+def test_windows_that_no_single_suffix_matches(spark):
+    """Texts that match in shifted parts, so that the neighbours to the left and right differ."""
+    rng = random.Random(12)
+    base = [f"q{rng.randint(0, 10**6)}" for _ in range(400)]
+    noise = lambda n: [f"n{rng.randint(0, 10**9)}" for _ in range(n)]
+    texts = [" ".join(noise(20) + base[i : i + n] + noise(20)) for i, n in [(0, 400), (10, 60), (40, 55), (60, 49), (80, 90), (85, 51), (100, 70), (130, 50), (150, 50), (151, 50), (300, 99)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    _, want = repeated_words(texts, 50)
+    have = defaultdict(set)
+    for r in repeats.repeated_spans(df).where("not cut").collect():
+        have[r.doc_id].update(range(r.start, r.end))
+    assert dict(have) == want and 3 not in want
+
+
 def test_remove_keeps_one_of_each_passage(spark):
     rng = random.Random(9)
     passage = " ".join(f"p{i}" for i in range(60))
