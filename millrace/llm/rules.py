@@ -1,37 +1,48 @@
 """Operator 10, quality rules: counts of a text and n-gram perplexity bands.
 
-The language model is a modified Kneser-Ney model of byte n-grams, one for each language.
-Spark counts the n-grams of the highest order over all distinct texts; the tables of lower orders
-(continuation counts), the discounts, context sums and interpolated probabilities are
-aggregations and joins of that table. The model is kept as arrays sorted by the n-grams'
-hashes and searched by bisection. A text's perplexity is per byte of its whole text; the
-bands of a language are its median of log-perplexity plus and minus multiples of the spread
-between quartiles, over all its distinct texts that pass the base rules.
+The language model is a modified Kneser-Ney model of n-grams of ORDER bytes, about a word and
+the next one's beginning, one for each language. Spark counts the n-grams over all texts,
+copies of a text once; the tables of lower orders (continuation counts), the discounts,
+context sums and interpolated probabilities are aggregations and joins of that table. What
+remains is a probability for each n-gram that was seen, in arrays sorted by the n-grams'
+hashes and searched by bisection. It grows with the corpus. Up to BROADCAST_GRAMS n-grams the
+arrays go to every task; beyond that n-grams and costs are dealt by n-gram: a block of texts
+sends each different n-gram once to the part of the model that has it, and gets costs back.
+
+A text's perplexity is per byte of its whole text; the bands of a language are its median of
+log-perplexity plus and minus multiples of the spread between quartiles, over all its distinct
+texts that pass the base rules.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null lang is a
-language of its own; rows that repeat are judged each for itself, and count once for the
-bands; bands are at least LEAST_SPREAD times their multiple wide; an empty table gives no rows;
-other columns aren't read.
+language of its own; rows that repeat are judged each for itself, and count once in the model
+(those that share their doc_id too, each) and once for the bands; a text of any length is
+counted and scored whole, a part at a time; a text on a band's limit stays; bands are at
+least LEAST_SPREAD times their multiple wide; an empty table gives no rows; other columns
+aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import stash
 
-ORDER = 4
+ORDER = 6
 SYMBOLS = 257  # bytes, and the end of a text
 START, END = 0xFF, 0xFE  # bytes that no UTF-8 text has
+#: Bits of an n-gram that the model hasn't seen; the texts it is judged by have none.
+UNSEEN_BITS = 16.0
 #: n-grams a task holds before it passes their counts on.
 HELD_GRAMS = 1 << 21
-#: n-grams of a model that may go to every task whole (24 bytes each); beyond it a
-#: language's model goes to the groups of its texts.
+#: n-grams of a model that may go to every task whole (16 bytes each).
 BROADCAST_GRAMS = 4_000_000
-GROUP_DOCS = 20_000
+#: Texts with copies (20 bytes each) that may go to every task; beyond it they are joined.
+BROADCAST_COPIES = 1_000_000
+#: Bytes of text in a block, and n-grams of a part of the model, where they are dealt.
+BLOCK_BYTES, PART_GRAMS = 32 << 20, 1_000_000
 #: Multiples of the spread between the median and a quartile; 5 is 3.4 standard deviations of a
 #: normal spread.
 BELOW, ABOVE = 5.0, 5.0
@@ -43,7 +54,7 @@ LEAST_SPREAD = 0.01
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double"
 
 
-def _language():
+def _language() -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit("und"))
 
 
@@ -54,11 +65,11 @@ def grams(texts: list[bytes]):
     pad = bytes([START]) * (ORDER - 1)
     joined = b"".join(pad + t + bytes([END]) for t in texts)
     buf = np.frombuffer(joined, np.uint8)
-    out = np.zeros(max(0, len(buf) - ORDER + 1), np.uint32)
+    out = np.zeros(max(0, len(buf) - ORDER + 1), np.int64)
     for j in range(ORDER):
-        out = (out << np.uint32(8)) | buf[j : j + len(out)]
+        out = (out << 8) | buf[j : j + len(out)]
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    return out[(out & np.uint32(0xFF)) != START], sizes
+    return out[buf[ORDER - 1 :] != START], sizes
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -100,86 +111,68 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, lang, text) with one of the copies of each text, the others gone. Texts don't move."""
+    rows = docs.select(_language().alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_content"), F.xxhash64("doc_id").alias("_own"))
+    copies = rows.groupBy(F.col("lang").alias("_lang"), F.col("_content").alias("_same")).agg(F.count("*").alias("_n"), F.min("_own").alias("_first")).where("_n > 1").drop("_n")
+    copies = stash(copies, "copies")
+    few = copies.count() <= BROADCAST_COPIES
+    joined = rows.join(F.broadcast(copies) if few else copies, (F.col("lang") == F.col("_lang")) & (F.col("_content") == F.col("_same")), "left")
+    return joined.where("_first is null or _first = _own").select("lang", "text")
+
+
 def model(docs: DataFrame) -> DataFrame:
-    """lang, size (n-gram order), gram, p (interpolated) and gamma (backed-off mass of the n-gram as a context)."""
+    """lang, gram, p: the interpolated probability of each n-gram seen in docs (lang, text)."""
     tables = {ORDER: stash(count_grams(docs), "gram-counts")}
     for size in range(ORDER - 1, 0, -1):
         tables[size] = tables[size + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * size) - 1).alias("gram")).agg(F.count("*").alias("n"))
-    lower, out = None, None
+    lower = None
     for size in range(1, ORDER + 1):
         t = tables[size]
         ones = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)]
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
         discounts = [F.least(F.lit(float(i)), F.greatest(F.lit(0.0), F.coalesce(F.try_divide((i + 1) * y * F.col(f"n{i + 1}"), F.col(f"n{i}").cast("double")) * -1 + i, F.lit(0.5 * i)))).alias(f"d{i}") for i in (1, 2, 3)]
-        # languages are few and each has one row
-        t = t.join(F.broadcast(t.groupBy("lang").agg(*ones).select("lang", *discounts)), "lang")
+        t = t.join(t.groupBy("lang").agg(*ones).select("lang", *discounts), "lang")
         t = t.withColumn("off", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("context", F.shiftright("gram", 8))
+        t = t.select("lang", "gram", "n", "off", "context")
         sums = t.groupBy("lang", "context").agg(F.sum("n").alias("whole"), F.sum("off").alias("mass"))
-        t = t.join(sums, ["lang", "context"]).withColumn("gamma_of", F.col("mass") / F.col("whole"))
+        t = t.join(sums, ["lang", "context"])
         if lower is None:
             p_lower = F.lit(1.0 / SYMBOLS)
         else:
             t = t.withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * (size - 1)) - 1)).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("p_lower")), ["lang", "suffix"])
             p_lower = F.col("p_lower")
-        t = stash(t.select("lang", "gram", ((F.col("n") - F.col("off")) / F.col("whole") + F.col("gamma_of") * p_lower).alias("p")), f"grams-{size}")
-        contexts = sums.select("lang", F.lit(size - 1).alias("size"), F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), (F.col("mass") / F.col("whole")).alias("gamma"))
-        rows = t.select("lang", F.lit(size).alias("size"), "gram", "p", F.lit(None).cast("double").alias("gamma")).unionByName(contexts)
-        out, lower = rows if out is None else out.unionByName(rows), t
-    return stash(out.groupBy("lang", "size", "gram").agg(F.max("p").alias("p"), F.max("gamma").alias("gamma")), "model")
+        p = (F.col("n") - F.col("off")) / F.col("whole") + F.col("mass") / F.col("whole") * p_lower
+        # a context of frequent n-grams alone may leave no mass: a probability is above 0 all the same
+        lower = stash(t.select("lang", "gram", F.greatest(p, F.lit(2.0**-60)).alias("p")), f"grams-{size}")
+    return lower
 
 
 class Model:
-    """A language's model as arrays sorted by the n-grams' hashes."""
+    """A language's n-grams and their costs in bits, as arrays sorted by the n-grams' hashes."""
 
-    def __init__(self, sizes, keys, p, gamma):
+    def __init__(self, keys, bits):
         import numpy as np
 
-        hashes = self.hashed(np.asarray(sizes, np.uint64), np.asarray(keys, np.uint64))
+        hashes = self.hashed(np.asarray(keys))
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.bits = -np.log2(np.asarray(p, float)[order])
-        self.gamma = -np.log2(np.asarray(gamma, float)[order])
-        top = (np.asarray(sizes) == ORDER)[order]
-        self.top_hashes, self.top_bits = self.hashes[top], self.bits[top]
+        self.hashes, self.bits = hashes[order], np.asarray(bits, float)[order]
 
     @staticmethod
-    def hashed(size, gram):
-        from millrace.llm.words import mix
-
-        return mix((size << 40) | gram)
-
-    def _find(self, size: int, keys):
+    def hashed(gram):
         import numpy as np
 
-        hashes = self.hashed(np.uint64(size), keys)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return at, self.hashes[at] == hashes
-
-    def cost(self, found):
-        """Bits of each n-gram of the highest order; unseen ones back off."""
-        import numpy as np
+        from millrace.llm.words import mix
 
-        keys = found.astype(np.uint64)
-        hashes = self.hashed(np.uint64(ORDER), keys)
-        at = np.minimum(np.searchsorted(self.top_hashes, hashes), len(self.top_hashes) - 1)
-        out = self.top_bits[at]
-        for i in np.flatnonzero(self.top_hashes[at] != hashes):
-            out[i] = self._backed_off(int(keys[i]))
-        return out
+        return mix(gram.astype(np.uint64))
 
-    def _backed_off(self, gram: int) -> float:
+    def cost(self, found):
+        """Bits of each n-gram; each different one is searched for once."""
         import numpy as np
 
-        total = 0.0
-        for size in range(ORDER, 0, -1):
-            own = gram & ((1 << 8 * size) - 1)
-            at, seen = self._find(size, np.array([own], np.uint64))
-            if seen[0] and not np.isnan(self.bits[at[0]]):
-                return total + float(self.bits[at[0]])
-            at, seen = self._find(size - 1, np.array([own >> 8], np.uint64))
-            if seen[0] and not np.isnan(self.gamma[at[0]]):
-                total += float(self.gamma[at[0]])
-        return total + float(np.log2(SYMBOLS))
+        keys, each = np.unique(self.hashed(found), return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == keys, self.bits[at], UNSEEN_BITS)[each]
 
 
 def _measured(texts: list[str | None], langs: list[str], models: dict[str, Model]) -> list:
@@ -205,7 +198,7 @@ def _measured(texts: list[str | None], langs: list[str], models: dict[str, Model
         by_lang.setdefault(lang, []).append(i)
     for lang, rows in by_lang.items():
         if lang not in models:
-            bits[rows] = np.log2(SYMBOLS)
+            bits[rows] = UNSEEN_BITS
             continue
         for first, part in chunks(raw[i] for i in rows):
             found, sizes = grams(part)
@@ -215,46 +208,124 @@ def _measured(texts: list[str | None], langs: list[str], models: dict[str, Model
     return [*out, bits.tolist()]
 
 
-def measure(docs: DataFrame, grams_of: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """doc_id, lang, content (hash of the text) and BASE for each row of docs, by the model of its lang."""
-    import pandas as pd
+def _columns_of(texts: list, langs: list, models: dict[str, Model]) -> list:
+    import pyarrow as pa
+
+    kinds = [pa.int64()] * 5 + [pa.float64()]
+    return [pa.array(c, k) for c, k in zip(_measured(texts, langs, models), kinds, strict=True)]
 
+
+NAMES = ["doc_id", "lang", "content", *(x.split()[0] for x in BASE.split(", "))]
+MEASURED = f"doc_id long, lang string, content long, {BASE}"
+
+
+def measure(docs: DataFrame, grams_of: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """doc_id, lang, content (hash of the text) and BASE for each row of docs, by the model (lang, gram, p) of its lang."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _language().alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("content"))
-    names = [x.split()[0] for x in BASE.split(", ")]
-    spark = docs.sparkSession
-    if grams_of.count() <= broadcast_grams:
-        # columns of numbers alone, as Arrow: a few tens of MB at the bound, in the driver too
-        langs_of = [r[0] for r in grams_of.select("lang").distinct().orderBy("lang").collect()]
-        parts = {}
-        for lang in langs_of:
-            rows = grams_of.where(F.col("lang") == lang).select(F.col("size").cast("byte"), "gram", "p", "gamma").toArrow()
-            parts[lang] = tuple(c.to_numpy() for c in rows.columns)
-        shared = spark.sparkContext.broadcast(parts)
-
-        def scored(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            models = {lang: Model(*arrays) for lang, arrays in shared.value.items()}
-            for batch in batches:
-                langs = batch.column(1).to_pylist()
-                columns = _measured(batch.column(2).to_pylist(), langs, models)
-                kinds = [pa.int64()] * 5 + [pa.float64()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "lang", "content", *names])
-
-        return plain.mapInArrow(scored, f"doc_id long, lang string, content long, {BASE}")
-
-    groups = -(-docs.count() // GROUP_DOCS)
-    salted = plain.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
-    dealt = grams_of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-
-    def grouped(texts: pd.DataFrame, grams_in: pd.DataFrame) -> pd.DataFrame:
-        out = texts[["doc_id", "lang", "content"]].copy()
-        models = {lang: Model(*(x[c].to_numpy() for c in ("size", "gram", "p", "gamma"))) for lang, x in grams_in.groupby("lang")}
-        for name, values in zip(names, _measured(texts["text"].tolist(), texts["lang"].tolist(), models), strict=True):
-            out[name] = values
-        return out
-
-    return salted.groupBy("lang", "salt").cogroup(dealt.groupBy("lang", "salt")).applyInPandas(grouped, f"doc_id long, lang string, content long, {BASE}")
+    costs = grams_of.select("lang", "gram", (-F.log2("p")).alias("bits"))
+    n_grams = costs.count()
+    if n_grams > broadcast_grams:
+        return _measured_by_key(plain, costs, n_grams)
+    # columns of numbers alone, as Arrow: a few tens of MB at the bound, in the driver too
+    parts = {}
+    for (lang,) in costs.select("lang").distinct().collect():
+        rows = costs.where(F.col("lang") == lang).select("gram", "bits").toArrow()
+        parts[lang] = tuple(c.to_numpy() for c in rows.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
+
+    def scored(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        models = {lang: Model(*arrays) for lang, arrays in shared.value.items()}
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *_columns_of(batch.column(2).to_pylist(), batch.column(1).to_pylist(), models)], NAMES)
+
+    return plain.mapInArrow(scored, MEASURED)
+
+
+def _prime(n: int) -> int:
+    """The first prime from n on."""
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def _measured_by_key(plain: DataFrame, costs: DataFrame, n_grams: int) -> DataFrame:
+    """measure() by a model in parts: the n-grams with one remainder are a part's."""
+    parts = _prime(max(7, -(-n_grams // PART_GRAMS)))
+    kept = plain.select("doc_id", "lang", "text", "content", F.spark_partition_id().cast("long").alias("part"))
+    wanted = "of long, gram_lang string, gram_part int, grams binary"
+
+    def cut(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from millrace.llm.words import chunks
+
+        own_names, names = ["block", "doc_id", "lang", "text", "content"], [x.split()[0] for x in wanted.split(", ")]
+        own_kinds, kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()], [pa.int64(), pa.string(), pa.int32(), pa.binary()]
+        n_blocks, size, block = 0, 0, 0
+        held: dict[str, list] = {}
+
+        def entries() -> Iterator:
+            for lang in sorted(held):
+                found = np.unique(np.concatenate(held[lang]))
+                place = found % parts
+                order = np.argsort(place, kind="stable")
+                for some in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+                    row = [pa.array([block]), pa.array([lang]), pa.array([int(place[some[0]])], pa.int32()), pa.array([found[some].tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in own_kinds), *row], own_names + names)
+            held.clear()
+
+        for batch in batches:
+            langs, raw = batch.column(1).to_pylist(), [(t or "").encode() for t in batch.column(2).to_pylist()]
+            first = 0
+            for i, t in enumerate(raw):
+                size += len(t) + 1
+                if size >= BLOCK_BYTES or i + 1 == len(raw):
+                    block = (batch.column(4)[0].as_py() << 24) + n_blocks
+                    by_lang: dict[str, list[bytes]] = {}
+                    for lang, x in zip(langs[first : i + 1], raw[first : i + 1], strict=True):
+                        by_lang.setdefault(lang, []).append(x)
+                    for lang, texts in by_lang.items():
+                        for _, part in chunks(texts):
+                            held.setdefault(lang, []).append(np.unique(grams(part)[0]))
+                    rows = batch.slice(first, i + 1 - first).drop_columns(["part"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows)), *rows.columns, *(pa.nulls(len(rows), k) for k in kinds)], own_names + names)
+                    first = i + 1
+                    if size >= BLOCK_BYTES:
+                        yield from entries()
+                        n_blocks, size = n_blocks + 1, 0
+        if held:
+            yield from entries()
+
+    cut_up = stash(kept.mapInArrow(cut, f"block long, doc_id long, lang string, text string, content long, {wanted}"), "rule-blocks")
+    entries = cut_up.where("of is not null").select(*(x.split()[0] for x in wanted.split(", ")))
+    dealt = costs.select(F.col("lang").alias("model_lang"), F.pmod("gram", F.lit(parts)).cast("int").alias("model_part"), "gram", "bits")
+
+    def answer(asked, own):
+        import numpy as np
+        import pyarrow as pa
+
+        model = Model(own["gram"].to_numpy(), own["bits"].to_numpy()) if own.num_rows else None
+        found = [np.frombuffer(x, "<i8") for x in asked["grams"].to_pylist()]
+        bits = [model.cost(x) if model else np.full(len(x), UNSEEN_BITS) for x in found]
+        return pa.table({"of": asked["of"], "gram_lang": asked["gram_lang"], "grams": asked["grams"], "bits": pa.array([x.astype("<f8").tobytes() for x in bits], pa.binary())})
+
+    answers = entries.groupBy("gram_lang", "gram_part").cogroup(dealt.groupBy("model_lang", "model_part")).applyInArrow(answer, "of long, gram_lang string, grams binary, bits binary")
+
+    def score(texts, own):
+        import numpy as np
+        import pyarrow as pa
+
+        by_lang: dict[str, list] = {}
+        for lang, g, x in zip(own["gram_lang"].to_pylist(), own["grams"].to_pylist(), own["bits"].to_pylist(), strict=True):
+            by_lang.setdefault(lang, []).append((np.frombuffer(g, "<i8"), np.frombuffer(x, "<f8")))
+        models = {lang: Model(*map(np.concatenate, zip(*found, strict=True))) for lang, found in by_lang.items()}
+        return pa.table([texts["doc_id"], texts["lang"], texts["content"], *_columns_of(texts["text"].to_pylist(), texts["lang"].to_pylist(), models)], names=NAMES)
+
+    texts = cut_up.where("block is not null").select("block", "doc_id", "lang", "text", "content")
+    return texts.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(score, MEASURED)
 
 
 def bands(measured: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
@@ -274,9 +345,7 @@ def bands(measured: DataFrame, below: float = BELOW, above: float = ABOVE) -> Da
 def judge(docs: DataFrame, below: float = BELOW, above: float = ABOVE, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """The counts, perplexity and verdict of each row of docs (doc_id, text, lang)."""
     # copies of a text count once, in the model as in the bands: else they'd make themselves likely
-    texts = docs.select(_language().alias("lang"), F.col("text").cast("string").alias("text"))
-    distinct = texts.groupBy("lang", F.xxhash64("text").alias("content")).agg(F.first("text").alias("text"))
-    found = measure(docs, model(distinct), broadcast_grams)
+    found = measure(docs, model(once(docs)), broadcast_grams)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = stash(found.withColumn("base_failed", failed), "measured")
     limits = bands(found, below, above)
