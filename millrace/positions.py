@@ -1,15 +1,15 @@
 """Positions, running values and neighbours over a global order, without one task for all.
 
-A window without keys moves every row to one task. Here rows are dealt to chunks of the
-order: first to ranges between quantiles of the leading order column (ties together), whose
-sizes give each range's first position; then positions cut the rows into chunks of equal
-size. A running value is one per chunk, plus what earlier chunks come to; a neighbour within
-k rows is found in a chunk with the last (or first) k rows of the chunks beside it.
+A window without keys moves every row to one task. Here a range shuffle on the whole order
+deals rows to ranges of some CHUNK_ROWS (rows that share the leading column may be in
+several), the ranged rows are kept, and the ranges' sizes give each range's first position;
+positions cut the rows into chunks of equal size. A running value is one per chunk, plus what
+earlier chunks come to; a neighbour within k rows is found in a chunk with the last (or first)
+k rows of the chunks beside it.
 """
 
 from __future__ import annotations
 
-import functools
 import operator
 from collections.abc import Callable
 from typing import TYPE_CHECKING
@@ -17,6 +17,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from millrace.operators.cycles import settled
+
 if TYPE_CHECKING:
     from millrace.frame import OrderedFrame
 
@@ -24,43 +26,21 @@ if TYPE_CHECKING:
 CHUNK_ROWS = 1_000_000
 POS, CHUNK = "pos", "_chunk"
 
-_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp")
-
-
-def _bounds(frame: OrderedFrame) -> list:
-    """Values of the leading order column that cut the rows into ranges of about CHUNK_ROWS."""
-    lead, df = frame.order[0], frame.df
-    kind = dict(df.dtypes)[lead]
-    rows = df.count()
-    ranges = rows // CHUNK_ROWS + 1
-    if ranges == 1:
-        return []
-    at = [i / ranges for i in range(1, ranges)]
-    if kind.startswith(_NUMBERS):
-        found = df.agg(F.percentile_approx(lead, at, max(10_000, 20 * ranges)).alias("q")).first()["q"]
-    else:  # a bounded sample; any bounds give right results
-        sample = [r[0] for r in df.select(lead).where(f"`{lead}` is not null").sample(min(1.0, 200 * ranges / rows), 7).limit(400 * ranges).collect()]
-        sample.sort()
-        found = [sample[int(x * len(sample))] for x in at] if sample else []
-    return sorted(set(found))
-
 
 def with_positions(frame: OrderedFrame) -> DataFrame:
     """frame's rows with pos: their place in the order, from 0."""
     if frame.by:
         return frame.df.withColumn(POS, (F.row_number().over(frame.window()) - 1).cast("long"))
-    order = [F.col(c) for c in frame.order]
-    bounds = _bounds(frame)
-    if not bounds:
-        return frame.df.withColumn(POS, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    kind = frame.df.schema[frame.order[0]].dataType
-    above = [F.coalesce(order[0] >= F.lit(b).cast(kind), F.lit(False)).cast("int") for b in bounds]
-    ranged = frame.df.withColumn("_range", functools.reduce(operator.add, above))
+    ranges = frame.df.count() // CHUNK_ROWS + 1
+    if ranges == 1:
+        return frame.df.withColumn(POS, (F.row_number().over(Window.orderBy(*frame.order)) - 1).cast("long"))
+    ranged = frame.df.repartitionByRange(ranges, *frame.order).sortWithinPartitions(*frame.order)
+    # a row's number in its part; kept, as ranges are drawn anew each time they are computed
+    ranged = settled(ranged.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))  # a row for each range
-    within = Window.partitionBy("_range").orderBy(*order)
-    return ranged.join(F.broadcast(firsts), "_range").withColumn(POS, (F.col("_first") + F.row_number().over(within) - 1).cast("long")).drop("_range", "_first")
+    return ranged.join(F.broadcast(firsts), "_range").withColumn(POS, F.col("_first") + F.col("_place")).drop("_range", "_place", "_first")
 
 
 def chunked(frame: OrderedFrame) -> tuple[DataFrame, list[str]]:
