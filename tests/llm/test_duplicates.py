@@ -230,7 +230,7 @@ def test_reach_of_suffixes():
     """The most words in common with any other suffix of the seed, against all pairs."""
     rng = numpy.random.default_rng(4)
     seeds = rng.integers(0, 6, 300).astype(numpy.uint64)
-    words = rng.integers(0, 2, (300, 9)).astype(numpy.uint32)
+    words = rng.integers(0, 2, (300, 9)).astype(numpy.uint16)
     got = repeats._reach(seeds, words)
     for i in range(300):
         others = [j for j in range(300) if j != i and seeds[j] == seeds[i]]

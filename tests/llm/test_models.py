@@ -70,6 +70,33 @@ def test_quality_of_odd_rows(spark, documents, empty):
     assert quality.score(documents, quality.learn(documents, odd)).count() == documents.count()
 
 
+def test_features_against_plain_python(rows):
+    texts = [r.text for r in rows]
+    got = quality.features(texts)
+    at = {n: i for i, n in enumerate(quality.FEATURES)}
+    for text, row in zip(texts, got, strict=True):
+        text = text or ""
+        raw, words = text.encode(), re.findall(r"[^\x20\x09-\x0D]+", text)
+        n, size = max(1, len(words)), max(1, len(raw))
+        threes = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        again = {j for i in range(len(words) - 2) if threes[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        share = Counter(raw)
+        want = {
+            "log_words": math.log1p(len(words)), "shortness": 1 / math.sqrt(1 + len(words)), "word_chars": sum(map(len, words)) / n, "long_words": sum(len(w.encode()) > 20 for w in words) / n,
+            "symbols": sum(c in "#*$%&|<>" for c in text) / size, "exclaim": text.count("!") / size, "digits": sum(c in "0123456789" for c in text) / size, "bars": text.count("|") / n, "stops": text.count(".") / n, "commas": text.count(",") / n,
+            "lines": len(lines) / n, "repeated": len(again) / n, "same_lines": (len(lines) - len(set(lines))) / max(1, len(lines)), "distinct": len(set(words)) / n, "top_word": max(Counter(words).values(), default=0) / n,
+            "bytes_used": -sum(c / len(raw) * math.log2(c / len(raw)) for c in share.values()),
+        }
+        for name, value in want.items():
+            assert abs(row[at[name]] - value) < 1e-9, (name, text[:50])
+        runs = Counter(int.from_bytes(raw[i : i + 4], "big") * 0x9E3779B1 % 2**32 >> 20 for i in range(len(raw) - 3))
+        for i in range(quality.HASHED):
+            hits = sum(c for place, c in runs.items() if place % quality.HASHED == i)
+            assert abs(row[at[f"bytes_{i}"]] - hits / max(1, len(raw) - 3)) < 1e-9
+        assert abs(sum(row[at[f"words_{i}"]] for i in range(quality.HASHED)) - bool(words)) < 1e-9
+
+
 def test_bradley_terry_recovers_an_order():
     rng = numpy.random.default_rng(1)
     x = rng.normal(size=(400, len(quality.FEATURES)))
@@ -143,7 +170,7 @@ def test_perplexity_is_that_of_the_model(spark):
             t = texts[r.doc_id] or ""
             s = [-1] * (rules.ORDER - 1) + list(t.encode()) + [-2]
             want = -sum(math.log2(p(tuple(s[i : i + rules.ORDER]))) for i in range(len(s) - rules.ORDER + 1)) / (len(t.encode()) + 1)
-            assert abs(r.bits - want) < 1e-6, t
+            assert abs(r.bits - want) < 1e-5, t
 
 
 def test_copies_count_once(spark):
