@@ -22,8 +22,9 @@ filters), so every such pair of different classes is compared.
 Classes are the connected components of links of THRESHOLD or more, by the alternation of
 large and small stars.
 
-Defined cases: null texts and those without a word are in no link, each a class of its own;
-repeated rows are of one class; a null doc_id is carried; an empty table gives no rows;
+Defined cases: null texts and those without a word are in no link, each a class of its own; a
+text of any length is taken whole, one such at a time; a similarity of THRESHOLD itself is a
+link; repeated rows are of one class, and of equal doc_ids the first row counts as first; a null doc_id is carried; an empty table gives no rows;
 further columns are carried by deduplicate(), else not read.
 """
 
@@ -370,8 +371,9 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id, first (of its class: that of the least doc_id) for each row of docs."""
     with scratch(docs.sparkSession):
         found = stash(classes(docs, **options), "near-duplicates", outlives=True)
-    firsts = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("f")).select(F.col("class_id").alias("c"), F.col("f.row").alias("first_row"))
-    return found.join(firsts, F.col("class_id") == F.col("c")).select("doc_id", "class_id", (F.col("row") == F.col("first_row")).alias("first"))
+    # joined by row, not by class, of which one may have a third of all rows
+    firsts = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("f")).select(F.col("f.row").alias("first_row"))
+    return found.join(firsts, F.col("row") == F.col("first_row"), "left").select("doc_id", "class_id", F.col("first_row").isNotNull().alias("first"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
