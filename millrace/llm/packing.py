@@ -5,8 +5,10 @@ their number's binary form, with as many pieces of the maximum length as fit fir
 sequence is one piece: equal lengths share a bucket and are numbered in it, no sequence
 crosses documents, and as every length is a power of two no sequence needs padding.
 
-Defined cases: a null or empty text has the end id alone, so one piece of length 1; rows
-that repeat are packed each for itself; a null doc_id is carried; an empty table gives no
+Defined cases: a null or empty text has the end id alone, so one piece of length 1; a text of
+any length is one document; pieces of one length lie in the order of hashes of doc_id and
+start, ties in any; rows that repeat are packed each for itself; strings of special tokens in a
+text are text; a null doc_id is carried; an empty table gives no
 rows; other columns of the input aren't read.
 """
 
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from millrace.llm import pieces
 from millrace.llm.shared import stash
 
-#: Rows of one numbering group.
-GROUP_ROWS = 50_000
+#: Rows of one numbering group, and groups that are summed up by one task.
+GROUP_ROWS, GROUP_RUN = 50_000, 4096
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:
@@ -57,15 +59,22 @@ def decompose(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: in
 def number_sequences(cut: DataFrame) -> DataFrame:
     """Adds sequence_id, dense over all pieces by falling length, and offset (0).
 
-    Rows of a length are dealt to salted groups, so no length is numbered in one task; the
-    groups' sizes give each group's first number.
+    Rows of a length are dealt to salted groups, so no length is numbered in one task; sizes
+    of lengths, of runs of GROUP_RUN groups, and of groups give each group's first number; a
+    task sums the groups of one run, or the runs of one length.
     """
     cut = stash(cut, "pieces")
     salts = max(16, -(-cut.count() // GROUP_ROWS))
     salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
     sizes = salted.groupBy(F.col("length").alias("_length"), F.col("_salt").alias("_group")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(F.col("_length").desc(), "_group").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("_length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    sizes = stash(sizes.withColumn("_run", F.floor(F.col("_group") / GROUP_RUN)), "group-sizes")
+    upto = lambda over: F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_runs = sizes.groupBy("_length", "_run").agg(F.sum("_n").alias("_n"))
+    of_lengths = of_runs.groupBy("_length").agg(F.sum("_n").alias("_n"))  # a row for each power of two
+    of_lengths = of_lengths.select("_length", upto(Window.orderBy(F.col("_length").desc())).alias("_of_length"))
+    of_runs = of_runs.select("_length", "_run", upto(Window.partitionBy("_length").orderBy("_run")).alias("_of_run"))
+    of_groups = sizes.select("_length", "_run", "_group", upto(Window.partitionBy("_length", "_run").orderBy("_group")).alias("_of_group"))
+    firsts = of_groups.join(of_runs, ["_length", "_run"]).join(of_lengths, "_length").select("_length", "_group", (F.col("_of_length") + F.col("_of_run") + F.col("_of_group")).alias("_first"))
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "start")
     return (
         salted.withColumn("_rank", F.row_number().over(within))
