@@ -11,6 +11,7 @@ place and both ends of every repeat retain a suffix with the same SEED words.
 2. The others are sorted as suffixes, word by word, and each is compared with its two
    neighbours: the longer common prefix is how far it matches any other to the right. Sorted by
    the words before it, read backwards, its neighbours tell the same of the left.
+   Words stand there for 16 bits of their hashes: a reach may come out too long, never short.
 3. Matches are extended: of the windows with that minimiser, those that begin no farther left
    and end no farther right may repeat. One suffix may match on the left and another on the
    right, so windows are compared themselves in the last step, by a hash of their MIN_WORDS
@@ -80,16 +81,16 @@ def _windows(words, min_words: int, seed: int):
 
 
 def _contexts(words, places, min_words: int, seed: int):
-    """(words, keys): for each place the words of all windows that may have it as minimiser (32 bits each, 0 outside of the text), and a hash of them."""
+    """(words, keys): for each place the words of all windows that may have it as minimiser (16 bits of hash each, 0 outside of the text), and a hash of them."""
     import numpy as np
 
     from millrace.llm.words import mix
 
-    short = (words.hashes >> np.uint64(32)).astype(np.uint32)
+    short = (words.hashes >> np.uint64(48)).astype(np.uint16)
     text_of = np.searchsorted(words.bounds, places, side="right") - 1
     at = places[:, None] + np.arange(seed - min_words, min_words)
     inside = (at >= words.bounds[text_of][:, None]) & (at < words.bounds[text_of + 1][:, None])
-    out = np.where(inside, short[np.clip(at, 0, max(0, len(short) - 1))], np.uint32(0))
+    out = np.where(inside, short[np.clip(at, 0, max(0, len(short) - 1))], np.uint16(0))
     spread = mix(np.arange(1, out.shape[1] + 1, dtype=np.uint64)) | np.uint64(1)
     return out, mix((out.astype(np.uint64) * spread).sum(1, dtype=np.uint64))
 
@@ -266,8 +267,8 @@ def _reach(seeds, words):
     import numpy as np
 
     n, width = words.shape
-    written = np.concatenate([seeds.astype(">u8").view(np.uint8).reshape(n, 8), np.ascontiguousarray(words, ">u4").view(np.uint8).reshape(n, 4 * width)], axis=1)
-    order = np.argsort(np.ascontiguousarray(written).view(f"S{8 + 4 * width}").ravel(), kind="stable")
+    written = np.concatenate([seeds.astype(">u8").view(np.uint8).reshape(n, 8), np.ascontiguousarray(words, ">u2").view(np.uint8).reshape(n, 2 * width)], axis=1)
+    order = np.argsort(np.ascontiguousarray(written).view(f"S{8 + 2 * width}").ravel(), kind="stable")
     a, b = order[:-1], order[1:]
     differ = words[a] != words[b]
     common = np.where(differ.any(1), differ.argmax(1), width)
@@ -287,7 +288,7 @@ def _reaches(suffixes: DataFrame, min_words: int, seed: int) -> DataFrame:
 
         before = min_words - seed
         seeds = np.frombuffer(b"".join(t["seeds"].to_pylist()), "<u8")
-        words = np.frombuffer(b"".join(t["words"].to_pylist()), "<u4").reshape(len(seeds), before + min_words)
+        words = np.frombuffer(b"".join(t["words"].to_pylist()), "<u2").reshape(len(seeds), before + min_words)
         often = np.frombuffer(b"".join(t["often"].to_pylist()), np.uint8).astype(bool)
         right = np.where(often, min_words, _reach(seeds, words[:, before:])).astype(np.uint8)
         left = np.where(often, before, _reach(seeds, words[:, :before][:, ::-1]) if before else 0).astype(np.uint8)
@@ -416,9 +417,9 @@ def _found(docs: DataFrame, min_words: int, seed: int, carry: list[str]) -> tupl
     blocks = _blocks(docs, min_words, seed, bits, carry)
     seeds = stash(_compared(blocks.where("entry_block is not null").select("entry_block", "entry_range", "hashes", "flags"), only_repeated=True), "repeat-seeds")
     texts = blocks.where("block is not null")
-    suffixes = _suffixes(texts.select("block", "in_text"), seeds, min_words, seed, bits)
-    reaches = _reaches(suffixes, min_words, seed)
-    windows = stash(_extended(texts.select("block", "number", "in_id", "in_text"), seeds, reaches, min_words, seed, bits), "repeat-windows")
+    own = texts.select("block", "number", "in_id", "in_text")  # one exchange for both uses
+    reaches = _reaches(_suffixes(own, seeds, min_words, seed, bits), min_words, seed)
+    windows = stash(_extended(own, seeds, reaches, min_words, seed, bits), "repeat-windows")
     flags = _compared(windows.where("entry_block is not null").select("entry_block", "entry_range", "hashes", "flags"), only_repeated=False)
     placed = windows.where("block is not null").select(F.col("block").alias("of"), "number", "doc_id", "n_words", "starts", "places")
     return texts, _spans(placed, flags, min_words)

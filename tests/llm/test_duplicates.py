@@ -283,3 +283,16 @@ def test_scratch_tables_are_deleted(spark):
     found = neardup.near_duplicates(df)
     assert [p.name.rpartition("-")[0] for p in set(folder.iterdir()) - before] == ["near-duplicates"]
     assert len({r.class_id for r in found.collect()}) == 1
+
+
+def test_repeats_agree_with_sql(spark):
+    import duckdb
+
+    from millrace.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = db.execute(queries.oracle_sql()["op4_repeats"]).fetchall()
+    got = queries.op4_repeats(spark, sf).select("doc_id", "n_words", "start", "end").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 50
