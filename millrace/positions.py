@@ -27,11 +27,16 @@ CHUNK_ROWS = 1_000_000
 POS, CHUNK = "pos", "_chunk"
 
 
-def with_positions(frame: OrderedFrame) -> DataFrame:
+def _ranges(frame: OrderedFrame) -> int:
+    """The ranges to which a frame without keys is dealt: one for what one task can order."""
+    return frame.df.count() // CHUNK_ROWS + 1
+
+
+def with_positions(frame: OrderedFrame, ranges: int | None = None) -> DataFrame:
     """frame's rows with pos: their place in the order, from 0."""
     if frame.by:
         return frame.df.withColumn(POS, (F.row_number().over(frame.window()) - 1).cast("long"))
-    ranges = frame.df.count() // CHUNK_ROWS + 1
+    ranges = ranges or _ranges(frame)
     if ranges == 1:
         return frame.df.withColumn(POS, (F.row_number().over(Window.orderBy(*frame.order)) - 1).cast("long"))
     ranged = frame.df.repartitionByRange(ranges, *frame.order).sortWithinPartitions(*frame.order)
@@ -44,9 +49,10 @@ def with_positions(frame: OrderedFrame) -> DataFrame:
 
 
 def chunked(frame: OrderedFrame) -> tuple[DataFrame, list[str]]:
-    """frame's rows with pos and the columns to partition windows by (keys, or the chunk)."""
-    df = with_positions(frame)
-    if frame.by:
+    """frame's rows with pos and the columns to partition windows by (keys, or the chunk; none if there is but one)."""
+    ranges = 1 if frame.by else _ranges(frame)
+    df = with_positions(frame, ranges)
+    if ranges == 1:
         return df, list(frame.by)
     return df.withColumn(CHUNK, F.floor(F.col(POS) / CHUNK_ROWS)), [CHUNK]
 
@@ -65,7 +71,7 @@ def running(frame: OrderedFrame, inclusive: bool = True, **values: tuple[str, Co
         out = out.withColumn(name, kinds[how](value).over(span))
         if how in ("sum", "count"):
             out = out.withColumn(name, F.coalesce(name, F.lit(0)))
-    if frame.by:
+    if CHUNK not in parts:
         return out
     totals = df.groupBy(CHUNK).agg(*(kinds[how](value).alias(f"_t_{name}") for name, (how, value) in values.items()))
     earlier = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -84,7 +90,7 @@ def beside(frame: OrderedFrame, back: int = 0, ahead: int = 0, **values: Callabl
     """
     df, parts = chunked(frame)
     spec = Window.partitionBy(*parts).orderBy(POS)
-    if frame.by:
+    if CHUNK not in parts:
         return df.select("*", *(f(spec).alias(name) for name, f in values.items()))
     if max(back, ahead) > CHUNK_ROWS:
         raise ValueError(f"at most {CHUNK_ROWS} rows back or ahead")
