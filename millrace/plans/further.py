@@ -127,6 +127,15 @@ def source_push(spark, sf):
     return push.frame().df.withColumns({"was_taken": F.lit(taken), "n_taken": F.lit(n).cast("long"), "later_taken": F.lit(push.offer(9))})
 
 
+@query()
+def source_file_chunks(spark, sf):
+    """A file's bytes in chunks of 512."""
+    from millrace.sources.files import from_file
+
+    f = from_file(spark, f"{sf}/region.parquet", 512)
+    return f.df.select(big("pos").alias("pos"), big(F.octet_length("value")).alias("n"), F.md5("value").alias("md5"))
+
+
 # drains
 
 
