@@ -16,6 +16,7 @@ import struct
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 from unicodedata import is_normalized
 
 from pyspark.sql import DataFrame
@@ -168,28 +169,40 @@ class Encoder:
 
     def __init__(self, tokenizer_file: str, parts_of: Callable[[str], list[str]] = cores, most: int = 300_000):
         self.tokens, self.parts_of, self.most = tokens(tokenizer_file), parts_of, most
+        self.starts = frozenset(" abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def __call__(self, pieces: list[str], counts: list[int]) -> list[bytes]:
         """The ids of different pieces, which come counts times."""
         young, old = self.young, self.old
-        out, new = list(map(young.get, pieces)), []
-        for i, x in enumerate(out):
-            if x is None:
-                known = out[i] = old.get(pieces[i])
-                if known is None:
-                    new.append(i)
-                else:
-                    young[pieces[i]] = known
-        parts = [self.parts_of(pieces[i]) for i in new]
-        local = {x: young.get(x) for own in parts for x in own}
+        out = list(map(young.get, pieces))
+        new = [i for i, x in enumerate(out) if x is None]
+        if old:
+            for i in new:
+                known = old.get(pieces[i])
+                if known is not None:
+                    out[i] = young[pieces[i]] = known
+            new = [i for i in new if out[i] is None]
+        # most are words of letters, which are parts themselves
+        rest = [i for i in new if not pieces[i][1:].isalpha()]
+        if self.parts_of is cores:  # the most common case of it, without a call for each
+            parts = [(p[:-1], p[-1]) if p[-1:] in (",", ".") and p[1:-1].isalpha() and p[0] in self.starts else cores(p) for p in map(pieces.__getitem__, rest)]
+        else:
+            parts = [self.parts_of(pieces[i]) for i in rest]
+        local = dict.fromkeys([pieces[i] for i in new if pieces[i][1:].isalpha()])
+        for x in chain.from_iterable(parts):
+            if x not in local:
+                local[x] = young.get(x)
         missing = [x for x, known in local.items() if known is None]
         local.update(zip(missing, self.tokens(missing), strict=True))
-        for i, own in zip(new, parts, strict=True):
-            out[i] = found = local[own[0]] if len(own) == 1 else b"".join(map(local.__getitem__, own))
+        for i, own in zip(rest, parts, strict=True):
+            out[i] = local[own[0]] if len(own) == 1 else b"".join(map(local.__getitem__, own))
+        for i in new:
+            if out[i] is None:
+                out[i] = local[pieces[i]]
             if counts[i] > 1:
-                young[pieces[i]] = found
+                young[pieces[i]] = out[i]
         if len(young) > self.most:
             self.young, self.old = {}, young
         return out
@@ -207,7 +220,12 @@ def gathered(numbers, starts, sizes, flat):
 
     n = sizes[numbers]
     ends = np.cumsum(n)
-    return (flat[np.repeat(starts[numbers] - (ends - n), n) + np.arange(ends[-1])] if len(ends) else flat[:0]), ends
+    if not len(ends):
+        return flat[:0], ends
+    kind = np.int32 if max(len(flat), int(ends[-1])) < 2**31 else np.int64
+    at = np.repeat((starts[numbers] - (ends - n)).astype(kind), n)
+    at += np.arange(len(at), dtype=kind)
+    return flat[at], ends
 
 
 def blocks(docs: DataFrame, cut: Callable, block_bytes: int | None = None) -> DataFrame:
@@ -332,16 +350,17 @@ class Tokens:
         return [array("I", e.ids).tobytes() for i in range(0, len(parts), 20_000) for e in self.tokenizer.encode_batch_fast(parts[i : i + 20_000], add_special_tokens=False)]
 
     def _words(self, parts: list[str]) -> list[bytes]:
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        return [array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes() for p in parts]
+        tokenize, letters, space = self.tokenizer.model.tokenize, self.letters, self.letters[32]
+        written = [p if p.isascii() and p[0] != " " else space + p[1:] if p.isascii() else p.encode().decode("latin-1").translate(letters) for p in parts]
+        return [array("I", [t.id for t in tokenize(p)]).tobytes() for p in written]
 
-    def _is_word(self, part: str) -> bool:
+    def _words_of(self, parts: list[str]) -> list[str]:
         if self.tokenizer_changes:
-            return part.isalpha() and part == part.lower() and is_normalized("NFC", part)
-        return part.isalpha() or (part[:1] == " " and part[1:].isalpha())
+            return [p for p in parts if p.isalpha() and p == p.lower() and is_normalized("NFC", p)]
+        return [p for p in parts if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) or p.isalpha()]
 
     def __call__(self, parts: list[str]) -> list[bytes]:
-        words = [p for p in parts if self._is_word(p)] if self.direct else []
+        words = self._words_of(parts) if self.direct else []
         found = dict(zip(words, self._words(words), strict=True))
         if self.trials < self.TRIED and words:
             tried = words[: self.TRIED]

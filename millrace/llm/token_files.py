@@ -26,7 +26,7 @@ from millrace.llm.shared import shared_path, stash
 SCHEMA = "doc_id long, ids array<int>"
 STRIPE_BYTES, ROWS_PER_INDEX = 16 << 20, 1000
 #: Bytes of texts that are encoded at once (one text may be longer).
-AT_ONCE_BYTES = 12 << 20
+AT_ONCE_BYTES = 10 << 20
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, stripe_bytes: int = STRIPE_BYTES) -> None:
@@ -56,6 +56,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
                 ids, ends = pieces.gathered(whole, np.cumsum(n_ids) - n_ids, n_ids, flat)
                 offsets = np.concatenate([[0], ends[np.cumsum([len(own) + 1 for own in numbers]) - 1]]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(offsets, pa.array(ids))], ["doc_id", "ids"])
+                del ids, whole, flat, found, numbers, listed, texts
+                pa.default_memory_pool().release_unused()
 
     end = int(end_id).to_bytes(4, "little")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
