@@ -35,17 +35,21 @@ SYMBOLS = 257  # bytes, and the end of a text
 START, END = 0xFF, 0xFE  # bytes that no UTF-8 text has
 #: Bits of an n-gram that the model hasn't seen; the texts it is judged by have none.
 UNSEEN_BITS = 16.0
-#: n-grams a task holds before it passes their counts on.
-HELD_GRAMS = 1 << 21
-#: n-grams of a model that may go to every task whole (16 bytes each).
+#: n-grams a task holds before it passes their counts on, and bytes of texts for each such task.
+HELD_GRAMS, COUNTED_BYTES = 1 << 21, 64 << 20
+#: Languages whose discounts (a row each) may go to every task; beyond it they are joined.
+BROADCAST_LANGS = 10_000
+#: n-grams of a model that may go to every task whole (12 bytes each).
 BROADCAST_GRAMS = 4_000_000
+#: Texts that are scored at once.
+ROWS_AT_ONCE = 1000
 #: Texts with copies (20 bytes each) that may go to every task; beyond it they are joined.
 BROADCAST_COPIES = 1_000_000
 #: Bytes of text in a block, and n-grams of a part of the model, where they are dealt.
 BLOCK_BYTES, PART_GRAMS = 32 << 20, 1_000_000
 #: Multiples of the spread between the median and a quartile; 5 is 3.4 standard deviations of a
-#: normal spread.
-BELOW, ABOVE = 5.0, 5.0
+#: normal spread. Below the median texts that share passages with others lie farther out.
+BELOW, ABOVE = 6.0, 5.0
 #: Bins of log-perplexity in a bit.
 BINS = 1000
 #: The least spread, in bits.
@@ -91,7 +95,9 @@ def count_grams(docs: DataFrame) -> DataFrame:
         def flush() -> Iterator:
             for lang in sorted(held):
                 keys, n = merged(lang)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                for i in range(0, len(keys), 1 << 16):
+                    part = keys[i : i + (1 << 16)].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part), pa.array(n[i : i + (1 << 16)])], ["lang", "gram", "n"])
             held.clear()
 
         for batch in batches:
@@ -107,7 +113,10 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    counted = docs.select(_language().alias("lang"), F.col("text").cast("string")).mapInArrow(count, "lang string, gram long, n long")
+    # tasks that see more texts pass fewer counts on; partitions are put together, not dealt anew
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, size // COUNTED_BYTES)
+    counted = docs.select(_language().alias("lang"), F.col("text").cast("string")).coalesce(tasks).mapInArrow(count, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -132,7 +141,8 @@ def model(docs: DataFrame) -> DataFrame:
         ones = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)]
         y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
         discounts = [F.least(F.lit(float(i)), F.greatest(F.lit(0.0), F.coalesce(F.try_divide((i + 1) * y * F.col(f"n{i + 1}"), F.col(f"n{i}").cast("double")) * -1 + i, F.lit(0.5 * i)))).alias(f"d{i}") for i in (1, 2, 3)]
-        t = t.join(t.groupBy("lang").agg(*ones).select("lang", *discounts), "lang")
+        of_langs = stash(t.groupBy("lang").agg(*ones).select("lang", *discounts), "discounts")
+        t = t.join(F.broadcast(of_langs) if of_langs.count() <= BROADCAST_LANGS else of_langs, "lang")
         t = t.withColumn("off", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("context", F.shiftright("gram", 8))
         t = t.select("lang", "gram", "n", "off", "context")
         sums = t.groupBy("lang", "context").agg(F.sum("n").alias("whole"), F.sum("off").alias("mass"))
@@ -156,7 +166,7 @@ class Model:
 
         hashes = self.hashed(np.asarray(keys))
         order = np.argsort(hashes)
-        self.hashes, self.bits = hashes[order], np.asarray(bits, float)[order]
+        self.hashes, self.bits = hashes[order], np.asarray(bits, np.float32)[order]
 
     @staticmethod
     def hashed(gram):
@@ -172,7 +182,7 @@ class Model:
 
         keys, each = np.unique(self.hashed(found), return_inverse=True)
         at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == keys, self.bits[at], UNSEEN_BITS)[each]
+        return np.where(self.hashes[at] == keys, self.bits[at].astype(float), UNSEEN_BITS)[each]
 
 
 def _measured(texts: list[str | None], langs: list[str], models: dict[str, Model]) -> list:
@@ -221,24 +231,30 @@ MEASURED = f"doc_id long, lang string, content long, {BASE}"
 
 def measure(docs: DataFrame, grams_of: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """doc_id, lang, content (hash of the text) and BASE for each row of docs, by the model (lang, gram, p) of its lang."""
+    import numpy as np
+
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _language().alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("content"))
-    costs = grams_of.select("lang", "gram", (-F.log2("p")).alias("bits"))
+    costs = grams_of.select("lang", "gram", (-F.log2("p")).cast("float").alias("bits"))
     n_grams = costs.count()
     if n_grams > broadcast_grams:
         return _measured_by_key(plain, costs, n_grams)
-    # columns of numbers alone, as Arrow: a few tens of MB at the bound, in the driver too
-    parts = {}
-    for (lang,) in costs.select("lang").distinct().collect():
-        rows = costs.where(F.col("lang") == lang).select("gram", "bits").toArrow()
-        parts[lang] = tuple(c.to_numpy() for c in rows.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(parts)
+    # as Arrow: some 100 MB at the bound, in the driver too
+    rows = costs.toArrow().combine_chunks()
+    langs = rows["lang"].combine_chunks().dictionary_encode()
+    of = langs.indices.to_numpy()
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(len(langs.dictionary)), side="right").tolist()
+    columns = [rows[c].to_numpy()[order] for c in ("gram", "bits")]
+    models = {lang: Model(*(c[a:b] for c in columns)) for lang, a, b in zip(langs.dictionary.to_pylist(), [0, *ends], ends, strict=False)}
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        models = {lang: Model(*arrays) for lang, arrays in shared.value.items()}
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *_columns_of(batch.column(2).to_pylist(), batch.column(1).to_pylist(), models)], NAMES)
+        for whole in batches:
+            for i in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.slice(i, ROWS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *_columns_of(batch.column(2).to_pylist(), batch.column(1).to_pylist(), shared.value)], NAMES)
 
     return plain.mapInArrow(scored, MEASURED)
 
@@ -310,7 +326,7 @@ def _measured_by_key(plain: DataFrame, costs: DataFrame, n_grams: int) -> DataFr
         model = Model(own["gram"].to_numpy(), own["bits"].to_numpy()) if own.num_rows else None
         found = [np.frombuffer(x, "<i8") for x in asked["grams"].to_pylist()]
         bits = [model.cost(x) if model else np.full(len(x), UNSEEN_BITS) for x in found]
-        return pa.table({"of": asked["of"], "gram_lang": asked["gram_lang"], "grams": asked["grams"], "bits": pa.array([x.astype("<f8").tobytes() for x in bits], pa.binary())})
+        return pa.table({"of": asked["of"], "gram_lang": asked["gram_lang"], "grams": asked["grams"], "bits": pa.array([x.astype("<f4").tobytes() for x in bits], pa.binary())})
 
     answers = entries.groupBy("gram_lang", "gram_part").cogroup(dealt.groupBy("model_lang", "model_part")).applyInArrow(answer, "of long, gram_lang string, grams binary, bits binary")
 
@@ -320,7 +336,7 @@ def _measured_by_key(plain: DataFrame, costs: DataFrame, n_grams: int) -> DataFr
 
         by_lang: dict[str, list] = {}
         for lang, g, x in zip(own["gram_lang"].to_pylist(), own["grams"].to_pylist(), own["bits"].to_pylist(), strict=True):
-            by_lang.setdefault(lang, []).append((np.frombuffer(g, "<i8"), np.frombuffer(x, "<f8")))
+            by_lang.setdefault(lang, []).append((np.frombuffer(g, "<i8"), np.frombuffer(x, "<f4")))
         models = {lang: Model(*map(np.concatenate, zip(*found, strict=True))) for lang, found in by_lang.items()}
         return pa.table([texts["doc_id"], texts["lang"], texts["content"], *_columns_of(texts["text"].to_pylist(), texts["lang"].to_pylist(), models)], names=NAMES)
 
