@@ -44,6 +44,8 @@ SMALL, CENTERS = 32, 3
 #: Slots in which shingles' holders are counted (they only set the order from rare to common),
 #: and holders of a shingle that one task pairs with all others.
 SLOTS, HOT = 1 << 20, 2000
+#: Bands of more than HOT texts (a row of some 60 bytes each) that may go to every task.
+BROADCAST_BANDS = 100_000
 
 #: Bounds of the first cells of rank; each further one is 1 wide.
 _FIRST_CELLS = (0.0, 0.25, 0.5, 1.0)
@@ -310,6 +312,15 @@ def _sharing(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFram
     return one.join(all_of, ["shingle", "salt"]).where(near).select(F.greatest("row", "row2").alias("a"), F.least("row", "row2").alias("b")).distinct()
 
 
+def _of_bands(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """rows joined with bands (a row for each band, with its size). Rows of bands of more than HOT texts stay where they are."""
+    hot = bands.where(F.col("size") > HOT)
+    if hot.count() > BROADCAST_BANDS:
+        return rows.join(bands, "band")
+    others = rows.join(F.broadcast(hot.select("band")), "band", "left_anti").join(bands.where(F.col("size") <= HOT), "band")
+    return rows.join(F.broadcast(hot), "band").unionByName(others)
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, class (its component's least node) for the nodes of links (a, b)."""
     links = stash(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -334,15 +345,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGL
     # one row for each set of elements
     firsts = stash(texts.groupBy("content").agg(F.min("row").alias("first"), F.min_by("n", "row").alias("n"), F.min_by("bands", "row").alias("bands")), "contents")
     banded = firsts.select(F.col("first").alias("row"), "n", F.explode("bands").alias("band"))
-    ends = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("row").alias("low"), F.max("row").alias("high")).where("size > 1")
-    met = stash(banded.join(ends, "band"), "bands")
+    ends = stash(banded.groupBy("band").agg(F.count("*").alias("size"), F.min("row").alias("low"), F.max("row").alias("high")).where("size > 1"), "band-ends")
+    met = stash(_of_bands(banded, ends), "bands")
     links = stash(_similar(met.select(F.explode(F.array(F.struct(F.col("row").alias("a"), F.col("low").alias("b")), F.struct(F.col("row").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), texts, threshold), "similar")
     found = stash(components(links), "classes")
 
     # bands of up to three texts are compared wholly by now
     many = met.where("size > 3").join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("class", F.coalesce("class", "row"))
-    mixed = many.groupBy("band").agg(F.min("class").alias("c1"), F.max("class").alias("c2"), *(F.min_by("row", F.xxhash64("row", F.lit(i))).alias(f"center{i}") for i in range(CENTERS))).where("c1 != c2").drop("c1", "c2")
-    mixed = stash(many.join(mixed, "band"), "mixed-bands")
+    mixed = many.groupBy("band").agg(F.first("size").alias("size"), F.min("class").alias("c1"), F.max("class").alias("c2"), *(F.min_by("row", F.xxhash64("row", F.lit(i))).alias(f"center{i}") for i in range(CENTERS))).where("c1 != c2").drop("c1", "c2")
+    mixed = stash(_of_bands(many.drop("size"), stash(mixed, "mixed")), "mixed-bands")
     if not mixed.isEmpty():
         small = mixed.where(F.col("size") <= SMALL).select("band", "row", "n", "class")
         other = small.withColumnsRenamed({"row": "row2", "n": "n2", "class": "class2"})
