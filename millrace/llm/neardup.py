@@ -44,8 +44,9 @@ SMALL, CENTERS = 32, 3
 #: Slots in which shingles' holders are counted (they only set the order from rare to common),
 #: and holders of a shingle that one task pairs with all others.
 SLOTS, HOT = 1 << 20, 2000
-#: Bands of more than HOT texts (a row of some 60 bytes each) that may go to every task.
-BROADCAST_BANDS = 100_000
+#: Texts of a band up to which its rows meet in one task, and larger bands (a row of some 60
+#: bytes each) that may go to every task.
+HOT_BAND, BROADCAST_BANDS = 500, 100_000
 
 #: Bounds of the first cells of rank; each further one is 1 wide.
 _FIRST_CELLS = (0.0, 0.25, 0.5, 1.0)
@@ -313,11 +314,11 @@ def _sharing(rows: DataFrame, sketched: DataFrame, threshold: float) -> DataFram
 
 
 def _of_bands(rows: DataFrame, bands: DataFrame) -> DataFrame:
-    """rows joined with bands (a row for each band, with its size). Rows of bands of more than HOT texts stay where they are."""
-    hot = bands.where(F.col("size") > HOT)
+    """rows joined with bands (a row for each band, with its size). Rows of bands of more than HOT_BAND texts stay where they are."""
+    hot = bands.where(F.col("size") > HOT_BAND)
     if hot.count() > BROADCAST_BANDS:
         return rows.join(bands, "band")
-    others = rows.join(F.broadcast(hot.select("band")), "band", "left_anti").join(bands.where(F.col("size") <= HOT), "band")
+    others = rows.join(F.broadcast(hot.select("band")), "band", "left_anti").join(bands.where(F.col("size") <= HOT_BAND), "band")
     return rows.join(F.broadcast(hot), "band").unionByName(others)
 
 

@@ -78,7 +78,7 @@ def test_near_duplicates_of_the_table(spark, documents):
     assert found_classes(df) == near_classes([t for _, t in rows])
 
 
-def test_large_groups(spark):
+def test_large_groups(spark, monkeypatch):
     """Many copies, many near copies, a chain of near copies, and texts that share a passage without being near."""
     rng = random.Random(3)
     base = [f"b{rng.randint(0, 10**6)}" for _ in range(120)]
@@ -94,7 +94,12 @@ def test_large_groups(spark):
     shared = [f"s{i}" for i in range(100)]
     texts += [" ".join(shared + [f"t{rng.randint(0, 10**6)}" for _ in range(80)]) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    assert found_classes(df) == near_classes(texts)
+    want = near_classes(texts)
+    assert found_classes(df) == want
+    for hot, most in ((10, 100_000), (10, 0)):
+        monkeypatch.setattr(neardup, "HOT_BAND", hot)
+        monkeypatch.setattr(neardup, "BROADCAST_BANDS", most)
+        assert found_classes(df) == want
 
 
 def test_pairs_hidden_in_families(spark, monkeypatch):
