@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, language, neardup, packing, quality, repeats, rules, sharding, token_files, topk
+from millrace.llm import bpe, language, neardup, packing, quality, repeats, rules, sharding, superkmers, token_files, topk
 from millrace.llm.shared import table
 
 #: Bytes of a shard, and the shards of a smaller corpus.
@@ -81,8 +81,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = superkmers.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_minhash, op3_language, op4_repeats, op5_topk, op6_quality, op7_token_files, op8_sharding, op9_bpe, op10_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_minhash, op3_language, op4_repeats, op5_topk, op6_quality, op7_token_files, op8_sharding, op9_bpe, op10_rules, op11_substrings)}
 
 
 #: All windows of 50 words, those found twice or more, and the spans that they cover. For tables without
@@ -96,6 +101,18 @@ i as (select *, case when start > lag(start) over (partition by doc_id order by
 g as (select *, sum(starts) over (partition by doc_id order by start) as g from i)
 select doc_id, n_words::bigint as n_words, min(start)::bigint as start, max(start)::bigint + 50 as "end" from g group by doc_id, n_words, g"""
 
+#: All windows of 13 words and the smallest doc_id of each. For tables without repeated doc_ids.
+SUBSTRINGS_SQL = r"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+s as (select doc_id, w, unnest(range(0, len(w) - 12)) as start from d where len(w) >= 13),
+h as (select doc_id, start, array_to_string(w[start + 1 : start + 13], ' ') as h from s),
+f as (select h, min(doc_id) as first from h group by h),
+r as (select doc_id, start from h join f using (h) where first < doc_id),
+c as (select distinct doc_id, unnest(range(start, start + 13)) as place from r),
+p as (select doc_id, unnest(w) as word, unnest(range(len(w))) as place from d),
+k as (select doc_id, string_agg(word, ' ' order by place) as kept, count(*) as n from p anti join c using (doc_id, place) group by doc_id)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)"""
+
 #: Vectors of one length without duplicate ids, as in the test tables.
 TOP_K_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
@@ -118,4 +135,4 @@ select doc_id, n_bytes, lpad(printf('%x', bucket), 16, '0') || '/' || depth as s
 
 def oracle_sql() -> dict[str, str]:
     """The other operators' results are beyond SQL; tests hold them against brute force."""
-    return {"op4_repeats": REPEATS_SQL, "op5_topk": TOP_K_SQL, "op8_sharding": SHARDS_SQL}
+    return {"op4_repeats": REPEATS_SQL, "op5_topk": TOP_K_SQL, "op8_sharding": SHARDS_SQL, "op11_substrings": SUBSTRINGS_SQL}

@@ -50,6 +50,17 @@ def chunks(texts: Iterable[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[i
         yield first, held
 
 
+def minimisers(seeds: np.ndarray, width: int) -> np.ndarray:
+    """The (first) place of the least of the next width seeds, from each place on (shorter by width - 1)."""
+    at, have = np.arange(len(seeds)), 1
+    while have < width:
+        step = min(have, width - have)
+        a, b = at[: max(0, len(at) - step)], at[step:]
+        at = np.where(seeds[b] < seeds[a], b, a)
+        have += step
+    return at
+
+
 class Words:
     """The words of some texts: hash, first byte and end in buf of each, and bounds of texts.
 
