@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, language, neardup, packing, quality, repeats, rules, sharding, superkmers, token_files, topk
+from millrace.llm import bpe, codes, language, neardup, packing, quality, repeats, rules, sharding, superkmers, token_files, topk
 from millrace.llm.shared import table
 
 #: Bytes of a shard, and the shards of a smaller corpus.
@@ -86,8 +86,12 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_minhash, op3_language, op4_repeats, op5_topk, op6_quality, op7_token_files, op8_sharding, op9_bpe, op10_rules, op11_substrings)}
+    return {f.__name__: f for f in (op1_packing, op2_minhash, op3_language, op4_repeats, op5_topk, op6_quality, op7_token_files, op8_sharding, op9_bpe, op10_rules, op11_substrings, op13_codes)}
 
 
 #: All windows of 50 words, those found twice or more, and the spans that they cover. For tables without
@@ -133,6 +137,23 @@ f as (select *, row_number() over (partition by doc_id, n_bytes, copy order by d
 select doc_id, n_bytes, lpad(printf('%x', bucket), 16, '0') || '/' || depth as shard, depth::integer as depth, shard_bytes::bigint as shard_bytes from f where place = 1"""
 
 
+def _codes_sql(rounds: int = codes.ROUNDS) -> str:
+    """All distances of all rounds; for vectors of one length without duplicate ids, as in the test tables."""
+    steps = [
+        """v as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        """p as materialized (select vec_id, label, part, e[part * (len(e) // 4) + 1 : (part + 1) * (len(e) // 4)] as x from v, range(4) r(part))""",
+        """c0 as materialized (select part, row_number() over (partition by part order by vec_id) - 1 as k, x as c from p qualify k < 256)""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (select vec_id, part, any_value(label) as label, any_value(x) as x, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::bigint * 256 + k) as best from p join c{i} using (part) group by vec_id, part)""")
+        if i < rounds:
+            steps.append(f"""m{i} as (select part, best % 256 as k, j, floor(sum(x[j]) / count(*)) as m from a{i}, range(1, (select any_value(len(c)) from c0) + 1) s(j) group by all)""")
+            steps.append(f"""c{i + 1} as materialized (select o.part, o.k, coalesce(n.c, o.c) as c from c{i} o left join (select part, k, list(m order by j) as c from m{i} group by part, k) n using (part, k))""")
+    steps.append(f"""h as (select sha256(string_agg(m::bigint::varchar, ',' order by part, k, j)) as codebooks_sha256 from (select part, k, unnest(c) as m, unnest(range(len(c))) as j from c{rounds}))""")
+    steps.append(f"""f as (select vec_id, any_value(label) as label, string_agg(printf('%02x', best % 256), '' order by part) as code, sum(best // 256)::bigint as error from a{rounds} group by vec_id)""")
+    return "with " + ",\n".join(steps) + "\nselect vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from f, h"
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators' results are beyond SQL; tests hold them against brute force."""
-    return {"op4_repeats": REPEATS_SQL, "op5_topk": TOP_K_SQL, "op8_sharding": SHARDS_SQL, "op11_substrings": SUBSTRINGS_SQL}
+    return {"op4_repeats": REPEATS_SQL, "op5_topk": TOP_K_SQL, "op8_sharding": SHARDS_SQL, "op11_substrings": SUBSTRINGS_SQL, "op13_codes": _codes_sql()}
