@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, codes, language, neardup, packing, quality, repeats, rules, sharding, superkmers, token_files, topk
+from millrace.llm import bpe, codes, language, neardup, negatives, packing, quality, repeats, rules, sharding, superkmers, token_files, topk
 from millrace.llm.shared import table
 
 #: Bytes of a shard, and the shards of a smaller corpus.
@@ -86,12 +86,17 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.codes(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_minhash, op3_language, op4_repeats, op5_topk, op6_quality, op7_token_files, op8_sharding, op9_bpe, op10_rules, op11_substrings, op13_codes)}
+    return {f.__name__: f for f in (op1_packing, op2_minhash, op3_language, op4_repeats, op5_topk, op6_quality, op7_token_files, op8_sharding, op9_bpe, op10_rules, op11_substrings, op12_negatives, op13_codes)}
 
 
 #: All windows of 50 words, those found twice or more, and the spans that they cover. For tables without
@@ -137,6 +142,16 @@ f as (select *, row_number() over (partition by doc_id, n_bytes, copy order by d
 select doc_id, n_bytes, lpad(printf('%x', bucket), 16, '0') || '/' || depth as shard, depth::integer as depth, shard_bytes::bigint as shard_bytes from f where place = 1"""
 
 
+#: Vectors of one length without duplicate ids, as in the test tables.
+NEGATIVES_SQL = """
+with v as materialized (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_inner_product(a.e, c.e)::bigint as score from v a join v c on c.vec_id <> a.vec_id where a.vec_id % 50 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::integer as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 3"""
+
+
 def _codes_sql(rounds: int = codes.ROUNDS) -> str:
     """All distances of all rounds; for vectors of one length without duplicate ids, as in the test tables."""
     steps = [
@@ -156,4 +171,4 @@ def _codes_sql(rounds: int = codes.ROUNDS) -> str:
 
 def oracle_sql() -> dict[str, str]:
     """The other operators' results are beyond SQL; tests hold them against brute force."""
-    return {"op4_repeats": REPEATS_SQL, "op5_topk": TOP_K_SQL, "op8_sharding": SHARDS_SQL, "op11_substrings": SUBSTRINGS_SQL, "op13_codes": _codes_sql()}
+    return {"op4_repeats": REPEATS_SQL, "op5_topk": TOP_K_SQL, "op8_sharding": SHARDS_SQL, "op11_substrings": SUBSTRINGS_SQL, "op12_negatives": NEGATIVES_SQL, "op13_codes": _codes_sql()}

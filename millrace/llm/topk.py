@@ -114,7 +114,7 @@ class Index:
         self.segments.sort(key=lambda s: (-s[0], s[2], s[1]))
 
 
-def _exactly(queries, data):
+def exactly(queries, data):
     """Inner products, exact: by doubles where they hold all the sums, else by integers; within the bounds of a long."""
     import numpy as np
 
@@ -156,7 +156,7 @@ def search(queries, query_rows, index: Index, ids, rows, k: int, few: int = FEW)
     for i in range(len(queries)):
         found = np.flatnonzero(possible[:, i] & (rows != query_rows[i]))
         if len(found):
-            scores = _exactly(queries[i : i + 1], index.data[found])[0]
+            scores = exactly(queries[i : i + 1], index.data[found])[0]
             best = np.lexsort((ids[found], -scores))[:k]
             yield i, ids[found[best]], scores[best]
 
