@@ -1,28 +1,37 @@
 """Operator 10, quality rules: counts of a text and n-gram perplexity bands.
 
 The language model is a modified Kneser-Ney model of n-grams of ORDER bytes, about a word and
-the next one's beginning, one for each language. Spark counts the n-grams over all texts,
-copies of a text once; the tables of lower orders (continuation counts), the discounts,
-context sums and interpolated probabilities are aggregations and joins of that table. What
-remains is a probability for each n-gram that was seen, in arrays sorted by the n-grams'
-hashes and searched by bisection. It grows with the corpus. Up to BROADCAST_GRAMS n-grams the
-arrays go to every task; beyond that n-grams and costs are dealt by n-gram: a block of texts
-sends each different n-gram once to the part of the model that has it, and gets costs back.
-
-A text's perplexity is per byte of its whole text; the bands of a language are its median of
-log-perplexity plus and minus multiples of the spread between quartiles, over all its distinct
-texts that pass the base rules.
+the next one's beginning, one for each language and fold. A text is judged by a model that
+doesn't hold it: a hash of the text puts it in one of two folds, and the model of a fold is
+counted over the texts of the other, copies of a text once (they share its fold). So what
+nobody else writes is unlikely, however often the text itself has it.
+
+Spark counts the n-grams of each fold over all texts; continuation counts of the lower orders,
+discounts and the sums of contexts are aggregations of that table. What remains are two kinds of
+numbers in one table: an n-gram's discounted count, and a context's count and discounted mass.
+They stand in arrays sorted by the hashes of n-grams and contexts and searched by bisection; a
+probability is made of them in the task, order by order, so n-grams that were never seen back
+off to shorter ones. The table grows with the corpus. Up to BROADCAST_ENTRIES of a fold the
+arrays go to every task; beyond that they are dealt by hash: a block of texts sends each
+different n-gram and context once to the part that has it, and gets the numbers back.
+
+A text's perplexity is per byte of its whole text. The bands of a language are drawn around the
+shortest interval of log-perplexity that holds half of its distinct texts that pass the base
+rules: its middle plus and minus multiples of its half length. Junk of any kind doesn't move
+them while it is less than half.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null lang is a
 language of its own; rows that repeat are judged each for itself, and count once in the model
-(those that share their doc_id too, each) and once for the bands; a text of any length is
-counted and scored whole, a part at a time; a text on a band's limit stays; bands are at
-least LEAST_SPREAD times their multiple wide; an empty table gives no rows; other columns
-aren't read.
+(those that share their doc_id too, each) and once for the bands; where a language's texts are
+all in one fold, all bytes are as likely; a probability is LEAST at least; a text of any length
+is counted and scored whole, a part at a time; of intervals that are as short the lowest is
+taken, and a text on a band's limit stays; bands are at least LEAST_SPREAD times their multiple
+wide; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,24 +41,26 @@ from millrace.llm.shared import stash
 
 ORDER = 6
 SYMBOLS = 257  # bytes, and the end of a text
+#: Kinds of keys, beside the order: a key has the n-gram's or context's bytes below.
+GRAM, CONTEXT = 0, 8
 START, END = 0xFF, 0xFE  # bytes that no UTF-8 text has
-#: Bits of an n-gram that the model hasn't seen; the texts it is judged by have none.
-UNSEEN_BITS = 16.0
+#: The least probability: a context of frequent n-grams alone may leave no mass for others.
+LEAST = 2.0**-40
 #: n-grams a task holds before it passes their counts on, and bytes of texts for each such task.
 HELD_GRAMS, COUNTED_BYTES = 1 << 21, 64 << 20
 #: Languages whose discounts (a row each) may go to every task; beyond it they are joined.
 BROADCAST_LANGS = 10_000
-#: n-grams of a model that may go to every task whole (12 bytes each).
-BROADCAST_GRAMS = 4_000_000
+#: n-grams and contexts of a fold's models that may go to every task whole (16 bytes each).
+BROADCAST_ENTRIES = 6_000_000
 #: Texts that are scored at once.
 ROWS_AT_ONCE = 1000
 #: Texts with copies (20 bytes each) that may go to every task; beyond it they are joined.
 BROADCAST_COPIES = 1_000_000
-#: Bytes of text in a block, and n-grams of a part of the model, where they are dealt.
-BLOCK_BYTES, PART_GRAMS = 32 << 20, 1_000_000
-#: Multiples of the spread between the median and a quartile; 5 is 3.4 standard deviations of a
-#: normal spread. Below the median texts that share passages with others lie farther out.
-BELOW, ABOVE = 6.0, 5.0
+#: Bytes of text in a block, and entries of a part of the model, where they are dealt.
+BLOCK_BYTES, PART_ENTRIES = 32 << 20, 1_000_000
+#: Multiples of half the shortest half; 10 is 6.7 standard deviations of a normal spread. Short
+#: texts and those that share passages with others lie farther out than a normal spread has them.
+BELOW, ABOVE = 10.0, 10.0
 #: Bins of log-perplexity in a bit.
 BINS = 1000
 #: The least spread, in bits.
@@ -77,7 +88,7 @@ def grams(texts: list[bytes]):
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over all texts."""
+    """lang, fold, gram, n over all texts of docs (lang, fold, text)."""
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
@@ -85,30 +96,30 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         from millrace.llm.words import chunks
 
-        held: dict[str, list] = {}
+        held: dict[tuple, list] = {}
 
-        def merged(lang: str):
-            keys = np.concatenate([k for k, _ in held[lang]])
+        def merged(key: tuple):
+            keys = np.concatenate([k for k, _ in held[key]])
             keys, at = np.unique(keys, return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([n for _, n in held[lang]])).astype(np.int64)
+            return keys, np.bincount(at, np.concatenate([n for _, n in held[key]])).astype(np.int64)
 
         def flush() -> Iterator:
-            for lang in sorted(held):
-                keys, n = merged(lang)
+            for lang, fold in sorted(held):
+                keys, n = merged((lang, fold))
                 for i in range(0, len(keys), 1 << 16):
                     part = keys[i : i + (1 << 16)].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part), pa.array(n[i : i + (1 << 16)])], ["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([fold] * len(part), pa.int32()), pa.array(part), pa.array(n[i : i + (1 << 16)])], ["lang", "fold", "gram", "n"])
             held.clear()
 
         for batch in batches:
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append((text or "").encode())
-            for lang, texts in by_lang.items():
+            by_model: dict[tuple, list[bytes]] = {}
+            for lang, fold, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                by_model.setdefault((lang, fold), []).append((text or "").encode())
+            for key, texts in by_model.items():
                 for _, part in chunks(texts):
-                    held.setdefault(lang, []).append(np.unique(grams(part)[0], return_counts=True))
-                    if len(held[lang]) >= 8:
-                        held[lang] = [merged(lang)]
+                    held.setdefault(key, []).append(np.unique(grams(part)[0], return_counts=True))
+                    if len(held[key]) >= 8:
+                        held[key] = [merged(key)]
             if sum(len(k) for parts in held.values() for k, _ in parts) > HELD_GRAMS:
                 yield from flush()
         yield from flush()
@@ -116,8 +127,12 @@ def count_grams(docs: DataFrame) -> DataFrame:
     # tasks that see more texts pass fewer counts on; partitions are put together, not dealt anew
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, size // COUNTED_BYTES)
-    counted = docs.select(_language().alias("lang"), F.col("text").cast("string")).coalesce(tasks).mapInArrow(count, "lang string, gram long, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = docs.select("lang", "fold", "text").coalesce(tasks).mapInArrow(count, "lang string, fold int, gram long, n long")
+    return counted.groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n"))
+
+
+def _fold(content: Column) -> Column:
+    return F.pmod(content, F.lit(2)).cast("int")
 
 
 def once(docs: DataFrame) -> DataFrame:
@@ -127,62 +142,97 @@ def once(docs: DataFrame) -> DataFrame:
     copies = stash(copies, "copies")
     few = copies.count() <= BROADCAST_COPIES
     joined = rows.join(F.broadcast(copies) if few else copies, (F.col("lang") == F.col("_lang")) & (F.col("_content") == F.col("_same")), "left")
-    return joined.where("_first is null or _first = _own").select("lang", "text")
+    return joined.where("_first is null or _first = _own").select("lang", _fold(F.col("_content")).alias("fold"), "text")
 
 
 def model(docs: DataFrame) -> DataFrame:
-    """lang, gram, p: the interpolated probability of each n-gram seen in docs (lang, text)."""
-    tables = {ORDER: stash(count_grams(docs), "gram-counts")}
+    """lang, fold, key, x, y of docs (lang, fold, text): the discounted count (x) of each n-gram, and count and mass (x, y) of each context."""
+    keys = ["lang", "fold"]
+    orders = {ORDER: stash(count_grams(docs), "gram-counts")}
     for size in range(ORDER - 1, 0, -1):
-        tables[size] = tables[size + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * size) - 1).alias("gram")).agg(F.count("*").alias("n"))
-    lower = None
-    for size in range(1, ORDER + 1):
-        t = tables[size]
-        ones = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)]
-        y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
-        discounts = [F.least(F.lit(float(i)), F.greatest(F.lit(0.0), F.coalesce(F.try_divide((i + 1) * y * F.col(f"n{i + 1}"), F.col(f"n{i}").cast("double")) * -1 + i, F.lit(0.5 * i)))).alias(f"d{i}") for i in (1, 2, 3)]
-        of_langs = stash(t.groupBy("lang").agg(*ones).select("lang", *discounts), "discounts")
-        t = t.join(F.broadcast(of_langs) if of_langs.count() <= BROADCAST_LANGS else of_langs, "lang")
-        t = t.withColumn("off", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("context", F.shiftright("gram", 8))
-        t = t.select("lang", "gram", "n", "off", "context")
-        sums = t.groupBy("lang", "context").agg(F.sum("n").alias("whole"), F.sum("off").alias("mass"))
-        t = t.join(sums, ["lang", "context"])
-        if lower is None:
-            p_lower = F.lit(1.0 / SYMBOLS)
-        else:
-            t = t.withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * (size - 1)) - 1)).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("p_lower")), ["lang", "suffix"])
-            p_lower = F.col("p_lower")
-        p = (F.col("n") - F.col("off")) / F.col("whole") + F.col("mass") / F.col("whole") * p_lower
-        # a context of frequent n-grams alone may leave no mass: a probability is above 0 all the same
-        lower = stash(t.select("lang", "gram", F.greatest(p, F.lit(2.0**-60)).alias("p")), f"grams-{size}")
-    return lower
+        orders[size] = orders[size + 1].groupBy(*keys, F.col("gram").bitwiseAND((1 << 8 * size) - 1).alias("gram")).agg(F.count("*").alias("n"))
+    # each order's exchange is made once and used by the next order too
+    every = [t.select(*keys, F.lit(size).alias("size"), "gram", F.col("n").cast("long").alias("n")) for size, t in orders.items()]
+    grams_of = stash(functools.reduce(DataFrame.unionByName, every), "gram-orders")
+    ones = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)]
+    y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
+    discounts = [F.least(F.lit(float(i)), F.greatest(F.lit(0.0), F.coalesce(F.try_divide((i + 1) * y * F.col(f"n{i + 1}"), F.col(f"n{i}").cast("double")) * -1 + i, F.lit(0.5 * i)))).alias(f"d{i}") for i in (1, 2, 3)]
+    of_models = stash(grams_of.groupBy(*keys, "size").agg(*ones).select(*keys, "size", *discounts), "discounts")
+    t = grams_of.join(F.broadcast(of_models) if of_models.count() <= BROADCAST_LANGS else of_models, [*keys, "size"])
+    t = t.withColumn("off", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+    key = lambda kind, gram: F.shiftleft((F.col("size") + kind).cast("long"), 48).bitwiseOR(gram).alias("key")
+    counts = t.select(*keys, key(GRAM, F.col("gram")), (F.col("n") - F.col("off")).cast("float").alias("x"), F.lit(0.0).cast("float").alias("y"))
+    contexts = t.groupBy(*keys, key(CONTEXT, F.shiftright("gram", 8))).agg(F.sum("n").cast("float").alias("x"), F.sum("off").cast("float").alias("y"))
+    return stash(counts.unionByName(contexts), "model")
 
 
 class Model:
-    """A language's n-grams and their costs in bits, as arrays sorted by the n-grams' hashes."""
+    """Keys of a language's n-grams and contexts and their numbers, as arrays sorted by the keys' hashes."""
 
-    def __init__(self, keys, bits):
+    def __init__(self, keys, x, y):
         import numpy as np
 
         hashes = self.hashed(np.asarray(keys))
         order = np.argsort(hashes)
-        self.hashes, self.bits = hashes[order], np.asarray(bits, np.float32)[order]
+        self.hashes, self.x, self.y = hashes[order], np.asarray(x, np.float32)[order], np.asarray(y, np.float32)[order]
 
     @staticmethod
-    def hashed(gram):
+    def hashed(keys):
         import numpy as np
 
         from millrace.llm.words import mix
 
-        return mix(gram.astype(np.uint64))
+        return mix(keys.astype(np.uint64))
 
-    def cost(self, found):
-        """Bits of each n-gram; each different one is searched for once."""
+    def find(self, keys):
+        """The numbers of keys, 0 where there is none."""
         import numpy as np
 
-        keys, each = np.unique(self.hashed(found), return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == keys, self.bits[at].astype(float), UNSEEN_BITS)[each]
+        wanted = self.hashed(keys)
+        if not len(self.hashes):
+            return np.zeros((2, len(keys)))
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        known = self.hashes[at] == wanted
+        return np.stack([np.where(known, v[at].astype(float), 0.0) for v in (self.x, self.y)])
+
+
+def _orders(found):
+    """(order, its different n-grams, of which each n-gram of the order above is the suffix), from the highest down."""
+    import numpy as np
+
+    own, each = np.unique(found, return_inverse=True)
+    for size in range(ORDER, 0, -1):
+        yield size, own, each
+        own, each = np.unique(own & ((1 << 8 * (size - 1)) - 1), return_inverse=True)
+
+
+def _keys(kind: int, size: int, own):
+    return own | ((size + kind) << 48)
+
+
+def wanted(found):
+    """The keys that the costs of n-grams are made of."""
+    import numpy as np
+
+    return np.concatenate([k for size, own, _ in _orders(found) for k in (_keys(GRAM, size, own), np.unique(_keys(CONTEXT, size, own >> 8)))])
+
+
+def cost(found, numbers: Model):
+    """Bits of each n-gram of found."""
+    import numpy as np
+
+    orders = list(_orders(found))
+    p = np.full(1, 1.0 / SYMBOLS)
+    below = np.zeros(len(orders[-1][1]), np.int64)  # of each n-gram of the lowest order: the empty one
+    for i in range(len(orders) - 1, -1, -1):
+        size, own, each = orders[i]
+        contexts, of = np.unique(own >> 8, return_inverse=True)
+        count = numbers.find(_keys(GRAM, size, own))[0]
+        whole, mass = numbers.find(_keys(CONTEXT, size, contexts))[:, of]
+        lower = p[below]
+        p = np.maximum(LEAST, np.where(whole > 0, (count + mass * lower) / np.where(whole > 0, whole, 1), lower))
+        below = each
+    return -np.log2(p)[below]
 
 
 def _measured(texts: list[str | None], langs: list[str], models: dict[str, Model]) -> list:
@@ -207,13 +257,11 @@ def _measured(texts: list[str | None], langs: list[str], models: dict[str, Model
     for i, lang in enumerate(langs):
         by_lang.setdefault(lang, []).append(i)
     for lang, rows in by_lang.items():
-        if lang not in models:
-            bits[rows] = UNSEEN_BITS
-            continue
+        numbers = models.get(lang) or Model(np.zeros(0, np.int64), [], [])
         for first, part in chunks(raw[i] for i in rows):
             found, sizes = grams(part)
             ends = np.cumsum(sizes)
-            total = np.add.reduceat(models[lang].cost(found), ends - sizes)
+            total = np.add.reduceat(cost(found, numbers), ends - sizes)
             bits[rows[first : first + len(part)]] = total / sizes
     return [*out, bits.tolist()]
 
@@ -229,24 +277,30 @@ NAMES = ["doc_id", "lang", "content", *(x.split()[0] for x in BASE.split(", "))]
 MEASURED = f"doc_id long, lang string, content long, {BASE}"
 
 
-def measure(docs: DataFrame, grams_of: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """doc_id, lang, content (hash of the text) and BASE for each row of docs, by the model (lang, gram, p) of its lang."""
+def measure(docs: DataFrame, numbers: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+    """doc_id, lang, content (hash of the text) and BASE for each row of docs, by the model (of model()) of its lang and the other fold."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _language().alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("content"))
+    ways = []
+    for fold in (0, 1):  # a task holds the models of one fold
+        texts, own = plain.where(_fold(F.col("content")) == fold), numbers.where(F.col("fold") == 1 - fold).select("lang", "key", "x", "y")
+        n = own.count()
+        ways.append(_measured_by_key(texts, own, n) if n > broadcast_entries else _measured_by_all(texts, own))
+    return ways[0].unionByName(ways[1])
+
+
+def _measured_by_all(plain: DataFrame, numbers: DataFrame) -> DataFrame:
+    """measure() by models that go to every task."""
     import numpy as np
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _language().alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("content"))
-    costs = grams_of.select("lang", "gram", (-F.log2("p")).cast("float").alias("bits"))
-    n_grams = costs.count()
-    if n_grams > broadcast_grams:
-        return _measured_by_key(plain, costs, n_grams)
     # as Arrow: some 100 MB at the bound, in the driver too
-    rows = costs.toArrow().combine_chunks()
+    rows = numbers.toArrow().combine_chunks()
     langs = rows["lang"].combine_chunks().dictionary_encode()
     of = langs.indices.to_numpy()
     order = np.argsort(of, kind="stable")
     ends = np.searchsorted(of[order], np.arange(len(langs.dictionary)), side="right").tolist()
-    columns = [rows[c].to_numpy()[order] for c in ("gram", "bits")]
+    columns = [rows[c].to_numpy()[order] for c in ("key", "x", "y")]
     models = {lang: Model(*(c[a:b] for c in columns)) for lang, a, b in zip(langs.dictionary.to_pylist(), [0, *ends], ends, strict=False)}
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = plain.sparkSession.sparkContext.broadcast(models)
 
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -266,11 +320,11 @@ def _prime(n: int) -> int:
     return n
 
 
-def _measured_by_key(plain: DataFrame, costs: DataFrame, n_grams: int) -> DataFrame:
-    """measure() by a model in parts: the n-grams with one remainder are a part's."""
-    parts = _prime(max(7, -(-n_grams // PART_GRAMS)))
+def _measured_by_key(plain: DataFrame, numbers: DataFrame, n_entries: int) -> DataFrame:
+    """measure() by models in parts: the keys with one remainder are a part's."""
+    parts = _prime(max(7, -(-n_entries // PART_ENTRIES)))
     kept = plain.select("doc_id", "lang", "text", "content", F.spark_partition_id().cast("long").alias("part"))
-    wanted = "of long, gram_lang string, gram_part int, grams binary"
+    asked_columns = "of long, key_lang string, key_part int, keys binary"
 
     def cut(batches: Iterator) -> Iterator:
         import numpy as np
@@ -278,7 +332,7 @@ def _measured_by_key(plain: DataFrame, costs: DataFrame, n_grams: int) -> DataFr
 
         from millrace.llm.words import chunks
 
-        own_names, names = ["block", "doc_id", "lang", "text", "content"], [x.split()[0] for x in wanted.split(", ")]
+        own_names, names = ["block", "doc_id", "lang", "text", "content"], [x.split()[0] for x in asked_columns.split(", ")]
         own_kinds, kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()], [pa.int64(), pa.string(), pa.int32(), pa.binary()]
         n_blocks, size, block = 0, 0, 0
         held: dict[str, list] = {}
@@ -305,7 +359,7 @@ def _measured_by_key(plain: DataFrame, costs: DataFrame, n_grams: int) -> DataFr
                         by_lang.setdefault(lang, []).append(x)
                     for lang, texts in by_lang.items():
                         for _, part in chunks(texts):
-                            held.setdefault(lang, []).append(np.unique(grams(part)[0]))
+                            held.setdefault(lang, []).append(np.unique(wanted(grams(part)[0])))
                     rows = batch.slice(first, i + 1 - first).drop_columns(["part"])
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows)), *rows.columns, *(pa.nulls(len(rows), k) for k in kinds)], own_names + names)
                     first = i + 1
@@ -315,28 +369,28 @@ def _measured_by_key(plain: DataFrame, costs: DataFrame, n_grams: int) -> DataFr
         if held:
             yield from entries()
 
-    cut_up = stash(kept.mapInArrow(cut, f"block long, doc_id long, lang string, text string, content long, {wanted}"), "rule-blocks")
-    entries = cut_up.where("of is not null").select(*(x.split()[0] for x in wanted.split(", ")))
-    dealt = costs.select(F.col("lang").alias("model_lang"), F.pmod("gram", F.lit(parts)).cast("int").alias("model_part"), "gram", "bits")
+    cut_up = stash(kept.mapInArrow(cut, f"block long, doc_id long, lang string, text string, content long, {asked_columns}"), "rule-blocks")
+    entries = cut_up.where("of is not null").select(*(x.split()[0] for x in asked_columns.split(", ")))
+    dealt = numbers.select(F.col("lang").alias("model_lang"), F.pmod("key", F.lit(parts)).cast("int").alias("model_part"), "key", "x", "y")
 
     def answer(asked, own):
         import numpy as np
         import pyarrow as pa
 
-        model = Model(own["gram"].to_numpy(), own["bits"].to_numpy()) if own.num_rows else None
-        found = [np.frombuffer(x, "<i8") for x in asked["grams"].to_pylist()]
-        bits = [model.cost(x) if model else np.full(len(x), UNSEEN_BITS) for x in found]
-        return pa.table({"of": asked["of"], "gram_lang": asked["gram_lang"], "grams": asked["grams"], "bits": pa.array([x.astype("<f4").tobytes() for x in bits], pa.binary())})
+        part = Model(*(own[c].to_numpy() for c in ("key", "x", "y")))
+        found = [part.find(np.frombuffer(x, "<i8")) for x in asked["keys"].to_pylist()]
+        put = lambda i: pa.array([f[i].astype("<f4").tobytes() for f in found], pa.binary())
+        return pa.table({"of": asked["of"], "key_lang": asked["key_lang"], "keys": asked["keys"], "x": put(0), "y": put(1)})
 
-    answers = entries.groupBy("gram_lang", "gram_part").cogroup(dealt.groupBy("model_lang", "model_part")).applyInArrow(answer, "of long, gram_lang string, grams binary, bits binary")
+    answers = entries.groupBy("key_lang", "key_part").cogroup(dealt.groupBy("model_lang", "model_part")).applyInArrow(answer, "of long, key_lang string, keys binary, x binary, y binary")
 
     def score(texts, own):
         import numpy as np
         import pyarrow as pa
 
         by_lang: dict[str, list] = {}
-        for lang, g, x in zip(own["gram_lang"].to_pylist(), own["grams"].to_pylist(), own["bits"].to_pylist(), strict=True):
-            by_lang.setdefault(lang, []).append((np.frombuffer(g, "<i8"), np.frombuffer(x, "<f4")))
+        for lang, k, x, y in zip(*(own[c].to_pylist() for c in ("key_lang", "keys", "x", "y")), strict=True):
+            by_lang.setdefault(lang, []).append((np.frombuffer(k, "<i8"), np.frombuffer(x, "<f4"), np.frombuffer(y, "<f4")))
         models = {lang: Model(*map(np.concatenate, zip(*found, strict=True))) for lang, found in by_lang.items()}
         return pa.table([texts["doc_id"], texts["lang"], texts["content"], *_columns_of(texts["text"].to_pylist(), texts["lang"].to_pylist(), models)], names=NAMES)
 
@@ -344,24 +398,39 @@ def _measured_by_key(plain: DataFrame, costs: DataFrame, n_grams: int) -> DataFr
     return texts.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(score, MEASURED)
 
 
+def _shortest_half(bins: list[int], counts: list[int]) -> tuple[int, int]:
+    """The first shortest interval of bins (ascending) that holds half of the counts or more."""
+    most, best, held, a = -(-sum(counts) // 2), (bins[0], bins[-1]), 0, 0
+    for b, n in enumerate(counts):
+        held += n
+        while held - counts[a] >= most:
+            held, a = held - counts[a], a + 1
+        if held >= most and bins[b] - bins[a] < best[1] - best[0]:
+            best = (bins[a], bins[b])
+    return best
+
+
 def bands(measured: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """lang, low and high: limits of bits, from the quartiles of all distinct texts that pass the base rules."""
+    """lang, low and high: limits of bits, from the shortest half of all distinct texts that pass the base rules."""
     distinct = measured.where(~F.col("base_failed")).groupBy("lang", "content").agg(F.min("bits").alias("bits"))
-    bins = distinct.groupBy("lang", F.round(F.col("bits") * BINS).alias("bin")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("bin"))
-    whole = F.sum("n").over(Window.partitionBy("lang"))
-    ranked = bins.withColumn("upto", upto).withColumn("whole", whole)
-    at = {q: F.min(F.when(F.col("upto") >= q * F.col("whole"), F.col("bin"))) / BINS for q in (0.25, 0.5, 0.75)}
-    found = ranked.groupBy("lang").agg(at[0.25].alias("q1"), at[0.5].alias("q2"), at[0.75].alias("q3"))
-    low = F.col("q2") - below * F.greatest(F.col("q2") - F.col("q1"), F.lit(LEAST_SPREAD))
-    high = F.col("q2") + above * F.greatest(F.col("q3") - F.col("q2"), F.lit(LEAST_SPREAD))
-    return found.select(F.col("lang").alias("_lang"), *((F.round(x * BINS) / BINS).alias(name) for name, x in (("low", low), ("high", high))))
-
-
-def judge(docs: DataFrame, below: float = BELOW, above: float = ABOVE, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    # as many rows a language as there are bins: -log2(LEAST) * BINS at most
+    binned = distinct.groupBy("lang", F.round(F.col("bits") * BINS).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+    def limits(t):
+        import pyarrow as pa
+
+        rows = sorted(zip(t["bin"].to_pylist(), t["n"].to_pylist(), strict=True))
+        a, b = _shortest_half([x for x, _ in rows], [n for _, n in rows])
+        middle, half = (a + b) / 2, max((b - a) / 2, LEAST_SPREAD * BINS)
+        return pa.table({"_lang": t["lang"][:1], "low": [round(middle - below * half) / BINS], "high": [round(middle + above * half) / BINS]})
+
+    return binned.groupBy("lang").applyInArrow(limits, "_lang string, low double, high double")
+
+
+def judge(docs: DataFrame, below: float = BELOW, above: float = ABOVE, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """The counts, perplexity and verdict of each row of docs (doc_id, text, lang)."""
     # copies of a text count once, in the model as in the bands: else they'd make themselves likely
-    found = measure(docs, model(once(docs)), broadcast_grams)
+    found = measure(docs, model(once(docs)), broadcast_entries)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = stash(found.withColumn("base_failed", failed), "measured")
     limits = bands(found, below, above)
