@@ -43,6 +43,8 @@ LEAST_PARTS, LEAST_BINS, BINS_PER_BUCKET = 64, 1 << 16, 16
 HOT_TIMES, HOT_LEAST = 8, 1000
 #: Bins whose counts a task holds.
 HELD_BINS = 1 << 20
+#: Level of zstandard for what travels.
+LEVEL = 6
 #: What stands for no doc_id: after all others.
 LAST = 2**63 - 1
 
@@ -146,7 +148,7 @@ def _hot_bins(texts: DataFrame, n_bins: int, width: int, minimiser: int):
 def _squeezed(x: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(x)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(x)
 
 
 def _numbers(x: bytes):
