@@ -123,6 +123,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             if sum(len(k) for parts in held.values() for k, _ in parts) > HELD_GRAMS:
                 yield from flush()
         yield from flush()
+        pa.default_memory_pool().release_unused()  # the worker stays while Spark sums the counts
 
     # tasks that see more texts pass fewer counts on; partitions are put together, not dealt anew
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -167,33 +168,82 @@ def model(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Keys of a language's n-grams and contexts and their numbers, as arrays sorted by the keys' hashes."""
+    """Hashes of a language's n-grams and contexts, ascending, and their numbers: parts (hashes, x, y) one after the other."""
 
-    def __init__(self, keys, x, y):
+    def __init__(self, parts: list):
+        self.parts = parts
+
+    @classmethod
+    def of(cls, keys, x, y) -> Model:
         import numpy as np
 
-        hashes = self.hashed(np.asarray(keys))
+        hashes = hashed(np.asarray(keys))
         order = np.argsort(hashes)
-        self.hashes, self.x, self.y = hashes[order], np.asarray(x, np.float32)[order], np.asarray(y, np.float32)[order]
+        return cls([(hashes[order], np.asarray(x, np.float32)[order], np.asarray(y, np.float32)[order])])
 
-    @staticmethod
-    def hashed(keys):
+    def find(self, keys):
+        """The numbers of keys, 0 where there is none."""
         import numpy as np
 
-        from millrace.llm.words import mix
+        hashes = hashed(keys)
+        order = np.argsort(hashes)
+        ranked, out = hashes[order], np.zeros((2, len(keys)))
+        for own, x, y in self.parts:
+            if not len(own):
+                continue
+            a, b = np.searchsorted(ranked, own[0]), np.searchsorted(ranked, own[-1], side="right")
+            at = np.searchsorted(own, ranked[a:b])
+            known = own[at] == ranked[a:b]
+            places = order[a:b][known]
+            out[0, places], out[1, places] = x[at[known]], y[at[known]]
+        return out
+
+
+def hashed(keys):
+    """Hashes of keys, as longs (in the order of longs, not of their bits)."""
+    import numpy as np
 
-        return mix(keys.astype(np.uint64))
+    from millrace.llm.words import mix
 
-    def find(self, keys):
-        """The numbers of keys, 0 where there is none."""
+    return mix(keys.astype(np.uint64)).view(np.int64)
+
+
+def _parts(numbers: DataFrame, n: int) -> DataFrame:
+    """lang, hashes, x, y: the parts of numbers' models, ready to search; in their order within a partition, partitions in no order."""
+
+    def hash_keys(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashed(batch.column(1).to_numpy())), batch.column(2), batch.column(3)], ["lang", "hash", "x", "y"])
+
+    def pack(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow as pa
 
-        wanted = self.hashed(keys)
-        if not len(self.hashes):
-            return np.zeros((2, len(keys)))
-        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        known = self.hashes[at] == wanted
-        return np.stack([np.where(known, v[at].astype(float), 0.0) for v in (self.x, self.y)])
+        at, held = None, []
+
+        def part():
+            columns = [np.concatenate([h[i] for h in held]).tobytes() for i in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array([at]), *(pa.array([c], pa.binary()) for c in columns)], ["lang", "hashes", "x", "y"])
+
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            cuts = [0, *(i for i in range(1, len(langs)) if langs[i] != langs[i - 1]), len(langs)]
+            columns = [batch.column(i).to_numpy() for i in (1, 2, 3)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    if held and langs[a] != at:
+                        yield part()
+                        held = []
+                    at = langs[a]
+                    held.append([c[a:b] for c in columns])
+        if held:
+            yield part()
+
+    rows = numbers.select("lang", "key", "x", "y").mapInArrow(hash_keys, "lang string, hash long, x float, y float")
+    ranged = rows.repartitionByRange(max(1, n // PART_ENTRIES), "lang", "hash").sortWithinPartitions("lang", "hash")
+    return ranged.mapInArrow(pack, "lang string, hashes binary, x binary, y binary")
 
 
 def _orders(found):
@@ -257,7 +307,7 @@ def _measured(texts: list[str | None], langs: list[str], models: dict[str, Model
     for i, lang in enumerate(langs):
         by_lang.setdefault(lang, []).append(i)
     for lang, rows in by_lang.items():
-        numbers = models.get(lang) or Model(np.zeros(0, np.int64), [], [])
+        numbers = models.get(lang) or Model([])
         for first, part in chunks(raw[i] for i in rows):
             found, sizes = grams(part)
             ends = np.cumsum(sizes)
@@ -284,31 +334,28 @@ def measure(docs: DataFrame, numbers: DataFrame, broadcast_entries: int = BROADC
     for fold in (0, 1):  # a task holds the models of one fold
         texts, own = plain.where(_fold(F.col("content")) == fold), numbers.where(F.col("fold") == 1 - fold).select("lang", "key", "x", "y")
         n = own.count()
-        ways.append(_measured_by_key(texts, own, n) if n > broadcast_entries else _measured_by_all(texts, own))
+        ways.append(_measured_by_key(texts, own, n) if n > broadcast_entries else _measured_by_all(texts, own, n))
     return ways[0].unionByName(ways[1])
 
 
-def _measured_by_all(plain: DataFrame, numbers: DataFrame) -> DataFrame:
+def _measured_by_all(plain: DataFrame, numbers: DataFrame, n: int) -> DataFrame:
     """measure() by models that go to every task."""
-    import numpy as np
-
-    # as Arrow: some 100 MB at the bound, in the driver too
-    rows = numbers.toArrow().combine_chunks()
-    langs = rows["lang"].combine_chunks().dictionary_encode()
-    of = langs.indices.to_numpy()
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(len(langs.dictionary)), side="right").tolist()
-    columns = [rows[c].to_numpy()[order] for c in ("key", "x", "y")]
-    models = {lang: Model(*(c[a:b] for c in columns)) for lang, a, b in zip(langs.dictionary.to_pylist(), [0, *ends], ends, strict=False)}
+    models: dict[str, list] = {}
+    for r in _parts(numbers, n).toLocalIterator():  # some 100 MB at the bound, in parts of 16
+        models.setdefault(r["lang"], []).append(tuple(bytes(r[c]) for c in ("hashes", "x", "y")))
     shared = plain.sparkSession.sparkContext.broadcast(models)
+    models.clear()
 
     def scored(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
+        read = lambda parts: sorted(((np.frombuffer(h, "<i8"), np.frombuffer(x, "<f4"), np.frombuffer(y, "<f4")) for h, x, y in parts), key=lambda p: p[0][0])
+        found = {lang: Model(read(parts)) for lang, parts in shared.value.items()}
         for whole in batches:
             for i in range(0, len(whole), ROWS_AT_ONCE):
                 batch = whole.slice(i, ROWS_AT_ONCE)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *_columns_of(batch.column(2).to_pylist(), batch.column(1).to_pylist(), shared.value)], NAMES)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *_columns_of(batch.column(2).to_pylist(), batch.column(1).to_pylist(), found)], NAMES)
 
     return plain.mapInArrow(scored, MEASURED)
 
@@ -377,7 +424,7 @@ def _measured_by_key(plain: DataFrame, numbers: DataFrame, n_entries: int) -> Da
         import numpy as np
         import pyarrow as pa
 
-        part = Model(*(own[c].to_numpy() for c in ("key", "x", "y")))
+        part = Model.of(*(own[c].to_numpy() for c in ("key", "x", "y")))
         found = [part.find(np.frombuffer(x, "<i8")) for x in asked["keys"].to_pylist()]
         put = lambda i: pa.array([f[i].astype("<f4").tobytes() for f in found], pa.binary())
         return pa.table({"of": asked["of"], "key_lang": asked["key_lang"], "keys": asked["keys"], "x": put(0), "y": put(1)})
@@ -391,7 +438,7 @@ def _measured_by_key(plain: DataFrame, numbers: DataFrame, n_entries: int) -> Da
         by_lang: dict[str, list] = {}
         for lang, k, x, y in zip(*(own[c].to_pylist() for c in ("key_lang", "keys", "x", "y")), strict=True):
             by_lang.setdefault(lang, []).append((np.frombuffer(k, "<i8"), np.frombuffer(x, "<f4"), np.frombuffer(y, "<f4")))
-        models = {lang: Model(*map(np.concatenate, zip(*found, strict=True))) for lang, found in by_lang.items()}
+        models = {lang: Model.of(*map(np.concatenate, zip(*found, strict=True))) for lang, found in by_lang.items()}
         return pa.table([texts["doc_id"], texts["lang"], texts["content"], *_columns_of(texts["text"].to_pylist(), texts["lang"].to_pylist(), models)], names=NAMES)
 
     texts = cut_up.where("block is not null").select("block", "doc_id", "lang", "text", "content")
