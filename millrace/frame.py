@@ -2,13 +2,15 @@
 
 Rows of a DataFrame have no order, so a frame names the columns that give a total one. by
 names the keys of sub-streams: a frame with keys is a stream for each key, and every
-operator works on each by itself.
+operator works on each by itself. Streams of streams of streams have a path of keys: levels
+says how many columns of by each level has, from the outermost on. What cuts streams into
+sub-streams adds a level, what flattens them takes the innermost away.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -25,6 +27,21 @@ from millrace.operators.timed import Timed
 from millrace.sinks import Sinks
 
 
+class Bound:
+    """How many rows a frame has at most, once that was counted for it or for a frame that it was made of."""
+
+    def __init__(self, of: Bound | None = None):
+        self.n: int | None = None
+        self.of = of
+
+    @property
+    def known(self) -> int | None:
+        at: Bound | None = self
+        while at is not None and at.n is None:
+            at = at.of
+        return None if at is None else at.n
+
+
 @dataclass(frozen=True)
 class OrderedFrame(Elements, Slicing, Groups, Folds, FanIn, FanOut, Timed, Recovery, Sinks):
     """df in the total order of the columns order, within each value of the columns by."""
@@ -32,6 +49,15 @@ class OrderedFrame(Elements, Slicing, Groups, Folds, FanIn, FanOut, Timed, Recov
     df: DataFrame
     order: tuple[str, ...]
     by: tuple[str, ...] = ()
+    levels: tuple[int, ...] | None = None
+    bound: Bound = field(default_factory=Bound, compare=False, repr=False)
+
+    def __post_init__(self) -> None:
+        if self.levels is None:
+            object.__setattr__(self, "levels", (len(self.by),) if self.by else ())
+        twice = sorted({c for c in (*self.order, *self.by) if (*self.order, *self.by).count(c) > 1})
+        if twice or sum(self.levels) != len(self.by):
+            raise ValueError(f"columns {twice} are in order and keys twice" if twice else "levels don't fit the keys")
 
     @classmethod
     def of(cls, df: DataFrame, order: str | Sequence[str], by: str | Sequence[str] = ()) -> OrderedFrame:
@@ -52,11 +78,33 @@ class OrderedFrame(Elements, Slicing, Groups, Folds, FanIn, FanOut, Timed, Recov
         return [c for c in self.df.columns if c not in self.order and c not in self.by]
 
     def with_df(self, df: DataFrame) -> OrderedFrame:
-        return replace(self, df=df)
+        """df, which has as many rows or fewer, in the same order and streams."""
+        return replace(self, df=df, bound=Bound(self.bound))
+
+    def grown(self) -> OrderedFrame:
+        """The same frame where rows have become more: their number is counted anew where it matters."""
+        return replace(self, bound=Bound())
 
     def sub_streams(self, *by: str) -> OrderedFrame:
         """The same rows as a stream for each value of by."""
-        return replace(self, by=by)
+        return replace(self, by=by, order=tuple(c for c in self.order if c not in by) or self.order, levels=None)
+
+    def within(self, df: DataFrame, order: tuple[str, ...]) -> OrderedFrame:
+        """df in another order, in the same streams."""
+        return replace(self, df=df, order=order, bound=Bound(self.bound))
+
+    def cut(self, df: DataFrame, *keys: str) -> OrderedFrame:
+        """df with each stream cut into sub-streams: a level of keys more."""
+        return replace(self, df=df, by=(*self.by, *keys), levels=(*self.levels, len(keys)), bound=Bound(self.bound))
+
+    @property
+    def innermost(self) -> tuple[str, ...]:
+        """The keys of the innermost level."""
+        return self.by[len(self.by) - self.levels[-1] :] if self.levels else ()
+
+    def joined(self, df: DataFrame, order: tuple[str, ...]) -> OrderedFrame:
+        """df with the sub-streams of the innermost level as one stream each."""
+        return replace(self, df=df, order=order, by=self.by[: len(self.by) - len(self.innermost)], levels=self.levels[:-1], bound=Bound(self.bound))
 
     def settled(self) -> OrderedFrame:
         """The frame with its rows computed once. For long chains: positions look at a frame's rows before its plan is made."""

@@ -41,4 +41,4 @@ def feedback(start: OrderedFrame, step: Callable[[OrderedFrame], OrderedFrame],
         rounds.append(at.df.withColumn(ROUND, F.lit(i)))
         at = step(at)
     whole = functools.reduce(DataFrame.unionByName, rounds or [start.df.limit(0).withColumn(ROUND, F.lit(0))])
-    return type(start)(whole, (ROUND, *start.order), start.by)
+    return start.within(whole, (ROUND, *start.order)).grown()

@@ -45,16 +45,20 @@ class Elements:
         return self.with_df(self.df.withColumn(column, F.expr(f"try_cast(`{column}` as {kind})")).where(F.col(column).isNotNull()))
 
     def flat_map(self, array: Column, name: str, index: str = "idx") -> OrderedFrame:
-        """An element for each element of array, in place; index joins the order."""
-        df = self.df.select(*self.df.columns, F.posexplode(array).alias(index, name)) if name not in self.df.columns else self.df.select(*(c for c in self.df.columns if c != name), F.posexplode(array).alias(index, name))
-        return type(self)(df, (*self.order, index), self.by)
+        """An element for each element of array, in place; index (index_2 and so on where it is taken) joins the order."""
+        index = positions.free(index, self.df.columns)
+        if name in (*self.order, *self.by):
+            raise ValueError(f"{name} is a column of the order or a key")
+        df = self.df.select(*(c for c in self.df.columns if c != name), F.posexplode(array).alias(index, name))
+        return self.within(df, (*self.order, index)).grown()
 
     def multiply(self, factor: int, index: str = "idx") -> OrderedFrame:
         """Each element factor times in its place."""
         if factor < 0:
             raise ValueError("factor >= 0")
         times = F.sequence(F.lit(0), F.lit(factor - 1)) if factor else F.array().cast("array<int>")
-        return type(self)(self.df.withColumn(index, F.explode(times)), (*self.order, index), self.by)
+        index = positions.free(index, self.df.columns)
+        return self.within(self.df.withColumn(index, F.explode(times)), (*self.order, index)).grown()
 
     def duplicate(self) -> OrderedFrame:
         return self.multiply(2)

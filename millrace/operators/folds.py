@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace import positions
 from millrace.functions.digest import hasher
 from millrace.operators.groups import in_order
-from millrace.positions import POS
+from millrace.positions import PLACE, POS
 
 if TYPE_CHECKING:
     from millrace.frame import OrderedFrame
@@ -38,11 +38,17 @@ class Folds:
         df = positions.running(self, _run=(how, value))
         start = F.lit(zero)
         both = {"sum": start + F.col("_run"), "count": start + F.col("_run"), "min": F.least(start, "_run"), "max": F.greatest(start, "_run")}[how]
-        rows = df.select(*self.by, POS, F.coalesce(both, start).alias(name))
+        rows = df.select(*self.by, F.col(POS).alias(PLACE), F.coalesce(both, start).alias(name))
         kind = rows.schema[name].dataType
         first = self.df.select(*self.by).distinct() if self.by else self.spark.range(1).select()
-        zeros = first.select(*self.by, F.lit(-1).cast("long").alias(POS), start.cast(kind).alias(name))
-        return type(self)(rows.unionByName(zeros), (POS,), self.by)
+        zeros = first.select(*self.by, F.lit(-1).cast("long").alias(PLACE), start.cast(kind).alias(name))
+        return self.within(rows.unionByName(zeros), (PLACE,))
+
+    def fold_streams(self, how: str, value: Column, zero: Any, name: str = "folded") -> OrderedFrame:
+        """fold() of each innermost sub-stream, as an element of the stream that it is in."""
+        if not self.by:
+            raise ValueError("for a stream of sub-streams")
+        return self.joined(self.fold(how, value, zero, name), self.innermost)
 
     def _in_order(self, step: Callable[[Iterator], Iterator], columns: list[str], schema: str) -> DataFrame:
         """step over each stream's rows (tuples of columns) in order; yields result tuples.
@@ -110,7 +116,7 @@ class Folds:
                 acc = function(acc, r)
                 yield i, acc
 
-        return type(self)(self._in_order(step, columns, f"{POS} long, `{name}` {kind}"), (POS,), self.by)
+        return self.within(self._in_order(step, columns, f"{PLACE} long, `{name}` {kind}"), (PLACE,))
 
     #: Asynchronous steps make no difference to a fold in order.
     fold_async, scan_async = fold_with, scan_with

@@ -1,11 +1,14 @@
 """Groups of neighbours and sub-streams.
 
-A stream of streams is in long form: rows with a group's key columns. A keyed frame is
-such a stream; flattening it gives a frame without keys.
+A stream of streams is in long form: rows with a path of key columns, one (or some) a level. A
+keyed frame is such a stream. An operator that cuts streams adds a level, whose column is
+group_id, or group_id_2 and so on where that is taken; flattening takes the innermost level
+away, so streams of streams of streams are flattened one level at a time.
 """
 
 from __future__ import annotations
 
+import functools
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace import positions
 from millrace.operators.slicing import at_least
-from millrace.positions import POS
+from millrace.positions import PLACE, POS, free
 
 if TYPE_CHECKING:
     from millrace.frame import OrderedFrame
@@ -31,12 +34,12 @@ class Groups:
     def grouped(self, size: int, value: Column, emit_single_empty: bool = False, name: str = "group") -> OrderedFrame:
         """group_id and an array of size values (the last may have fewer), in turn."""
         at_least("size", size, 1)
-        df = positions.with_positions(self)
-        out = df.groupBy(*self.by, F.floor(F.col(POS) / size).alias(GROUP)).agg(in_order(F.col(POS), value).alias(name))
+        df, group = positions.with_positions(self), free(GROUP, self.by)
+        out = df.groupBy(*self.by, F.floor(F.col(POS) / size).alias(group)).agg(in_order(F.col(POS), value).alias(name))
         if emit_single_empty and not self.by:
-            none = self.spark.range(1).select(F.lit(0).cast("long").alias(GROUP), F.array().cast(out.schema[name].dataType).alias(name))
+            none = self.spark.range(1).select(F.lit(0).cast("long").alias(group), F.array().cast(out.schema[name].dataType).alias(name))
             out = out.unionByName(none.where(~self.df.limit(1).select(F.lit(1)).exists()))
-        return type(self)(out, (GROUP,), self.by)
+        return self.within(out, (group,))
 
     def sliding(self, size: int, value: Column, name: str = "window") -> OrderedFrame:
         """pos and an array of size values from each place on; all values where there are fewer than size."""
@@ -46,8 +49,8 @@ class Groups:
             "_last": lambda w: F.lead(F.lit(True)).over(w).isNull(),
         })
         whole = (F.size(name) == size) | (F.col("_last") & (F.col(POS) < size - 1))
-        df = found.where(whole).select(*self.by, F.greatest(F.col(POS) - (size - 1), F.lit(0)).alias(POS), F.transform(name, lambda x: x["v"]).alias(name))
-        return type(self)(df, (POS,), self.by)
+        df = found.where(whole).select(*self.by, F.greatest(F.col(POS) - (size - 1), F.lit(0)).alias(PLACE), F.transform(name, lambda x: x["v"]).alias(name))
+        return self.within(df, (PLACE,))
 
     def grouped_within(self, most: int, micros: int, ts: str, value: str, name: str = "group") -> OrderedFrame:
         """Arrays of values: a group ends with most values, or before the first ts that is micros or more after its own first.
@@ -73,20 +76,25 @@ class Groups:
         return type(self)(done, (GROUP,), self.by)
 
     def group_by(self, most: int, *keys: str) -> OrderedFrame:
-        """A sub-stream for each value of keys. The job fails for a null key, and for more than most values."""
+        """A sub-stream for each value of keys. The job fails for a null key, and for more than most values in a stream."""
         at_least("most", most, 1)
-        if self.by:
-            raise ValueError("for a stream without keys")
+        if set(keys) & {*self.by, *self.order}:
+            raise ValueError("keys are columns that are neither order nor key")
         null = F.lit(False)
         for k in keys:
             null = null | F.col(k).isNull()
-        n = self.df.select(*keys).distinct().limit(most + 1).agg(F.count("*")).scalar()
+        distinct = self.df.select(*self.by, *keys).distinct()
+        n = distinct.groupBy(*self.by).agg(F.count("*").alias("n")).agg(F.max("n")).scalar() if self.by else distinct.limit(most + 1).agg(F.count("*")).scalar()
         fails = F.when(null, F.raise_error(F.lit("a group's key must not be null")).cast("boolean")).when(n > most, F.raise_error(F.lit(f"more than {most} sub-streams")).cast("boolean"))
-        return type(self)(self.df.where(F.coalesce(fails, F.lit(True))), self.order, keys)
+        return self.cut(self.df.where(F.coalesce(fails, F.lit(True))), *keys)
+
+    def _level(self) -> str:
+        """The column of a further level."""
+        return free(GROUP, self.df.columns)
 
     def split(self, command: Column) -> OrderedFrame:
-        """Sub-streams by command (one of COMMANDS; null is Emit), numbered from 0 in group_id."""
-        command = F.coalesce(command, F.lit(EMIT))
+        """Sub-streams by command (one of COMMANDS; null is Emit), numbered from 0."""
+        command, level = F.coalesce(command, F.lit(EMIT)), self._level()
         bad = F.when(~command.isin(*COMMANDS), F.raise_error(F.lit("unknown split command")).cast("boolean")).otherwise(F.lit(True))
         marked = self.with_df(self.df.where(bad).withColumn("_cmd", command))
         closes = F.col("_cmd").isin(EMIT_COMPLETE, DROP_COMPLETE).cast("long")
@@ -94,20 +102,18 @@ class Groups:
         kept = marked.with_df(counted.where(~F.col("_cmd").isin(DROP, DROP_COMPLETE)))
         first = positions.beside(kept, back=1, _before=lambda w: F.lag("_closed").over(w)).drop(POS)
         start = (F.col("_before").isNull() | (F.col("_closed") > F.col("_before")) | (F.col("_cmd") == COMPLETE_EMIT)).cast("long")
-        df = positions.running(kept.with_df(first), **{GROUP: ("sum", start)}).withColumn(GROUP, F.col(GROUP) - 1)
-        return type(self)(df.drop(POS, "_cmd", "_closed", "_before"), self.order, (*self.by, GROUP))
+        df = positions.running(kept.with_df(first), **{level: ("sum", start)}).withColumn(level, F.col(level) - 1)
+        return self.cut(df.drop(POS, "_cmd", "_closed", "_before"), level)
 
     def split_when(self, where: Column) -> OrderedFrame:
         """A new sub-stream begins with each row for which where is true."""
-        start = F.coalesce(where & (F.col(POS) > 0), F.lit(False)).cast("long")
-        return self._counted(positions.running(self, **{GROUP: ("sum", start)}))
+        start, level = F.coalesce(where & (F.col(POS) > 0), F.lit(False)).cast("long"), self._level()
+        return self.cut(positions.running(self, **{level: ("sum", start)}).drop(POS), level)
 
     def split_after(self, where: Column) -> OrderedFrame:
         """A sub-stream ends with each row for which where is true."""
-        return self._counted(positions.running(self, inclusive=False, **{GROUP: ("sum", F.coalesce(where, F.lit(False)).cast("long"))}))
-
-    def _counted(self, df: DataFrame) -> OrderedFrame:
-        return type(self)(df.drop(POS), self.order, (*self.by, GROUP))
+        ends, level = F.coalesce(where, F.lit(False)).cast("long"), self._level()
+        return self.cut(positions.running(self, inclusive=False, **{level: ("sum", ends)}).drop(POS), level)
 
     def inject_sequential(self, length: int) -> OrderedFrame:
         """Sub-streams of length elements each, as consumers that take so many would get."""
@@ -121,18 +127,19 @@ class Groups:
     def inject_to_any(self, streams: int) -> OrderedFrame:
         """Each element in one of streams sub-streams, by its hash."""
         at_least("streams", streams, 1)
-        df = self.df.withColumn(GROUP, F.pmod(F.xxhash64(*self.order), F.lit(streams)).cast("long"))
-        return type(self)(df, self.order, (*self.by, GROUP))
+        level = self._level()
+        # the level is hashed too: within a sub-stream of such a cut, hashes have one remainder
+        return self.cut(self.df.withColumn(level, F.pmod(F.xxhash64(F.lit(level), *self.order), F.lit(streams)).cast("long")), level)
 
     def inject_broadcast(self, streams: int) -> OrderedFrame:
         """Each element in each of streams sub-streams."""
         at_least("streams", streams, 1)
-        df = self.df.withColumn(GROUP, F.explode(F.sequence(F.lit(0), F.lit(streams - 1)).cast("array<long>")))
-        return type(self)(df, self.order, (*self.by, GROUP))
+        level = self._level()
+        return self.cut(self.df.withColumn(level, F.explode(F.sequence(F.lit(0), F.lit(streams - 1)).cast("array<long>"))), level).grown()
 
     def _dealt(self, group: Column) -> OrderedFrame:
-        df = positions.with_positions(self).withColumn(GROUP, group.cast("long")).drop(POS)
-        return type(self)(df, self.order, (*self.by, GROUP))
+        level = self._level()
+        return self.cut(positions.with_positions(self).withColumn(level, group.cast("long")).drop(POS), level)
 
     def prefix_and_tail(self, n: int, value: Column, name: str = "prefix") -> tuple[DataFrame, OrderedFrame]:
         """One row with the array of the first n values (of each key that has rows), and the frame of what follows."""
@@ -152,24 +159,32 @@ class Groups:
         return prefix.select(*self.by, head.cast(self.df.select(value.alias("v")).dtypes[0][1]).alias(name)), tail
 
     def flatten_concat(self) -> OrderedFrame:
-        """One stream: sub-streams one after the other."""
-        return type(self)(self.df, (*self.by, *self.order))
+        """One stream of each stream of sub-streams: these one after the other."""
+        return self.joined(self.df, (*self.innermost, *self.order))
 
     def flatten_merge(self) -> OrderedFrame:
         """One stream in the elements' own order (any interleaving keeps that of each sub-stream)."""
-        return type(self)(self.df, (*self.order, *self.by))
+        return self.joined(self.df, (*self.order, *self.innermost))
 
     def flatten_round_robin(self) -> OrderedFrame:
         """One stream: the first of each sub-stream, then the second of each, and so on."""
-        return type(self)(positions.with_positions(self).withColumnRenamed(POS, "turn"), ("turn", *self.by))
+        turn = free("turn", self.df.columns)
+        return self.joined(positions.with_positions(self).withColumnRenamed(POS, turn), (turn, *self.innermost))
 
     def flatten_sorted(self, *values: str) -> OrderedFrame:
         """One stream by values; ties keep the sub-streams' order."""
-        return type(self)(self.df, (*values, *self.by, *self.order))
+        own = (*self.innermost, *self.order)
+        return self.joined(self.df, (*values, *(c for c in own if c not in values)))
 
     def flatten_to_seq(self, value: Column, name: str = "row") -> OrderedFrame:
         """Arrays of the sub-streams' elements of the same position; ends with the shortest."""
-        df = positions.with_positions(self)
-        n = self.df.select(*self.by).distinct().agg(F.count("*")).scalar()
-        rows = df.groupBy(POS).agg(in_order(F.struct(*self.by), value).alias(name))
-        return type(self)(rows.where(F.size(name) == n), (POS,))
+        df, outer = positions.with_positions(self), self.by[: len(self.by) - len(self.innermost)]
+        rows = df.groupBy(*outer, POS).agg(in_order(F.struct(*self.innermost), value).alias(name))
+        streams = self.df.select(*self.by).distinct()
+        if outer:
+            many = streams.groupBy(*(F.col(c).alias(f"_of_{i}") for i, c in enumerate(outer))).agg(F.count("*").alias("_n"))
+            same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(outer)])
+            rows = rows.join(many, same).where(F.size(name) == F.col("_n")).select(*outer, POS, name)
+        else:
+            rows = rows.where(F.size(name) == streams.agg(F.count("*")).scalar())
+        return self.joined(rows.withColumnRenamed(POS, PLACE), (PLACE,))

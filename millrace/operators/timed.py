@@ -97,7 +97,7 @@ class Timed:
     def conflate_with_seed(self, duration: int, ts: str, name: str = "started", **aggregates: Column) -> OrderedFrame:
         """A row for each duration that has elements, as a consumer that asks once in each would get; aggregates of its rows."""
         df = self.df.groupBy(*self.by, self._windowed(duration, ts).alias(name)).agg(*(a.alias(n) for n, a in aggregates.items()))
-        return type(self)(df, (name,), self.by)
+        return self.within(df, (name,))
 
     def conflate(self, duration: int, ts: str, value: Column, name: str = "values") -> OrderedFrame:
         """conflate_with_seed() into arrays of the values in order."""
@@ -114,10 +114,11 @@ class Timed:
     def expand(self, step: int, ts: str, name: str = "at") -> OrderedFrame:
         """Each row once, and again each step until the next row comes; name: when (microseconds)."""
         at_least("step", step, 1)
+        positions.fresh(self.df, name)
         df = positions.beside(self, ahead=1, _next=lambda w: F.lead(micros(ts)).over(w)).drop(POS)
         upto = F.greatest(micros(ts), F.coalesce(F.col("_next") - 1, micros(ts)))
         df = df.withColumn(name, F.explode(F.sequence(micros(ts), upto, F.lit(step).cast("long")))).drop("_next")
-        return type(self)(df, (*self.order, name), self.by)
+        return self.within(df, (*self.order, name)).grown()
 
     def expand_with(self, step: int, ts: str, extrapolate: Callable[[Column], Column], name: str = "at") -> OrderedFrame:
         """expand(), with columns extrapolated(n): extrapolate of the number of the repeat, 0 for the row itself."""

@@ -268,10 +268,10 @@ def concat_two(spark, sf):
 
 @query(f"select pos, src, k from (select row_number() over (order by k, src) - 1 as pos, src, k from (select 0::bigint as src, o_orderkey as k from orders union all select 1, event_id from events))")
 def merge_two(spark, sf):
-    from millrace.positions import with_positions
+    from millrace.positions import numbered
 
     a, b = _two(spark, sf)
-    return with_positions(a.merge(b)).select("pos", big("src").alias("src"), "k")
+    return numbered(a.merge(b)).select("pos", big("src").alias("src"), "k")
 
 
 @query(f"select 1::bigint as src, event_id as k, {CENTS} as amount from events")
@@ -308,22 +308,22 @@ def switch_by_status(spark, sf):
 with p as (select 0::bigint as src, o_orderkey as k, row_number() over (order by o_orderkey) - 1 as pos from orders union all select 1, event_id, row_number() over (order by event_id) - 1 from events)
 select row_number() over (order by pos // 3, src, pos) - 1 as place, src, k from p""")
 def interleave_3(spark, sf):
-    from millrace.positions import with_positions
+    from millrace.positions import numbered
 
     a, b = _two(spark, sf)
     f = a.interleave(b, segment=3)
     renamed = OrderedFrame.of(f.df.withColumnRenamed("pos", "own"), ("turn", "src", "own"))
-    return with_positions(renamed).select(F.col("pos").alias("place"), big("src").alias("src"), "k")
+    return numbered(renamed).select(F.col("pos").alias("place"), big("src").alias("src"), "k")
 
 
 @query(f"""
 with p as (select 0::bigint as src, o_orderkey as k, {O_CENTS} as amount from orders union all select 1, event_id, {CENTS} from events)
 select row_number() over (order by amount, src, k) - 1 as pos, src, k, amount from p""")
 def merge_sorted(spark, sf):
-    from millrace.positions import with_positions
+    from millrace.positions import numbered
 
     a, b = _two(spark, sf)
-    return with_positions(a.merge_sorted(b, values=("amount",))).select("pos", big("src").alias("src"), "k", "amount")
+    return numbered(a.merge_sorted(b, values=("amount",))).select("pos", big("src").alias("src"), "k", "amount")
 
 
 @query(f"select o_orderkey as k, 'left' as tag, {O_CENTS} as l, null::bigint as r from orders union all select event_id, 'right', null, {CENTS} from events")
@@ -336,17 +336,17 @@ def merge_to_either(spark, sf):
 with p as (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as turn from events)
 select row_number() over (order by turn, user_id) - 1 as pos, user_id, event_id from p""")
 def flatten_round_robin(spark, sf):
-    from millrace.positions import with_positions
+    from millrace.positions import numbered
 
     f = events(spark, sf, ("user_id",)).map().flatten_round_robin()
-    return with_positions(f).select("pos", "user_id", "event_id")
+    return numbered(f).select("pos", "user_id", "event_id")
 
 
 @query("select row_number() over (order by user_id, event_id) - 1 as pos, user_id, event_id from events")
 def flatten_concat_users(spark, sf):
-    from millrace.positions import with_positions
+    from millrace.positions import numbered
 
-    return with_positions(events(spark, sf, ("user_id",)).map().flatten_concat()).select("pos", "user_id", "event_id")
+    return numbered(events(spark, sf, ("user_id",)).map().flatten_concat()).select("pos", "user_id", "event_id")
 
 
 @query("select pos % 4 as branch, count(*) as n, min(event_id) as first_id, max(event_id) as last_id from " + POSITIONED + " group by 1")
@@ -484,11 +484,11 @@ def longs_1000(spark, sf):
 
 @query("select pos, pos % 3 as group_id, event_id from " + POSITIONED)
 def inject_round_robin_3(spark, sf):
-    from millrace.positions import with_positions
+    from millrace.positions import numbered
 
     f = events(spark, sf).map().inject_round_robin(3)
     whole = OrderedFrame.of(f.df, "event_id")
-    return with_positions(whole).select("pos", "group_id", "event_id")
+    return numbered(whole).select("pos", "group_id", "event_id")
 
 
 @query("select event_id, pos // 100 as group_id from " + POSITIONED)

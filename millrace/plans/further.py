@@ -15,7 +15,7 @@ from millrace.functions import bytes_ as b
 from millrace.functions import text as text_functions
 from millrace.operators.timed import DROP_BUFFER, DROP_HEAD, DROP_NEW, DROP_TAIL, FAIL, micros
 from millrace.plans.catalogue import CENTS, DAY, HOUR, O_CENTS, POSITIONED, _two, big, cents, events, listed, orders, query
-from millrace.positions import with_positions
+from millrace.positions import numbered
 from millrace.sources import values
 from millrace.sources.files import table
 
@@ -231,7 +231,7 @@ def limits_that_fail(spark, sf):
 @query(f"select row_number() over (order by amount, o_orderkey) - 1 as pos, o_orderkey, amount from (select o_orderkey, {O_CENTS} as amount from orders)")
 def sort_by_price(spark, sf):
     f = orders(spark, sf).map(amount=cents("o_totalprice"))
-    return with_positions(OrderedFrame.of(f.df, ("amount", "o_orderkey")))
+    return numbered(OrderedFrame.of(f.df, ("amount", "o_orderkey")))
 
 
 # groups
@@ -257,12 +257,12 @@ def inject_broadcast_3(spark, sf):
 
 @query("select row_number() over (order by event_id, user_id) - 1 as pos, user_id, event_id from events")
 def flatten_merge_users(spark, sf):
-    return with_positions(events(spark, sf, ("user_id",)).map().flatten_merge()).select("pos", "user_id", "event_id")
+    return numbered(events(spark, sf, ("user_id",)).map().flatten_merge()).select("pos", "user_id", "event_id")
 
 
 @query(f"select row_number() over (order by amount, user_id, event_id) - 1 as pos, user_id, event_id, amount from (select user_id, event_id, {CENTS} as amount from events)")
 def flatten_sorted_users(spark, sf):
-    return with_positions(events(spark, sf, ("user_id",)).map(amount=cents("value")).flatten_sorted("amount")).select("pos", "user_id", "event_id", "amount")
+    return numbered(events(spark, sf, ("user_id",)).map(amount=cents("value")).flatten_sorted("amount")).select("pos", "user_id", "event_id", "amount")
 
 
 @query("""
@@ -490,7 +490,7 @@ def feedback_halves(spark, sf):
     from millrace.operators.cycles import feedback
 
     f = feedback(values.of(spark, "long", 96), lambda g: g.filter(F.col("value") % 2 == 0).map(value=F.floor(F.col("value") / 2)), 10)
-    return with_positions(OrderedFrame.of(f.df.select("round", "value"), "round")).select("pos", "value")
+    return numbered(OrderedFrame.of(f.df.select("round", "value"), "round")).select("pos", "value")
 
 
 # text and bytes

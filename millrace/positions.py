@@ -11,7 +11,7 @@ k rows of the chunks beside it.
 from __future__ import annotations
 
 import operator
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -24,16 +24,38 @@ if TYPE_CHECKING:
 
 #: Rows that one task orders.
 CHUNK_ROWS = 1_000_000
-POS, CHUNK = "pos", "_chunk"
+#: Columns of positions inside of operators, and of positions that are a result.
+POS, CHUNK, PLACE = "_pos", "_chunk", "pos"
+
+
+def free(name: str, taken: Iterable[str]) -> str:
+    """name, or name_2, name_3 and so on: the first that isn't taken."""
+    names, n = {x.lower() for x in taken}, 1
+    while (found := name if n == 1 else f"{name}_{n}").lower() in names:
+        n += 1
+    return found
+
+
+def fresh(df: DataFrame, *names: str) -> None:
+    """An error where df has one of names, which a result is to have."""
+    taken = sorted({x.lower() for x in names} & {c.lower() for c in df.columns})
+    if taken:
+        raise ValueError(f"columns {taken} are there already: rename them first")
 
 
 def _ranges(frame: OrderedFrame) -> int:
-    """The ranges to which a frame without keys is dealt: one for what one task can order."""
-    return frame.df.count() // CHUNK_ROWS + 1
+    """The ranges to which a frame without keys is dealt: one for what one task can order.
+
+    A frame is counted once: what is made of it has no more rows, so the number serves it too.
+    """
+    if frame.bound.known is None:
+        frame.bound.n = frame.df.count()
+    return frame.bound.known // CHUNK_ROWS + 1
 
 
 def with_positions(frame: OrderedFrame, ranges: int | None = None) -> DataFrame:
-    """frame's rows with pos: their place in the order, from 0."""
+    """frame's rows with POS: their place in the order, from 0."""
+    fresh(frame.df, POS, CHUNK)
     if frame.by:
         return frame.df.withColumn(POS, (F.row_number().over(frame.window()) - 1).cast("long"))
     ranges = ranges or _ranges(frame)
@@ -48,8 +70,14 @@ def with_positions(frame: OrderedFrame, ranges: int | None = None) -> DataFrame:
     return ranged.join(F.broadcast(firsts), "_range").withColumn(POS, F.col("_first") + F.col("_place")).drop("_range", "_place", "_first")
 
 
+def numbered(frame: OrderedFrame, name: str = PLACE) -> DataFrame:
+    """frame's rows with their place in the order, from 0, as a column name."""
+    fresh(frame.df, name)
+    return with_positions(frame).withColumnRenamed(POS, name)
+
+
 def chunked(frame: OrderedFrame) -> tuple[DataFrame, list[str]]:
-    """frame's rows with pos and the columns to partition windows by (keys, or the chunk; none if there is but one)."""
+    """frame's rows with POS and the columns to partition windows by (keys, or the chunk; none if there is but one)."""
     ranges = 1 if frame.by else _ranges(frame)
     df = with_positions(frame, ranges)
     if ranges == 1:
@@ -58,7 +86,7 @@ def chunked(frame: OrderedFrame) -> tuple[DataFrame, list[str]]:
 
 
 def running(frame: OrderedFrame, inclusive: bool = True, **values: tuple[str, Column]) -> DataFrame:
-    """frame's rows with pos and, for each name=(how, value), the value's sum, min, max or count up to the row.
+    """frame's rows with POS and, for each name=(how, value), the value's sum, min, max or count up to the row.
 
     Not inclusive: up to the row before; null (0 for count and sum) where there is none.
     """
@@ -83,23 +111,21 @@ def running(frame: OrderedFrame, inclusive: bool = True, **values: tuple[str, Co
     return out.drop(CHUNK, *(f"_c_{name}" for name in values))
 
 
+def with_halo(df: DataFrame, back: int = 0, ahead: int = 0) -> DataFrame:
+    """df (with POS) with CHUNK and _own: each chunk's own rows, and copies of the rows up to back before and ahead after them."""
+    first, last = (F.floor((F.col(POS) + F.lit(d)) / CHUNK_ROWS) for d in (-ahead, back))
+    halo = df.withColumn(CHUNK, F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    return halo.withColumn("_own", F.col(CHUNK) == F.floor(F.col(POS) / CHUNK_ROWS))
+
+
 def beside(frame: OrderedFrame, back: int = 0, ahead: int = 0, **values: Callable[[WindowSpec], Column]) -> DataFrame:
-    """frame's rows with pos and name=value, where value() is a window function over rows within back and ahead of a row.
+    """frame's rows with POS and name=value, where value() is a window function over rows within back and ahead of a row.
 
-    Each value is a function of a WindowSpec (ordered by pos) that gives a column.
+    Each value is a function of a WindowSpec (ordered by POS) that gives a column.
     """
     df, parts = chunked(frame)
     spec = Window.partitionBy(*parts).orderBy(POS)
     if CHUNK not in parts:
         return df.select("*", *(f(spec).alias(name) for name, f in values.items()))
-    if max(back, ahead) > CHUNK_ROWS:
-        raise ValueError(f"at most {CHUNK_ROWS} rows back or ahead")
-    place = F.col(POS) % CHUNK_ROWS
-    copies = [F.struct(F.col(CHUNK).alias("c"), F.lit(True).alias("own"))]
-    if back:
-        copies.append(F.when(place >= CHUNK_ROWS - back, F.struct((F.col(CHUNK) + 1).alias("c"), F.lit(False).alias("own"))))
-    if ahead:
-        copies.append(F.when((place < ahead) & (F.col(CHUNK) > 0), F.struct((F.col(CHUNK) - 1).alias("c"), F.lit(False).alias("own"))))
-    halo = df.withColumn("_copy", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull())))
-    halo = halo.withColumn(CHUNK, F.col("_copy.c")).withColumn("_own", F.col("_copy.own")).drop("_copy")
+    halo = with_halo(df, back, ahead)
     return halo.select("*", *(f(spec).alias(name) for name, f in values.items())).where("_own").drop("_own", CHUNK)

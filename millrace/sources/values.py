@@ -10,16 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.frame import OrderedFrame
-from millrace.positions import POS
+from millrace.positions import PLACE
 
 
 def _numbered(spark: SparkSession, count: int, value: Column) -> OrderedFrame:
-    return OrderedFrame.of(spark.range(count).select(F.col("id").alias(POS), value.alias("value")), POS)
+    return OrderedFrame.of(spark.range(count).select(F.col("id").alias(PLACE), value.alias("value")), PLACE)
 
 
 def from_iterable(spark: SparkSession, values: Iterable, kind: str) -> OrderedFrame:
     rows = [(i, v) for i, v in enumerate(values)]
-    return OrderedFrame.of(spark.createDataFrame(rows, f"{POS} long, value {kind}"), POS)
+    return OrderedFrame.of(spark.createDataFrame(rows, f"{PLACE} long, value {kind}"), PLACE)
 
 
 from_iterator = from_iterable
@@ -87,7 +87,7 @@ def continually(spark: SparkSession, value: Column, *, count: int) -> OrderedFra
 def tick(spark: SparkSession, value: Any, start: str, interval: str, *, count: int, elements: int = 1) -> OrderedFrame:
     """elements a interval: value and at, its time from start on."""
     at = F.lit(start).cast("timestamp") + F.floor(F.col("id") / elements).cast("int") * F.expr(f"interval {interval}")
-    return OrderedFrame.of(spark.range(count).select(F.col("id").alias(POS), F.lit(value).alias("value"), at.alias("at")), POS)
+    return OrderedFrame.of(spark.range(count).select(F.col("id").alias(PLACE), F.lit(value).alias("value"), at.alias("at")), PLACE)
 
 
 def rate(spark: SparkSession, rows_per_second: int) -> DataFrame:
@@ -114,14 +114,14 @@ def unfold(spark: SparkSession, state: Any, step: Callable[[Any], tuple | None],
             held.append((n, found[0]))
             n += 1
             if len(held) == 10_000:
-                yield pd.DataFrame(held, columns=[POS, "value"])
+                yield pd.DataFrame(held, columns=[PLACE, "value"])
                 held = []
             if found[1] is None:
                 break
             at = found[1]
-        yield pd.DataFrame(held, columns=[POS, "value"])
+        yield pd.DataFrame(held, columns=[PLACE, "value"])
 
-    return OrderedFrame.of(spark.range(0, 1, 1, 1).mapInPandas(run, f"{POS} long, value {kind}"), POS)
+    return OrderedFrame.of(spark.range(0, 1, 1, 1).mapInPandas(run, f"{PLACE} long, value {kind}"), PLACE)
 
 
 def unfold_async(spark: SparkSession, state: Any, step: Callable[[Any], Future], kind: str, most: int = 1_000_000) -> OrderedFrame:
