@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace import positions
+from millrace.operators.cycles import settled
 from millrace.operators.slicing import at_least
-from millrace.positions import PLACE, POS, free
+from millrace.positions import CHUNK, PLACE, POS, free
 
 if TYPE_CHECKING:
     from millrace.frame import OrderedFrame
@@ -30,6 +31,66 @@ def in_order(pos: Column, value: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(pos.alias("p"), value.alias("v")))), lambda x: x["v"])
 
 
+def _links(t, most: int, micros: int):
+    """A chunk's own positions, its times, and for each of its rows the place (from the chunk's first) of the first of the next group if one begins with it."""
+    import numpy as np
+
+    t = t.take(np.argsort(t[POS].to_numpy(), kind="stable"))
+    own = int(np.count_nonzero(t["_own"].to_numpy(zero_copy_only=False)))
+    times = t["_t"].fill_null(np.iinfo(np.int64).min).to_numpy()
+    n = len(times)
+    # the first row after each that is micros later: by the greatest times of 1, 2, 4 and so on rows from each
+    greatest = [times]
+    while 1 << len(greatest) <= min(most, n):
+        step, last = 1 << (len(greatest) - 1), greatest[-1]
+        greatest.append(np.maximum(last[:-step], last[step:]))
+    at, due = np.arange(own) + 1, times[:own] + micros
+    for level in range(len(greatest) - 1, -1, -1):
+        have = greatest[level]
+        inside = at < len(have)
+        early = inside & (have[np.minimum(at, len(have) - 1)] < due)
+        at = at + np.where(early, 1 << level, 0)
+    return t[POS].to_numpy()[:own], times[:own], np.minimum(at, np.arange(own) + most)
+
+
+def _exits(t, most: int, micros: int):
+    """For each place below most at which a chunk's first group may begin: where the next chunk's does, and the position of the chunk's last (-1: none)."""
+    import numpy as np
+    import pyarrow as pa
+
+    places, _, links = _links(t, most, micros)
+    n = len(places)
+    end = np.where(links < n, links, np.arange(n))  # the last group's first row, for each one's
+    while True:
+        further = end[end]
+        if (further == end).all():
+            break
+        end = further
+    enters = np.arange(most)
+    inside = enters < n
+    last = end[np.minimum(enters, max(0, n - 1))] if n else np.zeros(most, np.int64)
+    exits = np.where(inside, links[last] - n, enters - n) if n else enters
+    lasts = np.where(inside, places[last], -1) if n else np.full(most, -1)
+    chunk = t[CHUNK][0].as_py()
+    return pa.table({CHUNK: pa.array([chunk], pa.int64()), "exits": pa.array([exits.astype("<i8").tobytes()], pa.binary()), "lasts": pa.array([lasts.astype("<i8").tobytes()], pa.binary())})
+
+
+def _starts(t, entry, most: int, micros: int):
+    """POS, the position of its group's first row, and time of a chunk's rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    places, times, links = _links(t, most, micros)
+    begins = np.zeros(len(places), bool)
+    at = entry["enters"][0].as_py()
+    while at < len(places):
+        begins[at] = True
+        at = int(links[at])
+    before = entry["last"][0].as_py()
+    starts = np.maximum.accumulate(np.where(begins, places, -1 if before is None else before))
+    return pa.table({POS: pa.array(places), "_start": pa.array(starts), "_t": pa.array(times)})
+
+
 class Groups:
     def grouped(self, size: int, value: Column, emit_single_empty: bool = False, name: str = "group") -> OrderedFrame:
         """group_id and an array of size values (the last may have fewer), in turn."""
@@ -55,9 +116,16 @@ class Groups:
     def grouped_within(self, most: int, micros: int, ts: str, value: str, name: str = "group") -> OrderedFrame:
         """Arrays of values: a group ends with most values, or before the first ts that is micros or more after its own first.
 
-        A fold whose step isn't associative: a key's rows pass through one task, group by group.
+        With keys, a key's rows pass through one task, group by group. Without keys, each row is
+        the place from which another would be the next group's first; within a chunk these
+        links are followed by pointer doubling for all the places at which a group that began
+        before may end, so a chunk says where its last group ends for each of them (a row of
+        most numbers), chunk by chunk that gives each one's first group, and each chunk then
+        marks its own.
         """
         at_least("most", most, 1)
+        if not self.by:
+            return self._grouped_by_links(most, micros, ts, value, name)
         kind = self.df.schema[value].dataType.simpleString()
 
         def step(rows):
@@ -71,9 +139,31 @@ class Groups:
             if held:
                 yield n, began, held
 
+        group = free(GROUP, self.by)
         timed = self.with_df(self.df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))))
-        done = timed._in_order(step, ["_t", value], f"{GROUP} long, started long, `{name}` array<{kind}>")
-        return type(self)(done, (GROUP,), self.by)
+        done = timed._in_order(step, ["_t", value], f"{group} long, started long, `{name}` array<{kind}>")
+        return self.within(done, (group,))
+
+    def _grouped_by_links(self, most: int, micros: int, ts: str, value: str, name: str) -> OrderedFrame:
+        kind = self.df.schema[value].dataType.simpleString()
+        rows = settled(positions.with_positions(self).select(POS, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(value).alias("_v")))
+        times = positions.with_halo(rows.select(POS, "_t"), ahead=most)
+        exits = times.groupBy(CHUNK).applyInArrow(lambda t: _exits(t, most, micros), f"{CHUNK} long, exits binary, lasts binary")
+
+        def enter(found):
+            at, last = 0, None  # the next group's first row, counted from the chunk's; the place of the last one's
+            for chunk, ends, lasts in found:
+                yield chunk, at, last
+                if (own := int.from_bytes(lasts[8 * at : 8 * at + 8], "little", signed=True)) >= 0:
+                    last = own
+                at = int.from_bytes(ends[8 * at : 8 * at + 8], "little")
+
+        chunks = self.within(exits, (CHUNK,))
+        entries = chunks._in_order(enter, [CHUNK, "exits", "lasts"], "entered long, enters long, last long", empty=False)
+        starts = times.groupBy(CHUNK).cogroup(entries.groupBy("entered")).applyInArrow(lambda t, e: _starts(t, e, most, micros), f"{POS} long, _start long, _t long")
+        grouped = starts.join(rows.select(POS, "_v"), POS).groupBy("_start").agg(F.min(F.when(F.col(POS) == F.col("_start"), F.col("_t"))).alias("started"), in_order(F.col(POS), F.col("_v")).cast(f"array<{kind}>").alias(name))
+        numbered = positions.with_positions(self.within(grouped, ("_start",)))
+        return self.within(numbered.select(F.col(POS).alias(GROUP), "started", name), (GROUP,))
 
     def group_by(self, most: int, *keys: str) -> OrderedFrame:
         """A sub-stream for each value of keys. The job fails for a null key, and for more than most values in a stream."""

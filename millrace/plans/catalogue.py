@@ -36,13 +36,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from millrace.plans import further  # noqa: F401  (it adds its own)
+    from millrace.plans import further, streams  # noqa: F401  (they add their own)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from millrace.plans import further  # noqa: F401
+    from millrace.plans import further, streams  # noqa: F401
 
     return dict(SQL)
 
