@@ -77,15 +77,17 @@ class Sinks:
         return start + sep.join("null" if r["_text"] is None else r["_text"] for r in rows) + end
 
     def to_file(self, path: str, value: Column, append: bool = False) -> int:
-        """Writes the values' bytes in order to one file of the driver's machine; the number of bytes.
+        """Writes the values' bytes in order to one file; the number of bytes.
 
-        One file has one writer: rows come to the driver a partition at a time.
+        Each value's place is the sum of the sizes of those before, so all tasks write at once.
         """
-        n = 0
-        with open(path, "ab" if append else "wb") as f:
-            for row in self.df.select(*self.by, *self.order, value.cast("binary").alias("_bytes")).orderBy(*self.by, *self.order).toLocalIterator():
-                n += f.write(bytes(row["_bytes"] or b""))
-        return n
+        from millrace import positions
+        from millrace.sources.ranges import write_places
+
+        flat = type(self)(self.df, (*self.by, *self.order))  # streams one after the other
+        sized = flat.with_df(flat.df.select(*flat.order, value.cast("binary").alias("_bytes")))
+        placed = positions.running(sized, inclusive=False, _at=("sum", F.coalesce(F.octet_length("_bytes"), F.lit(0)).cast("long")))
+        return write_places(placed.select("_at", "_bytes").sortWithinPartitions("_at"), path, append)
 
     def to_files(self, path: str, value: str, format: str = "text") -> None:
         """Writes a column in order as a folder of files, each a range of the order."""

@@ -2,41 +2,36 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from millrace.frame import OrderedFrame
-from millrace.functions.text import lines
+from millrace.functions.text import decode
+from millrace.sources.ranges import read_ranges, resolve
 
 CHUNK_BYTES = 8192
 
 
-def resolve(path: str) -> str:
-    """path with a leading ~ put out."""
-    return os.path.expanduser(path)
-
+def from_file(spark: SparkSession, path: str, chunk_bytes: int = 0, range_bytes: int | None = None) -> OrderedFrame:
+    """Each file's bytes in chunks, in order of path and pos; the last may be shorter, and an empty file has none."""
+    n = chunk_bytes or CHUNK_BYTES
+    df = read_ranges(spark, path, "bytes", n, range_bytes)
+    return OrderedFrame.of(df.select("path", F.expr(f"place div {n}").alias("pos"), "value"), ("path", "pos"))
 
-def contents(spark: SparkSession, path: str) -> DataFrame:
-    """path and content of each file."""
-    return spark.read.format("binaryFile").load(resolve(path)).select("path", "content")
 
+def from_file_lines(spark: SparkSession, path: str, range_bytes: int | None = None, charset: str = "UTF-8", on_malformed: str = "replace") -> OrderedFrame:
+    """Each file's lines, in order of path and place (of the line's first byte), cut as functions.text.lines does.
 
-def from_file(spark: SparkSession, path: str, chunk_bytes: int = 0) -> OrderedFrame:
-    """Each file's bytes in chunks, in order of path and pos; the last may be shorter, and an empty file has none."""
-    n = chunk_bytes or CHUNK_BYTES
-    last = F.floor((F.octet_length("content") - 1) / n).cast("int")
-    at = F.when(F.octet_length("content") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    df = contents(spark, path).select("path", "content", F.explode(at).alias("pos")).select("path", "pos", F.expr(f"substring(content, pos * {n} + 1, {n})").alias("value"))
-    return OrderedFrame.of(df, ("path", "pos"))
+    A line is read whole by the task in whose range it begins. charset has \n as a byte of its own.
+    """
+    df = read_ranges(spark, path, "lines", range_bytes=range_bytes)
+    return OrderedFrame.of(df.select("path", "place", decode(F.col("value"), charset, on_malformed).alias("value")), ("path", "place"))
 
 
-def from_file_lines(spark: SparkSession, path: str) -> OrderedFrame:
-    """Each file's lines, in order of path and pos, as functions.text.lines has them."""
-    text = F.decode("content", "UTF-8")
-    df = contents(spark, path).select("path", F.posexplode(lines(text)).alias("pos", "value"))
-    return OrderedFrame.of(df, ("path", "pos"))
+def from_file_text(spark: SparkSession, path: str, chunk_bytes: int = 0, range_bytes: int | None = None, on_malformed: str = "report") -> OrderedFrame:
+    """Each file's UTF-8 text in chunks of whole characters, in order of path and place (of the chunk's first byte)."""
+    df = read_ranges(spark, path, "text", chunk_bytes or CHUNK_BYTES, range_bytes)
+    return OrderedFrame.of(df.select("path", "place", decode(F.col("value"), "UTF-8", on_malformed).alias("value")), ("path", "place"))
 
 
 def read_file(path: str) -> bytes:
