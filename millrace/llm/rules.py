@@ -32,6 +32,7 @@ wide; an empty table gives no rows; other columns aren't read.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,10 +48,10 @@ START, END = 0xFF, 0xFE  # bytes that no UTF-8 text has
 #: The least probability: a context of frequent n-grams alone may leave no mass for others.
 LEAST = 2.0**-40
 #: n-grams a task holds before it passes their counts on, and bytes of texts for each such task.
-HELD_GRAMS, COUNTED_BYTES = 1 << 21, 64 << 20
+HELD_GRAMS, COUNTED_BYTES = 1 << 20, 64 << 20
 #: Languages whose discounts (a row each) may go to every task; beyond it they are joined.
 BROADCAST_LANGS = 10_000
-#: n-grams and contexts of a fold's models that may go to every task whole (16 bytes each).
+#: n-grams and contexts of a fold's models that may go to every task whole (some 5 bytes each on their way, 16 there).
 BROADCAST_ENTRIES = 6_000_000
 #: Texts that are scored at once.
 ROWS_AT_ONCE = 1000
@@ -66,6 +67,8 @@ BINS = 1000
 #: The least spread, in bits.
 LEAST_SPREAD = 0.01
 
+#: A model in parts: languages, folds, and n keys (as steps) with their numbers, compressed.
+PACKED = "lang string, fold int, n long, keys binary, x binary, y binary"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double"
 
 
@@ -96,6 +99,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         from millrace.llm.words import chunks
 
+        _HELD.clear()  # what an earlier job's tasks have left
         held: dict[tuple, list] = {}
 
         def merged(key: tuple):
@@ -147,7 +151,7 @@ def once(docs: DataFrame) -> DataFrame:
 
 
 def model(docs: DataFrame) -> DataFrame:
-    """lang, fold, key, x, y of docs (lang, fold, text): the discounted count (x) of each n-gram, and count and mass (x, y) of each context."""
+    """PACKED of docs (lang, fold, text): the discounted count (x) of each n-gram, and count and mass (x, y) of each context."""
     keys = ["lang", "fold"]
     orders = {ORDER: stash(count_grams(docs), "gram-counts")}
     for size in range(ORDER - 1, 0, -1):
@@ -164,86 +168,124 @@ def model(docs: DataFrame) -> DataFrame:
     key = lambda kind, gram: F.shiftleft((F.col("size") + kind).cast("long"), 48).bitwiseOR(gram).alias("key")
     counts = t.select(*keys, key(GRAM, F.col("gram")), (F.col("n") - F.col("off")).cast("float").alias("x"), F.lit(0.0).cast("float").alias("y"))
     contexts = t.groupBy(*keys, key(CONTEXT, F.shiftright("gram", 8))).agg(F.sum("n").cast("float").alias("x"), F.sum("off").cast("float").alias("y"))
-    return stash(counts.unionByName(contexts), "model")
+    # each partition packs what it has: keys in any number of ranges are sorted where they are used
+    rows = counts.unionByName(contexts).sortWithinPartitions(*keys, "key")
+    return stash(rows.mapInArrow(_pack, PACKED), "model")
 
 
-class Model:
-    """Hashes of a language's n-grams and contexts, ascending, and their numbers: parts (hashes, x, y) one after the other."""
+def _planes(values) -> bytes:
+    """Numbers, their first bytes together, their second bytes together and so on, compressed."""
+    import numpy as np
+    import zstandard
 
-    def __init__(self, parts: list):
-        self.parts = parts
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
 
-    @classmethod
-    def of(cls, keys, x, y) -> Model:
-        import numpy as np
 
-        hashes = hashed(np.asarray(keys))
-        order = np.argsort(hashes)
-        return cls([(hashes[order], np.asarray(x, np.float32)[order], np.asarray(y, np.float32)[order])])
+def _numbers(data: bytes, n: int, kind: str):
+    import numpy as np
+    import zstandard
 
-    def find(self, keys):
-        """The numbers of keys, 0 where there is none."""
-        import numpy as np
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(-1, n).T).view(kind).ravel()
 
-        hashes = hashed(keys)
-        order = np.argsort(hashes)
-        ranked, out = hashes[order], np.zeros((2, len(keys)))
-        for own, x, y in self.parts:
-            if not len(own):
-                continue
-            a, b = np.searchsorted(ranked, own[0]), np.searchsorted(ranked, own[-1], side="right")
-            at = np.searchsorted(own, ranked[a:b])
-            known = own[at] == ranked[a:b]
-            places = order[a:b][known]
-            out[0, places], out[1, places] = x[at[known]], y[at[known]]
-        return out
 
+def _pack(batches: Iterator) -> Iterator:
+    """Rows (lang, fold, key, x, y), sorted, as PACKED: the steps of PART_ENTRIES keys at most, and their numbers."""
+    import numpy as np
+    import pyarrow as pa
+
+    at, held, n_held = None, [], 0
+
+    def part():
+        keys, x, y = (np.concatenate([h[i] for h in held]) for i in range(3))
+        steps = np.diff(keys, prepend=0).astype("<i8")
+        return pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]], pa.int32()), pa.array([len(keys)], pa.int64()), *(pa.array([_planes(c)], pa.binary()) for c in (steps, x.astype("<f4"), y.astype("<f4")))], [c.split()[0] for c in PACKED.split(", ")])
 
-def hashed(keys):
-    """Hashes of keys, as longs (in the order of longs, not of their bits)."""
+    for batch in batches:
+        of = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        cuts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1]), len(of)]
+        columns = [batch.column(i).to_numpy() for i in (2, 3, 4)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if held and (of[a] != at or n_held >= PART_ENTRIES):
+                yield part()
+                held, n_held = [], 0
+            at = of[a]
+            held.append([c[a:b] for c in columns])
+            n_held += b - a
+    if held:
+        yield part()
+
+
+def _unpacked(row) -> tuple:
+    """keys, x and y of a row of PACKED."""
     import numpy as np
 
-    from millrace.llm.words import mix
+    keys, x, y = (_numbers(row[c], row["n"], kind) for c, kind in (("keys", "<i8"), ("x", "<f4"), ("y", "<f4")))
+    return np.cumsum(keys), x, y
 
-    return mix(keys.astype(np.uint64)).view(np.int64)
 
+class Model:
+    """A language's n-grams and contexts, as arrays sorted by the hashes of their keys, and their numbers."""
 
-def _parts(numbers: DataFrame, n: int) -> DataFrame:
-    """lang, hashes, x, y: the parts of numbers' models, ready to search; in their order within a partition, partitions in no order."""
+    def __init__(self, keys, x, y):
+        import numpy as np
 
-    def hash_keys(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+        hashes = self.hashed(np.asarray(keys))
+        order = np.argsort(hashes)
+        self.hashes, self.x, self.y = hashes[order], np.asarray(x, np.float32)[order], np.asarray(y, np.float32)[order]
 
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashed(batch.column(1).to_numpy())), batch.column(2), batch.column(3)], ["lang", "hash", "x", "y"])
+    @classmethod
+    def of(cls, rows: list) -> Model:
+        """The model of some rows of PACKED, unpacked a column at a time."""
+        import numpy as np
 
-    def pack(batches: Iterator) -> Iterator:
+        made = cls(np.zeros(0, np.int64), [], [])
+        hashes = np.concatenate([cls.hashed(np.cumsum(_numbers(r["keys"], r["n"], "<i8"))) for r in rows])
+        order = np.argsort(hashes)
+        made.hashes = hashes[order]
+        del hashes
+        made.x = np.concatenate([_numbers(r["x"], r["n"], "<f4") for r in rows])[order]
+        made.y = np.concatenate([_numbers(r["y"], r["n"], "<f4") for r in rows])[order]
+        return made
+
+    @staticmethod
+    def hashed(keys):
         import numpy as np
-        import pyarrow as pa
 
-        at, held = None, []
+        from millrace.llm.words import mix
 
-        def part():
-            columns = [np.concatenate([h[i] for h in held]).tobytes() for i in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array([at]), *(pa.array([c], pa.binary()) for c in columns)], ["lang", "hashes", "x", "y"])
+        return mix(keys.astype(np.uint64))
 
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            cuts = [0, *(i for i in range(1, len(langs)) if langs[i] != langs[i - 1]), len(langs)]
-            columns = [batch.column(i).to_numpy() for i in (1, 2, 3)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a < b:
-                    if held and langs[a] != at:
-                        yield part()
-                        held = []
-                    at = langs[a]
-                    held.append([c[a:b] for c in columns])
-        if held:
-            yield part()
+    def find(self, keys):
+        """The numbers of keys, 0 where there is none."""
+        import numpy as np
+
+        out = np.zeros((2, len(keys)))
+        if len(self.hashes):
+            wanted = self.hashed(keys)
+            order = np.argsort(wanted)  # neighbours are found near each other
+            wanted = wanted[order]
+            at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+            known = self.hashes[at] == wanted
+            out[:, order[known]] = self.x[at[known]], self.y[at[known]]
+        return out
 
-    rows = numbers.select("lang", "key", "x", "y").mapInArrow(hash_keys, "lang string, hash long, x float, y float")
-    ranged = rows.repartitionByRange(max(1, n // PART_ENTRIES), "lang", "hash").sortWithinPartitions("lang", "hash")
-    return ranged.mapInArrow(pack, "lang string, hashes binary, x binary, y binary")
+
+#: The models that a worker has made last, and of what: tasks that come after have the same.
+_HELD: dict = {}
+
+
+def _models(token: str, packed: list) -> dict[str, Model]:
+    """Models by language of rows of PACKED."""
+    if token not in _HELD:
+        _HELD.clear()
+        by_lang: dict[str, list] = {}
+        for row in packed:
+            by_lang.setdefault(row["lang"], []).append(row)
+        _HELD[token] = {lang: Model.of(rows) for lang, rows in by_lang.items()}
+    return _HELD[token]
 
 
 def _orders(found):
@@ -307,7 +349,7 @@ def _measured(texts: list[str | None], langs: list[str], models: dict[str, Model
     for i, lang in enumerate(langs):
         by_lang.setdefault(lang, []).append(i)
     for lang, rows in by_lang.items():
-        numbers = models.get(lang) or Model([])
+        numbers = models.get(lang) or Model(np.zeros(0, np.int64), [], [])
         for first, part in chunks(raw[i] for i in rows):
             found, sizes = grams(part)
             ends = np.cumsum(sizes)
@@ -332,26 +374,22 @@ def measure(docs: DataFrame, numbers: DataFrame, broadcast_entries: int = BROADC
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _language().alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("content"))
     ways = []
     for fold in (0, 1):  # a task holds the models of one fold
-        texts, own = plain.where(_fold(F.col("content")) == fold), numbers.where(F.col("fold") == 1 - fold).select("lang", "key", "x", "y")
-        n = own.count()
-        ways.append(_measured_by_key(texts, own, n) if n > broadcast_entries else _measured_by_all(texts, own, n))
+        texts, own = plain.where(_fold(F.col("content")) == fold), numbers.where(F.col("fold") == 1 - fold).drop("fold")
+        n = own.agg(F.sum("n")).first()[0] or 0
+        ways.append(_measured_by_key(texts, own, n) if n > broadcast_entries else _measured_by_all(texts, own))
     return ways[0].unionByName(ways[1])
 
 
-def _measured_by_all(plain: DataFrame, numbers: DataFrame, n: int) -> DataFrame:
-    """measure() by models that go to every task."""
-    models: dict[str, list] = {}
-    for r in _parts(numbers, n).toLocalIterator():  # some 100 MB at the bound, in parts of 16
-        models.setdefault(r["lang"], []).append(tuple(bytes(r[c]) for c in ("hashes", "x", "y")))
-    shared = plain.sparkSession.sparkContext.broadcast(models)
-    models.clear()
+def _measured_by_all(plain: DataFrame, numbers: DataFrame) -> DataFrame:
+    """measure() by models that go to every task, packed: some 5 bytes an entry, 30 MB at the bound."""
+    packed = [r.asDict() for r in numbers.toLocalIterator()]
+    shared, token = plain.sparkSession.sparkContext.broadcast(packed), uuid.uuid4().hex
+    del packed
 
     def scored(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        read = lambda parts: sorted(((np.frombuffer(h, "<i8"), np.frombuffer(x, "<f4"), np.frombuffer(y, "<f4")) for h, x, y in parts), key=lambda p: p[0][0])
-        found = {lang: Model(read(parts)) for lang, parts in shared.value.items()}
+        found = _models(token, shared.value)
         for whole in batches:
             for i in range(0, len(whole), ROWS_AT_ONCE):
                 batch = whole.slice(i, ROWS_AT_ONCE)
@@ -418,13 +456,24 @@ def _measured_by_key(plain: DataFrame, numbers: DataFrame, n_entries: int) -> Da
 
     cut_up = stash(kept.mapInArrow(cut, f"block long, doc_id long, lang string, text string, content long, {asked_columns}"), "rule-blocks")
     entries = cut_up.where("of is not null").select(*(x.split()[0] for x in asked_columns.split(", ")))
-    dealt = numbers.select(F.col("lang").alias("model_lang"), F.pmod("key", F.lit(parts)).cast("int").alias("model_part"), "key", "x", "y")
+
+    def unpack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, x, y = _unpacked(row)
+                for i in range(0, len(keys), 1 << 16):
+                    columns = [c[i : i + (1 << 16)] for c in (keys, x, y)]
+                    yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(columns[0]), pa.string()), *map(pa.array, columns)], ["model_lang", "key", "x", "y"])
+
+    dealt = numbers.mapInArrow(unpack, "model_lang string, key long, x float, y float").withColumn("model_part", F.pmod("key", F.lit(parts)).cast("int"))
 
     def answer(asked, own):
         import numpy as np
         import pyarrow as pa
 
-        part = Model.of(*(own[c].to_numpy() for c in ("key", "x", "y")))
+        part = Model(*(own[c].to_numpy() for c in ("key", "x", "y")))
         found = [part.find(np.frombuffer(x, "<i8")) for x in asked["keys"].to_pylist()]
         put = lambda i: pa.array([f[i].astype("<f4").tobytes() for f in found], pa.binary())
         return pa.table({"of": asked["of"], "key_lang": asked["key_lang"], "keys": asked["keys"], "x": put(0), "y": put(1)})
@@ -438,7 +487,7 @@ def _measured_by_key(plain: DataFrame, numbers: DataFrame, n_entries: int) -> Da
         by_lang: dict[str, list] = {}
         for lang, k, x, y in zip(*(own[c].to_pylist() for c in ("key_lang", "keys", "x", "y")), strict=True):
             by_lang.setdefault(lang, []).append((np.frombuffer(k, "<i8"), np.frombuffer(x, "<f4"), np.frombuffer(y, "<f4")))
-        models = {lang: Model.of(*map(np.concatenate, zip(*found, strict=True))) for lang, found in by_lang.items()}
+        models = {lang: Model(*map(np.concatenate, zip(*found, strict=True))) for lang, found in by_lang.items()}
         return pa.table([texts["doc_id"], texts["lang"], texts["content"], *_columns_of(texts["text"].to_pylist(), texts["lang"].to_pylist(), models)], names=NAMES)
 
     texts = cut_up.where("block is not null").select("block", "doc_id", "lang", "text", "content")
