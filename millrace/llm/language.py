@@ -5,8 +5,9 @@ A text, reduced to its words of letters in lower case, is encoded block by block
 with each language's dictionary; the language whose encoding is smallest is predicted, and
 rejected where the next is within a margin.
 
-Learning takes a bounded sample: DICTIONARY_DOCS different texts of a language, PIECE_CHARS of
-each from a hashed place on, so what many texts begin with doesn't fill the dictionary.
+Learning takes a bounded sample: of a language's different texts, in the order of their hashes,
+whole ones until DICTIONARY_BYTES are full (of the last as much as still fits), DICTIONARY_DOCS
+texts at most.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; ties
 go to the first language in alphabetical order (and are rejected); with no learned language
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DICTIONARY_DOCS, PIECE_CHARS = 1000, 500
+DICTIONARY_DOCS, DICTIONARY_BYTES = 1000, 1 << 19
 BLOCK_BYTES, LEVEL = 16384, 6
 #: The next language's encoding must be larger by this share of it.
 MARGIN = 0.01
@@ -36,7 +37,7 @@ MOST_BROADCAST = 10_000
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def learn(labelled: DataFrame, docs_per_lang: int = DICTIONARY_DOCS, piece_chars: int = PIECE_CHARS) -> dict[str, bytes]:
+def learn(labelled: DataFrame, docs_per_lang: int = DICTIONARY_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries by language, of a sample of labelled (doc_id, text, lang).
 
     The sample is that of the lowest hashes of texts; a threshold by each language's number
@@ -48,14 +49,16 @@ def learn(labelled: DataFrame, docs_per_lang: int = DICTIONARY_DOCS, piece_chars
     hashed = rows.select("lang", "text", F.xxhash64("text").alias("_hash"))
     few = hashed.join(F.broadcast(sizes) if counts.num_rows <= MOST_BROADCAST else sizes, F.col("lang") == F.col("_lang"))
     few = few.where((F.col("_hash") / F.lit(2.0**64) + 0.5) * F.col("_n") <= 4 * docs_per_lang)
-    start = F.pmod(F.xxhash64("_hash"), F.greatest(F.lit(1), F.length("text") - piece_chars + 1)) + 1
-    pieces_of = few.groupBy("lang", F.col("text").substr(start.cast("int"), F.lit(piece_chars)).alias("piece")).agg(F.min("_hash").alias("_hash"))
-    ranked = pieces_of.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "piece"))).where(F.col("_rank") <= docs_per_lang)
-    pieces: dict[str, list[str]] = {}
-    for lang, piece in ranked.orderBy("lang", "_rank").select("lang", "piece").collect():
-        pieces.setdefault(lang, []).append(piece)
+    # a text counts once; what is beyond a dictionary's size needn't move
+    once = few.groupBy("lang", "_hash").agg(F.min(F.left("text", F.lit(dictionary_bytes))).alias("text"))
+    order = Window.partitionBy("lang").orderBy("_hash")
+    before = F.coalesce(F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = once.withColumn("_rank", F.row_number().over(order)).withColumn("_before", before).where((F.col("_rank") <= docs_per_lang) & (F.col("_before") < dictionary_bytes))
+    texts: dict[str, list[str]] = {}
+    for lang, text in taken.orderBy("lang", "_rank").select("lang", "text").collect():
+        texts.setdefault(lang, []).append(text)
     # zstandard takes dictionaries of 8 bytes or more
-    return {lang: b"\n".join(dict.fromkeys(map(_reduced, p))).ljust(8) for lang, p in pieces.items()}
+    return {lang: b"\n".join(map(_reduced, own))[:dictionary_bytes].ljust(8) for lang, own in texts.items()}
 
 
 def _reduced(text: str) -> bytes:
