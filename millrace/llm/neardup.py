@@ -392,14 +392,16 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class: that of the least doc_id.
 
     docs must give the same rows in the same order each time, as a scan of files does: rows
-    are known by their place in it. The job fails if they differ between two readings.
+    are known by their place in it. The job fails if a kept row's id or text differs between two
+    readings.
     """
     numbered = docs.select(*(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns))).withColumn("in_row", F.monotonically_increasing_id())
     text, ident = (F.col(f"in_{docs.columns.index(c)}") for c in ("text", "doc_id"))
     found = near_duplicates(numbered.select(F.col("in_row").alias("doc_id"), text.alias("text")), **options)
-    placed = numbered.select("in_row", ident.alias("ident")).join(found.select(F.col("doc_id").alias("of"), "class_id"), F.col("in_row") == F.col("of"))
+    mark = F.xxhash64(ident, text)
+    placed = numbered.select("in_row", ident.alias("ident"), mark.alias("mark")).join(found.select(F.col("doc_id").alias("of"), "class_id"), F.col("in_row") == F.col("of"))
     # the first of a class by doc_id, not by row
-    best = placed.groupBy("class_id").agg(F.min(F.struct(F.col("ident").isNull().alias("x"), F.col("ident").alias("i"), F.col("in_row").alias("r"))).alias("b")).select(F.col("b.r").alias("kept_row"), F.col("b.i").alias("kept_ident"))
+    best = placed.groupBy("class_id").agg(F.min(F.struct(F.col("ident").isNull().alias("x"), F.col("ident").alias("i"), F.col("in_row").alias("r"), F.col("mark").alias("m"))).alias("b")).select(F.col("b.r").alias("kept_row"), F.col("b.m").alias("kept_mark"))
     kept = numbered.join(best, F.col("in_row") == F.col("kept_row"))
-    same = F.when(~ident.eqNullSafe(F.col("kept_ident")), F.raise_error(F.lit("the rows differ between two readings")).cast("boolean")).otherwise(F.lit(True))
+    same = F.when(mark != F.col("kept_mark"), F.raise_error(F.lit("the rows differ between two readings")).cast("boolean")).otherwise(F.lit(True))
     return kept.where(same).select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)))

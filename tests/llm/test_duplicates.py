@@ -1,5 +1,6 @@
 """Operators 2 and 4 against brute force."""
 
+import os
 import random
 import re
 from collections import defaultdict
@@ -8,6 +9,8 @@ import pytest
 
 numpy = pytest.importorskip("numpy")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from millrace.llm import neardup, repeats  # noqa: E402
 from millrace.llm.words import Words  # noqa: E402
 
@@ -299,5 +302,15 @@ def test_repeats_agree_with_sql(spark):
     db = duckdb.connect()
     db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     want = db.execute(queries.oracle_sql()["op4_repeats"]).fetchall()
-    got = queries.op4_repeats(spark, sf).select("doc_id", "n_words", "start", "end").collect()
+    got = queries.op4_repeats(spark, sf).select("doc_id", "n_words", "start", "end", "cut").collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 50
+
+
+def test_a_text_that_changes_between_readings(spark):
+    """Ids stay the same, texts don't: the job fails instead of keeping what it hasn't judged."""
+    from pyspark.errors import PySparkException
+
+    anew = F.udf(lambda i: " ".join(f"{i}{x}" for x in os.urandom(20)), "string").asNondeterministic()
+    docs = spark.range(50).select("id", anew("id").alias("text")).select(F.lit(1).cast("long").alias("doc_id"), "text")
+    with pytest.raises(PySparkException, match="differ between two readings"):
+        neardup.deduplicate(docs).collect()

@@ -47,6 +47,55 @@ def test_language_margin():
     assert language._best("zzz", ["en", "de"], [encoders[0], encoders[0]], 0.01) == ("en", 0.5, 0.0, True)
 
 
+def plain_dictionaries(rows, docs_per_lang, dictionary_bytes):
+    """Of rows (text, lang): each language's different texts by their hashes, whole until the bytes are full."""
+    import xxhash
+
+    out = {}
+    for lang in {r[1] for r in rows if None not in r}:
+        texts = {t for t, x in rows if x == lang and t is not None}
+        signed = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63
+        held, size = [], 0
+        for t in sorted(texts, key=signed)[:docs_per_lang]:
+            if size >= dictionary_bytes:
+                break
+            held.append(t[:dictionary_bytes])
+            size += len(t[:dictionary_bytes].encode())
+        out[lang] = "\n".join(re.sub(r"[\W\d_]+", " ", t.lower()) for t in held).encode()[:dictionary_bytes].ljust(8)
+    return out
+
+
+@pytest.mark.parametrize("docs_per_lang,dictionary_bytes", [(language.DICTIONARY_DOCS, language.DICTIONARY_BYTES), (1000, 20_000), (3, 10**6)])
+def test_language_against_a_plain_loop(spark, documents, rows, monkeypatch, docs_per_lang, dictionary_bytes):
+    """Dictionaries, sizes, verdicts and margins of all rows, by zstandard alone."""
+    import zstandard
+
+    found = language.learn(documents, docs_per_lang, dictionary_bytes)
+    want = plain_dictionaries([(r.text, r.lang) for r in rows], docs_per_lang, dictionary_bytes)
+    assert found == want and len(want) > 3
+    monkeypatch.setattr(language, "MOST_BROADCAST", 1)
+    assert language.learn(documents, docs_per_lang, dictionary_bytes) == want
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 9), round(r.lang_margin, 9), r.rejected) for r in language.predict(documents, want).collect())
+    plain = Counter()
+    prepared = {}
+    for x, d in want.items():
+        made = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made.precompute_compress(level=language.LEVEL)
+        prepared[x] = zstandard.ZstdCompressor(dict_data=made, write_content_size=False, write_dict_id=False)
+    for r in rows:
+        if not any(c.isalpha() for c in r.text or ""):
+            plain[r.doc_id, "und", 0.0, 0.0, True] += 1
+            continue
+        data = re.sub(r"[\W\d_]+", " ", r.text.lower()).encode()
+        sizes = {x: sum(len(prepared[x].compress(data[i : i + language.BLOCK_BYTES])) for i in range(0, len(data), language.BLOCK_BYTES)) for x in sorted(want)}
+        best = min(sizes, key=lambda x: (sizes[x], x))
+        second = sorted(sizes.values())[1]
+        score = 1 / sum(math.exp(-language.SHARPNESS * (s / sizes[best] - 1)) for s in sizes.values())
+        gap = (second - sizes[best]) / second
+        plain[r.doc_id, best, round(score, 9), round(gap, 9), gap < language.MARGIN] += 1
+    assert got == plain
+
+
 def test_quality_of_held_out_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = queries.op6_quality(spark, SF).join(labels, "doc_id").where("held_out").select("quality", "score", "predicted").collect()
@@ -106,6 +155,43 @@ def test_bradley_terry_recovers_an_order():
     assert ((ranking.scores(x) >= 0.5) == labels).mean() > 0.95
 
 
+def test_fit_threshold_and_score_against_plain_python():
+    """Weights that minimise the pairs' logistic loss, a threshold at the labels' quantile, and scores, in plain Python."""
+    rng = random.Random(3)
+    rows = [[rng.gauss(0, 1 + j) for j in range(3)] for _ in range(80)]
+    labels = [int(r[0] - 0.3 * r[1] + rng.gauss(0, 0.8) > 0.4) for r in rows]
+    shares = {0: 300, 1: 100}
+    ranking = quality.fit(numpy.array(rows), numpy.array(labels), shares, pairs=400, seed=5)
+    n = len(rows)
+    mean = [sum(r[j] for r in rows) / n for j in range(3)]
+    scale = [math.sqrt(sum((r[j] - mean[j]) ** 2 for r in rows) / n) for j in range(3)]
+    x = [[(r[j] - mean[j]) / scale[j] for j in range(3)] for r in rows]
+    draw = numpy.random.default_rng(5)
+    good, bad = [i for i in range(n) if labels[i]], [i for i in range(n) if not labels[i]]
+    pairs = list(zip(draw.choice(good, 400).tolist(), draw.choice(bad, 400).tolist(), strict=True))
+    w = [0.0] * 3
+    for _ in range(3000):
+        gradient = [quality.RIDGE * v for v in w]
+        for a, b in pairs:
+            d = [x[a][j] - x[b][j] for j in range(3)]
+            p = 1 / (1 + math.exp(sum(v * y for v, y in zip(w, d, strict=True))))
+            gradient = [g - v * p / 400 for g, v in zip(gradient, d, strict=True)]
+        w = [v - g for v, g in zip(w, gradient, strict=True)]
+        if max(map(abs, gradient)) < 1e-6:
+            break
+    assert all(abs(a - b) < 1e-3 for a, b in zip(w, ranking.weights, strict=True))
+    raw = [sum(v * y for v, y in zip(ranking.weights, r, strict=True)) for r in x]
+    # of all labelled rows 300 of 400 are of label 0; a sampled row stands for its label's share
+    ranked, upto = sorted(range(n), key=lambda i: raw[i]), 0.0
+    for place, i in enumerate(ranked):
+        upto += (100 / len(good) if labels[i] else 300 / len(bad)) / 400
+        if upto >= 0.75 - 1e-12:
+            break
+    assert abs(ranking.threshold - (raw[ranked[place - 1]] + raw[ranked[place]]) / 2) < 1e-9
+    want = [1 / (1 + math.exp(-(v - ranking.threshold))) for v in raw]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(ranking.scores(numpy.array(rows)).tolist(), want, strict=True))
+
+
 def test_rules_base_counts(documents, rows):
     got = defaultdict(list)
     for r in rules.judge(documents).collect():

@@ -8,7 +8,7 @@ numpy = pytest.importorskip("numpy")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from millrace.llm import sharding, topk  # noqa: E402
+from millrace.llm import sharding, slabs, topk  # noqa: E402
 
 
 def brute_force(rows, every, k):
@@ -24,9 +24,10 @@ def brute_force(rows, every, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_vectors,block_queries,slab", [(4096, 512, 1 << 16), (37, 3, 80), (37, 3, 37)])
-def test_top_k(spark, monkeypatch, block_vectors, block_queries, slab):
-    monkeypatch.setattr(topk, "SLAB_VECTORS", slab)
+@pytest.mark.parametrize("block_vectors,block_queries,slab,first", [(4096, 512, 1 << 16, 64), (37, 3, 80, 64), (37, 3, 37, 2)])
+def test_top_k(spark, monkeypatch, block_vectors, block_queries, slab, first):
+    monkeypatch.setattr(slabs, "SLAB_VECTORS", slab)
+    monkeypatch.setattr(slabs, "FIRST_SLABS", first)
     base = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     odd = spark.createDataFrame([(100, [float("nan")] * 64, 1), (200, [0.5] * 64, 1), (200, [0.5] * 64, 1), (10**6, None, 1), (10**6 + 100, [1.0, None], 1), (10**7, [0.25] * 3, 1), (10**7 + 1, [], 1), (10**7 + 2, [float("inf")], 1)], base.schema)
     df = base.unionByName(odd).withColumn("row_id", F.lit("x")).repartition(3)
@@ -63,6 +64,21 @@ def test_top_k_of_few_and_none(spark):
     assert topk.top_k(df, F.lit(False)).count() == 0
 
 
+def test_slabs_beyond_the_first_give_what_reaches_the_floor(spark, monkeypatch):
+    """Rows that slabs return: k of each query in the first ones, in the others no more than are among the best."""
+    rng = numpy.random.default_rng(1)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(1200)], "vec_id long, embedding array<double>").repartition(4)
+    given = []
+    past = topk.past
+    monkeypatch.setattr(topk, "past", lambda *a, **k: (lambda found: (given.append((a[5], found.count())), found)[1])(past(*a, **k)))
+    monkeypatch.setattr(slabs, "SLAB_VECTORS", 40)
+    whole = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0, block_vectors=40).collect()))
+    monkeypatch.setattr(slabs, "FIRST_SLABS", 8)
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0, block_vectors=40).collect())) == whole
+    (_, every), (first, n_first), (rest, n_rest) = given
+    assert len(first) == 8 and len(rest) > 20 and n_first + n_rest < 0.6 * every and n_rest < 12 * 10 * len(rest) / 4
+
+
 def test_search_stops_before_the_end():
     """With a few large components most segments are never read, and results are those of all."""
     rng = numpy.random.default_rng(2)
