@@ -11,10 +11,10 @@ Reading stops only where that proves that all but a few vectors are below the k-
 or at the last segment. What may still be a member is scored anew from the whole vectors,
 so results are exact, ties included.
 
-Queries are rows of the same table, in blocks. Blocks of vectors lie in slabs, a few blocks
-each: a task builds the indexes of a slab's blocks once and holds them, and all blocks of
-queries stream past it, in turn. Vectors move once and queries once a slab, whatever the
-number of either; a slab returns k rows a query at most.
+Queries are rows of the same table, in blocks, which stream past slabs of indexed blocks of
+vectors (slabs.py). Where there are many slabs, the k-th best score of the first ones is a
+query's floor in the others, which give only what reaches it. A query for which reading has
+stopped leaves its block, so one that needs more segments doesn't keep the others.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part;
 missing components of shorter vectors count 0, as do all of an empty one; rows that repeat
@@ -28,24 +28,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import stash
+from millrace.llm.slabs import MOST, NONE, best_of, number_of_slabs, packed, past
 
 K = 10
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 512
-#: Vectors of a slab at most (some 2 KB each in its task), and slabs of fewer vectors.
-SLAB_VECTORS, SLABS = 1 << 16, 64
 #: Quanta of the largest component, above 0.
 LEVELS = 12
 #: Possible members a query at which reading may stop.
 FEW = 64
 
-#: The bounds of a long; its own least would have no positive.
-MOST = 2**63 - 1
-
-PACKED = "block long, n int, width int, ids binary, row_ids binary, data binary"
+OF, ASKS = ("vec_id", "row_id"), ("vec_id", "row_id", "floor")
 
 
 def integers(embedding: Column, scale: int = 1024) -> Column:
@@ -54,46 +50,6 @@ def integers(embedding: Column, scale: int = 1024) -> Column:
     return F.when(embedding.isNotNull() & ok, F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def _packed(rows: DataFrame, block_rows: int) -> DataFrame:
-    """rows (vec_id, row_id, v) as PACKED: blocks of block_rows at most, made by the tasks that hold them."""
-
-    def pack(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        n_blocks, part, held, n_held = 0, 0, [], 0
-
-        def block():
-            nonlocal n_blocks
-            t = pa.Table.from_batches(held)
-            lists = t["v"].combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            sizes = np.asarray(lists.value_lengths(), np.int64)
-            width = max(1, int(sizes.max()))
-            data = np.zeros((len(sizes), width), np.int64)
-            data[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.maximum(lists.flatten().to_numpy(zero_copy_only=False), -MOST)
-            ids = t["vec_id"].fill_null(-(2**63)).to_numpy()
-            n_blocks += 1
-            return pa.RecordBatch.from_pylist([{"block": (part << 24) + n_blocks, "n": len(sizes), "width": width, "ids": ids.astype("<i8").tobytes(), "row_ids": t["row_id"].to_numpy().astype("<i8").tobytes(), "data": data.astype("<i8").tobytes()}], schema=schema)
-
-        schema = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("row_ids", pa.binary()), ("data", pa.binary())])
-        for batch in batches:
-            if len(batch):
-                part = batch.column(3)[0].as_py()
-            while len(batch):
-                take = batch.slice(0, block_rows - n_held)
-                held.append(take)
-                n_held += len(take)
-                batch = batch.slice(len(take))
-                if n_held == block_rows:
-                    yield block()
-                    held, n_held = [], 0
-        if n_held:
-            yield block()
-
-    return rows.select("vec_id", "row_id", "v", F.spark_partition_id().cast("long").alias("part")).mapInArrow(pack, PACKED)
-
-
 class Index:
     """A block's posting segments by descending impact."""
 
@@ -126,17 +82,18 @@ def exactly(queries, data):
     return np.clip(queries.astype(object) @ data.astype(object).T, -MOST, MOST).astype(np.int64)
 
 
-def search(queries, query_rows, index: Index, ids, rows, k: int, few: int = FEW) -> Iterator:
-    """(query's number, vec_ids, scores): its k best of the block or more, other than its own row."""
+def search(queries, query_rows, index: Index, ids, rows, k: int, few: int = FEW, floors=None) -> Iterator:
+    """(query's number, vec_ids, scores): its k best of the block or more, other than its own row; none below its floor."""
     import numpy as np
 
     n = len(index.data)
-    estimate = np.zeros((n, len(queries)))
     q = queries.astype(float)
     whole = np.abs(q).sum(1)
-    column = np.ascontiguousarray(q.T) * index.quantum
+    floors = np.full(len(queries), -MOST) if floors is None else floors
+    live = np.arange(len(queries))
+    estimate, column = np.zeros((n, len(queries))), np.ascontiguousarray(q.T) * index.quantum
     at, last = 0, len(index.segments)
-    while True:
+    while len(live):
         level = index.segments[at][0] if at < last else 0
         while at < last and index.segments[at][0] == level:
             _, impact, d, part = index.segments[at]
@@ -144,21 +101,25 @@ def search(queries, query_rows, index: Index, ids, rows, k: int, few: int = FEW)
             at += 1
         # unread components are within level - 1/2 quanta of 0, read ones within half a quantum
         unread = max(0.5, level - 0.5) if at < last else 0.5
-        bound = whole * index.quantum * unread * (1 + 1e-9) + 1e-6
-        if n <= k + 1:
-            possible = np.ones((n, len(queries)), bool)
-            break
-        # the query's own row may be among the k + 1 best
-        kth = np.partition(estimate, n - k - 1, axis=0)[n - k - 1]
-        possible = estimate + bound >= kth - bound
-        if at >= last or possible.sum(0).max() <= max(few, 2 * k):
-            break
-    for i in range(len(queries)):
-        found = np.flatnonzero(possible[:, i] & (rows != query_rows[i]))
-        if len(found):
-            scores = exactly(queries[i : i + 1], index.data[found])[0]
-            best = np.lexsort((ids[found], -scores))[:k]
-            yield i, ids[found[best]], scores[best]
+        bound = whole[live] * index.quantum * unread * (1 + 1e-9) + 1e-6
+        own = floors[live].astype(float)
+        least = np.where(floors[live] > -MOST, own - np.abs(own) * 1e-15, -np.inf)
+        if n > k + 1:
+            # the query's own row may be among the k + 1 best
+            least = np.maximum(least, np.partition(estimate, n - k - 1, axis=0)[n - k - 1] - bound)
+        possible = estimate + bound >= least
+        ends = possible.sum(0) <= max(few, 2 * k) if at < last else np.ones(len(live), bool)
+        for i in np.flatnonzero(ends).tolist():
+            who = int(live[i])
+            found = np.flatnonzero(possible[:, i] & (rows != query_rows[who]))
+            if len(found):
+                scores = exactly(queries[who : who + 1], index.data[found])[0]
+                found, scores = found[scores >= floors[who]], scores[scores >= floors[who]]
+                best = np.lexsort((ids[found], -scores))[:k]
+                if len(best):
+                    yield who, ids[found[best]], scores[best]
+        if ends.any():  # those that are done leave
+            live, estimate, column = live[~ends], estimate[:, ~ends], column[:, ~ends]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = 1024, block_vectors: int = BLOCK_VECTORS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
@@ -167,48 +128,30 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = 1024, b
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding"), scale).alias("v"), is_query.alias("asks")).where("v is not null")
     rows = stash(rows.withColumn("row_id", F.monotonically_increasing_id()), "vectors")
-    blocks = _packed(rows.select("vec_id", "row_id", "v"), block_vectors)
+    blocks = packed(rows, OF, block_vectors)
+    queries = rows.where("asks and vec_id is not null").select("vec_id", "row_id", "v")
     # queries are few: their blocks fill up in fewer, larger parts
-    asked = rows.where("asks and vec_id is not null").select("vec_id", "row_id", "v")
-    n_asked = asked.count()
-    parts = max(1, n_asked // (4 * block_queries))
-    asked = stash(_packed(asked.repartition(parts), block_queries), "queries")
-    n_rows = rows.count()
-    slabs = -(-n_rows // min(SLAB_VECTORS, max(block_vectors, n_rows // SLABS))) or 1
-    columns = [c.split()[0] for c in PACKED.split(", ")]
-    held = blocks.select(F.pmod(F.xxhash64("block"), F.lit(slabs)).cast("int").alias("slab"), F.lit(0).alias("asks"), *columns)
-    asking = asked.select(F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"), F.lit(1).alias("asks"), *columns)
-    # a slab's vectors come before the queries
-    met = held.unionByName(asking).repartition(slabs, "slab").sortWithinPartitions("slab", "asks", "block")
-
-    def look(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        indexes: list = []
-        at = None
-        for batch in batches:
-            for i in range(len(batch)):
-                r = batch.slice(i, 1).to_pylist()[0]
-                if r["slab"] != at:
-                    at, indexes = r["slab"], []
-                data = np.frombuffer(r["data"], "<i8").reshape(r["n"], r["width"])
-                ids, own = (np.frombuffer(r[c], "<i8") for c in ("ids", "row_ids"))
-                if not r["asks"]:
-                    indexes.append((Index(data), ids, own))
-                    continue
-                found = []
-                for index, vec_ids, vec_rows in indexes:
-                    width = index.data.shape[1]  # what a block lacks counts 0
-                    queries = np.pad(data[:, :width], ((0, 0), (0, max(0, width - data.shape[1]))))
-                    found += [(np.full(len(v), q), v, s) for q, v, s in search(queries, own, index, vec_ids, vec_rows, k)]
-                if found:
-                    asker, vecs, scores = (np.concatenate(c) for c in zip(*found, strict=True))
-                    order = np.lexsort((vecs, -scores, asker))
-                    asker, vecs, scores = asker[order], vecs[order], scores[order]
-                    best = np.arange(len(asker)) - np.searchsorted(asker, asker) < k
-                    columns = [c[best].astype(np.int64) for c in (ids[asker], own[asker], vecs, scores)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "query_row", "vec_id", "score"])
-
-    found = met.mapInArrow(look, "query_id long, query_row long, vec_id long, score long")
-    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.when(F.col("vec_id") != -(2**63), F.col("vec_id")).alias("vec_id"), "score")
+    parts = max(1, queries.count() // (4 * block_queries))
+    slabs = number_of_slabs(rows.count(), block_vectors)
+
+    def find(floors, among):
+        asked = queries.withColumn("floor", F.lit(-MOST)) if floors is None else queries.join(floors, "row_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-MOST)))
+        asked = stash(packed(asked.repartition(parts), ASKS, block_queries), "queries")
+        return past(blocks, OF, asked, ASKS, slabs, among, lambda b: (Index(b["v"]), b["vec_id"], b["row_id"]), look, "query_id long, row_id long, vec_id long, score long")
+
+    def look(indexes: list, q: dict):
+        found = []
+        for index, vec_ids, vec_rows in indexes:
+            width = index.data.shape[1]  # what a block lacks counts 0
+            vectors = np.pad(q["v"][:, :width], ((0, 0), (0, max(0, width - q["v"].shape[1]))))
+            found += [(np.full(len(v), i), v, s) for i, v, s in search(vectors, q["row_id"], index, vec_ids, vec_rows, k, floors=q["floor"])]
+        if not found:
+            return None
+        asker, vecs, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((vecs, -scores, asker))
+        asker, vecs, scores = asker[order], vecs[order], scores[order]
+        best = np.arange(len(asker)) - np.searchsorted(asker, asker) < k
+        return [c[best].astype(np.int64) for c in (q["vec_id"][asker], q["row_id"][asker], vecs, scores)]
+
+    found = best_of(find, ["row_id"], k, slabs, F.col("vec_id"))
+    return found.select("query_id", "rank", F.when(F.col("vec_id") != NONE, F.col("vec_id")).alias("vec_id"), "score")
