@@ -551,9 +551,32 @@ def bytes_of_arrays(spark, sf):
     return table(spark, sf, "conversations", ("conv_id", "turn")).filter(F.col("text").isNotNull()).map(n=big(b.size(x)), md5=F.md5(x)).df
 
 
-@query("select 1000::bigint as n, true as doubles_in_range, true as ints_in_range, 1000::bigint as n_longs, true as letters")
+#: The generator's states, step by step, with halves as unsigned numbers; a shift to the right keeps the sign.
+_SIGNED = "({v} // {two} + case when {v} >= 9223372036854775808 then 18446744073709551616 - {high} else 0 end)"
+_STATES = f"""
+with recursive n as (select count(*) as n from events),
+x as (select 0::bigint as i, 20161224::hugeint as a, 9021::hugeint as b, 0::hugeint as before
+union all select i + 1, b, xor(xor(t, b), xor({_SIGNED.format(v="t", two=1 << 17, high=1 << 47)}, {_SIGNED.format(v="b", two=1 << 26, high=1 << 38)})), b from (select i, b, xor(a, (a * 8388608) % 18446744073709551616) as t from x, n where i < n.n)),
+v as (select i - 1 as pos, (b + before) % 18446744073709551616 as u from x where i > 0),
+r as (select pos, (case when u >= 9223372036854775808 then u - 18446744073709551616 else u end)::bigint as l from v)"""
+
+
+@query(f"""{_STATES}
+select event_id, l, (u % 9007199254740992)::double / 9007199254740992 as d, ((u // 2) % 1000)::bigint as below_1000, (u % 64)::bigint as below_64, u % 2 = 1 as yes
+from (select event_id, row_number() over (order by event_id) - 1 as pos from events) join r using (pos) join v using (pos)""")
 def random_values(spark, sf):
+    """The n-th value of one generator beside the n-th event, and what else is made of it."""
     from millrace.functions import randoms
 
-    df = spark.range(1000).select(randoms.next_double(1).alias("d"), randoms.next_int(2, 10).alias("i"), randoms.next_long(3).alias("l"), randoms.alphanumeric(8, 4).alias("s"))
-    return df.agg(F.count("*").alias("n"), F.bool_and(F.col("d").between(0, 1)).alias("doubles_in_range"), F.bool_and(F.col("i").between(0, 9)).alias("ints_in_range"), F.countDistinct("l").alias("n_longs"), F.bool_and(F.col("s").rlike("^[0-9A-Za-z]{8}$")).alias("letters"))
+    f = randoms.drawn(events(spark, sf).map(), 20161224, 9021, "r")
+    x = F.col("r")[0]
+    return f.df.select("event_id", x.alias("l"), randoms.next_double(x).alias("d"), randoms.next_long(x, 1000).alias("below_1000"), randoms.next_long(x, 64).alias("below_64"), randoms.next_boolean(x).alias("yes"))
+
+
+@query(f"""{_STATES}
+select row_number() over (order by l, event_id) - 1 as pos, event_id from (select event_id, row_number() over (order by event_id) - 1 as pos from events) join r using (pos)""")
+def random_order(spark, sf):
+    """Events in the order of the generator's values: a permutation."""
+    from millrace.functions import randoms
+
+    return numbered(randoms.in_random_order(events(spark, sf).map(), 20161224, 9021)).select("pos", "event_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import functions as F
 
 from millrace.operators.timed import micros
@@ -204,3 +206,35 @@ def function_error_to_try(spark, sf):
 def function_errors_of_all(spark, sf):
     """Each event, with what the function gives or raises."""
     return _tried(spark, sf).df.select("event_id", "error_type", "share")
+
+
+_LINE = "concat(event_id, '|', event_type, '|', {cents}, ' é', case when event_id % 40 = 3 then chr(10) || chr(10) else '' end)"
+
+
+@query(f"""
+with t as (select unnest(string_split(string_agg({_LINE.format(cents=CENTS)} || chr(10), '' order by event_id), chr(10))) as line, generate_subscripts(string_split(string_agg({_LINE.format(cents=CENTS)} || chr(10), '' order by event_id), chr(10)), 1) as i from events),
+n as (select max(i) as n from t)
+select i - 1 as pos, line from t, n where i < n.n""")
+def file_lines_in_ranges(spark, sf):
+    """Events written to one file by all tasks, and its lines read as ranges of 16 KB."""
+    from millrace import session
+    from millrace.positions import numbered
+    from millrace.sources.files import from_file_lines
+
+    line = F.concat(F.col("event_id"), F.lit("|"), F.col("event_type"), F.lit("|"), cents("value"), F.lit(" é"), F.when(F.col("event_id") % 40 == 3, "\n\n").otherwise(""), F.lit("\n"))
+    path = urlparse(session.shared_path(spark, "events")).path
+    events(spark, sf).to_file(path, line)
+    return numbered(from_file_lines(spark, path, range_bytes=16384)).select("pos", F.col("value").alias("line"))
+
+
+@query(f"select octet_length(encode(string_agg({_LINE.format(cents=CENTS)}, '' order by event_id)))::bigint as n_bytes, md5(string_agg({_LINE.format(cents=CENTS)}, '' order by event_id)) as md5 from events")
+def file_text_in_ranges(spark, sf):
+    """Events written to one file by all tasks, and its text read as ranges of 16 KB, in chunks of whole characters."""
+    from millrace import session
+    from millrace.sources.files import from_file_text
+
+    line = F.concat(F.col("event_id"), F.lit("|"), F.col("event_type"), F.lit("|"), cents("value"), F.lit(" é"), F.when(F.col("event_id") % 40 == 3, "\n\n").otherwise(""))
+    path = urlparse(session.shared_path(spark, "events")).path
+    n = events(spark, sf).to_file(path, line)
+    text = from_file_text(spark, path, 100, range_bytes=16384)
+    return text.digest(F.col("value"), "md5", "md5").select(F.lit(n).cast("long").alias("n_bytes"), "md5")

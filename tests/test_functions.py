@@ -103,8 +103,62 @@ def test_bytes(spark):
             col(df, bad)
 
 
-def test_randoms(spark):
-    df = spark.range(200)
-    rows = df.select(randoms.next_int(1, 10).alias("i"), randoms.next_double(2).alias("d"), randoms.next_boolean(3).alias("b"), randoms.next_bytes(4, 5).alias("y"), randoms.pick(F.array(F.lit(1), F.lit(2)), 5).alias("p"), randoms.alphanumeric(6, 7).alias("a")).collect()
-    assert {r.i for r in rows} == set(range(10)) and all(0 <= r.d < 1 for r in rows) and {r.b for r in rows} == {True, False}
-    assert {len(r.y) for r in rows} == {5} and {r.p for r in rows} == {1, 2} and {len(r.a) for r in rows} == {6}
+class Plain:
+    """The generator, a value at a time."""
+
+    def __init__(self, seed0, seed1):
+        self.a, self.b = seed0 % 2**64, seed1 % 2**64
+
+    def long(self):
+        signed = lambda v: v - 2**64 if v >= 2**63 else v
+        x, y = self.a, self.b
+        x ^= x << 23 & (2**64 - 1)
+        self.a, self.b = y, (x ^ y ^ signed(x) >> 17 ^ signed(y) >> 26) % 2**64
+        return signed((self.b + y) % 2**64)
+
+    def int(self, bound):
+        low = self.long() % 2**32
+        return low & bound - 1 if not bound & bound - 1 else (low >> 1) % bound
+
+
+@pytest.mark.parametrize("start,n", [(0, 1), (0, 1000), (7, 600), (10**6, 300), (12345, 1)])
+def test_values_from_any_place(start, n):
+    plain = Plain(5, -9)
+    for _ in range(start):
+        plain.long()
+    assert randoms.longs_from(5, -9, start, n).tolist() == [plain.long() for _ in range(n)]
+
+
+def test_randoms(spark, small_chunks):
+    """Beside the rows of many chunks, as one loop makes them."""
+    from millrace.frame import OrderedFrame
+
+    rows = spark.range(40).select((F.lit(100) - F.col("id")).alias("k"), F.array(*(F.lit(i) for i in range(9))).alias("xs")).repartition(5)
+    f = randoms.drawn(OrderedFrame.of(rows, "k"), 1, 2, "r", per_row=9)
+    r, one = F.col("r"), F.col("r")[0]
+    made = f.df.select("k", r, randoms.next_int(one).alias("i"), randoms.next_int(one, 10).alias("ten"), randoms.next_int(one, 16).alias("sixteen"), randoms.next_long(one, 10**12).alias("l"), randoms.next_double(one).alias("d"), randoms.next_float(one).alias("f"), randoms.next_boolean(one).alias("b"), randoms.next_bytes(r, 13).alias("y"), randoms.pick(F.col("xs"), one).alias("p"), randoms.shuffled(F.col("xs"), r).alias("s"), randoms.alphanumeric(r).alias("a"), randoms.decide_pow2(one, 3).alias("e"), randoms.decide(one, 0.25).alias("c"))
+    plain = Plain(1, 2)
+    for row in made.orderBy("k").collect():
+        own = [plain.long() for _ in range(9)]
+        assert row.r == own
+        again = lambda i: type("One", (Plain,), {"long": lambda self: own[i]})(0, 1)  # noqa: B023, E731
+        assert row.i == (own[0] + 2**31) % 2**32 - 2**31 and row.ten == again(0).int(10) == row.ten and row.sixteen == again(0).int(16)
+        assert row.l == (own[0] % 2**64 >> 1) % 10**12 and row.d == own[0] % 2**53 / 2**53 and row.f == own[0] % 2**24 / 2**24 and row.b == (own[0] % 2 == 1)
+        assert bytes(row.y) == (own[1] % 2**64).to_bytes(8, "big")[3:] + (own[0] % 2**64).to_bytes(8, "big")
+        assert row.p == again(0).int(9) and row.e == (own[0] % 8 == 0) and row.c == (row.d < 0.25)
+        xs = list(range(9))
+        for n, i in enumerate(range(8, 0, -1)):
+            j = again(n).int(i + 1)
+            xs[i], xs[j] = xs[j], xs[i]
+        assert row.s == xs
+        assert row.a == "".join(randoms.CHARACTERS[again(i).int(62)] for i in range(9))
+
+
+def test_a_random_order_is_a_permutation(spark):
+    from millrace.sources import values
+
+    got = [r.value for r in randoms.in_random_order(values.longs(spark, 0, count=200), 3, 4).sorted().collect()]
+    plain = Plain(3, 4)
+    assert got == [i for _, i in sorted((plain.long(), i) for i in range(200))] and got != sorted(got)
+    with pytest.raises(ValueError):
+        randoms.longs_from(0, 0, 0, 3)
