@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
 
 
 def _col(x: int | Column) -> Column:
@@ -67,11 +64,10 @@ def lift(b: Column, i: int | Column) -> Column:
 
 def index_of_slice(b: Column, part: Column, start: int | Column = 0) -> Column:
     """Where part first lies in b from start on, or -1."""
-    @pandas_udf(LongType())
-    def find(x: pd.Series, y: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([None if i is None or j is None else bytes(i).find(bytes(j), max(0, int(k))) for i, j, k in zip(x, y, s, strict=True)], dtype="object")
-
-    return find(b, part, _col(start))
+    # as characters of a set that has one for each byte, so places are those of bytes
+    whole, wanted, at = F.decode(b, "ISO-8859-1"), F.decode(part, "ISO-8859-1"), F.greatest(_col(start).cast("int"), F.lit(0))
+    found = F.position(wanted, whole, at + 1)
+    return F.when(at > size(b), F.lit(-1)).otherwise(found - 1).cast("long")
 
 
 def contains_slice(b: Column, part: Column) -> Column:

@@ -238,3 +238,105 @@ def file_text_in_ranges(spark, sf):
     n = events(spark, sf).to_file(path, line)
     text = from_file_text(spark, path, 100, range_bytes=16384)
     return text.digest(F.col("value"), "md5", "md5").select(F.lit(n).cast("long").alias("n_bytes"), "md5")
+
+
+# replayed in micro-batches
+
+
+def _replayed(spark, sf, batches: int = 3, marker: bool = True):
+    """Events as a stream of micro-batches in the order of time; last comes a row of a user -1, years later, for timers that are still open."""
+    from millrace import session, streaming
+
+    e = events(spark, sf).df.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    if marker:
+        e = e.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit("end").alias("event_type"), F.lit("2100-01-01 00:00:00").cast("timestamp").alias("ts")))
+    return streaming.replayed(e, "ts", batches, session.shared_path(spark, "replayed"))
+
+
+_IN_TIME = "e as (select user_id, event_id, event_type, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as r from events)"
+
+
+@query(f"""
+with recursive {_IN_TIME},
+g as (select user_id, r, t as began, 1 as n, 0::bigint as group_id, event_id from e where r = 1
+union all select e.user_id, e.r, case when g.n >= 3 or e.t - g.began >= {20 * HOUR} then e.t else g.began end, case when g.n >= 3 or e.t - g.began >= {20 * HOUR} then 1 else g.n + 1 end, g.group_id + case when g.n >= 3 or e.t - g.began >= {20 * HOUR} then 1 else 0 end, e.event_id
+from g join e on e.user_id = g.user_id and e.r = g.r + 1)
+select user_id, group_id, min(began)::bigint as started, string_agg(cast(event_id as varchar), ',' order by r) as ids from g group by 1, 2""")
+def stream_grouped_within(spark, sf):
+    """Groups of three events of a user, or of what comes within 20 hours, closed by timers."""
+    from millrace import streaming
+
+    found = streaming.grouped_within(_replayed(spark, sf), ["user_id"], ["ts", "event_id"], "ts", "1 second", "event_id", 3, 20 * HOUR)
+    return streaming.played(found, "grouped").where("user_id >= 0").select("user_id", "group_id", "started", listed("group").alias("ids"))
+
+
+@query(f"""
+with {_IN_TIME},
+s as (select *, case when r = 1 or t - lag(t) over (partition by user_id order by r) >= {48 * HOUR} then 1 else 0 end as s from e),
+g as (select *, sum(s) over (partition by user_id order by r) as g from s)
+select user_id, max(t)::bigint as since, count(*) as n from g group by user_id, g""")
+def stream_idle(spark, sf):
+    """Silences of users of two days or more, found when the watermark has passed them."""
+    from millrace import streaming
+
+    found = streaming.idle(_replayed(spark, sf), ["user_id"], ["ts", "event_id"], "ts", "1 second", 48 * HOUR)
+    return streaming.played(found, "idle").where("user_id >= 0").select("user_id", "since", "n")
+
+
+@query(f"""
+with recursive {_IN_TIME},
+d as (select user_id, r, event_id, t + {5 * HOUR} as sent from e where r = 1
+union all select e.user_id, e.r, e.event_id, greatest(e.t, d.sent) + {5 * HOUR} from d join e on e.user_id = d.user_id and e.r = d.r + 1)
+select user_id, event_id, sent::bigint as sent from d""")
+def stream_delay(spark, sf):
+    """Each event five hours after it came, or after the user's event before it left, let go by timers."""
+    from millrace import streaming
+
+    found = streaming.delay(_replayed(spark, sf), ["user_id"], ["ts", "event_id"], "ts", "1 second", 5 * HOUR, ["event_id"])
+    return streaming.played(found, "delayed").where("user_id >= 0").select("user_id", "event_id", F.col("left").alias("sent"))
+
+
+def _two_streams(spark, sf):
+    """Events by user and orders by customer, each in three micro-batches."""
+    from millrace import session, streaming
+
+    e = events(spark, sf).df.select(big("user_id").alias("k"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    o = orders(spark, sf).df.select(big("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    return [streaming.replayed(x, "id", 3, session.shared_path(spark, "replayed")) for x in (e, o)]
+
+
+_SIDES = "e as (select user_id as k, event_id as id, row_number() over (partition by user_id order by event_id) - 1 as p from events), o as (select o_custkey as k, o_orderkey as id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as p from orders)"
+
+
+@query(f"with {_SIDES} select k::bigint as k, p as pos, e.id as event_id, o.id as o_orderkey from e join o using (k, p)")
+def stream_zip(spark, sf):
+    """The n-th event of a user beside the n-th order of the customer of that number, of two streams."""
+    from millrace import streaming
+
+    found = streaming.zipped(*_two_streams(spark, sf), ["k"], "id", "ts", "id")
+    return streaming.played(found, "zipped").select("k", "pos", F.col("left").alias("event_id"), F.col("right").alias("o_orderkey"))
+
+
+@query(f"""
+with {_SIDES}, both_ as (select k, id, p, 0 as src from e union all select k, id, p, 1 from o),
+t as (select *, 2 * 2 * (p // 2) + 2 * src + p % 2 as turn from both_),
+c as (select *, row_number() over (partition by k order by turn) - 1 as pos from t)
+select k::bigint as k, pos, src::bigint as src, id from c where pos = turn""")
+def stream_interleave(spark, sf):
+    """Two events of a user, two orders of the customer of that number, and so on, of two streams."""
+    from millrace import streaming
+
+    found = streaming.interleaved(*_two_streams(spark, sf), ["k"], "id", "ts", "id", 2)
+    return streaming.played(found, "interleaved").select("k", "pos", big("src").alias("src"), "id")
+
+
+@query(f"""
+with {_IN_TIME}
+select user_id, row_number() over (partition by user_id order by t, case when event_type = 'purchase' then 0 else 1 end, event_id) - 1 as pos, case when event_type = 'purchase' then 0 else 1 end::bigint as src, event_id from e""")
+def stream_merge_sorted(spark, sf):
+    """Purchases and all other events, two streams, as one in the order of time, let go by the watermark."""
+    from millrace import streaming
+
+    whole = _replayed(spark, sf)
+    found = streaming.merged_sorted(whole.where("event_type = 'purchase'"), whole.where("event_type <> 'purchase'"), ["user_id"], "event_id", "ts", "1 second", "event_id")
+    return streaming.played(found, "merged").where("user_id >= 0").select("user_id", "pos", big("src").alias("src"), "event_id")

@@ -5,6 +5,11 @@ event time: a step sorts what a micro-batch brings for a key, and keeps state be
 batches. Rows that come in a later batch with an earlier time go after what was emitted.
 Operators on single elements are the DataFrame's own; rates are set at sources
 (rowsPerSecond, maxFilesPerTrigger, maxOffsetsPerTrigger).
+
+What ends with time (a group, a silence, a delay) is a timer of event time: it goes off when
+the watermark has passed it, so nothing that would change the result can still come, and a
+key's state ends with its last timer. Two streams meet as one of tagged rows, with the longer
+side's rows in the state.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ class _Stepper(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", StructType([StructField("bytes", BinaryType())]))
 
-    def handleInputRows(self, key: Any, rows: Iterator, timers: Any) -> Iterator:
+    def handleInputRows(self, key: Any, rows: Iterator, timerValues: Any) -> Iterator:
         import pickle
 
         import pandas as pd
@@ -57,6 +62,235 @@ def stepped(df: DataFrame, keys: list[str], order: list[str], columns: list[str]
     return df.select(*needed).groupBy(*keys).transformWithStateInPandas(_Stepper(keys, order, columns, names, initial, step), whole, "Append", "None")
 
 
+class _Timed(StatefulProcessor):
+    """As _Stepper, with a timer: a state is (due, own), and at due (milliseconds) expire(own, due) -> (state, rows); a state of None ends."""
+
+    def __init__(self, keys: list[str], order: list[str], columns: list[str], names: list[str], step: Callable, expire: Callable):
+        self.keys, self.order, self.columns, self.names, self.step, self.expire = keys, order, columns, names, step, expire
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", StructType([StructField("bytes", BinaryType())]))
+
+    def _held(self) -> tuple | None:
+        import pickle
+
+        return pickle.loads(self.state.get()[0]) if self.state.exists() else None
+
+    def _keep(self, before: tuple | None, state: tuple | None) -> None:
+        import pickle
+
+        was, due = (s[0] if s else None for s in (before, state))
+        if was != due:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if state is None:
+            self.state.clear()
+        else:
+            self.state.update((pickle.dumps(state),))
+
+    def _frame(self, key: Any, rows: list) -> Any:
+        import pandas as pd
+
+        return pd.DataFrame([(*key, *r) for r in rows], columns=[*self.keys, *self.names])
+
+    def handleInputRows(self, key: Any, rows: Iterator, timerValues: Any) -> Iterator:
+        import pandas as pd
+
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        before = state = self._held()
+        out: list = []
+        for r in batch[self.columns].itertuples(index=False, name=None):
+            state, emitted = self.step(state[1] if state else None, r)
+            out += emitted
+        self._keep(before, state)
+        yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator:
+        before, at = self._held(), expiredTimerInfo.getExpiryTimeInMs()
+        out: list = []
+        if before is not None and before[0] == at:
+            state, out = self.expire(before[1], timerValues.getCurrentWatermarkInMs())
+            self._keep(None if state is None or state[0] != at else before, state)
+        yield self._frame(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def timed(df: DataFrame, keys: list[str], order: list[str], ts: str, late: str, columns: list[str], schema: str, step: Callable, expire: Callable) -> DataFrame:
+    """What step(own state or None, row) -> ((due, own) or None, rows) emits for each row, and expire(own, watermark) -> the same where due has passed.
+
+    ts is the column of event time, of which rows come at most late after others; columns that
+    are times come as pandas has them. due is in milliseconds.
+    """
+    kinds = dict(df.dtypes)
+    names = StructType.fromDDL(schema).names
+    whole = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [schema])
+    needed = list(dict.fromkeys([*keys, *order, ts, *columns]))
+    return df.withWatermark(ts, late).select(*needed).groupBy(*keys).transformWithStateInPandas(_Timed(keys, order, columns, names, step, expire), whole, "Append", "EventTime")
+
+
+def _micros(t: Any) -> int:
+    return t.value // 1000
+
+
+def grouped_within(df: DataFrame, keys: list[str], order: list[str], ts: str, late: str, value: str, most: int, micros: int, name: str = "group") -> DataFrame:
+    """Arrays of the key's values: a group ends with most values, or micros after its first, when the watermark has passed that or a later row comes."""
+    kind = dict(df.dtypes)[value]
+    due = lambda began: -(-(began + micros) // 1000)
+
+    def step(own, row):
+        n, began, held = own or (0, 0, [])
+        (t, v), out = row, []
+        t = _micros(t)
+        if held and t - began >= micros:
+            out.append((n, began, held))
+            n, held = n + 1, []
+        began, held = (began if held else t), [*held, v]
+        if len(held) == most:
+            out.append((n, began, held))
+            n, held = n + 1, []
+        return (due(began) if held else None, (n, began, held)), out
+
+    def expire(own, watermark):
+        n, began, held = own
+        return (None, (n + 1, began, [])), [(n, began, held)]  # the next group's number stays
+
+    return timed(df, keys, order, ts, late, [ts, value], f"group_id long, started long, `{name}` array<{kind}>", step, expire)
+
+
+def idle(df: DataFrame, keys: list[str], order: list[str], ts: str, late: str, micros: int) -> DataFrame:
+    """since and n for each silence of a key of micros or more: its last row's time (microseconds), and the rows since the silence before. A key's state ends with it."""
+
+    def step(own, row):
+        last, n = own or (None, 0)
+        t, out = _micros(row[0]), []
+        if n and t - last >= micros:
+            out, n = [(last, n)], 0
+        return (-(-(t + micros) // 1000), (t, n + 1)), out
+
+    def expire(own, watermark):
+        return None, [own]
+
+    return timed(df, keys, order, ts, late, [ts], "since long, n long", step, expire)
+
+
+def delay(df: DataFrame, keys: list[str], order: list[str], ts: str, late: str, micros: int, columns: list[str]) -> DataFrame:
+    """Each row of the key once the watermark has passed its time by micros, and left: when it does (microseconds), a row of the key after the other.
+
+    A row leaves micros after it came, or after the one before left.
+    """
+    kinds = dict(df.dtypes)
+
+    def step(own, row):
+        last, held = own or (None, [])
+        t = _micros(row[0])
+        left = max(t, last if last is not None else t) + micros
+        held = [*held, (*row[1:], left)]
+        return (-(-held[0][-1] // 1000), (left, held)), []
+
+    def expire(own, watermark):
+        last, held = own
+        n = sum(r[-1] <= watermark * 1000 for r in held) or 1
+        rest = held[n:]
+        return ((-(-rest[0][-1] // 1000), (last, rest)) if rest else None), held[:n]
+
+    return timed(df, keys, order, ts, late, [ts, *columns], ", ".join([f"`{c}` {kinds[c]}" for c in columns] + ["left long"]), step, expire)
+
+
+def tagged(left: DataFrame, right: DataFrame, keys: list[str], order: str, ts: str, value: str) -> DataFrame:
+    """Both streams' keys, order, ts and value (of the same kinds in both) as one, with src (0 or 1)."""
+    some = list(dict.fromkeys([*keys, order, ts, value]))
+    return left.select(*some, F.lit(0).alias("src")).unionByName(right.select(*some, F.lit(1).alias("src")))
+
+
+def zipped(left: DataFrame, right: DataFrame, keys: list[str], order: str, ts: str, value: str) -> DataFrame:
+    """pos and the values left and right of the same position of the key's rows in both; what one has more waits in the state."""
+    kind = dict(left.dtypes)[value]
+
+    def step(own, row):
+        n, waiting = own
+        src, v = row
+        waiting = [list(w) for w in waiting]
+        waiting[src].append(v)
+        if waiting[0] and waiting[1]:
+            return (n + 1, [w[1:] for w in waiting]), [(n, waiting[0][0], waiting[1][0])]
+        return (n, waiting), []
+
+    whole = tagged(left, right, keys, order, ts, value)
+    return stepped(whole, keys, [order], ["src", value], f"pos long, `left` {kind}, `right` {kind}", (0, [[], []]), step)
+
+
+def interleaved(left: DataFrame, right: DataFrame, keys: list[str], order: str, ts: str, value: str, segment: int = 1) -> DataFrame:
+    """pos, src and value of segment rows of each side in turn; what comes before its turn waits in the state."""
+    kind = dict(left.dtypes)[value]
+
+    def step(own, row):
+        n, waiting = own
+        src, v = row
+        waiting, out = [list(w) for w in waiting], []
+        waiting[src].append(v)
+        while waiting[turn := n // segment % 2]:
+            out.append((n, turn, waiting[turn].pop(0)))
+            n += 1
+        return (n, waiting), out
+
+    whole = tagged(left, right, keys, order, ts, value)
+    return stepped(whole, keys, [order], ["src", value], f"pos long, src int, `{value}` {kind}", (0, [[], []]), step)
+
+
+def merged_sorted(left: DataFrame, right: DataFrame, keys: list[str], order: str, ts: str, late: str, value: str) -> DataFrame:
+    """pos, src and value of the key's rows of both by ts, then side, then order: each is let go when the watermark has passed its ts."""
+    kind = dict(left.dtypes)[value]
+    due = lambda held: min(h[0] for h in held) // 1000 + 1
+
+    def step(own, row):
+        n, held = own or (0, [])
+        t, src, place, v = row
+        held = [*held, (_micros(t), int(src), place, v)]
+        return (due(held), (n, held)), []
+
+    def expire(own, watermark):
+        n, held = own
+        held = sorted(held)
+        k = sum(h[0] < watermark * 1000 for h in held)
+        out = [(n + i, h[1], h[3]) for i, h in enumerate(held[:k])]
+        rest = held[k:]
+        return (due(rest) if rest else None, (n + k, rest)), out
+
+    whole = tagged(left, right, keys, order, ts, value)
+    return timed(whole, keys, [ts, "src", order], ts, late, [ts, "src", order, value], f"pos long, src int, `{value}` {kind}", step, expire)
+
+
+def replayed(df: DataFrame, ts: str, batches: int, path: str) -> DataFrame:
+    """df as a stream of so many micro-batches, by ranges of ts: files, written to path, one for each batch."""
+    spark = df.sparkSession
+    bounds = [r[0] for r in df.select(F.explode(F.percentile_approx(ts, [i / batches for i in range(1, batches)])).alias("b")).collect()] if batches > 1 else []
+    edges = [None, *sorted(set(bounds)), None]
+    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        where = (F.lit(True) if a is None else F.col(ts) > a) & (F.lit(True) if b is None else F.col(ts) <= b)
+        df.where(where).coalesce(1).write.parquet(f"{path}/batch={i:04d}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+
+
+def played(df: DataFrame, name: str, timeout_s: int = 600) -> DataFrame:
+    """What a stream comes to when all that is there has been processed, as a table in the shared folder."""
+    from millrace.session import shared_path
+
+    spark = df.sparkSession
+    held = spark.conf.get(ROCKSDB[0], None)
+    spark.conf.set(*ROCKSDB)
+    try:
+        out = shared_path(spark, name)
+        finished(df.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True).start(), timeout_s)
+        return spark.read.schema(df.schema).parquet(out)
+    finally:
+        spark.conf.unset(ROCKSDB[0]) if held is None else spark.conf.set(ROCKSDB[0], held)
+
+
 def _with(df: DataFrame, columns: list[str], extra: str = "") -> str:
     kinds = dict(df.dtypes)
     return ", ".join([f"`{c}` {kinds[c]}" for c in columns] + ([extra] if extra else []))

@@ -80,3 +80,53 @@ def test_tee(spark, batches, tmp_path):
     query.stop()
     n = sum(map(len, by_user.values()))
     assert sum(seen) == n == spark.read.parquet(str(tmp_path / "teed")).count()
+
+
+@pytest.fixture
+def timed_batches(spark, tmp_path):
+    """A stream of rows (k, id, ts) in micro-batches of given times in seconds, key by key."""
+
+    def make(*batches):
+        schema = "k long, id long, ts timestamp"
+        for i, rows in enumerate(batches):
+            df = spark.createDataFrame([(k, j) for j, k in rows], "k long, s long").select("k", F.col("s").alias("id"), F.timestamp_seconds("s").alias("ts"))
+            df.coalesce(1).write.parquet(str(tmp_path / f"t{i}"))
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "t*"))
+
+    spark.conf.set(*streaming.ROCKSDB)
+    yield make
+    spark.conf.unset(streaming.ROCKSDB[0])
+
+
+SECOND = 1_000_000
+
+
+def test_a_timer_closes_a_group_without_a_further_row(spark, timed_batches, tmp_path):
+    """Key 1 has no row after the second batch: the watermark of key 2's rows closes its group."""
+    stream = timed_batches([(100, 1), (101, 1), (102, 2)], [(104, 1), (105, 2)], [(200, 2)], [(300, 2)])
+    got = run(spark, streaming.grouped_within(stream, ["k"], ["ts"], "ts", "1 second", "id", 10, 4 * SECOND), tmp_path, "within")
+    found = sorted((r.k, r.group_id, r.started // SECOND, list(r.group)) for r in got)
+    assert found == [(1, 0, 100, [100, 101]), (1, 1, 104, [104]), (2, 0, 102, [102, 105]), (2, 1, 200, [200])]
+
+
+def test_idle_keys_end_and_begin_again(spark, timed_batches, tmp_path):
+    stream = timed_batches([(10, 1), (12, 1), (12, 2)], [(50, 2)], [(60, 1), (100, 2)], [(200, 3)])
+    got = run(spark, streaming.idle(stream, ["k"], ["ts"], "ts", "1 second", 20 * SECOND), tmp_path, "silent")
+    assert sorted((r.k, r.since // SECOND, r.n) for r in got) == [(1, 12, 2), (1, 60, 1), (2, 12, 1), (2, 50, 1), (2, 100, 1)]
+
+
+def test_delayed_rows_wait_for_their_time(spark, timed_batches, tmp_path):
+    stream = timed_batches([(10, 1), (11, 1)], [(40, 2)], [(41, 1), (100, 2)])
+    got = run(spark, streaming.delay(stream, ["k"], ["ts"], "ts", "1 second", 5 * SECOND, ["id"]), tmp_path, "late")
+    assert sorted((r.k, r.id, r.left // SECOND) for r in got) == [(1, 10, 15), (1, 11, 20), (1, 41, 46), (2, 40, 45)]  # 100 leaves after all that is known
+
+
+def test_two_streams(spark, timed_batches, tmp_path):
+    whole = timed_batches([(1, 1), (2, 1), (4, 1)], [(7, 1), (8, 1)], [(10, 1), (13, 1), (900, 2)], [(901, 2)])
+    odd, even = whole.where("k = 2 or id % 2 = 1"), whole.where("k < 2 and id % 2 = 0")
+    got = run(spark, streaming.zipped(odd, even, ["k"], "id", "ts", "id"), tmp_path, "zip2")
+    assert sorted((r.k, r.pos, r.left, r.right) for r in got) == [(1, 0, 1, 2), (1, 1, 7, 4), (1, 2, 13, 8)]
+    got = run(spark, streaming.interleaved(odd, even, ["k"], "id", "ts", "id"), tmp_path, "turns")
+    assert [(r.pos, r.src, r.id) for r in sorted(got, key=lambda r: r.pos) if r.k == 1] == [(0, 0, 1), (1, 1, 2), (2, 0, 7), (3, 1, 4), (4, 0, 13), (5, 1, 8)]
+    got = run(spark, streaming.merged_sorted(odd, even, ["k"], "id", "ts", "1 second", "id"), tmp_path, "merge2")
+    assert [(r.pos, r.id) for r in sorted(got, key=lambda r: r.pos) if r.k == 1] == list(enumerate([1, 2, 4, 7, 8, 10, 13]))
