@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace import positions
+from millrace.placed import Placed
 from millrace.positions import PLACE, POS, free, fresh
 
 if TYPE_CHECKING:
@@ -88,5 +89,9 @@ class FanIn:
         sides = [positions.with_positions(f).select(POS, F.struct(*(F.col(c) for c in f.df.columns)).alias(n)) for f, n in zip(frames, names, strict=True)]
         return type(self)(functools.reduce(lambda a, b: a.join(b, POS), sides).withColumnRenamed(POS, PLACE), (PLACE,))
 
+    def placed(self, buckets: int | None = None) -> Placed:
+        """The frame, kept with its positions: zips of such frames move no row."""
+        return Placed(self, buckets)
+
     #: n-ary zips into tuples, lists of different types and products with named fields.
     fan_in_to_tuple = fan_in_to_product = zip

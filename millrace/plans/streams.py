@@ -240,6 +240,17 @@ def file_text_in_ranges(spark, sf):
     return text.digest(F.col("value"), "md5", "md5").select(F.lit(n).cast("long").alias("n_bytes"), "md5")
 
 
+@query("""
+with e as (select row_number() over (order by event_id) - 1 as pos, event_id from events), o as (select row_number() over (order by o_orderkey) - 1 as pos, o_orderkey from orders), r as (select row_number() over (order by event_id desc) - 1 as pos, event_id as back from events)
+select pos, event_id, o_orderkey, back from e join o using (pos) join r using (pos)""")
+def zip_of_placed(spark, sf):
+    """Events, orders and events from the last to the first side by side, of frames kept with their positions."""
+    e, o = events(spark, sf).map().placed(), orders(spark, sf).map().placed()
+    last = events(spark, sf).map(back=F.col("event_id"))
+    r = last.within(last.df.select((-F.col("event_id")).alias("k"), "back"), ("k",)).placed()
+    return e.zip(o, r).df.select("pos", "_1.event_id", "_2.o_orderkey", "_3.back")
+
+
 # replayed in micro-batches
 
 

@@ -48,9 +48,14 @@ def _ranges(frame: OrderedFrame) -> int:
 
     A frame is counted once: what is made of it has no more rows, so the number serves it too.
     """
+    return rows_of(frame) // CHUNK_ROWS + 1
+
+
+def rows_of(frame: OrderedFrame) -> int:
+    """How many rows frame has at most."""
     if frame.bound.known is None:
         frame.bound.n = frame.df.count()
-    return frame.bound.known // CHUNK_ROWS + 1
+    return frame.bound.known
 
 
 def with_positions(frame: OrderedFrame, ranges: int | None = None) -> DataFrame:

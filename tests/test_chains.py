@@ -177,3 +177,16 @@ def test_flatten_within_streams(spark):
     assert paths(f.with_columns(w=-F.col("value")).flatten_sorted("w")) == [list(range(8))[::-1], list(range(8, 14))[::-1]]
     twice = f.flatten_round_robin().flatten_round_robin()
     assert twice.order == ("turn_2", "group_id") and [r.value for r in twice.sorted().collect()] == [0, 8, 1, 9, 2, 10, 3, 11, 4, 12, 5, 13, 6, 7]
+
+
+def test_zips_of_placed_frames_move_nothing(spark):
+    a, b = values.longs(spark, 0, count=30).drop(3).placed(), values.longs(spark, 100, count=20).placed()
+    zipped = a.zip(b, a)
+    plan = spark._jvm.PythonSQLUtils.explainString(zipped.df._jdf.queryExecution(), "simple")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    got = [(r.pos, r._1.value, r._2.value, r._3.value) for r in zipped.sorted().collect()]
+    assert got == [(i, i + 3, 100 + i, i + 3) for i in range(20)]
+    assert zipped.order == ("pos",) and [r.value for r in a.frame().drop(1).sorted().collect()] == list(range(4, 30))
+    a.drop()
+    with pytest.raises(ValueError):
+        values.longs(spark, 0, count=4).inject_round_robin(2).placed()
