@@ -8,7 +8,7 @@ first ts.
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import TYPE_CHECKING
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -125,6 +125,26 @@ class Timed:
         out = self.expand(step, ts, name)
         return out.with_df(out.df.withColumn("extrapolated", extrapolate(F.floor((F.col(name) - micros(ts)) / step))))
 
+    def expand_from(self, zero: Any, step: int, ts: str, start: int, value: Column, extrapolate: Callable[[Column, Column], Column], name: str = "at", out: str = "extrapolated") -> OrderedFrame:
+        """name and out: extrapolate(value, n) of each row, n times a step after it until the next comes; before the first, from start on, of zero.
+
+        For a stream without keys; of an empty one there is what zero gives at start.
+        """
+        if self.by:
+            raise ValueError("for a stream without keys")
+        at_least("step", step, 1)
+        kind = self.df.select(value.alias("v")).schema["v"].dataType
+        whole = self.with_df(self.df.withColumn("_value", value)).expand(step, ts, name)
+        n = F.floor((F.col(name) - micros(ts)) / step)
+        # rows of one time have one step each: the order's own columns tell them apart
+        rows = whole.df.select(F.col(name), F.lit(True).alias("is_row"), F.struct(*self.order).alias("row_of"), extrapolate(F.col("_value"), n).alias(out))
+        first = F.coalesce(self.df.agg(F.min(micros(ts))).scalar(), F.lit(start + 1))
+        upto = F.greatest(F.lit(start).cast("long") - 1, first - 1)
+        times = F.when(upto >= start, F.sequence(F.lit(start).cast("long"), upto, F.lit(step).cast("long"))).otherwise(F.array().cast("array<long>"))
+        none = F.lit(None).cast(rows.schema["row_of"].dataType)
+        before = self.spark.range(1).select(F.explode(times).alias(name)).select(name, F.lit(False).alias("is_row"), none.alias("row_of"), extrapolate(F.lit(zero).cast(kind), F.floor((F.col(name) - start) / step)).alias(out))
+        return self.within(before.unionByName(rows), (name, "is_row", "row_of")).grown()
+
     def buffer_dropping(self, size: int, ts: str, demand_micros: int, strategy: str = DROP_HEAD) -> OrderedFrame:
         """The rows that a buffer of size elements has left for a consumer that empties it once in each demand_micros.
 

@@ -251,6 +251,21 @@ def zip_of_placed(spark, sf):
     return e.zip(o, r).df.select("pos", "_1.event_id", "_2.o_orderkey", "_3.back")
 
 
+_FIRST = 1_704_067_200_000_000 - 30 * HOUR
+
+
+@query(f"""
+with e as (select epoch_us(ts) as t, {CENTS} as cents, lead(epoch_us(ts)) over (order by event_id) as later from events),
+z as (select {_FIRST} as t, -500 as cents, (select min(t) from e) as later),
+a as (select * from e union all select * from z)
+select (t + i * {HOUR})::bigint as at, (cents + 10 * i)::bigint as extrapolated from a, lateral (select unnest(range(0, greatest(1, (coalesce(later, t + 1) - t + {HOUR - 1}) // {HOUR}))) as i)""")
+def expand_from_zero(spark, sf):
+    """Hour by hour until the next event each event's value and ten cents more, and from thirty hours before the month on what is made of a zero."""
+    f = events(spark, sf).map(ts=F.col("ts"), cents=cents("value"))
+    found = f.expand_from(-500, HOUR, "ts", _FIRST, F.col("cents"), lambda v, n: v + 10 * n)
+    return found.df.select("at", F.col("extrapolated").cast("long").alias("extrapolated"))
+
+
 # replayed in micro-batches
 
 

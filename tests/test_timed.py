@@ -108,3 +108,14 @@ def test_buffer_dropping(spark):
         kept("Fail")
     with pytest.raises(ValueError):
         kept("DropAll")
+
+
+def test_expand_from_a_zero(spark):
+    from millrace.frame import OrderedFrame
+
+    df = spark.createDataFrame([(1, 10_000_000, 5), (2, 13_500_000, 7), (3, 13_500_000, 8)], "k long, t long, x long").select("k", F.timestamp_micros("t").alias("ts"), "x")
+    more = lambda f: [(r["at"] // 1_000_000, r.extrapolated) for r in f.expand_from(0, 1_000_000, "ts", 7_000_000, F.col("x"), lambda v, n: v * 100 + n).sorted().collect()]
+    f = OrderedFrame.of(df, "k")
+    assert more(f) == [(7, 0), (8, 1), (9, 2), (10, 500), (11, 501), (12, 502), (13, 503), (13, 700), (13, 800)]
+    assert more(f.drop_all()) == [(7, 0)]
+    assert more(f.drop(1)) == [*((7 + i, i) for i in range(7)), (13, 700), (13, 800)]
