@@ -29,7 +29,11 @@ class Slicing:
 
     def take(self, n: int) -> OrderedFrame:
         at_least("n", n)
-        return self._ranked(n, False) if self.by else self.with_df(self.df.orderBy(*self.order).limit(n))
+        if self.by:
+            return self._ranked(n, False)
+        if n > positions.CHUNK_ROWS:  # more than one task is to hold
+            return self._positioned(F.col(POS) < n)
+        return self.with_df(self.df.orderBy(*self.order).limit(n))
 
     def first(self) -> OrderedFrame:
         return self.take(1)
@@ -45,7 +49,12 @@ class Slicing:
         """The last n, none for n <= 0."""
         if n <= 0:
             return self.drop_all()
-        return self._ranked(n, True) if self.by else self.with_df(self.df.orderBy(*(F.col(c).desc() for c in self.order)).limit(n))
+        if self.by:
+            return self._ranked(n, True)
+        if n > positions.CHUNK_ROWS:
+            df = positions.with_positions(self).withColumn("_n", self.df.agg(F.count("*")).scalar())
+            return self.with_df(df.where(F.col(POS) >= F.col("_n") - n).drop(POS, "_n"))
+        return self.with_df(self.df.orderBy(*(F.col(c).desc() for c in self.order)).limit(n))
 
     def last(self) -> OrderedFrame:
         return self.take_last(1)

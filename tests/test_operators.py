@@ -42,6 +42,7 @@ def test_slices(spark, chunks, n):
     f = frame(spark, xs)
     assert out(f.take(4)) == xs[:4]
     assert out(f.take(0)) == []
+    assert out(f.take(9)) == xs[:9] and out(f.take_last(9)) == xs[-9:]  # of many chunks: more than one holds
     assert out(f.drop(4)) == xs[4:]
     assert out(f.drop_last(3)) == xs[: max(0, n - 3)]
     assert out(f.take_last(3)) == (xs[-3:] if n else [])
