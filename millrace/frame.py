@@ -55,9 +55,9 @@ class OrderedFrame(Elements, Slicing, Groups, Folds, FanIn, FanOut, Timed, Recov
     def __post_init__(self) -> None:
         if self.levels is None:
             object.__setattr__(self, "levels", (len(self.by),) if self.by else ())
-        twice = sorted({c for c in (*self.order, *self.by) if (*self.order, *self.by).count(c) > 1})
+        twice = sorted({c for names in (self.order, self.by) for c in names if names.count(c) > 1})
         if twice or sum(self.levels) != len(self.by):
-            raise ValueError(f"columns {twice} are in order and keys twice" if twice else "levels don't fit the keys")
+            raise ValueError(f"columns {twice} are in the order or the keys twice" if twice else "levels don't fit the keys")
 
     @classmethod
     def of(cls, df: DataFrame, order: str | Sequence[str], by: str | Sequence[str] = ()) -> OrderedFrame:
@@ -87,7 +87,7 @@ class OrderedFrame(Elements, Slicing, Groups, Folds, FanIn, FanOut, Timed, Recov
 
     def sub_streams(self, *by: str) -> OrderedFrame:
         """The same rows as a stream for each value of by."""
-        return replace(self, by=by, order=tuple(c for c in self.order if c not in by) or self.order, levels=None)
+        return replace(self, by=by, levels=None)
 
     def within(self, df: DataFrame, order: tuple[str, ...]) -> OrderedFrame:
         """df in another order, in the same streams."""
@@ -104,7 +104,7 @@ class OrderedFrame(Elements, Slicing, Groups, Folds, FanIn, FanOut, Timed, Recov
 
     def joined(self, df: DataFrame, order: tuple[str, ...]) -> OrderedFrame:
         """df with the sub-streams of the innermost level as one stream each."""
-        return replace(self, df=df, order=order, by=self.by[: len(self.by) - len(self.innermost)], levels=self.levels[:-1], bound=Bound(self.bound))
+        return replace(self, df=df, order=tuple(dict.fromkeys(order)), by=self.by[: len(self.by) - len(self.innermost)], levels=self.levels[:-1], bound=Bound(self.bound))
 
     def settled(self) -> OrderedFrame:
         """The frame with its rows computed once. For long chains: positions look at a frame's rows before its plan is made."""
