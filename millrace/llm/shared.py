@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.session import ready, table
+from millrace.session import ready, shared_path, table
 
 __all__ = ["ready", "scratch", "shared_path", "stash", "table"]
 
@@ -19,27 +16,6 @@ __all__ = ["ready", "scratch", "shared_path", "stash", "table"]
 _SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The folder is the session's spark.checkpoint.dir. Where that is unset and the session
-    runs in one process, as in tests, a temporary folder is set for the session's life; on
-    a cluster a folder of one machine would lose rows, so there it must be set. What is
-    written there goes when the session ends, if not before.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_millrace_shared", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = sc._millrace_shared = tempfile.mkdtemp(prefix="millrace-")
-        sc.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 def stash(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
