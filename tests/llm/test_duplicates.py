@@ -314,3 +314,21 @@ def test_a_text_that_changes_between_readings(spark):
     docs = spark.range(50).select("id", anew("id").alias("text")).select(F.lit(1).cast("long").alias("doc_id"), "text")
     with pytest.raises(PySparkException, match="differ between two readings"):
         neardup.deduplicate(docs).collect()
+
+
+def test_a_family_around_one_text(spark):
+    """3,000 texts, each alike to one text and to none of the others: a node with as many links, in one class with them."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)]
+    for i in range(3000):
+        own = list(base)
+        own[rng.randint(5, 54)] = f"x{i}"
+        texts.append(" ".join(own))
+    rest = [" ".join(f"y{i}_{j}" for j in range(60)) for i in range(200)]
+    rows = list(enumerate([*texts[1:], *rest, texts[0]]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    assert len({got[i] for i in [*range(3000), 3200]}) == 1
+    assert len({got[i] for i in range(3000, 3200)}) == 200
+    assert neardup.deduplicate(df).count() == 201
