@@ -227,6 +227,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
             first = (batch.column(2)[0].as_py() << 33) + n_rows if len(raw) else 0
             n_rows += len(raw)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(raw), dtype=np.int64)), batch.column(0), pa.array(content, pa.binary()), pa.array(n, pa.int32()), lists, pa.array(shingles, pa.binary())], ["row", "doc_id", "content", "n", "bands", "shingles"])
+            pa.default_memory_pool().release_unused()  # the worker stays, and its memory counts
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.spark_partition_id().cast("long"))
     return plain.mapInArrow(sketch, "row long, doc_id long, content binary, n int, bands array<long>, shingles binary")
