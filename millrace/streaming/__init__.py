@@ -14,127 +14,192 @@ side's rows in the state.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegralType, StructField, StructType
 
 #: The state store that transformWithState needs.
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
+#: Values of the state store that hold all keys' states.
+BUCKETS = 4096
+#: The column of event time in microseconds.
+AT = "_at"
 
-class _Stepper(StatefulProcessor):
-    """Steps each key's rows in order through step(state, row) -> (state, rows), with the state kept as bytes."""
 
-    def __init__(self, keys: list[str], order: list[str], columns: list[str], names: list[str], initial: Any, step: Callable):
-        self.keys, self.order, self.columns, self.names, self.initial, self.step = keys, order, columns, names, initial, step
+class _Buckets(StatefulProcessor):
+    """Steps the rows of a bucket of keys in order, with the states of all its keys kept as one value.
+
+    A call of the state store costs milliseconds, whatever it carries, and a key's rows of a
+    micro-batch are few: so a bucket's keys share their calls.
+    """
+
+    def __init__(self, keys: list[str], kinds: dict[str, str], order: list[str], columns: list[str], names: list[str], step: Callable):
+        self.keys, self.kinds, self.order, self.columns, self.names, self.step = keys, kinds, order, columns, names, step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", StructType([StructField("bytes", BinaryType())]))
 
-    def handleInputRows(self, key: Any, rows: Iterator, timerValues: Any) -> Iterator:
+    def _held(self, empty: Any) -> Any:
+        import pickle
+
+        return pickle.loads(self.state.get()[0]) if self.state.exists() else empty
+
+    def _keep(self, held: Any) -> None:
         import pickle
 
+        self.state.update((pickle.dumps(held, protocol=pickle.HIGHEST_PROTOCOL),))
+
+    def _rows(self, rows: Iterator) -> Iterator[tuple[tuple, tuple]]:
+        """The key and the columns of each row, in order."""
         import pandas as pd
 
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.initial
-        out = []
-        for r in batch[self.columns].itertuples(index=False, name=None):
-            state, emitted = self.step(state, r)
-            out += [(*key, *e) for e in emitted]
-        self.state.update((pickle.dumps(state),))
-        yield pd.DataFrame(out, columns=[*self.keys, *self.names])
+        batch = pd.concat(list(rows))
+        named = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*self.keys, *self.order, *self.columns]))}
+        null = {c: f"null_{x}" for c, x in named.items() if f"null_{x}" in batch}
+        batch = batch.sort_values([x for c in self.order for x in (*([null[c]] if c in null else []), named[c])], kind="stable")
+
+        def values(c: str) -> list:
+            found = batch[named[c]].tolist()
+            if c in null and (none := batch[null[c]].to_numpy(bool)).any():
+                found = [None if n else v for v, n in zip(found, none, strict=True)]
+            return found
+
+        of = {c: values(c) for c in dict.fromkeys([*self.keys, *self.columns])}
+        # NaN is one key, as for Spark
+        keys = [["NaN" if v != v else v for v in of[k]] if self.kinds[k] in ("float", "double") else of[k] for k in self.keys]
+        return zip(zip(*keys, strict=True), zip(*(of[c] for c in self.columns), strict=True) if self.columns else ((),) * len(batch), strict=True)
+
+    def _frame(self, rows: list) -> Any:
+        import pandas as pd
+
+        made = pd.DataFrame(rows, columns=[*self.keys, *self.names], dtype=object)
+        for k in self.keys:
+            if self.kinds[k] in ("float", "double"):
+                made[k] = [float("nan") if v == "NaN" else v for v in made[k]]
+        return made
 
     def close(self) -> None:
         pass
 
 
-def stepped(df: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: str, initial: Any, step: Callable[[Any, tuple], tuple[Any, list[tuple]]]) -> DataFrame:
-    """The keys and what step(state, row) -> (state, rows of schema) emits for each row (a tuple of columns), key by key in order."""
-    kinds = dict(df.dtypes)
-    names = StructType.fromDDL(schema).names
-    whole = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [schema])
-    needed = list(dict.fromkeys([*keys, *order, *columns]))
-    return df.select(*needed).groupBy(*keys).transformWithStateInPandas(_Stepper(keys, order, columns, names, initial, step), whole, "Append", "None")
+class _Stepper(_Buckets):
+    """step(state, row) -> (state, rows) for each key, from initial."""
 
+    def __init__(self, *shape: Any, initial: Any):
+        super().__init__(*shape)
+        self.initial = initial
 
-class _Timed(StatefulProcessor):
-    """As _Stepper, with a timer: a state is (due, own), and at due (milliseconds) expire(own, due) -> (state, rows); a state of None ends."""
+    def handleInputRows(self, key: Any, rows: Iterator, timerValues: Any) -> Iterator:
+        import pickle
 
-    def __init__(self, keys: list[str], order: list[str], columns: list[str], names: list[str], step: Callable, expire: Callable):
-        self.keys, self.order, self.columns, self.names, self.step, self.expire = keys, order, columns, names, step, expire
+        held, first, out = self._held({}), pickle.dumps(self.initial), []
+        for k, r in self._rows(rows):
+            state, emitted = self.step(held[k] if k in held else pickle.loads(first), r)  # a step may change its state in place
+            held[k] = state
+            out += [(*k, *e) for e in emitted]
+        self._keep(held)
+        yield self._frame(out)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", StructType([StructField("bytes", BinaryType())]))
 
-    def _held(self) -> tuple | None:
-        import pickle
+def _bucketed(df: DataFrame, keys: list[str], order: list[str], columns: list[str], buckets: int) -> Any:
+    """df's needed columns, as c0, c1 and so on, by buckets of keys.
 
-        return pickle.loads(self.state.get()[0]) if self.state.exists() else None
+    Beside whole numbers and keys that may be null stands whether they are: pandas would make
+    such numbers doubles. It would also change names that aren't Python's.
+    """
+    fields, out = {f.name: f for f in df.schema.fields}, []
+    for i, c in enumerate(dict.fromkeys([*keys, *order, *columns])):
+        number = isinstance(fields[c].dataType, IntegralType)
+        flagged = fields[c].nullable and (number or c in keys)
+        out.append((F.coalesce(F.col(c), F.lit(0).cast(fields[c].dataType)) if flagged and number else F.col(c)).alias(f"c{i}"))
+        if flagged:
+            out.append(F.col(c).isNull().alias(f"null_c{i}"))
+    return df.select(*out, F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")).groupBy("bucket")
 
-    def _keep(self, before: tuple | None, state: tuple | None) -> None:
-        import pickle
 
-        was, due = (s[0] if s else None for s in (before, state))
+def stepped(df: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: str, initial: Any, step: Callable[[Any, tuple], tuple[Any, list[tuple]]], buckets: int = BUCKETS) -> DataFrame:
+    """The keys and what step(state, row) -> (state, rows of schema) emits for each row (a tuple of columns), key by key in order.
+
+    buckets: how many values of the state store hold the keys' states; it can't change while a stream's checkpoint is used.
+    """
+    kinds = dict(df.dtypes)
+    names = StructType.fromDDL(schema).names
+    whole = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [schema])
+    return _bucketed(df, keys, order, columns, buckets).transformWithStateInPandas(_Stepper(keys, kinds, order, columns, names, step, initial=initial), whole, "Append", "None")
+
+
+class _Timed(_Buckets):
+    """As _Stepper, with timers: a key's state is (due, own), and at due (milliseconds) expire(own, watermark) -> (state, rows); a state of None ends.
+
+    A bucket has one timer, for the first of its keys that is due; all that are due go with it.
+    """
+
+    def __init__(self, *shape: Any, expire: Callable):
+        super().__init__(*shape)
+        self.expire = expire
+
+    def _put(self, was: int | None, held: dict) -> None:
+        due = min((s[0] for s in held.values() if s[0] is not None), default=None)
         if was != due:
             if was is not None:
                 self.handle.deleteTimer(was)
             if due is not None:
                 self.handle.registerTimer(due)
-        if state is None:
-            self.state.clear()
+        if held:
+            self._keep((due, held))
         else:
-            self.state.update((pickle.dumps(state),))
-
-    def _frame(self, key: Any, rows: list) -> Any:
-        import pandas as pd
-
-        return pd.DataFrame([(*key, *r) for r in rows], columns=[*self.keys, *self.names])
+            self.state.clear()
 
     def handleInputRows(self, key: Any, rows: Iterator, timerValues: Any) -> Iterator:
-        import pandas as pd
-
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        before = state = self._held()
+        was, held = self._held((None, {}))
         out: list = []
-        for r in batch[self.columns].itertuples(index=False, name=None):
+        for k, r in self._rows(rows):
+            state = held.get(k)
             state, emitted = self.step(state[1] if state else None, r)
-            out += emitted
-        self._keep(before, state)
-        yield self._frame(key, out)
+            if state is None:
+                held.pop(k, None)
+            else:
+                held[k] = state
+            out += [(*k, *e) for e in emitted]
+        self._put(was, held)
+        yield self._frame(out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator:
-        before, at = self._held(), expiredTimerInfo.getExpiryTimeInMs()
+        (was, held), at = self._held((None, {})), expiredTimerInfo.getExpiryTimeInMs()
         out: list = []
-        if before is not None and before[0] == at:
-            state, out = self.expire(before[1], timerValues.getCurrentWatermarkInMs())
-            self._keep(None if state is None or state[0] != at else before, state)
-        yield self._frame(key, out)
-
-    def close(self) -> None:
-        pass
-
-
-def timed(df: DataFrame, keys: list[str], order: list[str], ts: str, late: str, columns: list[str], schema: str, step: Callable, expire: Callable) -> DataFrame:
+        if was == at:
+            watermark = timerValues.getCurrentWatermarkInMs()
+            for k in [k for k, s in held.items() if s[0] is not None and s[0] <= max(at, watermark)]:
+                state, emitted = self.expire(held.pop(k)[1], watermark)
+                if state is not None:
+                    held[k] = state
+                out += [(*k, *e) for e in emitted]
+            self._put(None, held)  # the timer that went off goes by itself
+        yield self._frame(out)
+
+
+def timed(df: DataFrame, keys: list[str], order: list[str], ts: str, late: str, columns: list[str], schema: str, step: Callable, expire: Callable, buckets: int = BUCKETS) -> DataFrame:
     """What step(own state or None, row) -> ((due, own) or None, rows) emits for each row, and expire(own, watermark) -> the same where due has passed.
 
-    ts is the column of event time, of which rows come at most late after others; columns that
-    are times come as pandas has them. due is in milliseconds.
+    ts is the column of event time, of which rows come at most late after others; a column AT has
+    it in microseconds, and columns that are times come as pandas has them. due is in milliseconds;
+    buckets is as in stepped().
     """
+    df = df.withWatermark(ts, late).withColumn(AT, F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(-(2**63) // 1000)))
     kinds = dict(df.dtypes)
     names = StructType.fromDDL(schema).names
     whole = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [schema])
-    needed = list(dict.fromkeys([*keys, *order, ts, *columns]))
-    return df.withWatermark(ts, late).select(*needed).groupBy(*keys).transformWithStateInPandas(_Timed(keys, order, columns, names, step, expire), whole, "Append", "EventTime")
-
-
-def _micros(t: Any) -> int:
-    return t.value // 1000
+    order = [AT if c == ts else c for c in order]
+    # ts goes along: by it Spark leaves out what comes too late
+    return _bucketed(df, keys, order, [*columns, ts], buckets).transformWithStateInPandas(_Timed(keys, kinds, order, columns, names, step, expire=expire), whole, "Append", "EventTime")
 
 
 def grouped_within(df: DataFrame, keys: list[str], order: list[str], ts: str, late: str, value: str, most: int, micros: int, name: str = "group") -> DataFrame:
@@ -145,11 +210,11 @@ def grouped_within(df: DataFrame, keys: list[str], order: list[str], ts: str, la
     def step(own, row):
         n, began, held = own or (0, 0, [])
         (t, v), out = row, []
-        t = _micros(t)
         if held and t - began >= micros:
             out.append((n, began, held))
             n, held = n + 1, []
-        began, held = (began if held else t), [*held, v]
+        began = began if held else t
+        held.append(v)
         if len(held) == most:
             out.append((n, began, held))
             n, held = n + 1, []
@@ -159,7 +224,7 @@ def grouped_within(df: DataFrame, keys: list[str], order: list[str], ts: str, la
         n, began, held = own
         return (None, (n + 1, began, [])), [(n, began, held)]  # the next group's number stays
 
-    return timed(df, keys, order, ts, late, [ts, value], f"group_id long, started long, `{name}` array<{kind}>", step, expire)
+    return timed(df, keys, order, ts, late, [AT, value], f"group_id long, started long, `{name}` array<{kind}>", step, expire)
 
 
 def idle(df: DataFrame, keys: list[str], order: list[str], ts: str, late: str, micros: int) -> DataFrame:
@@ -167,7 +232,7 @@ def idle(df: DataFrame, keys: list[str], order: list[str], ts: str, late: str, m
 
     def step(own, row):
         last, n = own or (None, 0)
-        t, out = _micros(row[0]), []
+        t, out = row[0], []
         if n and t - last >= micros:
             out, n = [(last, n)], 0
         return (-(-(t + micros) // 1000), (t, n + 1)), out
@@ -175,7 +240,7 @@ def idle(df: DataFrame, keys: list[str], order: list[str], ts: str, late: str, m
     def expire(own, watermark):
         return None, [own]
 
-    return timed(df, keys, order, ts, late, [ts], "since long, n long", step, expire)
+    return timed(df, keys, order, ts, late, [AT], "since long, n long", step, expire)
 
 
 def delay(df: DataFrame, keys: list[str], order: list[str], ts: str, late: str, micros: int, columns: list[str]) -> DataFrame:
@@ -187,18 +252,18 @@ def delay(df: DataFrame, keys: list[str], order: list[str], ts: str, late: str,
 
     def step(own, row):
         last, held = own or (None, [])
-        t = _micros(row[0])
+        t = row[0]
         left = max(t, last if last is not None else t) + micros
-        held = [*held, (*row[1:], left)]
+        held.append((*row[1:], left))
         return (-(-held[0][-1] // 1000), (left, held)), []
 
     def expire(own, watermark):
         last, held = own
-        n = sum(r[-1] <= watermark * 1000 for r in held) or 1
+        n = bisect_right(held, watermark * 1000, key=lambda r: r[-1]) or 1  # they leave one after the other
         rest = held[n:]
         return ((-(-rest[0][-1] // 1000), (last, rest)) if rest else None), held[:n]
 
-    return timed(df, keys, order, ts, late, [ts, *columns], ", ".join([f"`{c}` {kinds[c]}" for c in columns] + ["left long"]), step, expire)
+    return timed(df, keys, order, ts, late, [AT, *columns], ", ".join([f"`{c}` {kinds[c]}" for c in columns] + ["left long"]), step, expire)
 
 
 def tagged(left: DataFrame, right: DataFrame, keys: list[str], order: str, ts: str, value: str) -> DataFrame:
@@ -214,14 +279,13 @@ def zipped(left: DataFrame, right: DataFrame, keys: list[str], order: str, ts: s
     def step(own, row):
         n, waiting = own
         src, v = row
-        waiting = [list(w) for w in waiting]
         waiting[src].append(v)
         if waiting[0] and waiting[1]:
-            return (n + 1, [w[1:] for w in waiting]), [(n, waiting[0][0], waiting[1][0])]
-        return (n, waiting), []
+            return (n + 1, waiting), [(n, *(w.popleft() for w in waiting))]
+        return own, []
 
     whole = tagged(left, right, keys, order, ts, value)
-    return stepped(whole, keys, [order], ["src", value], f"pos long, `left` {kind}, `right` {kind}", (0, [[], []]), step)
+    return stepped(whole, keys, [order], ["src", value], f"pos long, `left` {kind}, `right` {kind}", (0, (deque(), deque())), step)
 
 
 def interleaved(left: DataFrame, right: DataFrame, keys: list[str], order: str, ts: str, value: str, segment: int = 1) -> DataFrame:
@@ -231,53 +295,64 @@ def interleaved(left: DataFrame, right: DataFrame, keys: list[str], order: str,
     def step(own, row):
         n, waiting = own
         src, v = row
-        waiting, out = [list(w) for w in waiting], []
+        out = []
         waiting[src].append(v)
         while waiting[turn := n // segment % 2]:
-            out.append((n, turn, waiting[turn].pop(0)))
+            out.append((n, turn, waiting[turn].popleft()))
             n += 1
         return (n, waiting), out
 
     whole = tagged(left, right, keys, order, ts, value)
-    return stepped(whole, keys, [order], ["src", value], f"pos long, src int, `{value}` {kind}", (0, [[], []]), step)
+    return stepped(whole, keys, [order], ["src", value], f"pos long, src int, `{value}` {kind}", (0, (deque(), deque())), step)
 
 
 def merged_sorted(left: DataFrame, right: DataFrame, keys: list[str], order: str, ts: str, late: str, value: str) -> DataFrame:
     """pos, src and value of the key's rows of both by ts, then side, then order: each is let go when the watermark has passed its ts."""
     kind = dict(left.dtypes)[value]
-    due = lambda held: min(h[0] for h in held) // 1000 + 1
+    due = lambda t: t // 1000 + 1
 
     def step(own, row):
-        n, held = own or (0, [])
-        t, src, place, v = row
-        held = [*held, (_micros(t), int(src), place, v)]
-        return (due(held), (n, held)), []
+        n, first, held = own or (0, row[0], [])
+        first = min(first, row[0])
+        held.append(row)
+        return (due(first), (n, first, held)), []
 
     def expire(own, watermark):
-        n, held = own
-        held = sorted(held)
-        k = sum(h[0] < watermark * 1000 for h in held)
+        n, _, held = own
+        held.sort()
+        k = bisect_left(held, watermark * 1000, key=lambda h: h[0])
         out = [(n + i, h[1], h[3]) for i, h in enumerate(held[:k])]
         rest = held[k:]
-        return (due(rest) if rest else None, (n + k, rest)), out
+        return (due(rest[0][0]), (n + k, rest[0][0], rest)) if rest else (None, (n + k, float("inf"), [])), out
 
     whole = tagged(left, right, keys, order, ts, value)
-    return timed(whole, keys, [ts, "src", order], ts, late, [ts, "src", order, value], f"pos long, src int, `{value}` {kind}", step, expire)
+    return timed(whole, keys, [ts, "src", order], ts, late, [AT, "src", order, value], f"pos long, src int, `{value}` {kind}", step, expire)
 
 
 def replayed(df: DataFrame, ts: str, batches: int, path: str) -> DataFrame:
-    """df as a stream of so many micro-batches, by ranges of ts: files, written to path, one for each batch."""
+    """df as a stream of so many micro-batches, by ranges of ts: files written to path, of each batch as many as fit CHUNK_ROWS rows a file."""
+    from millrace.positions import CHUNK_ROWS
+
     spark = df.sparkSession
-    bounds = [r[0] for r in df.select(F.explode(F.percentile_approx(ts, [i / batches for i in range(1, batches)])).alias("b")).collect()] if batches > 1 else []
-    edges = [None, *sorted(set(bounds)), None]
+    cuts = F.percentile_approx(ts, [i / batches for i in range(1, batches)]) if batches > 1 else F.array().cast("array<int>")
+    n, bounds = df.agg(F.count("*"), cuts).first()
+    files = max(1, -(-n // (batches * CHUNK_ROWS)))
+    edges = [None, *sorted(set(bounds or [])), None]
     for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         where = (F.lit(True) if a is None else F.col(ts) > a) & (F.lit(True) if b is None else F.col(ts) <= b)
-        df.where(where).coalesce(1).write.parquet(f"{path}/batch={i:04d}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
-
-
-def played(df: DataFrame, name: str, timeout_s: int = 600) -> DataFrame:
-    """What a stream comes to when all that is there has been processed, as a table in the shared folder."""
+        own, at = df.where(where), f"{path}/batch={i:04d}"
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.parquet(at)
+        if files > 1:
+            # a micro-batch takes as many files, so each batch must have them
+            folder = spark._jvm.org.apache.hadoop.fs.Path(at)
+            found = [x.getPath().getName() for x in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+            if (made := sum(x.startswith("part-") for x in found)) != files:
+                raise RuntimeError(f"{made} files of a batch, not {files}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path)
+
+
+def played(df: DataFrame, name: str, timeout_s: int | None = None) -> DataFrame:
+    """What a stream comes to when all that is there has been processed, as a table in the shared folder; however long that takes, unless timeout_s is given."""
     from millrace.session import shared_path
 
     spark = df.sparkSession
@@ -390,8 +465,11 @@ def tee(df: DataFrame, checkpoint: str, *drains: Callable[[DataFrame, int], Any]
     return df.writeStream.foreachBatch(all_of).option("checkpointLocation", checkpoint).start()
 
 
-def finished(query: StreamingQuery, timeout_s: int) -> None:
+def finished(query: StreamingQuery, timeout_s: int | None) -> None:
     """Waits for all that is there to be processed; an error if that takes longer (a completion timeout)."""
+    if timeout_s is None:
+        query.awaitTermination()
+        return
     if not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError(f"not complete after {timeout_s} s")

@@ -130,3 +130,45 @@ def test_two_streams(spark, timed_batches, tmp_path):
     assert [(r.pos, r.src, r.id) for r in sorted(got, key=lambda r: r.pos) if r.k == 1] == [(0, 0, 1), (1, 1, 2), (2, 0, 7), (3, 1, 4), (4, 0, 13), (5, 1, 8)]
     got = run(spark, streaming.merged_sorted(odd, even, ["k"], "id", "ts", "1 second", "id"), tmp_path, "merge2")
     assert [(r.pos, r.id) for r in sorted(got, key=lambda r: r.pos) if r.k == 1] == list(enumerate([1, 2, 4, 7, 8, 10, 13]))
+
+
+def test_keys_share_the_state_of_their_bucket(spark, timed_batches, tmp_path):
+    """All keys in one bucket: each keeps its own state, numbers and timers; null and large keys stay what they are."""
+    stream = timed_batches([(10, None), (11, 2**53 + 1), (12, 2**53)], [(13, None), (100, 2**53)], [(200, 7)], [(400, 7)])
+    got = run(spark, streaming.timed(stream, ["k"], ["ts"], "ts", "1 second", ["id"], "n long, ids array<long>", lambda own, r: ((20_000 + r[0] * 1000, [*(own or []), r[0]]), []), lambda own, w: (None, [(len(own), own)]), buckets=1), tmp_path, "one_bucket")
+    assert sorted((r.k or 0, r.n, list(r.ids)) for r in got) == [(0, 2, [10, 13]), (2**53, 2, [12, 100]), (2**53 + 1, 1, [11])]
+
+
+def test_waiting_rows_arent_copied_for_each_row():
+    """One side's rows all come before the other's: a step may not look at all that wait."""
+    import time
+
+    steps = {}
+
+    def taken(df, keys, order, columns, schema, initial, step):
+        steps["step"], steps["own"] = step, initial
+
+    held = streaming.stepped, streaming.tagged
+    streaming.stepped, streaming.tagged = taken, lambda *a: None
+    try:
+        streaming.zipped(type("S", (), {"dtypes": [("id", "bigint")]})(), None, ["k"], "id", "ts", "id")
+    finally:
+        streaming.stepped, streaming.tagged = held
+    began, own, out = time.process_time(), steps["own"], []
+    for src in (0, 1):
+        for i in range(100_000):
+            own, some = steps["step"](own, (src, i))
+            out += some
+    assert out == [(i, i, i) for i in range(100_000)] and time.process_time() - began < 20
+
+
+def test_batches_of_several_files(spark, monkeypatch, tmp_path):
+    from millrace import positions
+
+    monkeypatch.setattr(positions, "CHUNK_ROWS", 100)
+    rows = spark.range(1000, numPartitions=2).select("id", F.timestamp_seconds("id").alias("ts"))
+    stream = streaming.replayed(rows, "id", 2, str(tmp_path / "replayed"))
+    query = stream.writeStream.format("memory").queryName("several_files").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    streaming.finished(query, None)
+    assert [p["numInputRows"] for p in query.recentProgress] == [500, 500]
+    assert len(list((tmp_path / "replayed").glob("batch=*/part-*"))) == 10
