@@ -1,7 +1,7 @@
 """Files as ranges of bytes: a data source whose partitions are ranges, and one whose tasks write theirs.
 
 A task reads its own range, a piece at a time, so a file of any size is read by as many tasks
-as it has ranges. What a range's edges cut is carried: a line belongs to the range in which it
+as it has ranges; of more than MOST_SMALL ranges smaller than RANGE_BYTES a task reads several. What a range's edges cut is carried: a line belongs to the range in which it
 begins, and its task reads on past the range's end until the line ends; so do the bytes of a
 character. The order is the path and the place of a piece's first byte.
 
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a range, unless a caller says otherwise.
 RANGE_BYTES = 64 << 20
+#: Ranges that are tasks of their own, however small they are; beyond it neighbours share a task.
+MOST_SMALL = 64
 KINDS = ("bytes", "lines", "text")
 
 
@@ -105,6 +107,25 @@ def pieces(f: Any, start: int, end: int, kind: str, piece_bytes: int):
                     return
 
 
+def together(ranges: list[tuple[str, int, int]], kind: str) -> list[list[tuple[str, int, int]]]:
+    """ranges (path, start, end), in order, as runs for a task each.
+
+    Where a range ends makes no difference to lines, nor to chunks of bytes, so neighbours are
+    one range there; a text's chunks end with each.
+    """
+    n = min(len(ranges), max(MOST_SMALL, -(-sum(end - start for _, start, end in ranges) // RANGE_BYTES)))
+    runs = []
+    for i in range(n):
+        run: list[tuple[str, int, int]] = []
+        for path, start, end in ranges[i * len(ranges) // n : (i + 1) * len(ranges) // n]:
+            if kind != "text" and run and run[-1][0] == path and run[-1][2] == start:
+                run[-1] = (path, run[-1][1], end)
+            else:
+                run.append((path, start, end))
+        runs.append(run)
+    return runs
+
+
 def _source() -> type:
     """The data source's class: made here, so it travels to executors whole."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -114,33 +135,42 @@ def _source() -> type:
             self.options = options
 
         def partitions(self):
-            from millrace.sources.ranges import files_of
+            from millrace.sources.ranges import files_of, together
 
             n = int(self.options["range_bytes"])
             found = [(p, at, min(size, at + n)) for p, size in files_of(self.options["path"]) for at in range(0, size, n)]
-            return [InputPartition(x) for x in found] or [InputPartition(None)]
+            return [InputPartition(x) for x in together(found, self.options["kind"])] or [InputPartition([])]
 
         def read(self, partition):
+            import io
+
             import pyarrow as pa
 
             from millrace.sources.ranges import open_system, pieces
 
-            if partition.value is None:
-                return
-            path, start, end = partition.value
-            system, at = open_system(path)
             names, held, size = ["path", "place", "value"], [], 0
 
             def batch():
-                return pa.RecordBatch.from_arrays([pa.array([path] * len(held)), pa.array([p for p, _ in held], pa.int64()), pa.array([v for _, v in held], pa.binary())], names)
-
-            with system.open_input_file(at) as f:
-                for found in pieces(f, start, end, self.options["kind"], int(self.options["piece_bytes"])):
-                    held.append(found)
-                    size += len(found[1])
-                    if size > 4 << 20 or len(held) >= 10_000:
-                        yield batch()
-                        held, size = [], 0
+                return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held]), pa.array([x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.binary())], names)
+
+            kind, piece_bytes, opened, f = self.options["kind"], int(self.options["piece_bytes"]), None, None
+            try:
+                for path, start, end in partition.value:
+                    if path != opened:
+                        if f is not None:
+                            f.close()
+                        system, at = open_system(path)
+                        # small pieces come from a buffer
+                        opened, f = path, io.BufferedReader(system.open_input_file(at), 1 << 16)
+                    for place, value in pieces(f, start, end, kind, piece_bytes):
+                        held.append((path, place, value))
+                        size += len(value)
+                        if size > 4 << 20 or len(held) >= 10_000:
+                            yield batch()
+                            held, size = [], 0
+            finally:
+                if f is not None:
+                    f.close()
             if held:
                 yield batch()
 
@@ -187,13 +217,25 @@ def _sink() -> type:
             self.path, self.made, self.base = path, made, base
 
         def write(self, iterator):
-            n = 0
+            n, first, held, size = 0, 0, [], 0  # values that lie side by side are written as one
             with open(self.made, "r+b") as f:
+
+                def put():
+                    f.seek(self.base + first)
+                    return f.write(b"".join(held))
+
                 for batch in iterator:
                     for place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                         if data:
-                            f.seek(self.base + place)
-                            n += f.write(data)
+                            if held and (place != first + size or size >= 1 << 20):
+                                n += put()
+                                held, size = [], 0
+                            if not held:
+                                first = place
+                            held.append(data)
+                            size += len(data)
+                if held:
+                    n += put()
                 f.flush()
                 os.fsync(f.fileno())
             return Written(n)

@@ -105,3 +105,18 @@ def test_streams_one_after_the_other(spark, tmp_path):
     f = values.longs(spark, 0, count=10).inject_round_robin(3)
     assert f.to_file(str(tmp_path / "x"), F.col("value").cast("string")) == 10
     assert (tmp_path / "x").read_bytes() == b"0369147258"
+
+
+def test_many_small_ranges_share_tasks(spark, monkeypatch, tmp_path):
+    """Ranges of 16 bytes of a long file: no task for each, and the same pieces."""
+    data = "".join(f"{i} ü€\n" for i in range(3000)).encode()
+    (tmp_path / "x").write_bytes(data)
+    n = -(-len(data) // 16)
+    for kind in ranges.KINDS:
+        df = ranges.read_ranges(spark, str(tmp_path / "x"), kind, 5, 16)
+        assert df.rdd.getNumPartitions() == ranges.MOST_SMALL < n
+        step = 20 if kind == "bytes" else 16  # a multiple of a chunk
+        assert [(r.place, bytes(r.value)) for r in df.orderBy("place").collect()] == all_of(data, kind, 5, step)
+    monkeypatch.setattr(ranges, "RANGE_BYTES", 32)
+    assert len(ranges.together([("x", i, i + 16) for i in range(0, 16_000, 16)], "text")) == 500
+    assert ranges.together([("x", 0, 4), ("x", 4, 8), ("y", 0, 4)], "lines") == [[("x", 0, 4)], [("x", 4, 8)], [("y", 0, 4)]]
