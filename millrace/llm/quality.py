@@ -7,7 +7,11 @@ of label 0; the weights minimise the logistic loss of the features'
 differences. The threshold is the quantile of scores at the labelled share of label 0, and
 the reported score is the logistic function of the distance from it.
 
-Learning takes a bounded sample: SAMPLE labelled rows of each label, PAIRS pairs.
+Learning takes all labelled rows. They are dealt by hash to blocks of some BLOCK_ROWS; in each, a
+row of the label that has more is paired with PARTNERS rows of the other, dealt so that all of
+those are in pairs too. Where a label is so rare that blocks would have few of it, its rows go to
+several blocks. Blocks are written once; each Newton step sums the blocks' gradients and
+curvatures, made in the tasks that read them. The threshold is found among all scores by their order.
 
 Defined cases: null and empty texts have the features of no words and are scored like
 others; a text of any length is measured whole; a score at the threshold counts as label 1; labels that are null or not 0 or 1 are left out; a document with several labels
@@ -24,8 +28,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, PAIRS = 5000, 60_000
+PAIRS = 60_000
 RIDGE = 1e-3
+#: Labelled rows of a block, rows of the rarer label that it should have, and rows with which each of the other is paired.
+BLOCK_ROWS, RARE_ROWS, PARTNERS = 4096, 256, 4
+#: Labels (some 20 bytes each) that may go to every task; beyond it they are joined with the features.
+BROADCAST_LABELS = 2_000_000
 
 #: Places of words, and of runs of bytes.
 HASHED = 64
@@ -125,8 +133,35 @@ def _constant(label: int) -> Ranking:
     return Ranking([0.0] * n, [1.0] * n, [0.0] * n, -5.0 if label else 5.0)
 
 
+def _slopes(x, over, under, w):
+    """Gradient and curvature of the logistic loss of pairs, as sums."""
+    import numpy as np
+
+    gradient, curvature = np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for i in range(0, len(over), PAIRS_AT_ONCE):
+        d = x[over[i : i + PAIRS_AT_ONCE]] - x[under[i : i + PAIRS_AT_ONCE]]
+        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+        gradient -= d.T @ p
+        curvature += (d * (p * (1 - p))[:, None]).T @ d
+    return gradient, curvature
+
+
+def _minimised(slopes, size: int):
+    """The weights at the least ridge-penalised loss, by Newton steps; slopes(w): pairs, gradient and curvature."""
+    import numpy as np
+
+    w = np.zeros(size)
+    for _ in range(30):
+        pairs, gradient, curvature = slopes(w)
+        step = np.linalg.solve(RIDGE * np.eye(size) + curvature / pairs, RIDGE * w + gradient / pairs)
+        w -= step * min(1.0, 3 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-4:
+            break
+    return w
+
+
 def fit(rows, labels, shares: dict[int, float], pairs: int = PAIRS, seed: int = 7) -> Ranking:
-    """The ranking of sampled rows; shares: of each label among all labelled rows."""
+    """The ranking of rows at hand, with drawn pairs; shares: of each label among all labelled rows."""
     import numpy as np
 
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
@@ -138,18 +173,7 @@ def fit(rows, labels, shares: dict[int, float], pairs: int = PAIRS, seed: int =
     x = (rows - mean) / scale
     rng = np.random.default_rng(seed)
     over, under = rng.choice(good, pairs), rng.choice(bad, pairs)
-    w = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton steps on the ridge-penalised logistic loss
-        gradient, curvature = RIDGE * w, RIDGE * np.eye(len(w))
-        for i in range(0, pairs, PAIRS_AT_ONCE):
-            d = x[over[i : i + PAIRS_AT_ONCE]] - x[under[i : i + PAIRS_AT_ONCE]]
-            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-            gradient -= d.T @ p / pairs
-            curvature += (d * (p * (1 - p))[:, None]).T @ d / pairs
-        step = np.linalg.solve(curvature, gradient)
-        w -= step * min(1.0, 3 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-4:
-            break
+    w = _minimised(lambda w: (pairs, *_slopes(x, over, under, w)), x.shape[1])
     raw = x @ w
     weight = np.where(labels == 1, shares[1] / len(good), shares[0] / len(bad))
     order = np.argsort(raw)
@@ -174,24 +198,127 @@ def with_features(docs: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame:
     return plain.mapInArrow(measure, ", ".join([f"`{n}` {t}" for n, t in plain.drop("text").dtypes] + ["features array<double>"]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
-    """The ranking learnt from labels (doc_id, quality) of docs (doc_id, text)."""
+BLOCK = "n int, labels binary, own binary, rows binary"
+
+
+def blocks(found: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """BLOCK of found (features, quality, at: a hash): labels, whether a row is here for itself or as one more copy for pairs, and features (floats)."""
+    n, rare = sum(sizes.values()), min(sizes, key=lambda q: (sizes[q], q))
+    many = max(1, -(-n // BLOCK_ROWS))
+    copies = min(many, max(1, -(-RARE_ROWS * many // sizes[rare])))
+    places = F.sequence(F.lit(0), F.when(F.col("quality") == rare, copies - 1).otherwise(0))
+    dealt = found.select("*", F.explode(places).alias("copy")).withColumn("block", F.pmod(F.pmod("at", F.lit(many)) + F.col("copy"), F.lit(many)))
+
+    def packed(t):
+        import numpy as np
+        import pyarrow as pa
+
+        t = t.sort_by([("at", "ascending"), ("copy", "ascending")])
+        rows = np.asarray(t["features"].combine_chunks().flatten(), "<f4")
+        put = lambda v: pa.array([v.tobytes()], pa.binary())
+        return pa.table({"n": pa.array([len(t)], pa.int32()), "labels": put(t["quality"].to_numpy().astype(np.int8)), "own": put((t["copy"].to_numpy() == 0).astype(np.int8)), "rows": put(rows)})
+
+    return dealt.select("block", "at", "copy", "quality", F.col("features").cast("array<float>").alias("features")).groupBy("block").applyInArrow(packed, BLOCK)
+
+
+def _summed(packed: DataFrame, make) -> list:
+    """The sums over all blocks of the arrays that make(labels, own, rows) gives, of each task's sums."""
+    import numpy as np
+
+    def partial(batches: Iterator) -> Iterator:
+        import pickle
+
+        import pyarrow as pa
+
+        whole = None
+        for batch in batches:
+            for i in range(len(batch)):
+                labels, own = (np.frombuffer(batch.column(c)[i].as_py(), np.int8) for c in (1, 2))
+                some = make(labels, own == 1, np.frombuffer(batch.column(3)[i].as_py(), "<f4").reshape(len(labels), -1))
+                whole = some if whole is None else [a + b for a, b in zip(whole, some, strict=True)]
+        if whole is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(whole)], pa.binary())], ["sums"])
+
+    import pickle
+
+    whole = None
+    for row in packed.mapInArrow(partial, "sums binary").toLocalIterator(prefetchPartitions=True):
+        some = pickle.loads(row["sums"])
+        whole = some if whole is None else [a + b for a, b in zip(whole, some, strict=True)]
+    return whole
+
+
+def _paired(labels):
+    """Of a block's rows: those over and those under, pair by pair."""
+    import numpy as np
+
+    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+    most, least = (good, bad) if len(good) >= len(bad) else (bad, good)
+    if not len(least):
+        return least, least
+    most = np.tile(most, PARTNERS)
+    rng = np.random.default_rng(len(labels))
+    others = rng.permutation(np.resize(rng.permutation(least), len(most)))
+    return (most, others) if len(good) >= len(bad) else (others, most)
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Ranking:
+    """The ranking learnt from all labels (doc_id, quality) of docs (doc_id, text)."""
     import numpy as np
 
-    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    sizes = {q: n for q, n in known.groupBy("quality").count().collect()}
-    if not sizes:
-        return _constant(1)
-    at = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
-    share = F.when(F.col("quality") == 1, min(1.0, sample / sizes.get(1, 1))).otherwise(min(1.0, sample / sizes.get(0, 1)))
-    # at most about 2 * sample rows of 12 bytes, so they can go to every task
-    taken = known.where(at <= share).limit(3 * sample).withColumnRenamed("doc_id", "_labelled")
-    chosen = docs.join(F.broadcast(taken), docs["doc_id"] == taken["_labelled"])
-    # ids may repeat: of their rows those of the lowest hashes are taken, whatever the ids
-    found = with_features(chosen, (F.col("quality"), F.xxhash64("text", "doc_id").alias("at"))).orderBy("at").limit(3 * sample).toPandas()
-    if found.empty:
-        return _constant(1)
-    return fit(np.array(found["features"].tolist()), found["quality"].to_numpy(), {q: sizes.get(q, 0) for q in (0, 1)})
+    from millrace.frame import OrderedFrame
+    from millrace.llm.shared import scratch, stash
+    from millrace.positions import numbered
+
+    with scratch(docs.sparkSession):
+        known = stash(labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("_labelled")).agg(F.min("quality").cast("int").alias("quality")), "labels")
+        n = known.count()
+        if not n:
+            return _constant(1)
+        at = F.xxhash64("text", "doc_id").alias("at")
+        if n <= BROADCAST_LABELS:
+            found = with_features(docs.join(F.broadcast(known), docs["doc_id"] == known["_labelled"]), (F.col("quality"), at))
+        else:
+            found = with_features(docs, (at,)).join(known, F.col("doc_id") == F.col("_labelled"))
+        found = stash(found.select("quality", "at", F.col("features").cast("array<float>").alias("features")), "quality-features")
+        sizes = {q: m for q, m in found.groupBy("quality").count().collect()}
+        if len(sizes) < 2:
+            return _constant(max(sizes, default=1))
+        packed = stash(blocks(found, sizes), "quality-blocks")
+
+        def moments(labels, own, rows):
+            x = rows[own].astype(float)
+            return [np.array([len(x)], float), x.sum(0)]
+
+        (m,), total = _summed(packed, moments)
+        mean = total / m
+        scale = np.sqrt(_summed(packed, lambda labels, own, rows: [((rows[own] - mean) ** 2).sum(0)])[0] / m)
+        scale[scale < 1e-9] = 1.0
+        scale[len(MEASURES) :] /= HASHED_WEIGHT
+
+        def slopes(w):
+            def make(labels, own, rows):
+                over, under = _paired(labels)
+                return [np.array([len(over)], float), *_slopes((rows - mean) / scale, over, under, w)]
+
+            (pairs,), gradient, curvature = _summed(packed, make)
+            return pairs, gradient, curvature
+
+        w = _minimised(slopes, len(mean))
+
+        def raws(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                for i in range(len(batch)):
+                    own = np.frombuffer(batch.column(2)[i].as_py(), np.int8) == 1
+                    rows = np.frombuffer(batch.column(3)[i].as_py(), "<f4").reshape(len(own), -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(((rows[own] - mean) / scale) @ w)], ["raw"])
+
+        raw = stash(packed.mapInArrow(raws, "raw double"), "quality-scores")
+        place = int(np.clip(sizes[0], 1, int(m) - 1))
+        beside = [r[0] for r in numbered(OrderedFrame.of(raw, "raw")).where(F.col("pos").between(place - 1, place)).select("raw").collect()]
+        return Ranking(mean.tolist(), scale.tolist(), w.tolist(), sum(beside) / 2)
 
 
 def score(docs: DataFrame, ranking: Ranking, carry: tuple[Column, ...] = ()) -> DataFrame:
