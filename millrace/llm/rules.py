@@ -48,7 +48,7 @@ START, END = 0xFF, 0xFE  # bytes that no UTF-8 text has
 #: The least probability: a context of frequent n-grams alone may leave no mass for others.
 LEAST = 2.0**-40
 #: n-grams a task holds before it passes their counts on, and bytes of texts for each such task.
-HELD_GRAMS, COUNTED_BYTES = 1 << 20, 64 << 20
+HELD_GRAMS, COUNTED_BYTES = 2 << 20, 64 << 20
 #: Languages whose discounts (a row each) may go to every task; beyond it they are joined.
 BROADCAST_LANGS = 10_000
 #: n-grams and contexts of a fold's models that may go to every task whole (some 5 bytes each on their way, 16 there).
@@ -115,7 +115,11 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([fold] * len(part), pa.int32()), pa.array(part), pa.array(n[i : i + (1 << 16)])], ["lang", "fold", "gram", "n"])
             held.clear()
 
-        for batch in batches:
+        def n_held() -> int:
+            return sum(len(k) for parts in held.values() for k, _ in parts)
+
+        # a batch of long texts has many times HELD_GRAMS: so the bound holds within it too
+        for batch in (whole.slice(i, ROWS_AT_ONCE) for whole in batches for i in range(0, len(whole), ROWS_AT_ONCE)):
             by_model: dict[tuple, list[bytes]] = {}
             for lang, fold, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 by_model.setdefault((lang, fold), []).append((text or "").encode())
@@ -124,8 +128,11 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     held.setdefault(key, []).append(np.unique(grams(part)[0], return_counts=True))
                     if len(held[key]) >= 8:
                         held[key] = [merged(key)]
-            if sum(len(k) for parts in held.values() for k, _ in parts) > HELD_GRAMS:
-                yield from flush()
+                    if n_held() > HELD_GRAMS:
+                        for x in held:
+                            held[x] = [merged(x)]
+                        if n_held() > HELD_GRAMS // 2:
+                            yield from flush()
         yield from flush()
         pa.default_memory_pool().release_unused()  # the worker stays while Spark sums the counts
 

@@ -427,3 +427,23 @@ def test_quality_has_no_bound_on_labelled_rows(spark):
     ranking = quality.learn(docs, labels)
     x = quality.features(["word a", "word bb cc dd"])
     assert numpy.allclose(ranking.mean, x.mean(0), atol=1e-6)
+
+
+def test_counts_of_grams_are_held_within_a_bound(spark, monkeypatch):
+    """One batch of texts with many times HELD_GRAMS: counts are passed on within it, and come to the same."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([("en", i % 2, "".join(rng.choice("abcdefgh ") for _ in range(5_000))) for i in range(40)], "lang string, fold int, text string").coalesce(1)
+    want = sorted(map(tuple, rules.count_grams(docs).where("gram % 1000 = 0").collect()))
+    counters = []
+    monkeypatch.setattr(rules, "HELD_GRAMS", 50_000)
+    own = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: counters.append(f) or own(self, f, schema))
+    assert sorted(map(tuple, rules.count_grams(docs).where("gram % 1000 = 0").collect())) == want and want
+    import pyarrow
+
+    rows = docs.collect()
+    table = pyarrow.table({"lang": [r.lang for r in rows], "fold": pyarrow.array([r.fold for r in rows], pyarrow.int32()), "text": [r.text for r in rows]})
+    table = pyarrow.concat_tables([table] * 40)  # 1,600 texts in one batch: more than are counted at once
+    passed = list(counters[0](iter(table.combine_chunks().to_batches())))
+    keys = [(fold, g) for x in passed for fold, g in zip(x["fold"].to_pylist(), x["gram"].to_pylist(), strict=True)]
+    assert len(keys) > len(set(keys))  # before, a batch was counted whole before anything was passed on
