@@ -49,6 +49,11 @@ START, END = 0xFF, 0xFE  # bytes that no UTF-8 text has
 LEAST = 2.0**-40
 #: n-grams a task holds before it passes their counts on, and bytes of texts for each such task.
 HELD_GRAMS, COUNTED_BYTES = 2 << 20, 64 << 20
+#: A held n-gram is one number: its count stands in so many bits below its bytes.
+COUNT_BITS = 64 - 8 * ORDER
+MOST_COUNTED = (1 << COUNT_BITS) - 1
+#: Bytes of texts whose n-grams are made at once, and whose costs are: some 150 bytes of memory each.
+COUNTED_AT_ONCE, SCORED_AT_ONCE = 1 << 19, 1 << 19
 #: Languages whose discounts (a row each) may go to every task; beyond it they are joined.
 BROADCAST_LANGS = 10_000
 #: n-grams and contexts of a fold's models that may go to every task whole (some 5 bytes each on their way, 16 there).
@@ -90,57 +95,79 @@ def grams(texts: list[bytes]):
     return out[buf[ORDER - 1 :] != START], sizes
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, fold, gram, n over all texts of docs (lang, fold, text)."""
-
-    def count(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        from millrace.llm.words import chunks
-
-        _HELD.clear()  # what an earlier job's tasks have left
-        held: dict[tuple, list] = {}
+def _tallied(held: list):
+    """Arrays of n-grams with their counts below them as one, sorted and each n-gram once; a count that doesn't fit has several."""
+    import numpy as np
 
-        def merged(key: tuple):
-            keys = np.concatenate([k for k, _ in held[key]])
-            keys, at = np.unique(keys, return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([n for _, n in held[key]])).astype(np.int64)
+    entries = np.concatenate(held)
+    entries.sort()
+    steps = entries[1:] ^ entries[:-1]
+    steps >>= np.uint64(COUNT_BITS)
+    starts = np.concatenate([[0], np.flatnonzero(steps) + 1])
+    del steps
+    n = np.add.reduceat(entries & np.uint64(MOST_COUNTED), starts).astype(np.int64)
+    own = entries[starts] >> np.uint64(COUNT_BITS)
+    if n.max() > MOST_COUNTED:
+        times = -(-n // MOST_COUNTED)
+        own, last, left = np.repeat(own, times), np.cumsum(times) - 1, n - (times - 1) * MOST_COUNTED
+        n = np.full(len(own), MOST_COUNTED)
+        n[last] = left
+    own <<= np.uint64(COUNT_BITS)
+    own |= n.astype(np.uint64)
+    return own
+
+
+def counted(batches: Iterator) -> Iterator:
+    """lang, fold, gram, n of batches of lang, fold, text: an n-gram may come several times."""
+    import numpy as np
+    import pyarrow as pa
 
-        def flush() -> Iterator:
-            for lang, fold in sorted(held):
-                keys, n = merged((lang, fold))
-                for i in range(0, len(keys), 1 << 16):
-                    part = keys[i : i + (1 << 16)].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([fold] * len(part), pa.int32()), pa.array(part), pa.array(n[i : i + (1 << 16)])], ["lang", "fold", "gram", "n"])
-            held.clear()
+    from millrace.llm.words import chunks
+
+    _HELD.clear()  # what an earlier job's tasks have left
+    held: dict[tuple, list] = {}
+
+    def flush() -> Iterator:
+        for lang, fold in sorted(held):
+            entries = _tallied(held.pop((lang, fold)))
+            for i in range(0, len(entries), 1 << 16):
+                part = entries[i : i + (1 << 16)]
+                grams_of, n = (x.astype(np.int64) for x in (part >> np.uint64(COUNT_BITS), part & np.uint64(MOST_COUNTED)))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([fold] * len(part), pa.int32()), pa.array(grams_of), pa.array(n)], ["lang", "fold", "gram", "n"])
+
+    def n_held() -> int:
+        return sum(len(k) for parts in held.values() for k in parts)
+
+    # a batch of long texts has many times HELD_GRAMS: so the bound holds within it too
+    for batch in (whole.slice(i, ROWS_AT_ONCE) for whole in batches for i in range(0, len(whole), ROWS_AT_ONCE)):
+        by_model: dict[tuple, list[bytes]] = {}
+        for lang, fold, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            by_model.setdefault((lang, fold), []).append((text or "").encode())
+        for key, texts in by_model.items():
+            for _, part in chunks(texts, COUNTED_AT_ONCE):
+                found = grams(part)[0].view(np.uint64)
+                found <<= np.uint64(COUNT_BITS)
+                found |= np.uint64(1)
+                held.setdefault(key, []).append(_tallied([found]))
+                del found
+                if len(held[key]) >= 16:
+                    held[key] = [_tallied(held[key])]
+                if n_held() > HELD_GRAMS:
+                    for x in held:
+                        held[x] = [_tallied(held[x])]
+                    if n_held() > HELD_GRAMS // 2:
+                        yield from flush()
+    yield from flush()
+    pa.default_memory_pool().release_unused()  # the worker stays while Spark sums the counts
 
-        def n_held() -> int:
-            return sum(len(k) for parts in held.values() for k, _ in parts)
-
-        # a batch of long texts has many times HELD_GRAMS: so the bound holds within it too
-        for batch in (whole.slice(i, ROWS_AT_ONCE) for whole in batches for i in range(0, len(whole), ROWS_AT_ONCE)):
-            by_model: dict[tuple, list[bytes]] = {}
-            for lang, fold, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                by_model.setdefault((lang, fold), []).append((text or "").encode())
-            for key, texts in by_model.items():
-                for _, part in chunks(texts):
-                    held.setdefault(key, []).append(np.unique(grams(part)[0], return_counts=True))
-                    if len(held[key]) >= 8:
-                        held[key] = [merged(key)]
-                    if n_held() > HELD_GRAMS:
-                        for x in held:
-                            held[x] = [merged(x)]
-                        if n_held() > HELD_GRAMS // 2:
-                            yield from flush()
-        yield from flush()
-        pa.default_memory_pool().release_unused()  # the worker stays while Spark sums the counts
 
+def count_grams(docs: DataFrame) -> DataFrame:
+    """lang, fold, gram, n over all texts of docs (lang, fold, text)."""
     # tasks that see more texts pass fewer counts on; partitions are put together, not dealt anew
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, size // COUNTED_BYTES)
-    counted = docs.select("lang", "fold", "text").coalesce(tasks).mapInArrow(count, "lang string, fold int, gram long, n long")
-    return counted.groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n"))
+    found = docs.select("lang", "fold", "text").coalesce(tasks).mapInArrow(counted, "lang string, fold int, gram long, n long")
+    return found.groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n"))
 
 
 def _fold(content: Column) -> Column:
@@ -357,7 +384,7 @@ def _measured(texts: list[str | None], langs: list[str], models: dict[str, Model
         by_lang.setdefault(lang, []).append(i)
     for lang, rows in by_lang.items():
         numbers = models.get(lang) or Model(np.zeros(0, np.int64), [], [])
-        for first, part in chunks(raw[i] for i in rows):
+        for first, part in chunks((raw[i] for i in rows), SCORED_AT_ONCE):
             found, sizes = grams(part)
             ends = np.cumsum(sizes)
             total = np.add.reduceat(cost(found, numbers), ends - sizes)

@@ -447,3 +447,48 @@ def test_counts_of_grams_are_held_within_a_bound(spark, monkeypatch):
     passed = list(counters[0](iter(table.combine_chunks().to_batches())))
     keys = [(fold, g) for x in passed for fold, g in zip(x["fold"].to_pylist(), x["gram"].to_pylist(), strict=True)]
     assert len(keys) > len(set(keys))  # before, a batch was counted whole before anything was passed on
+
+
+def _counted(texts: list[str]) -> tuple[dict[int, int], float]:
+    """What a task counts of texts of a model, and the MB that it takes at most."""
+    import tracemalloc
+
+    import pyarrow
+
+    batch = pyarrow.record_batch({"lang": ["en"] * len(texts), "fold": pyarrow.array([0] * len(texts), pyarrow.int32()), "text": texts})
+    got: dict[int, int] = {}
+    tasks = []
+
+    class Docs:
+        """Hands over the task of count_grams."""
+
+        defaultParallelism, sparkSession, sparkContext = 1, property(lambda self: self), property(lambda self: self)
+        first = lambda self: [1]
+        agg = select = coalesce = groupBy = lambda self, *a: self
+        mapInArrow = lambda self, f, schema: tasks.append(f) or self
+
+    rules.count_grams(Docs())
+    tracemalloc.start()
+    try:
+        for out in tasks[0](iter([batch])):
+            if len(texts) < 10:
+                for gram, n in zip(out.column(2).to_pylist(), out.column(3).to_pylist(), strict=True):
+                    got[gram] = got.get(gram, 0) + n
+        return got, tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_counting_task_takes_little_memory(spark):
+    """6 MB of random letters: a task took 237 MB, with n-grams and counts apart."""
+    rng = numpy.random.default_rng(3)
+    texts = [rng.integers(97, 123, 100_000, dtype=numpy.uint8).tobytes().decode() for _ in range(60)]
+    assert _counted(texts)[1] < 180
+
+
+def test_counts_beyond_what_fits_beside_a_gram(spark):
+    many = 3 * rules.MOST_COUNTED
+    got, _ = _counted(["a" * (many + 5), "b" * 9, "a" * 7])
+    of = lambda text: int.from_bytes(text, "big")
+    assert got[of(b"aaaaaa")] == many + 5 - 5 + 2 and got[of(b"bbbbbb")] == 4
+    assert sum(got.values()) == many + 5 + 9 + 7 + 3  # and each text's end
