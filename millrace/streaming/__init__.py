@@ -27,8 +27,15 @@ from pyspark.sql.types import BinaryType, IntegralType, StructField, StructType
 #: The state store that transformWithState needs.
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
+#: Each batch writes what has changed of a partition's state, not the whole store's files.
+CHANGELOG = ("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
 #: Values of the state store that hold all keys' states.
 BUCKETS = 4096
+#: Partitions of the state that a replay has at most, or two for each core: a partition costs a
+#: store, a worker and a commit in each micro-batch, however few its rows, and a task holds a
+#: bucket's rows at a time, however many its partition has.
+STATE_PARTITIONS = 32
 #: The column of event time in microseconds.
 AT = "_at"
 
@@ -355,15 +362,19 @@ def played(df: DataFrame, name: str, timeout_s: int | None = None) -> DataFrame:
     """What a stream comes to when all that is there has been processed, as a table in the shared folder; however long that takes, unless timeout_s is given."""
     from millrace.session import shared_path
 
-    spark = df.sparkSession
-    held = spark.conf.get(ROCKSDB[0], None)
-    spark.conf.set(*ROCKSDB)
+    spark, shuffled = df.sparkSession, "spark.sql.shuffle.partitions"
+    partitions = min(int(spark.conf.get(shuffled)), max(STATE_PARTITIONS, 2 * spark.sparkContext.defaultParallelism))
+    own = dict([ROCKSDB, CHANGELOG, (shuffled, str(partitions))])
+    held = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         out = shared_path(spark, name)
         finished(df.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True).start(), timeout_s)
         return spark.read.schema(df.schema).parquet(out)
     finally:
-        spark.conf.unset(ROCKSDB[0]) if held is None else spark.conf.set(ROCKSDB[0], held)
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _with(df: DataFrame, columns: list[str], extra: str = "") -> str:

@@ -172,3 +172,20 @@ def test_batches_of_several_files(spark, monkeypatch, tmp_path):
     streaming.finished(query, None)
     assert [p["numInputRows"] for p in query.recentProgress] == [500, 500]
     assert len(list((tmp_path / "replayed").glob("batch=*/part-*"))) == 10
+
+
+def test_replay_has_few_partitions_of_state(spark, tmp_path, monkeypatch):
+    """Each partition costs a store, a worker and a commit in each micro-batch: there were as many as the session shuffles to."""
+    rows = spark.range(200).select(F.col("id"), (F.col("id") % 7).alias("k"), F.timestamp_seconds(F.col("id") * 10).alias("ts"))
+    seen, own = [], streaming.finished
+    monkeypatch.setattr(streaming, "finished", lambda query, timeout_s: (own(query, timeout_s), seen.extend(query.recentProgress)))
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        stream = streaming.replayed(rows, "ts", 2, str(tmp_path / "replayed"))
+        got = streaming.played(streaming.grouped(stream, ["k"], ["id"], "id", 10), "grouped")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40" and spark.conf.get(streaming.CHANGELOG[0], "unset") != "true"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert {o["numShufflePartitions"] for p in seen for o in p["stateOperators"]} == {streaming.STATE_PARTITIONS}
+    assert sorted(i for r in got.collect() for i in r.group) == [i for i in range(200) if i // 7 < (200 - i % 7 + 6) // 7 // 10 * 10]
