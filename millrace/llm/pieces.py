@@ -28,11 +28,16 @@ from millrace.llm.shared import stash
 BLOCK_BYTES, BUCKET_BYTES = 32 << 20, 24 << 20
 #: Ids that are put together at once.
 AT_ONCE = 1 << 20
+#: Bytes of a piece that an encoder keeps beyond a batch.
+LONGEST_KEPT = 64
 
 #: Two characters of white space, or one at an end; for Python's re, and for Arrow's (RE2).
 _ODD = re.compile(r"\s\s|^\s|\s$")
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 _ODD_RE2 = f"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$"
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[]^{|}~"
+#: Letters that any version of Unicode has as such, in Arrow's regular expressions.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 ENTRIES = "entry_block long, bucket int, numbers binary, entries binary"
@@ -76,6 +81,59 @@ def byte_level(texts) -> tuple[list, list[str]]:
     return out, pieces
 
 
+def at_spaces(texts) -> tuple[list, object]:
+    """byte_level() with the pieces as Arrow's strings; plain texts are cut before line ends too."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = texts.cast(pa.string())
+    odd = pc.match_substring_regex(texts, _ODD_RE2).to_numpy(zero_copy_only=False)
+    plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
+    lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(plain)) if len(rest) else texts, "\n", " \n"), " ")
+    flat = lists.flatten().dictionary_encode()
+    known, numbers = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
+    bounds = lists.offsets.to_numpy()
+    bounds = bounds - bounds[0]
+    pieces = [pc.if_else(pc.starts_with(known, "\n"), known, pc.binary_join_element_wise(" ", known, ""))]
+    # the first piece of a text has no space before it
+    firsts = known.take(pa.array(numbers[bounds[:-1]])).dictionary_encode()
+    numbers[bounds[:-1]] = firsts.indices.to_numpy() + len(known)
+    pieces.append(firsts.dictionary)
+    out: list = [None] * len(texts)
+    for n, i in enumerate(plain):
+        out[i] = numbers[bounds[n] : bounds[n + 1]]
+    if len(rest):
+        parts = [_SAFE.split(t) for t in texts.take(pa.array(rest)).to_pylist()]
+        numbers, listed, bounds = _numbered(pa.array([[own[0], *(" " + p for p in own[1:])] for own in parts], pa.list_(pa.string())))
+        for n, i in enumerate(rest):
+            out[i] = numbers[bounds[n] : bounds[n + 1]] + sum(map(len, pieces))
+        pieces.append(pa.array(listed, pa.string()))
+    return out, pa.concat_arrays(pieces)
+
+
+def without_marks(pieces) -> tuple:
+    """Pieces without a line end before them and marks after them, and where these are: which pieces have a line end, which have marks, and the marks.
+
+    Only what a byte-level tokenizer parts too: one line end before a letter, and marks after a
+    letter or digit. Apostrophes, which may begin a word with letters, are left where they are.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    headed = pc.starts_with(pieces, "\n")
+    if pc.any(headed).as_py():
+        headed = pc.and_(headed, pc.match_substring_regex(pieces, f"^\n[{_LATIN}]"))
+        pieces = pc.if_else(headed, pc.utf8_slice_codeunits(pieces, 1), pieces)
+    words = pc.utf8_rtrim(pieces, characters=_MARKS)
+    marked = pc.less(pc.binary_length(words), pc.binary_length(pieces)).to_numpy(zero_copy_only=False)
+    marked[marked] = pc.match_substring_regex(words.filter(pa.array(marked)), f"[0-9{_LATIN}]$").to_numpy(zero_copy_only=False)
+    chosen = pa.array(marked)
+    marks = pc.replace_substring_regex(pieces.filter(chosen), f"(?s)^.*[0-9{_LATIN}]", "")
+    return pc.if_else(chosen, words, pieces), np.flatnonzero(headed.to_numpy(zero_copy_only=False)), np.flatnonzero(marked), marks
+
+
 def spaceless(texts) -> tuple[list, list[str]]:
     """The same for a tokenizer that drops white space."""
     import pyarrow.compute as pc
@@ -165,47 +223,109 @@ def _unpack_texts(data: bytes) -> list[str]:
 
 
 class Encoder:
-    """Encodes pieces, and keeps the ids of those that come more than once: two generations of most."""
+    """Encodes pieces, and keeps the ids of the most used ones, as arrays: most at most.
+
+    A line end before a piece and marks after it are parted from it before it is looked up,
+    where the tokenizer parts them too: the same word with and without them is one entry.
+    """
+
+    def __init__(self, tokenizer_file: str, parts_of: Callable[[str], list[str]] = cores, most: int = 1_000_000):
+        import numpy as np
+        import pyarrow as pa
 
-    def __init__(self, tokenizer_file: str, parts_of: Callable[[str], list[str]] = cores, most: int = 300_000):
         self.tokens, self.parts_of, self.most = tokens(tokenizer_file), parts_of, most
-        self.starts = frozenset(" abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.parts_marks = parts_of is cores and not self.tokens.tokenizer_changes
+        # entry 0 is the empty part
+        self.texts, self.flat = pa.array([""]), np.zeros(0, np.int32)
+        self.sizes, self.uses = np.zeros(1, np.int32), np.zeros(1, np.int64)
 
     def __call__(self, pieces: list[str], counts: list[int]) -> list[bytes]:
         """The ids of different pieces, which come counts times."""
-        young, old = self.young, self.old
-        out = list(map(young.get, pieces))
-        new = [i for i, x in enumerate(out) if x is None]
-        if old:
-            for i in new:
-                known = old.get(pieces[i])
-                if known is not None:
-                    out[i] = young[pieces[i]] = known
-            new = [i for i in new if out[i] is None]
-        # most are words of letters, which are parts themselves
-        rest = [i for i in new if not pieces[i][1:].isalpha()]
-        if self.parts_of is cores:  # the most common case of it, without a call for each
-            parts = [(p[:-1], p[-1]) if p[-1:] in (",", ".") and p[1:-1].isalpha() and p[0] in self.starts else cores(p) for p in map(pieces.__getitem__, rest)]
-        else:
-            parts = [self.parts_of(pieces[i]) for i in rest]
-        local = dict.fromkeys([pieces[i] for i in new if pieces[i][1:].isalpha()])
-        for x in chain.from_iterable(parts):
-            if x not in local:
-                local[x] = young.get(x)
-        missing = [x for x, known in local.items() if known is None]
-        local.update(zip(missing, self.tokens(missing), strict=True))
-        for i, own in zip(rest, parts, strict=True):
-            out[i] = local[own[0]] if len(own) == 1 else b"".join(map(local.__getitem__, own))
-        for i in new:
-            if out[i] is None:
-                out[i] = local[pieces[i]]
-            if counts[i] > 1:
-                young[pieces[i]] = out[i]
-        if len(young) > self.most:
-            self.young, self.old = {}, young
-        return out
+        import numpy as np
+        import pyarrow as pa
+
+        sizes, flat = self.arrays(pa.array(pieces, pa.string()), np.asarray(counts))
+        raw, ends = flat.tobytes(), np.cumsum(4 * sizes).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+    def arrays(self, pieces, counts):
+        """The same for Arrow's strings: how many ids each piece has, and the ids, one piece after the other."""
+        import numpy as np
+        import pyarrow as pa
+
+        self._forget()
+        if not self.parts_marks:
+            entries = self._entries(pieces)
+            self.uses += np.bincount(entries, counts, len(self.uses)).astype(np.int64)
+            flat, ends = gathered(entries, *self._places(), self.flat)
+            return self.sizes[entries], flat
+        words, headed, marked, marks = without_marks(pieces)
+        found = self._entries(pa.concat_arrays([pa.array(["\n"]), words, marks]))
+        entries = np.zeros((len(pieces), 3), np.int64)
+        entries[headed, 0], entries[:, 1], entries[marked, 2] = found[0], found[1 : 1 + len(words)], found[1 + len(words) :]
+        self.uses += np.bincount(entries.ravel(), np.repeat(counts, 3), len(self.uses)).astype(np.int64)
+        flat, ends = gathered(entries.ravel(), *self._places(), self.flat)
+        return np.diff(ends[2::3], prepend=0), flat
+
+    def _places(self):
+        import numpy as np
+
+        sizes = self.sizes.astype(np.int64)
+        return np.cumsum(sizes) - sizes, sizes
+
+    def _entries(self, parts):
+        """The parts' entries, with new ones for those without."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        entries = pc.index_in(parts, value_set=self.texts)
+        if not entries.null_count:
+            return entries.to_numpy()
+        absent = np.flatnonzero(entries.is_null().to_numpy(zero_copy_only=False))
+        new = parts.take(pa.array(absent)).dictionary_encode()
+        words = pc.match_substring_regex(new.dictionary, f"^ ?[{_LATIN}]+$").to_numpy(zero_copy_only=False)
+        if not self.parts_marks or not self.tokens.tried(new.dictionary.filter(pa.array(words))):
+            words = np.zeros(len(words), bool)
+        order = np.argsort(~words, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order)) + len(self.texts)
+        entries = entries.fill_null(0).to_numpy().astype(np.int64)
+        entries[absent] = place[new.indices.to_numpy()]
+        listed = new.dictionary.take(pa.array(order))
+        sizes, ids = self.tokens.words(listed.slice(0, int(words.sum())))
+        rest = self._encoded(listed.slice(int(words.sum())).to_pylist())
+        self.texts = pa.concat_arrays([self.texts, listed])
+        self.sizes = np.concatenate([self.sizes, sizes, np.fromiter(map(len, rest), np.int32, len(rest)) // 4])
+        self.flat = np.concatenate([self.flat, ids, np.frombuffer(b"".join(rest), np.int32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(order), np.int64)])
+        return entries
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        # most are words of letters, which aren't cut further
+        cut = {x: own for x in parts if not x[1:].isalpha() and (own := self.parts_of(x)) != [x]}
+        if not cut:
+            return self.tokens(parts)
+        whole = list(dict.fromkeys(chain((x for x in parts if x not in cut), chain.from_iterable(cut.values()))))
+        ids = dict(zip(whole, self.tokens(whole), strict=True))
+        return [b"".join(map(ids.__getitem__, cut[x])) if x in cut else ids[x] for x in parts]
+
+    def _forget(self) -> None:
+        """Drops long entries, and the less used ones when there are too many."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        short = pc.binary_length(self.texts).to_numpy() <= LONGEST_KEPT
+        if len(self.texts) <= self.most and short.all():
+            return
+        kept = np.flatnonzero(short)
+        if len(kept) > self.most:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: self.most // 2]])
+            self.uses = self.uses // 2  # later ones get their turn
+        kept = np.concatenate([[0], kept[kept > 0]])
+        self.flat = gathered(kept, *self._places(), self.flat)[0]
+        self.texts, self.sizes, self.uses = self.texts.take(pa.array(kept)), self.sizes[kept], self.uses[kept]
 
 
 @lru_cache(1)
@@ -350,9 +470,29 @@ class Tokens:
         return [array("I", e.ids).tobytes() for i in range(0, len(parts), 20_000) for e in self.tokenizer.encode_batch_fast(parts[i : i + 20_000], add_special_tokens=False)]
 
     def _words(self, parts: list[str]) -> list[bytes]:
-        tokenize, letters, space = self.tokenizer.model.tokenize, self.letters, self.letters[32]
-        written = [p if p.isascii() and p[0] != " " else space + p[1:] if p.isascii() else p.encode().decode("latin-1").translate(letters) for p in parts]
-        return [array("I", [t.id for t in tokenize(p)]).tobytes() for p in written]
+        tokenize = self.tokenizer.model.tokenize
+        return [array("I", [t.id for t in tokenize(p)]).tobytes() for p in self._written(parts)]
+
+    def _written(self, parts: list[str]) -> list[str]:
+        letters, space = self.letters, self.letters[32]
+        return [p if p.isascii() and p[0] != " " else space + p[1:] if p.isascii() else p.encode().decode("latin-1").translate(letters) for p in parts]
+
+    def tried(self, words) -> bool:
+        """Whether words may go to the model as they are; tries the first of these (Arrow's strings) if too few were tried."""
+        if self.direct and self.trials < self.TRIED:
+            self(words.slice(0, self.TRIED).to_pylist())
+        return self.direct
+
+    def words(self, words):
+        """How many ids each of Arrow's strings has, words of letters with or without a space before them, and all ids."""
+        import numpy as np
+
+        tokenize, sizes, ids = self.tokenizer.model.tokenize, [], [np.zeros(0, np.int32)]
+        for i in range(0, len(words), 10_000):
+            found = list(map(tokenize, self._written(words.slice(i, 10_000).to_pylist())))
+            sizes += map(len, found)
+            ids.append(np.array([t.id for own in found for t in own], np.int32))
+        return np.array(sizes, np.int32), np.concatenate(ids)
 
     def _words_of(self, parts: list[str]) -> list[str]:
         if self.tokenizer_changes:

@@ -46,20 +46,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
                 last = max(first + 1, int(np.searchsorted(sizes, done + AT_ONCE_BYTES, side="right")))
                 doc_ids, texts = (batch.column(i).slice(first, last - first) for i in (0, 1))
                 first = last
-                numbers, listed = pieces.byte_level(texts.fill_null(""))
-                counts = np.bincount(np.concatenate(numbers), minlength=len(listed)).tolist()
-                found = [*encode(listed, counts), end]
-                n_ids = np.array([len(x) // 4 for x in found], np.int64)
-                flat = np.frombuffer(b"".join(found), "<i4")
+                numbers, listed = pieces.at_spaces(texts.fill_null(""))
+                n_ids, flat = encode.arrays(listed, np.bincount(np.concatenate(numbers), minlength=len(listed)))
+                n_ids, flat = np.append(n_ids, 1), np.append(flat, np.int32(end_id))
                 stop = np.array([len(listed)])  # each text ends with the piece of the end id
                 whole = np.concatenate([x for own in numbers for x in (own, stop)])
                 ids, ends = pieces.gathered(whole, np.cumsum(n_ids) - n_ids, n_ids, flat)
                 offsets = np.concatenate([[0], ends[np.cumsum([len(own) + 1 for own in numbers]) - 1]]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(offsets, pa.array(ids))], ["doc_id", "ids"])
-                del ids, whole, flat, found, numbers, listed, texts
+                del ids, whole, flat, numbers, listed, texts
                 pa.default_memory_pool().release_unused()
 
-    end = int(end_id).to_bytes(4, "little")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ("doc_id", "_row")  # the ranges are found without reading texts
     ranged = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)

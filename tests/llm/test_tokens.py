@@ -230,3 +230,59 @@ def test_pieces_of_odd_texts_have_the_texts_ids(file, cut, parts):
     numbers, listed = cut(pa.array(texts))
     ids = pieces.Encoder(P.path(file), parts)(listed, [2] * len(listed))
     assert [numpy.frombuffer(b"".join(ids[j] for j in own), "<u4").tolist() for own in numbers] == want
+
+
+def test_arrays_of_pieces_have_the_texts_ids():
+    """op7's way, in batches of one encoder that forgets."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    odd = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 50))) for _ in range(4000)]
+    words = ["there", "niño", "größe", "été", "Жук", "Σίσυφος", "naïve", "A1", "12", "it's", "x'", "it''", "a_", "×", "straße", "中文", "e\u0301", "Iª", "xº", "\u017f", "\u0180", "y" * 80]
+    marks = ["", "", ",", ".", "!!", "$$$", ".%%%", "'", "'s,", ",'", "_", "_.", "€,", "…", ")", "?!", "\u0301,", "!" * 90]
+    plain = ["".join(rng.choice([" ", " ", "\n", "\t", "\u00a0"]) * (i > 0) + rng.choice(["", "", "(", "'"]) + rng.choice(words) + rng.choice(marks) for i in range(rng.randint(1, 30))) for _ in range(4000)]
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    kept = pieces.Encoder(P.path("byte_bpe_50k.json"), most=300)
+    for texts in (odd[:2000], plain[:2000], odd[2000:] + plain[2000:], [""], ["  "], [" a", "b ", "\n\nc"], plain[:2000]):
+        numbers, listed = pieces.at_spaces(pa.array(["left out", *texts]).slice(1))
+        sizes, flat = kept.arrays(listed, numpy.bincount(numpy.concatenate(numbers), minlength=len(listed)))
+        own = numpy.split(flat, numpy.cumsum(sizes)[:-1])
+        assert [[i for j in row for i in own[j].tolist()] for row in numbers] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    kept([], [])
+    assert len(kept.texts) <= 300
+
+
+def test_words_are_encoded_once_with_any_marks():
+    """Words that come once in each batch, with other marks each time, reach the tokenizer once with a space and once without."""
+    import random
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.model, self.normalizer, self.n = tokenizer, self, None, 0
+            self.own = tokenizer.model
+
+        def tokenize(self, part):
+            self.n += 1
+            return self.own.tokenize(part)
+
+        def encode_batch_fast(self, parts, **options):
+            self.n += len(parts)
+            return self.tokenizer.encode_batch_fast(parts, **options)
+
+    rng = random.Random(10)
+    words = sorted({"".join(rng.choices("aeioutnshlñé", k=rng.randint(6, 12))) for _ in range(5000)})
+    kept = pieces.Encoder(P.path("byte_bpe_50k.json"))
+    kept.tokens = pieces.Tokens(P.path("byte_bpe_50k.json"))
+    whole = kept.tokens._whole
+    counting = kept.tokens.tokenizer = Counting(kept.tokens.tokenizer)
+    for before, after in ((" ", ""), ("\n", "."), (" ", ",%%%"), (" ", "!!"), ("", "$$$"), ("\n", ""), (" ", ".")):
+        listed = [before + w + after for w in words]
+        seen = counting.n
+        assert kept(listed, [1] * len(listed)) == whole(listed)
+        counting.n -= len(listed)  # the comparison's own
+        assert counting.n >= seen
+    assert counting.n <= 2 * len(words) + 2 * pieces.Tokens.TRIED + 100
